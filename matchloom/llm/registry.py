@@ -7,12 +7,16 @@ from .packing import op3_packing
 from .quality import OP9_SQL, op9_quality_rules
 from .sharding import OP1_SQL, op1_sharding
 from .token_counts import op5_token_counts
+from .topk import OP6_SQL, op6_top_k
+from .toxicity import op2_toxicity
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_toxicity": op2_toxicity,
     "op3_packing": op3_packing,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_token_counts": op5_token_counts,
+    "op6_top_k": op6_top_k,
     "op9_quality_rules": op9_quality_rules,
 }
-ORACLES = {"op1_sharding": OP1_SQL, "op9_quality_rules": OP9_SQL}
+ORACLES = {"op1_sharding": OP1_SQL, "op6_top_k": OP6_SQL, "op9_quality_rules": OP9_SQL}
