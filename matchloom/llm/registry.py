@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op4_byte_bpe
+from .near_duplicates import OP10_SQL, op10_minhash
 from .packing import op3_packing
 from .quality import OP9_SQL, op9_quality_rules
 from .sharding import OP1_SQL, op1_sharding
@@ -18,5 +19,6 @@ QUERIES = {
     "op5_token_counts": op5_token_counts,
     "op6_top_k": op6_top_k,
     "op9_quality_rules": op9_quality_rules,
+    "op10_minhash": op10_minhash,
 }
-ORACLES = {"op1_sharding": OP1_SQL, "op6_top_k": OP6_SQL, "op9_quality_rules": OP9_SQL}
+ORACLES = {"op1_sharding": OP1_SQL, "op6_top_k": OP6_SQL, "op9_quality_rules": OP9_SQL, "op10_minhash": OP10_SQL}
