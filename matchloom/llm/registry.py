@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op4_byte_bpe
+from .line_dedup import OP8_SQL, op8_line_dedup
 from .near_duplicates import OP10_SQL, op10_minhash
 from .packing import op3_packing
 from .quality import OP9_SQL, op9_quality_rules
@@ -18,7 +19,8 @@ QUERIES = {
     "op4_byte_bpe": op4_byte_bpe,
     "op5_token_counts": op5_token_counts,
     "op6_top_k": op6_top_k,
+    "op8_line_dedup": op8_line_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_minhash": op10_minhash,
 }
-ORACLES = {"op1_sharding": OP1_SQL, "op6_top_k": OP6_SQL, "op9_quality_rules": OP9_SQL, "op10_minhash": OP10_SQL}
+ORACLES = {"op1_sharding": OP1_SQL, "op6_top_k": OP6_SQL, "op8_line_dedup": OP8_SQL, "op9_quality_rules": OP9_SQL, "op10_minhash": OP10_SQL}
