@@ -32,7 +32,7 @@ from .tables import map_rows, read
 from .token_counts import byte_alphabet
 
 #: Pieces of one length that are numbered together.
-RANK_ROWS = 50_000
+RANK_ROWS = 10_000
 
 
 @cache

@@ -6,6 +6,7 @@ from .bpe import op4_byte_bpe
 from .line_dedup import OP8_SQL, op8_line_dedup
 from .near_duplicates import OP10_SQL, op10_minhash
 from .packing import op3_packing
+from .pii import op7_pii
 from .quality import OP9_SQL, op9_quality_rules
 from .sharding import OP1_SQL, op1_sharding
 from .token_counts import op5_token_counts
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_byte_bpe": op4_byte_bpe,
     "op5_token_counts": op5_token_counts,
     "op6_top_k": op6_top_k,
+    "op7_pii": op7_pii,
     "op8_line_dedup": op8_line_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_minhash": op10_minhash,
