@@ -8,7 +8,7 @@ from __future__ import annotations
 import glob
 import os
 import zipfile
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import cache
 
 import pyspark
@@ -20,6 +20,11 @@ NGRAM, SUFFIX, EXTENDED_SHARE, EXTENDED_CAP = 3, 2, 0.95, 15
 ATTRIBUTES = "array<struct<key:string,value:string>>"
 
 
+def let(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn(value)`` with ``value`` computed once a row: inside a lambda, an expression is computed again each time."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
 def text_tokens(text: Column) -> Column:
     """Lower-cased tokens in order, without empty ones."""
     return F.filter(F.split(F.lower(text), SEPARATORS), lambda t: F.trim(t) != "")
@@ -70,10 +75,13 @@ def token_extended_qgrams(token: Column, n: int = NGRAM, cap: int = EXTENDED_CAP
 
     Up to ``cap`` q-grams count (under 21 of them, a share of 0.95 leaves out one at most); a longer token keeps its first.
     """
-    grams = F.slice(windows(token, n), 1, cap)
-    whole = F.array_join(grams, "")
-    but = F.transform(F.sequence(F.lit(0), F.size(grams) - 1), lambda k: F.array_join(F.filter(grams, lambda _, i: i != k), ""))
-    return F.when(F.size(grams) == 1, F.array(whole)).otherwise(F.array_distinct(F.concat(F.array(whole), but)))
+
+    def keys(grams: Column) -> Column:
+        whole = F.array_join(grams, "")
+        but = F.transform(F.sequence(F.lit(0), F.size(grams) - 1), lambda k: F.array_join(F.filter(grams, lambda _, i: i != k), ""))
+        return F.when(F.size(grams) == 1, F.array(whole)).otherwise(F.array_distinct(F.concat(F.array(whole), but)))
+
+    return let(F.slice(windows(token, n), 1, cap), keys)
 
 
 def extended_qgrams(attributes: Column, exclude: Iterable[str] = (), n: int = NGRAM) -> Column:
@@ -110,12 +118,12 @@ def token_set(attributes: Column) -> Column:
 
 def character_ngrams(attributes: Column, n: int = 2) -> Column:
     """Character n-grams of the joined tokens, across their borders."""
-    return windows(F.array_join(token_set(attributes), ""), n)
+    return let(F.array_join(token_set(attributes), ""), lambda joined: windows(joined, n))
 
 
 def word_ngrams(words: Column, n: int = 1) -> Column:
     """Runs of ``n`` words; fewer words are one run."""
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " "))
+    return let(words, lambda ws: F.transform(F.sequence(F.lit(1), F.greatest(F.size(ws) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(ws, i, n), " ")))
 
 
 def attribute_values(attributes: Column, key: str, separator: str = " ") -> Column:

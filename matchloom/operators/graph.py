@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import cut
 from .blocking import sizes
 
 WEIGHTS = ("cbs", "js", "chi_square", "arcs", "arcs_textbook", "ejs", "ecbs")
@@ -30,10 +31,12 @@ def build(assignments: DataFrame, clean: bool = False, entropy: str | None = Non
     """``entropy`` names a column of ``assignments``; degrees count neighbours that share ``min_common`` blocks."""
     blocks = sizes(assignments, clean)
     rows = assignments.join(blocks.select("key", "comparisons"), "key").select("key", F.col("profile_id").alias("id"), "source_id", "comparisons", (F.col(entropy) if entropy else F.lit(1.0)).cast("double").alias("h"))
+    rows = cut(rows, "members")  # read for pairs, nodes and totals
     a, b = rows.alias("a"), rows.select("key", "id", "source_id").alias("b")
     apart = (F.col("a.source_id") != F.col("b.source_id")) if clean else F.lit(True)
     met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & apart)
     pairs = met.groupBy(F.col("a.id").alias("id1"), F.col("b.id").alias("id2")).agg(F.count("*").alias("shared"), F.sum("h").alias("entropy"), F.sum(1 / F.col("comparisons").cast("double")).alias("arcs"))
+    pairs = cut(pairs, "pairs")
     near = pairs.where(F.col("shared") >= min_common)
     degree = near.select(F.explode(F.array("id1", "id2")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
     nodes = rows.groupBy("id").agg(F.count("*").alias("blocks"), F.sum(F.ln(F.col("comparisons").cast("double"))).alias("log_product"), F.sum("h").alias("own_entropy"), F.sum(1 / F.col("comparisons").cast("double")).alias("own_arcs"))

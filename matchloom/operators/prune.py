@@ -18,7 +18,7 @@ def weight_edge_pruning(graph: Graph, scheme: str = "cbs", **options) -> DataFra
 def cardinality_edge_pruning(graph: Graph, scheme: str = "cbs", **options) -> DataFrame:
     """As many of the heaviest edges as half the members of all blocks; ties go to smaller ids."""
     members = graph.totals.first()["members"] or 0
-    return top_k(weighted(graph, scheme, **options).where("weight is not null"), members // 2, [F.col("weight").desc(), "id1", "id2"])
+    return top_k(weighted(graph, scheme, **options).where("weight is not null"), members // 2, [-F.col("weight"), "id1", "id2"])
 
 
 def _check(name: str, value: str, allowed: tuple[str, ...]) -> None:

@@ -9,7 +9,7 @@ from ..storage import cut
 
 
 def with_position(df: DataFrame, order: list, name: str = "position") -> DataFrame:
-    """``df`` with its 0-based position under ``order``, which should decide all ties.
+    """``df`` with its 0-based position under ``order``: columns, ascending, which should decide all ties.
 
     Rows are dealt out by range and the ranges are written down, so their numbers hold if a task runs again;
     a row's position is its rank in its range plus the rows before the range, one number a range.

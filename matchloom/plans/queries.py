@@ -1,3 +1,590 @@
-"""Queries by name, and their SQL."""
+"""Queries by name over the driver's tables, and the same in DuckDB SQL.
+
+Each query runs an operator over whole tables. Computed doubles are rounded to six places in both forms. Queries
+without SQL are iterative, or too slow in SQL on whole tables; tests hold them against brute force.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import keys as K
+from ..operators import blocking, clustering, evaluate, graph, lsh, matching, progressive, prune, refine, simjoin
+from ..operators.components import connected_components
+from ..sources import readers
+from ..storage import cut
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+SEP = r"[\W_]"
+SMOOTH, RATIO, JACCARD = 1.0, 0.8, 0.8
+
+
+def query(sql: str | None = None):
+    def add(fn):
+        QUERIES[fn.__name__] = fn
+        if sql:
+            ORACLES[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def doc_profiles(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as profiles with one attribute; sources with an even and an odd number are two sources."""
+    attributes = F.array(F.struct(F.lit("text").alias("key"), F.col("text").alias("value")))
+    source = (F.substring("source", 4, 9).cast("int") % 2).alias("source_id")
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), source, F.col("doc_id").cast("string").alias("original_id"), attributes.alias("attributes"))
+
+
+def part_profiles(spark: SparkSession, sf: str) -> DataFrame:
+    return readers.to_profiles(table(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_type"), id_column="p_partkey")
+
+
+def trade_profiles(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers and suppliers as two sources; odd ids are suppliers."""
+    c = readers.to_profiles(table(spark, sf, "customer").select((F.col("c_custkey") * 2).alias("id"), "c_name", "c_mktsegment"), id_column="id")
+    s = readers.to_profiles(table(spark, sf, "supplier").select((F.col("s_suppkey") * 2 + 1).alias("id"), "s_name"), id_column="id", source_id=1)
+    return c.unionByName(s)
+
+
+def rounded(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(n, 6) for n in names})
+
+
+# ---- shared SQL ---------------------------------------------------------------------------------------------------
+
+DOCS = "docs AS (SELECT doc_id AS id, substr(source, 4)::INT % 2 AS src, text FROM documents)"
+TOK = rf"{DOCS}, tok AS (SELECT DISTINCT id, src, unnest(regexp_split_to_array(lower(text), '{SEP}')) AS key FROM docs), tk AS (SELECT * FROM tok WHERE trim(key) <> '')"
+TRADE = """trade AS (SELECT c_custkey * 2 AS id, 0 AS src, 'c_name' AS attr, c_name AS v FROM customer UNION ALL SELECT c_custkey * 2, 0, 'c_mktsegment', c_mktsegment FROM customer
+  UNION ALL SELECT s_suppkey * 2 + 1, 1, 's_name', s_name FROM supplier)"""
+PARTS = "parts AS (SELECT p_partkey AS id, unnest([p_name, p_brand, p_type]) AS v FROM part), pt AS (SELECT DISTINCT id, unnest(regexp_split_to_array(lower(v), '[\\W_]')) AS t FROM parts), pk AS (SELECT * FROM pt WHERE t <> '')"
+
+
+def blocks_sql(src: str, clean: bool) -> str:
+    """blk (key, size, comparisons) and asg (key, id, src) of the comparable blocks of ``src`` (key, id, src)."""
+    if clean:
+        return f"bs AS (SELECT key, src, count(*) AS n FROM {src} GROUP BY ALL), blk AS (SELECT key, sum(n)::BIGINT AS size, ((sum(n) * sum(n) - sum(n * n)) // 2)::BIGINT AS comparisons FROM bs GROUP BY key HAVING comparisons > 0), asg AS (SELECT {src}.* FROM {src} SEMI JOIN blk USING (key))"
+    return f"blk AS (SELECT key, count(*) AS size, count(*) * (count(*) - 1) AS comparisons FROM {src} GROUP BY key HAVING count(*) > 1), asg AS (SELECT {src}.* FROM {src} SEMI JOIN blk USING (key))"
+
+
+def purge_sql(smooth: float) -> str:
+    """lim (max_level) from blk, and pb (key, size, comparisons), pa (key, id, src)."""
+    return f"""lv AS (SELECT comparisons AS level, sum(comparisons) AS c, sum(size) AS s FROM blk GROUP BY 1),
+cu AS (SELECT level, sum(c) OVER w AS cc, sum(s) OVER w AS bc, row_number() OVER w AS i FROM lv WINDOW w AS (ORDER BY level)),
+nx AS (SELECT *, lead(level) OVER w AS l2, lead(cc) OVER w AS cc2, lead(bc) OVER w AS bc2 FROM cu WINDOW w AS (ORDER BY level)),
+lim AS (SELECT coalesce(max(CASE WHEN bc::DOUBLE * cc2 < {smooth!r} * cc::DOUBLE * bc2 THEN l2 END), max(CASE WHEN i = 2 THEN level END), 0) AS max_level FROM nx),
+pb AS (SELECT blk.* FROM blk, lim WHERE comparisons <= max_level), pa AS (SELECT asg.* FROM asg SEMI JOIN pb USING (key))"""
+
+
+def filter_sql(ratio: float, clean: bool) -> str:
+    """fa (key, id, src): each profile's smallest blocks of pa, then comparable ones; fb their sizes."""
+    sized = "fs AS (SELECT key, src, count(*) AS n FROM fk GROUP BY ALL), fb AS (SELECT key, sum(n)::BIGINT AS size, ((sum(n) * sum(n) - sum(n * n)) // 2)::BIGINT AS comparisons FROM fs GROUP BY key HAVING comparisons > 0)" if clean else "fb AS (SELECT key, count(*) AS size, count(*) * (count(*) - 1) AS comparisons FROM fk GROUP BY key HAVING count(*) > 1)"
+    return f"""fr AS (SELECT pa.*, row_number() OVER (PARTITION BY id ORDER BY comparisons, key) AS r, count(*) OVER (PARTITION BY id) AS n FROM pa JOIN pb USING (key)),
+fk AS (SELECT key, id, src FROM fr WHERE r <= floor(n * {ratio!r} + 0.5)), {sized}, fa AS (SELECT fk.* FROM fk SEMI JOIN fb USING (key))"""
+
+
+def graph_sql(clean: bool, asg: str = "fa", blk: str = "fb") -> str:
+    """e: one row a pair with everything that weights need."""
+    apart = "AND a.src <> b.src" if clean else ""
+    return f"""gr AS (SELECT {asg}.key, id, src, comparisons AS c FROM {asg} JOIN {blk} USING (key)),
+pr AS (SELECT a.id AS id1, b.id AS id2, count(*) AS s, sum(1.0 / a.c) AS arcs FROM gr a JOIN gr b ON a.key = b.key AND a.id < b.id {apart} GROUP BY ALL),
+dg AS (SELECT id, count(*) AS d FROM (SELECT id1 AS id FROM pr UNION ALL SELECT id2 FROM pr) GROUP BY id),
+nd AS (SELECT gr.id, count(*) AS b, sum(ln(c)) AS lp, coalesce(any_value(d), 0) AS d FROM gr LEFT JOIN dg USING (id) GROUP BY gr.id),
+tot AS (SELECT (SELECT count(*) FROM {blk}) AS nb, (SELECT sum(size) FROM {blk})::BIGINT AS m, (SELECT count(*) FROM pr) AS ne),
+e AS (SELECT pr.*, x.b AS b1, y.b AS b2, x.d AS d1, y.d AS d2, x.lp AS lp1, nb, m, ne FROM pr JOIN nd x ON x.id = id1 JOIN nd y ON y.id = id2, tot)"""
+
+
+W_SQL = {
+    "cbs": "s::DOUBLE",
+    "js": "s::DOUBLE / (b1 + b2 - s)",
+    "chi_square": "nb::DOUBLE * power(s::DOUBLE * (nb - b1 - b2 + s) - (b1 - s)::DOUBLE * (b2 - s), 2) / nullif(b1::DOUBLE * b2 * (nb - b1) * (nb - b2), 0)",
+    "arcs": "s * exp(-lp1)",
+    "arcs_textbook": "arcs",
+    "ejs": "s::DOUBLE / (b1 + b2 - s) * log10(ne::DOUBLE / d1) * log10(ne::DOUBLE / d2)",
+    "ecbs": "s * log10(nb::DOUBLE / b1) * log10(nb::DOUBLE / b2)",
+}
+
+
+def chain(clean: bool) -> str:
+    return f"WITH {TOK}, {blocks_sql('tk', clean)}, {purge_sql(SMOOTH)}, {filter_sql(RATIO, clean)}"
+
+
+def doc_blocks(spark: SparkSession, sf: str, clean: bool = False) -> DataFrame:
+    """Token blocks of documents, purged and filtered."""
+    blocks = cut(blocking.token_blocking(doc_profiles(spark, sf), clean), "blocks")
+    return refine.filter_blocks(cut(refine.purge(blocks, SMOOTH, clean), "purged"), RATIO, clean)
+
+
+def doc_graph(spark: SparkSession, sf: str, clean: bool = False) -> graph.Graph:
+    return graph.build(doc_blocks(spark, sf, clean), clean)
+
+
+# ---- sources and keys ---------------------------------------------------------------------------------------------
+
+
+@query("""WITH p AS (SELECT c_custkey AS id, ['c_custkey', 'c_name', 'c_nationkey', 'c_mktsegment'] AS k, [NULL, c_name, c_nationkey::VARCHAR, c_mktsegment] AS v FROM customer),
+u AS (SELECT id, unnest(k) AS key, unnest(v) AS value FROM p) SELECT id, 0 AS source_id, key, value FROM u WHERE value IS NOT NULL""")
+def profiles_from_table(spark, sf):
+    p = readers.to_profiles(table(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment"), id_column="c_custkey")
+    return p.select("id", "source_id", F.explode("attributes").alias("a")).select("id", "source_id", "a.key", "a.value")
+
+
+@query("SELECT event_id, json_key AS key, json_extract_string(props, '$.' || json_key) AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS json_key FROM events)")
+def json_attributes(spark, sf):
+    e = table(spark, sf, "events")
+    return e.select("event_id", F.explode(readers.flatten_json(F.col("props"))).alias("a")).select("event_id", "a.key", "a.value")
+
+
+@query("SELECT p_partkey AS id, lower(p_name || ' ' || p_brand || ' ' || p_type) AS text FROM part")
+def extract_all_fields(spark, sf):
+    return readers.field_text(part_profiles(spark, sf))
+
+
+@query("SELECT p_partkey AS id, lower(p_name) AS text FROM part")
+def extract_one_field(spark, sf):
+    return readers.field_text(part_profiles(spark, sf), "p_name")
+
+
+def _key_counts(spark, sf, make):
+    rows = part_profiles(spark, sf).select(F.explode(make(F.col("attributes"))).alias("key"))
+    return rows.groupBy("key").agg(F.count("*").alias("n"))
+
+
+def _tokens_sql(body: str) -> str:
+    return f"WITH parts AS (SELECT p_partkey AS id, unnest(['p_name', 'p_brand', 'p_type']) AS a, unnest([p_name, p_brand, p_type]) AS v FROM part), t AS (SELECT id, a, unnest(regexp_split_to_array(lower(v), '{SEP}')) AS t FROM parts), k AS (SELECT * FROM t WHERE t <> '') {body}"
+
+
+@query(_tokens_sql("SELECT t AS key, count(*) AS n FROM k GROUP BY t"))
+def keys_tokens(spark, sf):
+    return _key_counts(spark, sf, K.tokens)
+
+
+@query(_tokens_sql(", g AS (SELECT unnest(list_transform(range(1, greatest(length(t) - 2, 1) + 1), lambda i: substr(t, i, 3))) AS key FROM k) SELECT key, count(*) AS n FROM g GROUP BY key"))
+def keys_ngrams(spark, sf):
+    return _key_counts(spark, sf, K.ngrams)
+
+
+@query(_tokens_sql(", g AS (SELECT unnest(CASE WHEN length(t) < 2 THEN [t] ELSE list_transform(range(1, length(t)), lambda i: substr(t, i)) END) AS key FROM k) SELECT key, count(*) AS n FROM g GROUP BY key"))
+def keys_suffixes(spark, sf):
+    return _key_counts(spark, sf, K.suffixes)
+
+
+@query(_tokens_sql(", g AS (SELECT unnest(CASE WHEN length(t) <= 2 THEN [t] ELSE list_distinct(flatten(list_transform(range(2, length(t) + 1), lambda n: list_transform(range(1, length(t) - n + 2), lambda i: substr(t, i, n))))) END) AS key FROM k) SELECT key, count(*) AS n FROM g GROUP BY key"))
+def keys_substrings(spark, sf):
+    return _key_counts(spark, sf, K.substrings)
+
+
+@query(_tokens_sql(""", g AS (SELECT list_transform(range(1, greatest(length(t) - 2, 1) + 1), lambda i: substr(t, i, 3))[1:15] AS g FROM k),
+x AS (SELECT unnest(CASE WHEN len(g) = 1 THEN g ELSE list_distinct(list_append(list_transform(range(1, len(g) + 1), lambda i: array_to_string(list_concat(g[1:i - 1], g[i + 1:]), '')), array_to_string(g, ''))) END) AS key FROM g) SELECT key, count(*) AS n FROM x GROUP BY key"""))
+def keys_extended_qgrams(spark, sf):
+    return _key_counts(spark, sf, K.extended_qgrams)
+
+
+@query("""WITH parts AS (SELECT unnest(['p_name', 'p_brand', 'p_type']) AS a, replace(lower(trim(unnest([p_name, p_brand, p_type]))), ' ', '_') AS v FROM part),
+g AS (SELECT a || '_' || unnest(list_transform(range(1, greatest(length(v) - 2, 1) + 1), lambda i: substr(v, i, 3))) AS key FROM parts) SELECT key, count(*) AS n FROM g GROUP BY key""")
+def keys_keyed_ngrams(spark, sf):
+    return _key_counts(spark, sf, K.keyed_ngrams)
+
+
+@query(_tokens_sql("SELECT ascii(c) AS code, count(*) AS n FROM (SELECT unnest(string_split(t, '')) AS c FROM k) WHERE c <> '' GROUP BY 1"))
+def character_code_counts(spark, sf):
+    rows = part_profiles(spark, sf).select(F.explode(K.tokens(F.col("attributes"))).alias("t"))
+    return rows.select(F.explode(K.character_codes(F.col("t"))).alias("code")).groupBy("code").agg(F.count("*").alias("n"))
+
+
+@query(rf"WITH {TOK} SELECT key, count(*) AS n FROM tk WHERE regexp_matches(key, '^([A-Za-z]+|[0-9]+)$') AND key NOT IN ({', '.join(repr(w) if chr(39) not in w else chr(39) + w.replace(chr(39), chr(39) * 2) + chr(39) for w in K.stop_words() if w)}) GROUP BY key")
+def keys_without_stop_words(spark, sf):
+    return blocking.keyed(doc_profiles(spark, sf), remove_stop_words=True).groupBy("key").agg(F.count("*").alias("n"))
+
+
+@query("""WITH g AS (SELECT p_partkey AS id, unnest(range(1, greatest(length(p_name) - 1, 1) + 1)) AS i, p_name FROM part)
+SELECT id, (i - 1)::INT AS position, substr(p_name, i, 2) AS gram FROM g""")
+def positional_qgrams(spark, sf):
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.posexplode(K.windows(F.col("p_name"), 2)).alias("position", "gram"))
+
+
+@query(rf"""WITH {DOCS}, w AS (SELECT id, list_filter(regexp_split_to_array(lower(text), '{SEP}'), lambda x: x <> '') AS w FROM docs), g AS (SELECT id, unnest(CASE WHEN len(w) < 2 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS gram FROM w)
+SELECT gram, count(*) AS n FROM g GROUP BY gram""")
+def word_ngram_counts(spark, sf):
+    rows = doc_profiles(spark, sf).select(F.explode(K.word_ngrams(K.tokens(F.col("attributes")), 2)).alias("gram"))
+    return rows.groupBy("gram").agg(F.count("*").alias("n"))
+
+
+# ---- blocking -----------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {TOK}, {blocks_sql('tk', False)} SELECT * FROM blk")
+def token_blocking(spark, sf):
+    return blocking.sizes(blocking.token_blocking(doc_profiles(spark, sf)))
+
+
+@query(f"WITH {TOK}, {blocks_sql('tk', True)} SELECT * FROM blk")
+def token_blocking_clean(spark, sf):
+    return blocking.sizes(blocking.token_blocking(doc_profiles(spark, sf), clean=True), clean=True)
+
+
+@query(_tokens_sql(f", g AS (SELECT DISTINCT id, 0 AS src, unnest(list_transform(range(1, greatest(length(t) - 2, 1) + 1), lambda i: substr(t, i, 3))) AS key FROM k), {blocks_sql('g', False)} SELECT * FROM blk"))
+def ngram_blocking(spark, sf):
+    return blocking.sizes(blocking.token_blocking(part_profiles(spark, sf), make_keys=K.ngrams))
+
+
+@query(_tokens_sql(f", g AS (SELECT DISTINCT id, 0 AS src, unnest(CASE WHEN length(t) < 2 THEN [t] ELSE list_transform(range(1, length(t)), lambda i: substr(t, i)) END) AS key FROM k), {blocks_sql('g', False)} SELECT * FROM blk"))
+def suffix_blocking(spark, sf):
+    return blocking.sizes(blocking.token_blocking(part_profiles(spark, sf), make_keys=K.suffixes))
+
+
+_CLUSTERS = [(0, 0, "c_name", 0.5), (0, 1, "s_name", 0.5), (1, 0, "c_mktsegment", 0.25)]
+_SCHEMA_SQL = f"""WITH {TRADE}, cl AS (SELECT * FROM (VALUES (0, 0, 'c_name', 0.5), (0, 1, 's_name', 0.5), (1, 0, 'c_mktsegment', 0.25)) t(cluster_id, src, attr, entropy)),
+t AS (SELECT DISTINCT id, src, cluster_id, entropy, attr, unnest(regexp_split_to_array(lower(v), '{SEP}')) AS t FROM trade JOIN cl USING (src, attr)),
+k AS (SELECT t || '_' || cluster_id AS key, id, src, any_value(cluster_id) AS cluster_id, any_value(entropy) AS entropy, string_agg(DISTINCT attr, ',' ORDER BY attr) AS attributes FROM t WHERE t <> '' GROUP BY ALL), {{blocks}}"""
+
+
+@query(_SCHEMA_SQL.format(blocks=blocks_sql("k", True)) + " SELECT asg.key, asg.id AS profile_id, asg.src AS source_id, asg.cluster_id, asg.entropy::DOUBLE AS entropy, asg.attributes FROM asg")
+def schema_aware_blocking(spark, sf):
+    clusters = spark.createDataFrame(_CLUSTERS, "cluster_id int, source_id int, attribute string, entropy double")
+    out = blocking.schema_aware_blocking(trade_profiles(spark, sf), clusters)
+    return out.withColumn("attributes", F.array_join("attributes", ",")).select("key", "profile_id", "source_id", "cluster_id", "entropy", "attributes")
+
+
+@query(f"""WITH {TOK}, o AS (SELECT id, src, row_number() OVER (ORDER BY key, id) - 1 AS p, count(*) OVER () AS n FROM tk),
+w AS (SELECT DISTINCT unnest(range(greatest(p - 3, 0), least(p, greatest(n - 4, 0)) + 1)) AS key, id, src FROM o), {blocks_sql('w', False)} SELECT key, size, comparisons FROM blk""")
+def sorted_neighbourhood(spark, sf):
+    return blocking.sizes(blocking.sorted_neighbourhood(doc_profiles(spark, sf), 4))
+
+
+_LSH_N = 32
+
+
+def _minhash_sql() -> str:
+    minima = ", ".join(f"min((t * {a} + {b}) % {lsh.PRIME}) AS m{i}" for i, (a, b) in enumerate(lsh.constants(_LSH_N)))
+    rows = lsh.rows_per_band(0.5, _LSH_N)
+    bands = ", ".join("'{}:' || concat_ws('_', {})".format(k, ", ".join(f"m{i}" for i in range(at, min(at + rows, _LSH_N)))) for k, at in enumerate(range(0, _LSH_N, rows)))
+    return f"WITH {TOK}, h AS (SELECT id, src, ('0x' || substr(md5(key), 1, 7))::BIGINT AS t FROM tk), s AS (SELECT id, src, {minima} FROM h GROUP BY id, src), b AS (SELECT unnest([{bands}]) AS key, id, src FROM s), {blocks_sql('b', False)} SELECT key, size, comparisons FROM blk"
+
+
+@query(_minhash_sql())
+def minhash_blocking(spark, sf):
+    return blocking.sizes(lsh.minhash_blocking(doc_profiles(spark, sf), _LSH_N, 0.5))
+
+
+_ATTR = f"""WITH {TRADE}, tt AS (SELECT src, attr, unnest(regexp_split_to_array(lower(v), '{SEP}')) AS t FROM trade), ak AS (SELECT src, attr, t, count(*) AS n FROM tt WHERE t <> '' GROUP BY ALL)"""
+
+
+@query(_ATTR + ", s AS (SELECT src, attr, sum(n) AS z FROM ak GROUP BY ALL) SELECT src AS source_id, attr AS attribute, round(-sum(n / z * log2(n / z)), 6) AS entropy FROM ak JOIN s USING (src, attr) GROUP BY ALL")
+def attribute_entropy(spark, sf):
+    return rounded(lsh.attribute_entropy(lsh.attribute_tokens(trade_profiles(spark, sf))), "entropy")
+
+
+@query(_ATTR + """, c AS (SELECT src || '_' || attr AS name, src, t FROM ak), n AS (SELECT name, count(*) AS n FROM c GROUP BY name), m AS (SELECT x.name AS a, y.name AS b, count(*) AS c FROM c x JOIN c y ON x.t = y.t AND x.name < y.name AND x.src <> y.src GROUP BY ALL)
+SELECT a, b, round(c / (p.n + q.n - c), 6) AS similarity FROM m JOIN n p ON p.name = a JOIN n q ON q.name = b""")
+def attribute_similarity(spark, sf):
+    return rounded(lsh.attribute_similarity(lsh.attribute_tokens(trade_profiles(spark, sf))), "similarity")
+
+
+@query()
+def attribute_clustering(spark, sf):
+    return rounded(lsh.cluster_attributes(trade_profiles(spark, sf)), "entropy")
+
+
+# ---- refinement ---------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {TOK}, {blocks_sql('tk', False)}, {purge_sql(SMOOTH)} SELECT * FROM pb")
+def block_purging(spark, sf):
+    return blocking.sizes(refine.purge(blocking.token_blocking(doc_profiles(spark, sf)), SMOOTH))
+
+
+@query(f"WITH {TOK}, {blocks_sql('tk', False)}, {purge_sql(1.025)} SELECT level::BIGINT AS level, cc::BIGINT AS cc, bc::BIGINT AS bc, max_level::BIGINT AS max_level FROM cu, lim")
+def purge_levels(spark, sf):
+    blocks = blocking.sizes(blocking.token_blocking(doc_profiles(spark, sf)))
+    return refine.levels(blocks).join(F.broadcast(refine.purge_limit(blocks, 1.025)))
+
+
+@query(chain(False) + " SELECT key, id AS profile_id, src AS source_id FROM fa")
+def block_filtering(spark, sf):
+    return doc_blocks(spark, sf)
+
+
+@query(f"""WITH {TOK}, {blocks_sql('tk', False)}, {purge_sql(SMOOTH)}, fr AS (SELECT pa.*, comparisons, row_number() OVER (PARTITION BY id ORDER BY comparisons, key) AS r, count(*) OVER (PARTITION BY id) AS n FROM pa JOIN pb USING (key)),
+fm AS (SELECT *, max(CASE WHEN r <= greatest(floor(n * 0.5 + 0.5), 1) THEN comparisons END) OVER (PARTITION BY id) AS m FROM fr), fk AS (SELECT key, id, src FROM fm WHERE comparisons <= m),
+fb AS (SELECT key FROM fk GROUP BY key HAVING count(*) > 1) SELECT key, id AS profile_id, src AS source_id FROM fk SEMI JOIN fb USING (key)""")
+def block_filtering_ties(spark, sf):
+    return refine.filter_blocks_with_ties(refine.purge(blocking.token_blocking(doc_profiles(spark, sf)), SMOOTH), 0.5, least=1)
+
+
+# ---- weights and pruning ------------------------------------------------------------------------------------------
+
+
+def _weights_query(clean: bool):
+    def run(spark, sf):
+        g = doc_graph(spark, sf, clean)
+        rows = graph._with_nodes(g.pairs, g)
+        return rows.select("id1", "id2", *[F.round(graph.weight(w), 6).alias(w) for w in graph.WEIGHTS])
+
+    run.__name__ = "edge_weights_clean" if clean else "edge_weights"
+    return query(f"{chain(clean)}, {graph_sql(clean)} SELECT id1, id2, {', '.join(f'round({x}, 6) AS {w}' for w, x in W_SQL.items())} FROM e")(run)
+
+
+_weights_query(False)
+_weights_query(True)
+
+
+@query(_SCHEMA_SQL.format(blocks=blocks_sql("k", True)) + f""", ent AS (SELECT a.id AS id1, b.id AS id2, sum(a.entropy) AS h FROM asg a JOIN asg b ON a.key = b.key AND a.id < b.id AND a.src <> b.src GROUP BY ALL),
+{graph_sql(True, 'asg', 'blk')} SELECT e.id1, e.id2, round({W_SQL['js']} * h, 6) AS weight FROM e JOIN ent USING (id1, id2)""")
+def edge_weights_entropy(spark, sf):
+    clusters = spark.createDataFrame(_CLUSTERS, "cluster_id int, source_id int, attribute string, entropy double")
+    g = graph.build(blocking.schema_aware_blocking(trade_profiles(spark, sf), clusters), True, "entropy")
+    return rounded(graph.weighted(g, "js", use_entropy=True), "weight")
+
+
+def _nb_sql(w: str, clean: bool) -> str:
+    """nb (node, nbr, weight) with the node itself in dirty graphs."""
+    own = "" if clean else f" UNION ALL SELECT id, id, {w} FROM (SELECT id, b AS s, b AS b1, b AS b2, d AS d1, d AS d2, lp AS lp1, nb, ne FROM nd, tot)"
+    return f"we AS (SELECT id1, id2, {w} AS weight FROM e), nbh AS (SELECT id1 AS node, id2 AS nbr, weight FROM we UNION ALL SELECT id2, id1, weight FROM we{own})"
+
+
+def _pruned(name: str, clean: bool, w: str, body: str, run):
+    def fn(spark, sf):
+        return rounded(run(doc_graph(spark, sf, clean), spark, sf), "weight")
+
+    fn.__name__ = name
+    query(f"{chain(clean)}, {graph_sql(clean)}, {_nb_sql(W_SQL[w], clean)} {body}")(fn)
+
+
+def _wnp(t: str, cond: str) -> str:
+    return f", th AS (SELECT node, {t} AS t FROM nbh GROUP BY node) SELECT id1, id2, round(weight, 6) AS weight FROM we JOIN th a ON a.node = id1 JOIN th b ON b.node = id2 WHERE {cond}"
+
+
+def _cnp(n: int) -> str:
+    return f""", kk AS (SELECT m // (SELECT count(*) FROM documents) - 1 AS k FROM tot), rk AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY weight DESC, nbr) AS r FROM nbh),
+bp AS (SELECT least(node, nbr) AS id1, greatest(node, nbr) AS id2, max(weight) AS weight, count(*) AS c FROM rk, kk WHERE r <= k AND node <> nbr GROUP BY ALL) SELECT id1, id2, round(weight, 6) AS weight FROM bp WHERE c >= {n}"""
+
+
+_n = lambda spark, sf: table(spark, sf, "documents").count()
+_pruned("prune_wep_js", False, "js", "SELECT id1, id2, round(weight, 6) AS weight FROM we WHERE weight >= (SELECT avg(weight) FROM we)", lambda g, *_: prune.weight_edge_pruning(g, "js"))
+_pruned("prune_wep_cbs_clean", True, "cbs", "SELECT id1, id2, round(weight, 6) AS weight FROM we WHERE weight >= (SELECT avg(weight) FROM we)", lambda g, *_: prune.weight_edge_pruning(g, "cbs"))
+_pruned("prune_cep_cbs", False, "cbs", ", rk AS (SELECT *, row_number() OVER (ORDER BY weight DESC, id1, id2) AS r FROM we) SELECT id1, id2, round(weight, 6) AS weight FROM rk, tot WHERE r <= m // 2", lambda g, *_: prune.cardinality_edge_pruning(g, "cbs"))
+_pruned("meta_blocking_wnp_cbs", False, "cbs", _wnp("avg(weight)", "weight >= a.t OR weight >= b.t"), lambda g, *_: prune.weight_node_pruning(g, "cbs"))
+_pruned("prune_wnp_js_and", False, "js", _wnp("max(weight) / 2", "weight >= a.t AND weight >= b.t"), lambda g, *_: prune.weight_node_pruning(g, "js", "maxdiv2", "and"))
+_pruned("prune_wnp_chi_clean", True, "chi_square", _wnp("avg(weight)", "weight >= sqrt(a.t * a.t + b.t * b.t) / 2.0"), lambda g, *_: prune.weight_node_pruning(g, "chi_square"))
+_pruned("prune_cnp_cbs_or", False, "cbs", _cnp(1), lambda g, s, f: prune.cardinality_node_pruning(g, _n(s, f), "cbs"))
+_pruned("prune_cnp_cbs_and_clean", True, "cbs", _cnp(2), lambda g, s, f: prune.cardinality_node_pruning(g, _n(s, f), "cbs", "and"))
+
+
+def copies(spark: SparkSession, sf: str) -> DataFrame:
+    """Ground truth: pairs of documents with equal texts, each with the first of its text."""
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    first = d.groupBy("text").agg(F.min("doc_id").alias("id1"))
+    return d.join(first, "text").where("doc_id <> id1").select("id1", F.col("doc_id").alias("id2"))
+
+
+TRUTH = "gt AS (SELECT * FROM (SELECT min(doc_id) OVER (PARTITION BY text) AS id1, doc_id AS id2 FROM documents) WHERE id1 <> id2)"
+QUALITY = """SELECT found, n_truth, n_candidates, round(recall, 6) AS recall, round(precision, 6) AS precision, round(2 * recall * precision / nullif(recall + precision, 0), 6) AS f1
+FROM (SELECT *, found / nullif(n_truth, 0) AS recall, found / nullif(n_candidates, 0) AS precision FROM (SELECT (SELECT count(*) FROM cand SEMI JOIN gt USING (id1, id2)) AS found, (SELECT count(*) FROM gt) AS n_truth, (SELECT count(*) FROM cand) AS n_candidates))"""
+
+
+@query(f"{chain(False)}, {graph_sql(False)}, {TRUTH}, cand AS (SELECT id1, id2 FROM e) {QUALITY}")
+def block_quality(spark, sf):
+    return rounded(evaluate.pair_quality(doc_graph(spark, sf).pairs, copies(spark, sf)), "recall", "precision", "f1")
+
+
+@query(f"{chain(False)}, {graph_sql(False)}, {TRUTH}, c AS (SELECT id1 AS id, count(*) AS n, count(gt.id2) AS f FROM e LEFT JOIN gt USING (id1, id2) GROUP BY id1) SELECT docs.id, coalesce(n, 0) AS n_candidates, coalesce(f, 0) AS n_found FROM docs LEFT JOIN c USING (id)")
+def block_quality_per_profile(spark, sf):
+    return evaluate.per_profile(doc_graph(spark, sf).pairs, copies(spark, sf), doc_profiles(spark, sf))
+
+
+_ENTROPY_SQL = chain(False) + """, m AS (SELECT a.key, b.key AS other, count(*) AS n FROM fa a JOIN fa b ON a.id = b.id GROUP BY ALL), t AS (SELECT key, sum(n) AS t, count(*) AS c FROM m GROUP BY key),
+h AS (SELECT key, -sum(n / t * ln(n / t)) / any_value(c) AS entropy FROM m JOIN t USING (key) GROUP BY key) SELECT h.key, round({x}, 6) AS entropy FROM h JOIN fb USING (key)"""
+
+
+@query(_ENTROPY_SQL.format(x="entropy"))
+def block_entropy(spark, sf):
+    return rounded(evaluate.block_entropy(doc_blocks(spark, sf)), "entropy")
+
+
+@query(_ENTROPY_SQL.format(x="entropy / size"))
+def block_entropy_normalised(spark, sf):
+    return rounded(evaluate.block_entropy(doc_blocks(spark, sf), True), "entropy")
+
+
+# ---- similarity joins ---------------------------------------------------------------------------------------------
+
+JOINED = rf"""{TOK}, n AS (SELECT id, count(*) AS n FROM tk GROUP BY id), df AS (SELECT key, count(*) AS df FROM tk GROUP BY key),
+px AS (SELECT id, src, key, n, row_number() OVER (PARTITION BY id ORDER BY df, key) AS r FROM tk JOIN df USING (key) JOIN n USING (id)),
+pf AS (SELECT * FROM px WHERE r <= n - ceil(n * {{t}} - 1e-9) + 1),
+cp AS (SELECT DISTINCT a.id AS id1, b.id AS id2, a.n AS n1, b.n AS n2 FROM pf a JOIN pf b ON a.key = b.key AND a.id < b.id {{apart}} AND least(a.n, b.n) >= greatest(a.n, b.n) * {{t}} - 1e-9),
+js AS (SELECT id1, id2, count(*) AS c, n1, n2 FROM cp JOIN tk x ON x.id = id1 JOIN tk y ON y.id = id2 AND y.key = x.key GROUP BY ALL),
+sj AS (SELECT id1, id2, c / (n1 + n2 - c) AS similarity FROM js WHERE c / (n1 + n2 - c) >= {{t}} - 1e-12)"""
+
+
+def doc_texts(spark, sf):
+    return readers.field_text(doc_profiles(spark, sf))
+
+
+@query(f"WITH {JOINED.format(t=JACCARD, apart='')} SELECT id1, id2, round(similarity, 6) AS similarity FROM sj")
+def jaccard_join(spark, sf):
+    return rounded(simjoin.jaccard_join(doc_texts(spark, sf), JACCARD), "similarity")
+
+
+@query(f"WITH {JOINED.format(t=0.5, apart='AND a.src <> b.src')} SELECT id1, id2, round(similarity, 6) AS similarity FROM sj")
+def jaccard_join_sources(spark, sf):
+    texts = doc_texts(spark, sf).join(doc_profiles(spark, sf).select("id", "source_id"), "id")
+    return rounded(simjoin.jaccard_join_sources(texts, 0.5), "similarity")
+
+
+_NAMES = "WITH n AS (SELECT {t} AS text, {id} AS id FROM {tab}), u AS (SELECT DISTINCT text FROM n), m AS (SELECT a.text AS x, b.text AS y FROM u a JOIN u b ON a.text <= b.text AND abs(length(a.text) - length(b.text)) <= {d} AND levenshtein(a.text, b.text) <= {d}), "
+_ED = _NAMES + "p AS (SELECT a.id AS i, b.id AS j FROM m JOIN n a ON a.text = x JOIN n b ON b.text = y WHERE a.id <> b.id) SELECT DISTINCT least(i, j) AS id1, greatest(i, j) AS id2 FROM p"
+
+
+def names(spark, sf, tab, key, column):
+    return table(spark, sf, tab).select(F.col(key).alias("id"), F.lower(column).alias("text"))
+
+
+@query(_ED.format(t="lower(p_name)", id="p_partkey", tab="part", d=2))
+def edit_join(spark, sf):
+    return simjoin.edit_join(names(spark, sf, "part", "p_partkey", "p_name"), 2, 2)
+
+
+@query(_ED.format(t="lower(s_name)", id="s_suppkey", tab="supplier", d=1))
+def edit_join_names(spark, sf):
+    return simjoin.edit_join(names(spark, sf, "supplier", "s_suppkey", "s_name"), 2, 1)
+
+
+@query(_ED.format(t="lower(p_name)", id="p_partkey", tab="part", d=2))
+def deletion_join(spark, sf):
+    return simjoin.deletion_join(names(spark, sf, "part", "p_partkey", "p_name"), 2)
+
+
+@query("""WITH n AS (SELECT p_partkey AS id, lower(p_name) AS a, lower(p_brand) AS b FROM part)
+SELECT x.id AS id1, y.id AS id2 FROM n x JOIN n y ON x.id < y.id AND levenshtein(x.a, y.a) <= 1 AND levenshtein(x.b, y.b) <= 1""")
+def join_on_two_attributes(spark, sf):
+    a, b = names(spark, sf, "part", "p_partkey", "p_name"), names(spark, sf, "part", "p_partkey", "p_brand")
+    return simjoin.on_all(simjoin.edit_join(a, 2, 1), simjoin.deletion_join(b, 1))
+
+
+# ---- matching -----------------------------------------------------------------------------------------------------
+
+BAG = rf"bg AS (SELECT id, t, count(*) AS n FROM (SELECT id, unnest(regexp_split_to_array(lower(text), '{SEP}')) AS t FROM docs) WHERE t <> '' GROUP BY ALL)"
+OWN = "ow AS (SELECT id, count(*) AS d, sum(n) AS t, sum(n * n) AS q FROM bg GROUP BY id)"
+SUMS = "sm AS (SELECT e.id1, e.id2, count(*) AS c, sum(least(x.n, y.n)) AS m, sum(least(x.n / u.t, y.n / v.t)) AS f, sum(x.n * y.n) AS p FROM e JOIN bg x ON x.id = id1 JOIN bg y ON y.id = id2 AND y.t = x.t JOIN ow u ON u.id = id1 JOIN ow v ON v.id = id2 GROUP BY ALL)"
+SCORE_SQL = {"jaccard": "c / (u.d + v.d - c)", "enhanced_jaccard": "m / nullif(u.d + v.d - m, 0)", "generalised_jaccard": "f / (2 - f)", "cosine": "p / sqrt(u.q::DOUBLE * v.q)"}
+
+
+def _score_query(how: str):
+    def run(spark, sf):
+        return rounded(matching.score(doc_graph(spark, sf).pairs.select("id1", "id2"), doc_profiles(spark, sf), how), "score")
+
+    run.__name__ = f"match_{how}"
+    query(f"{chain(False)}, {graph_sql(False)}, {BAG}, {OWN}, {SUMS} SELECT id1, id2, round({SCORE_SQL[how]}, 6) AS score FROM sm JOIN ow u ON u.id = id1 JOIN ow v ON v.id = id2")(run)
+
+
+for _how in SCORE_SQL:
+    _score_query(_how)
+
+
+@query()
+def match_character_cosine(spark, sf):
+    return rounded(matching.score(doc_graph(spark, sf).pairs.select("id1", "id2"), doc_profiles(spark, sf), "character_cosine"), "score")
+
+
+@query(f"{chain(False)}, {graph_sql(False)}, {BAG}, {OWN}, {SUMS} SELECT id1, id2, round({SCORE_SQL['jaccard']}, 6) AS weight FROM sm JOIN ow u ON u.id = id1 JOIN ow v ON v.id = id2 WHERE {SCORE_SQL['jaccard']} >= 0.5")
+def entity_matching(spark, sf):
+    return rounded(matching.match(doc_graph(spark, sf).pairs, doc_profiles(spark, sf)), "weight")
+
+
+@query(f"WITH {DOCS}, {BAG}, {OWN} SELECT id, round(sqrt(q::DOUBLE) / t, 6) AS magnitude FROM ow")
+def vector_magnitude(spark, sf):
+    return rounded(matching.magnitude(matching.bags(doc_profiles(spark, sf), K.tokens(F.col("attributes")))), "magnitude")
+
+
+def trade_pairs(spark, sf):
+    return graph.build(blocking.token_blocking(trade_profiles(spark, sf), clean=True), True).pairs.select("id1", "id2")
+
+
+@query(rf"""WITH {TRADE}, t AS (SELECT DISTINCT id, src, attr, unnest(regexp_split_to_array(lower(v), '{SEP}')) AS t FROM trade), k AS (SELECT * FROM t WHERE t <> ''),
+b AS (SELECT t FROM k GROUP BY t HAVING count(DISTINCT src) > 1), pr AS (SELECT DISTINCT least(x.id, y.id) AS id1, greatest(x.id, y.id) AS id2 FROM k x JOIN k y ON x.t = y.t AND x.src < y.src JOIN b ON b.t = x.t),
+n AS (SELECT id, attr, count(*) AS n FROM k GROUP BY ALL), c AS (SELECT id1, id2, x.attr AS name1, y.attr AS name2, count(*) AS c FROM pr JOIN k x ON x.id = id1 JOIN k y ON y.id = id2 AND y.t = x.t GROUP BY ALL)
+SELECT id1, id2, name1, name2, round(c / (p.n + q.n - c), 6) AS similarity FROM c JOIN n p ON p.id = id1 AND p.attr = name1 JOIN n q ON q.id = id2 AND q.attr = name2 WHERE c / (p.n + q.n - c) > 0.2""")
+def attribute_edges(spark, sf):
+    return rounded(matching.attribute_edges(trade_pairs(spark, sf), trade_profiles(spark, sf), 0.2).select("id1", "id2", "name1", "name2", "similarity"), "similarity")
+
+
+@query()
+def group_linkage(spark, sf):
+    return rounded(matching.group_linkage(trade_pairs(spark, sf), trade_profiles(spark, sf), 0.2), "score")
+
+
+# ---- clustering ---------------------------------------------------------------------------------------------------
+
+
+def doc_edges(spark, sf):
+    return simjoin.jaccard_join(doc_texts(spark, sf), 0.5).withColumnRenamed("similarity", "weight")
+
+
+CLUSTERED = f"""WITH RECURSIVE {JOINED.format(t=0.5, apart='')}, ed AS (SELECT id1 AS a, id2 AS b FROM sj UNION ALL SELECT id2, id1 FROM sj),
+re AS (SELECT id AS a, id AS b FROM docs UNION SELECT re.a, ed.b FROM re JOIN ed ON ed.a = re.b), cl AS (SELECT a AS profile_id, min(b) AS cluster_id FROM re GROUP BY a)"""
+
+
+@query(f"{CLUSTERED} SELECT cluster_id, profile_id FROM cl")
+def cluster_components(spark, sf):
+    return clustering.component_clusters(doc_edges(spark, sf), doc_profiles(spark, sf), 0.5)
+
+
+@query(f"{CLUSTERED}, {TRUTH}, cand AS (SELECT a.profile_id AS id1, b.profile_id AS id2 FROM cl a JOIN cl b ON a.cluster_id = b.cluster_id AND a.profile_id < b.profile_id) {QUALITY}")
+def cluster_quality(spark, sf):
+    c = clustering.component_clusters(doc_edges(spark, sf), doc_profiles(spark, sf), 0.5)
+    return rounded(evaluate.cluster_quality(c, copies(spark, sf)), "recall", "precision", "f1")
+
+
+@query(f"{CLUSTERED} SELECT DISTINCT profile_id AS node, cluster_id AS component FROM cl WHERE profile_id IN (SELECT a FROM ed)")
+def components(spark, sf):
+    return connected_components(doc_edges(spark, sf))
+
+
+def _cluster_query(method: str):
+    def run(spark, sf):
+        return clustering.cluster(doc_edges(spark, sf), doc_profiles(spark, sf), method, 0.5)
+
+    run.__name__ = f"cluster_{method}"
+    query()(run)
+
+
+for _method in clustering.METHODS:
+    _cluster_query(_method)
+
+
+# ---- progressive --------------------------------------------------------------------------------------------------
+
+NEAR = f"""WITH {TOK}, o AS (SELECT id, src, row_number() OVER (ORDER BY key, id) AS p FROM tk), n AS (SELECT id, count(*) AS n FROM tk GROUP BY id),
+pr AS (SELECT 1 AS w, least(a.id, b.id) AS id1, greatest(a.id, b.id) AS id2 FROM o a JOIN o b ON b.p = a.p + 1 AND a.id <> b.id UNION ALL SELECT 2, least(a.id, b.id), greatest(a.id, b.id) FROM o a JOIN o b ON b.p = a.p + 2 AND a.id <> b.id)"""
+
+
+@query(f"{NEAR}, f AS (SELECT w, id1, id2, count(*) AS f FROM pr GROUP BY ALL) SELECT w::INT AS w, id1, id2, round(f / (x.n + y.n - f), 6) AS weight FROM f JOIN n x ON x.id = id1 JOIN n y ON y.id = id2")
+def progressive_local(spark, sf):
+    return rounded(progressive.local_ranking(doc_profiles(spark, sf), 2), "weight")
+
+
+@query(f"{NEAR}, f AS (SELECT id1, id2, count(*) AS f FROM pr GROUP BY ALL) SELECT id1, id2, round(f / (x.n + y.n - f), 6) AS weight FROM f JOIN n x ON x.id = id1 JOIN n y ON y.id = id2")
+def progressive_global(spark, sf):
+    return rounded(progressive.global_ranking(doc_profiles(spark, sf), 2), "weight")
+
+
+# ---- evaluation ---------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {TRUTH}, g AS (SELECT id1::VARCHAR AS o1, id2::VARCHAR AS o2 FROM gt) SELECT a.doc_id AS id1, b.doc_id AS id2 FROM g JOIN documents a ON a.doc_id::VARCHAR = o1 JOIN documents b ON b.doc_id::VARCHAR = o2")
+def ground_truth_ids(spark, sf):
+    truth = copies(spark, sf).select(F.col("id1").cast("string").alias("original_id1"), F.col("id2").cast("string").alias("original_id2"))
+    return evaluate.to_internal(truth, doc_profiles(spark, sf))
+
+
+@query(f"WITH {JOINED.format(t=JACCARD, apart='')}, {TRUTH}, cand AS (SELECT id1, id2 FROM sj) {QUALITY}")
+def join_quality(spark, sf):
+    return rounded(evaluate.pair_quality(simjoin.jaccard_join(doc_texts(spark, sf), JACCARD), copies(spark, sf)), "recall", "precision", "f1")
