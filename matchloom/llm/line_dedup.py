@@ -9,7 +9,7 @@ have two lines or more, or ``LONG`` words; a short line by itself stays.
 Texts are read three times and never shuffled unless more documents change than may be broadcast.
 
 Results for odd input, all tested: a null text stays null; chunks without a word are no repeats; a text whose
-lines all go becomes empty, its row stays; rows repeated with one doc_id and text count as one document; a null
+lines all go becomes empty, and its row stays unless told otherwise; rows repeated with one doc_id and text count as one document; a null
 doc_id comes before all others; an empty table gives an empty table; other columns pass through, whatever their
 names.
 """
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import cut, discard
-from .tables import let, read
+from .tables import free, let, read
 
 DIVISOR, LONG = 2, 50
 #: Rows that may be broadcast; more are dealt out by key.
@@ -89,16 +89,22 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     return out
 
 
-def drop_repeated_lines(docs: DataFrame, counts: bool = False) -> DataFrame:
-    """The documents, all columns as they are but ``text``; with ``counts`` also n_lines and n_removed."""
-    gone = repeated_lines(docs).select(F.col("doc_id").alias("_id"), F.col("tkey").alias("_tkey"), F.col("gone").alias("_gone"))
-    rows = docs.join(few(gone), docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_tkey")) & docs["text"].isNotNull(), "left")
+def drop_repeated_lines(docs: DataFrame, counts: bool = False, drop_emptied: bool = False) -> DataFrame:
+    """The documents, all columns as they are but ``text``; with ``counts`` also n_lines and n_removed.
+
+    With ``drop_emptied`` the rows of texts that lose their last word go, too.
+    """
+    i, t, g = free(docs, "_id", "_tkey", "_gone")
+    gone = repeated_lines(docs).select(F.col("doc_id").alias(i), F.col("tkey").alias(t), F.col("gone").alias(g))
+    rows = docs.join(few(gone), docs["doc_id"].eqNullSafe(F.col(i)) & (F.xxhash64(docs["text"]) == F.col(t)) & docs["text"].isNotNull(), "left")
     lines = F.split(docs["text"], "\n")
-    stay = F.array_join(F.filter(lines, lambda x, i: ~F.exists("_gone", lambda g: (i >= g["s"]) & (i < g["e"]))), "\n")
-    text = F.when(F.col("_gone").isNull(), docs["text"]).otherwise(stay)
+    stay = F.array_join(F.filter(lines, lambda x, n: ~F.exists(g, lambda r: (n >= r["s"]) & (n < r["e"]))), "\n")
+    text = F.when(F.col(g).isNull(), docs["text"]).otherwise(stay)
+    if drop_emptied:
+        rows = rows.where(F.col(g).isNull() | (F.translate(stay, _BLANKS, "") != ""))
     extra = []
     if counts:
-        removed = F.aggregate("_gone", F.lit(0).cast("long"), lambda a, g: a + g["e"] - g["s"])
+        removed = F.aggregate(g, F.lit(0).cast("long"), lambda a, r: a + r["e"] - r["s"])
         extra = [F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(removed, F.lit(0)).cast("long").alias("n_removed")]
     return rows.select(*[text.alias("text") if c == "text" else docs[c] for c in docs.columns], *extra)
 

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..storage import cut, discard
-from .tables import map_rows, read, small_batches
+from .tables import free, map_rows, read, small_batches
 
 #: Members of a bucket that a task holds at once; ids that may be broadcast; shingles hashed at a time.
 BLOCK, BROADCAST_IDS, SLICE = 256, 1_000_000, 1024
@@ -275,9 +275,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The documents, all columns as they are, of which one of each component stays: the one with its smallest id."""
-    gone = cut(near_duplicates(docs, k, percent).where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct(), "gone")
+    (name,) = free(docs, "gone")
+    gone = cut(near_duplicates(docs, k, percent).where(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct(), "gone")
     few = gone.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if few else gone, docs["doc_id"] == F.col("gone"), "left_anti")
+    return docs.join(F.broadcast(gone) if few else gone, docs["doc_id"] == F.col(name), "left_anti")
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

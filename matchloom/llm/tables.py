@@ -39,6 +39,16 @@ def map_rows(df: DataFrame, fn: Callable[[Iterable], Iterator[tuple]], schema: s
     return df.mapInPandas(run, schema)
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``df`` doesn't have, whatever case they are in."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def let(value: Column, fn: Callable[[Column], Column]) -> Column:
     """``fn(value)`` with ``value`` computed once a row, however often ``fn`` names it."""
     return F.element_at(F.transform(F.array(value), fn), 1)

@@ -58,7 +58,7 @@ class Model:
 
     def score(self, columns: np.ndarray) -> float:
         z = self.bias + float(self.weights[columns].sum(dtype=np.float64))
-        return float(1 / (1 + np.exp(-np.clip(z, -700, 700))))
+        return float(z > 0) if abs(z) > 700 else float(1 / (1 + np.exp(-z)))
 
 
 def _packed(columns: np.ndarray) -> bytes:
@@ -75,7 +75,7 @@ def fit(packed: list[bytes], labels: np.ndarray, share: float, alpha: float = 1.
     weights = np.zeros(1 << BITS, dtype=np.float32)
     if not len(labels) or labels.min() == labels.max():
         p = min(max(share, 0.0), 1.0)
-        return Model(weights, float(np.log(p / (1 - p))) if 0 < p < 1 else (700.0 if p else -745.0))
+        return Model(weights, float(np.log(p / (1 - p))) if 0 < p < 1 else (np.inf if p else -np.inf))
     rate = np.full((2, 1 << BITS), alpha)
     for c, y in zip(packed, labels, strict=True):  # text by text: no array is as long as all texts together
         rate[int(y), _unpacked(c)] += 1
