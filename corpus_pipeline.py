@@ -2,7 +2,7 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame that is written as Parquet and read again as
 the next one's ``docs``. All but the last return the columns of ``documents``: toxic documents go, repeated line
-chunks are cut out of the texts, one document of each group of near-duplicates stays, personal data and the terms
+chunks are cut out of the texts (and texts go that are left without a word), one document of each group of near-duplicates stays, personal data and the terms
 that disclose it are replaced; the last stage packs what is left.
 
 Results for odd input: each stage's operator states them in its module; an empty table passes through all stages.
@@ -29,7 +29,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _measured(line_dedup.drop_repeated_lines(docs))
+    return _measured(line_dedup.drop_repeated_lines(docs, drop_emptied=True))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
