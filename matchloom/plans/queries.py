@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import keys as K
 from ..operators import blocking, clustering, evaluate, graph, lsh, matching, progressive, prune, refine, simjoin
 from ..operators.components import connected_components
+from ..operators.ranking import with_position
 from ..sources import readers
 from ..storage import cut
 
@@ -588,3 +589,28 @@ def ground_truth_ids(spark, sf):
 @query(f"WITH {JOINED.format(t=JACCARD, apart='')}, {TRUTH}, cand AS (SELECT id1, id2 FROM sj) {QUALITY}")
 def join_quality(spark, sf):
     return rounded(evaluate.pair_quality(simjoin.jaccard_join(doc_texts(spark, sf), JACCARD), copies(spark, sf)), "recall", "precision", "f1")
+
+
+@query("SELECT sum(i)::BIGINT AS total FROM range(1000000) t(i)")
+def smoke_sum(spark, sf):
+    """The sum of the first million numbers: shows that the cluster works."""
+    return spark.range(1_000_000).agg(F.sum("id").alias("total"))
+
+
+@query("SELECT c_custkey AS id, 0 AS source_id, c_name AS value FROM customer UNION ALL SELECT s_suppkey + 1 + (SELECT max(c_custkey) FROM customer), 1, s_name FROM supplier")
+def source_union(spark, sf):
+    c = readers.to_profiles(table(spark, sf, "customer").select("c_custkey", "c_name"), id_column="c_custkey")
+    s = readers.to_profiles(table(spark, sf, "supplier").select("s_suppkey", "s_name"), id_column="s_suppkey")
+    return readers.union_sources(c, s).select("id", "source_id", F.get("attributes", F.lit(0))["value"].alias("value"))
+
+
+@query(rf"WITH {TOK} SELECT id, count(*) AS n_tokens FROM tk GROUP BY id")
+def profile_token_sets(spark, sf):
+    return doc_profiles(spark, sf).select("id", F.size(K.token_set(F.col("attributes"))).cast("long").alias("n_tokens"))
+
+
+@query(f"{NEAR}, f AS (SELECT id1, id2, count(*) AS f FROM pr GROUP BY ALL), g AS (SELECT id1, id2, round(f / (x.n + y.n - f), 6) AS weight FROM f JOIN n x ON x.id = id1 JOIN n y ON y.id = id2) SELECT row_number() OVER (ORDER BY weight DESC, id1, id2) - 1 AS place, id1, id2, weight FROM g")
+def progressive_emission(spark, sf):
+    """The order in which comparisons are handed out."""
+    ranked = rounded(progressive.global_ranking(doc_profiles(spark, sf), 2), "weight")
+    return with_position(ranked, [-F.col("weight"), "id1", "id2"], "place").select("place", "id1", "id2", "weight")
