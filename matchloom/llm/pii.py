@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import cut, discard
-from .tables import let, read
+from .tables import free, let, read
 
 KINDS = ("email", "ip", "card", "phone", "term")
 _LOCAL = "A-Za-z0-9._%+-"
@@ -128,13 +128,20 @@ def sensitive_terms(docs: DataFrame, found: DataFrame, disclosure: float = DISCL
     with_term = near.select(*entity, "doc_id", "tkey", "place", F.explode("terms").alias("term"))
     joint = with_term.select(*entity, "term", "doc_id", "tkey").distinct().groupBy(*entity, "term").agg(F.count("*").alias("n_et"))
     places = with_term.select(*entity, "term", "place").distinct().groupBy(*entity, "term").agg(F.count("*").alias("places")).where(F.col("places") >= support)
-    pairs = cut(joint.join(places, [*entity, "term"]).join(named, entity), "pairs")
+    n = F.lit(float(max(found.select("doc_id", "tkey").count(), 1)))
+
+    def share(n_t: str) -> Column:
+        information = F.log2(n / F.col("n_e"))
+        return F.when(information > 0, F.log2(n * F.col("n_et") / (F.col("n_e") * F.col(n_t))) / information)
+
+    # documents that use a term near any entity are among those that use it: a term that is too common by that
+    # count alone, as most are, can't reach the share, and needn't be looked for in the corpus
+    around = with_term.select("term", "doc_id", "tkey").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
+    pairs = joint.join(places, [*entity, "term"]).join(named, entity).join(around, "term")
+    pairs = cut(pairs.where(share("n_near") >= disclosure), "pairs")
     wanted = cut(pairs.select("term").distinct(), "terms")
     used = _terms(docs).join(_few(wanted), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
-    n = found.select("doc_id", "tkey").count()
-    information = F.log2(F.lit(float(max(n, 1))) / F.col("n_e"))
-    mutual = F.log2(F.lit(float(max(n, 1))) * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
-    shares = pairs.join(used, "term").withColumn("share", F.when(information > 0, mutual / information))
+    shares = pairs.join(used, "term").withColumn("share", share("n_t"))
     out = cut(shares.where(F.col("share") >= disclosure).groupBy("term").agg(F.max("share").alias("share"), F.max_by("kind", F.struct("share", "kind")).alias("of")), "sensitive")
     discard(pairs, wanted)
     return out
@@ -142,6 +149,7 @@ def sensitive_terms(docs: DataFrame, found: DataFrame, disclosure: float = DISCL
 
 def spans(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
     """doc_id, tkey and ``spans``: base ones and, of the sensitive terms, those that overlap none of them."""
+    docs = docs.select("doc_id", "text")
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("tkey"), F.coalesce(base_spans(F.col("text")), F.array().cast(SPAN)).alias("base"))
     mention = F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), _entity(s).alias("entity"), _surroundings(F.col("text"), s).alias("terms")))
     found = cut(rows.select("doc_id", "tkey", "base", mention.alias("mentions")).distinct(), "found")
@@ -157,15 +165,12 @@ def spans(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPOR
     return both.select("doc_id", "tkey", F.array_sort(F.concat("base", clear)).alias("spans"))
 
 
-def _join_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """``docs`` with ``_spans``; a text's row stays where it is unless too many have spans."""
-    some = cut(found.where(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("tkey").alias("_tkey"), F.col("spans").alias("_spans")), "spans")
-    return docs.join(_few(some), docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_tkey")) & docs["text"].isNotNull(), "left")
-
-
 def sanitise(docs: DataFrame) -> DataFrame:
     """The documents, all columns as they are but ``text``: entities become their kind, terms are generalised or removed."""
-    rows = _join_spans(docs, spans(docs))
+    i, t, found = free(docs, "_id", "_tkey", "_spans")
+    some = cut(spans(docs).where(F.size("spans") > 0).select(F.col("doc_id").alias(i), F.col("tkey").alias(t), F.col("spans").alias(found)), "spans")
+    # a text's row stays where it is unless too many have spans
+    rows = docs.join(_few(some), docs["doc_id"].eqNullSafe(F.col(i)) & (F.xxhash64(docs["text"]) == F.col(t)) & docs["text"].isNotNull(), "left")
     labels = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -173,8 +178,8 @@ def sanitise(docs: DataFrame) -> DataFrame:
         more = F.concat(acc["out"], F.substring(docs["text"], acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))), F.get(labels, s["kind"]))
         return F.when(s["end"] <= acc["at"], acc).otherwise(F.struct(s["end"].alias("at"), more.alias("out")))
 
-    clean = F.aggregate("_spans", zero, step, lambda acc: F.concat(acc["out"], F.substring(docs["text"], acc["at"] + 1, F.length(docs["text"]))))
-    text = F.when(F.col("_spans").isNull(), docs["text"]).otherwise(clean)
+    clean = F.aggregate(found, zero, step, lambda acc: F.concat(acc["out"], F.substring(docs["text"], acc["at"] + 1, F.length(docs["text"]))))
+    text = F.when(F.col(found).isNull(), docs["text"]).otherwise(clean)
     return rows.select(*[text.alias("text") if c == "text" else docs[c] for c in docs.columns])
 
 
