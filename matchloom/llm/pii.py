@@ -122,7 +122,7 @@ def _few(df: DataFrame) -> DataFrame:
 def sensitive_terms(docs: DataFrame, found: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
     """term, share (of the information of the entity it discloses most of) and kind of that entity."""
     near = found.where(F.size("mentions") > 0).select("doc_id", "tkey", F.explode("mentions").alias("m")).select("doc_id", "tkey", F.col("m.kind").alias("kind"), F.col("m.entity").alias("entity"), F.col("m.terms").alias("terms"))
-    near = near.withColumn("place", F.xxhash64("terms"))
+    near = near.withColumn("place", F.xxhash64(F.array_sort("terms")))
     entity = ["kind", "entity"]
     named = near.select(*entity, "doc_id", "tkey").distinct().groupBy(*entity).agg(F.count("*").alias("n_e"))
     with_term = near.select(*entity, "doc_id", "tkey", "place", F.explode("terms").alias("term"))
@@ -198,3 +198,39 @@ def digest(docs: DataFrame) -> DataFrame:
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+_SQL_PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
+    "card": r"[0-9](?:[\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+_SQL_LUHN = "list_sum(list_transform(range(1, length(g) + 1), lambda i: CASE WHEN i % 2 = 0 THEN list_extract([0, 2, 4, 6, 8, 1, 3, 5, 7, 9], reverse(g)[i]::INT + 1) ELSE reverse(g)[i]::INT END)) % 10 = 0"
+OP7_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, * FROM (SELECT DISTINCT doc_id, text FROM documents)),
+f AS ({" UNION ALL ".join(f"SELECT r, text, {i} AS kind, '{k}' AS name, regexp_extract_all(text, '{p}') AS ms, regexp_split_to_array(text, '{p}') AS gs FROM d WHERE text IS NOT NULL" for i, (k, p) in enumerate(_SQL_PATTERNS.items()))}),
+u AS (SELECT r, text, kind, name, unnest(range(1, len(ms) + 1)) AS i, ms, gs FROM f),
+v AS (SELECT r, text, kind, name, ms[i] AS m, regexp_replace(ms[i], '[^0-9]', '', 'g') AS g, (coalesce(list_sum(list_transform(gs[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0))::BIGINT AS s FROM u),
+b AS (SELECT r, text, kind, name, s, s + length(m) AS e, CASE kind WHEN 0 THEN lower(m) WHEN 1 THEN m ELSE g END AS entity FROM v
+  WHERE CASE kind WHEN 0 THEN true WHEN 1 THEN len(list_filter(string_split(m, '.'), lambda x: coalesce(length(ltrim(x, '0')), 0) > 3 OR coalesce(try_cast(x AS DOUBLE), 0) > 255)) = 0
+    WHEN 2 THEN length(g) BETWEEN 12 AND 19 AND {_SQL_LUHN} ELSE length(g) BETWEEN 9 AND 15 END),
+sr AS (SELECT r, kind, entity, list_sort(list_distinct(regexp_extract_all(lower(
+  (CASE WHEN s > {AROUND} THEN regexp_replace(substr(text, s - {AROUND} + 1, {AROUND}), '^\\p{{L}}+', '') ELSE substr(text, 1, s) END) || ' ' ||
+  (CASE WHEN length(text) > e + {AROUND} THEN regexp_replace(substr(text, e + 1, {AROUND}), '\\p{{L}}+$', '') ELSE substr(text, e + 1, {AROUND}) END)), '\\p{{L}}{{4,}}'))) AS terms FROM b),
+wt AS (SELECT r, kind, entity, terms AS place, unnest(terms) AS term FROM sr),
+ne AS (SELECT kind, entity, count(DISTINCT r) AS n_e FROM sr GROUP BY ALL),
+et AS (SELECT kind, entity, term, count(DISTINCT r) AS n_et FROM wt GROUP BY ALL HAVING count(DISTINCT place) >= {SUPPORT}),
+tu AS (SELECT DISTINCT r, unnest(regexp_extract_all(lower(text), '\\p{{L}}{{4,}}')) AS term FROM d),
+nt AS (SELECT term, count(*) AS n_t FROM tu GROUP BY term),
+sh AS (SELECT DISTINCT term FROM et JOIN ne USING (kind, entity) JOIN nt USING (term), (SELECT greatest(count(*), 1)::DOUBLE AS n FROM d)
+  WHERE log2(n / n_e) > 0 AND log2(n * n_et / (n_e * n_t)) / nullif(log2(n / n_e), 0) >= {DISCLOSURE}),
+wd AS (SELECT d.r, text, regexp_extract_all(text, '\\p{{L}}+') AS ms, regexp_split_to_array(text, '\\p{{L}}+') AS gs FROM d WHERE r IN (SELECT r FROM tu SEMI JOIN sh USING (term))),
+wp AS (SELECT r, unnest(range(1, len(ms) + 1)) AS i, ms, gs FROM wd),
+ws AS (SELECT r, ms[i] AS m, (coalesce(list_sum(list_transform(gs[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0))::BIGINT AS s FROM wp WHERE lower(ms[i]) IN (SELECT term FROM sh)),
+a AS (SELECT r, kind, name, s, e FROM b UNION ALL SELECT r, 4, 'term', s, s + length(m) FROM ws WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.r = ws.r AND b.s < ws.s + length(ws.m) AND ws.s < b.e)),
+o AS (SELECT r, count(*) FILTER (WHERE kind = 0) AS n_email, count(*) FILTER (WHERE kind = 1) AS n_ip, count(*) FILTER (WHERE kind = 2) AS n_card, count(*) FILTER (WHERE kind = 3) AS n_phone,
+  coalesce(string_agg(name || ':' || s || ':' || e, ',' ORDER BY s, kind, e) FILTER (WHERE kind < 4), '') AS base, string_agg(name || ':' || s || ':' || e, ',' ORDER BY s, kind, e) AS spans FROM a GROUP BY r)
+SELECT documents.doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents JOIN d ON d.doc_id IS NOT DISTINCT FROM documents.doc_id AND d.text IS NOT DISTINCT FROM documents.text LEFT JOIN o USING (r)
+"""

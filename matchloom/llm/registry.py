@@ -6,7 +6,7 @@ from .bpe import op4_byte_bpe
 from .line_dedup import OP8_SQL, op8_line_dedup
 from .near_duplicates import OP10_SQL, op10_minhash
 from .packing import op3_packing
-from .pii import op7_pii
+from .pii import OP7_SQL, op7_pii
 from .quality import OP9_SQL, op9_quality_rules
 from .sharding import OP1_SQL, op1_sharding
 from .token_counts import op5_token_counts
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_minhash": op10_minhash,
 }
-ORACLES = {"op1_sharding": OP1_SQL, "op6_top_k": OP6_SQL, "op8_line_dedup": OP8_SQL, "op9_quality_rules": OP9_SQL, "op10_minhash": OP10_SQL}
+ORACLES = {"op1_sharding": OP1_SQL, "op6_top_k": OP6_SQL, "op7_pii": OP7_SQL, "op8_line_dedup": OP8_SQL, "op9_quality_rules": OP9_SQL, "op10_minhash": OP10_SQL}
