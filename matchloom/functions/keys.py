@@ -118,7 +118,10 @@ def token_set(attributes: Column) -> Column:
 
 def character_ngrams(attributes: Column, n: int = 2) -> Column:
     """Character n-grams of the joined tokens, across their borders."""
-    return let(F.array_join(token_set(attributes), ""), lambda joined: windows(joined, n))
+    characters = F.filter(F.split(F.array_join(token_set(attributes), ""), ""), lambda c: c != "")
+    # by list places, as finding a place in a string takes longer the further it is
+    runs = lambda cs: F.transform(F.sequence(F.lit(1), F.greatest(F.size(cs) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(cs, i, n), ""))
+    return let(characters, runs)
 
 
 def word_ngrams(words: Column, n: int = 1) -> Column:

@@ -490,7 +490,11 @@ for _how in SCORE_SQL:
     _score_query(_how)
 
 
-@query()
+CHARACTERS = rf"""cw AS (SELECT id, unnest(x) AS t, generate_subscripts(x, 1) AS i FROM (SELECT id, regexp_split_to_array(lower(text), '{SEP}') AS x FROM docs)), cf AS (SELECT id, t, min(i) AS i FROM cw WHERE t <> '' GROUP BY ALL),
+cj AS (SELECT id, string_agg(t, '' ORDER BY i) AS s FROM cf GROUP BY id), bg AS (SELECT id, t, count(*) AS n FROM (SELECT id, unnest(list_transform(range(1, greatest(length(s) - 1, 1) + 1), lambda i: substr(s, i, 2))) AS t FROM cj) GROUP BY ALL)"""
+
+
+@query(f"{chain(False)}, {graph_sql(False)}, {CHARACTERS}, {OWN}, {SUMS} SELECT id1, id2, round({SCORE_SQL['cosine']}, 6) AS score FROM sm JOIN ow u ON u.id = id1 JOIN ow v ON v.id = id2")
 def match_character_cosine(spark, sf):
     return rounded(matching.score(doc_graph(spark, sf).pairs.select("id1", "id2"), doc_profiles(spark, sf), "character_cosine"), "score")
 
