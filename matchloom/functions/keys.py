@@ -121,7 +121,7 @@ def character_ngrams(attributes: Column, n: int = 2) -> Column:
     characters = F.filter(F.split(F.array_join(token_set(attributes), ""), ""), lambda c: c != "")
     # by list places, as finding a place in a string takes longer the further it is
     runs = lambda cs: F.transform(F.sequence(F.lit(1), F.greatest(F.size(cs) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(cs, i, n), ""))
-    return let(characters, runs)
+    return let(characters, lambda cs: F.when(F.size(cs) == 0, F.array().cast("array<string>")).otherwise(runs(cs)))
 
 
 def word_ngrams(words: Column, n: int = 1) -> Column:

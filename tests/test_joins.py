@@ -64,6 +64,7 @@ def test_scores(spark, profiles):
     assert s["cosine"] == pytest.approx(2 / (5**0.5 * 2**0.5))
     assert s["character_cosine"] == pytest.approx(0.0)
     assert matching.score(spark.createDataFrame([(0, 2)], "id1 long, id2 long"), p).count() == 0
+    assert matching.score(spark.createDataFrame([(0, 2)], "id1 long, id2 long"), p, "character_cosine").count() == 0
     assert matching.match(pairs, p, min_weight=0.5).count() == 0
 
 
