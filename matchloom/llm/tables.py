@@ -23,20 +23,25 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
 
 
 def map_rows(df: DataFrame, fn: Callable[[Iterable], Iterator[tuple]], schema: str) -> DataFrame:
-    """``fn`` gets an iterator over the rows (as tuples) of an Arrow batch and yields output tuples."""
+    """``fn`` gets an iterator over the rows (as tuples) of an Arrow batch and yields output tuples.
+
+    Values are plain Python ones, so an id next to a null stays a whole number.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     small_batches(df.sparkSession)
-    names = StructType.fromDDL(schema).names
+    out = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches):
-        import pandas as pd
+        import pyarrow as pa
 
         for batch in batches:
-            rows = list(fn(zip(*(batch[c] for c in batch.columns), strict=True)))
-            yield pd.DataFrame(rows, columns=names) if rows else pd.DataFrame({c: [] for c in names})
+            rows = list(fn(zip(*(c.to_pylist() for c in batch.columns), strict=True)))
+            columns = zip(*rows, strict=True) if rows else [()] * len(out)
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, out.types, strict=True)], schema=out)
 
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def free(df: DataFrame, *names: str) -> list[str]:

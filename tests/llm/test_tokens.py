@@ -114,3 +114,8 @@ def test_packing_of_odd_input(odd, empty, library):
         assert [s for _, s, _ in parts] == [sum(len(p[2]) for p in parts[:k]) for k in range(len(parts))]
         assert all(len(p[2]) == 1024 for p in parts[1:])
     assert packing.pack_documents(empty, JSON).count() == 0
+
+
+def test_large_ids_next_to_nulls_stay_exact(documents):
+    docs = documents([(2**60 + 1, "a"), (None, "b"), (2**60 + 3, "c")])
+    assert {r["doc_id"] for r in token_counts.count_tokens(docs, JSON).collect()} == {2**60 + 1, None, 2**60 + 3}
