@@ -19,6 +19,7 @@ packed each for itself; an empty table gives an empty table; other columns are n
 from __future__ import annotations
 
 import json
+import math
 import zlib
 from bisect import bisect_left, insort
 from functools import cache
@@ -31,9 +32,6 @@ from ..storage import cut
 from .tables import map_rows, read
 from .token_counts import byte_alphabet
 
-#: Pieces of one length that are numbered together.
-RANK_ROWS = 10_000
-
 
 @cache
 def encoder(path: str):
@@ -138,7 +136,8 @@ def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
     histogram = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
     rows = plan(histogram, capacity)
     places = spark.createDataFrame(rows, "length long, first long, ranks long, each int, base long, place int")
-    parts = spark.createDataFrame([(n, -(-c // RANK_ROWS)) for n, c in histogram.items()], "length long, parts long")
+    # as many parts of a length as rows in each, so that neither numbering inside them nor summing them up is long
+    parts = spark.createDataFrame([(n, math.isqrt(c) + 1) for n, c in histogram.items()], "length long, parts long")
     dealt = pieces.join(F.broadcast(parts), "length").withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), "parts")).drop("parts")  # one row a length
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = dealt.groupBy("length", "part").agg(F.count("*").alias("m")).select("length", "part", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("rank0"))
