@@ -267,7 +267,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     links = links.unionByName(_rest(members, classes, docs, components, k, percent, floor))
     components = connected_components(links, "a", "b")
     found = _with_component(classes.select("set_key", "id"), components).select("set_key", "comp")
-    out = every.select("doc_id", "n_shingles", "set_key").join(found.groupBy("set_key").agg(F.min("comp").alias("comp")), "set_key", "left")
+    out = every.select("doc_id", "n_shingles", "set_key").join(found, "set_key", "left")  # one row a set: a class of many copies can be split
     own = F.when(F.col("n_shingles") > 0, F.coalesce("comp", "doc_id")).otherwise(F.col("doc_id"))
     discard(members, pairs)
     return out.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
