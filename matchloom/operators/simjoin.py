@@ -63,7 +63,11 @@ def set_join(sets: DataFrame, threshold: float, sources: DataFrame | None = None
     on = (F.col("a.token") == F.col("b.token")) & (F.col("a.id") < F.col("b.id")) & (short >= _ceil(long_ * threshold)) & enough
     if sources is not None:
         on = on & (F.col("a.source_id") != F.col("b.source_id"))
-    pairs = a.join(b, on).select(F.col("a.id").alias("id1"), F.col("b.id").alias("id2")).distinct()
+    need = _ceil(threshold * (F.col("n1") + F.col("n2")) / (1 + threshold))
+    ends = [F.max("a.at").alias("at1"), F.max("b.at").alias("at2"), F.first("a.n").alias("n1"), F.first("b.n").alias("n2")]
+    met = a.join(b, on).groupBy(F.col("a.id").alias("id1"), F.col("b.id").alias("id2")).agg(F.count("*").alias("c"), *ends)
+    # tokens met on, and as many as may follow the last of them on either side
+    pairs = met.where(F.col("c") + F.least(F.col("n1") - F.col("at1"), F.col("n2") - F.col("at2")) - 1 >= need).select("id1", "id2")
     full = pairs.join(sets.select(F.col("id").alias("id1"), F.col("tokens").alias("t1")), "id1").join(sets.select(F.col("id").alias("id2"), F.col("tokens").alias("t2")), "id2")
     both = F.size(F.array_intersect("t1", "t2"))
     js = both / (F.size("t1") + F.size("t2") - both)
