@@ -33,8 +33,10 @@ def few(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
 
 
-def line_count_words(line: Column) -> Column:
-    return F.size(F.filter(F.split(line, "[\\x20\\x09-\\x0D]+"), lambda w: w != ""))
+def n_words(line: Column) -> Column:
+    """Words of a line: what blanks divide it into, less the empty ends; no function runs word by word."""
+    blank = lambda c: (F.translate(c, _BLANKS, "") == "").cast("int")
+    return F.when(line == "", 0).otherwise(F.size(F.split(line, "[\\x20\\x09-\\x0D]+")) - blank(F.substring(line, 1, 1)) - blank(F.substring(line, -1, 1)))
 
 
 def _line_hash(line: Column) -> Column:
@@ -42,33 +44,43 @@ def _line_hash(line: Column) -> Column:
 
 
 def chunk_spans(lines: Column) -> Column:
-    """(first line, line after the last) of each chunk."""
+    """(s, e, w) of each chunk: its first line, the line after its last, its words."""
 
     def ends(marks: Column) -> Column:
         at = lambda i: F.coalesce(F.when(i >= 1, F.get(marks, i - 1)["h"]), F.lit(0))
         rolled = lambda i: at(i - 1) * 1_000_003 + at(i)
-        border = lambda i: (i == F.size(marks)) | (F.pmod(F.shiftright(rolled(i), 7), F.lit(DIVISOR)) == 0) | F.get(marks, i - 1)["long"] | F.coalesce(F.get(marks, i)["long"], F.lit(False))
+        border = lambda i: (i == F.size(marks)) | (F.pmod(F.shiftright(rolled(i), 7), F.lit(DIVISOR)) == 0) | (F.get(marks, i - 1)["n"] >= LONG) | F.coalesce(F.get(marks, i)["n"] >= LONG, F.lit(False))
         return F.filter(F.sequence(F.lit(1), F.size(marks)), border)
 
-    spans = lambda e: F.transform(e, lambda end, k: F.struct(F.when(k == 0, 0).otherwise(F.get(e, k - 1)).alias("s"), end.alias("e")))
-    marked = F.transform(lines, lambda x: F.struct(_line_hash(x).alias("h"), (line_count_words(x) >= LONG).alias("long")))
-    return let(marked, lambda m: let(ends(m), spans))
+    def spans(marks: Column, e: Column) -> Column:
+        words = lambda s, end: F.aggregate(F.slice(marks, s + 1, end - s), F.lit(0), lambda a, m: a + m["n"])
+        start = lambda k: F.when(k == 0, 0).otherwise(F.get(e, k - 1))
+        return F.transform(e, lambda end, k: F.struct(start(k).alias("s"), end.alias("e"), words(start(k), end).alias("w")))
+
+    marked = F.transform(lines, lambda x: F.struct(_line_hash(x).alias("h"), n_words(x).alias("n")))
+    return let(marked, lambda m: let(ends(m), lambda e: spans(m, e)))
 
 
 def _chunks(docs: DataFrame) -> DataFrame:
-    """doc_id, tkey, k, s, e, chunk (text) for every chunk with a word."""
+    """doc_id, tkey, k, s, e, w, chunk (text) for every chunk with a word."""
     rows = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("tkey"), F.split("text", "\n").alias("lines"))
-    cut_up = let(F.col("lines"), lambda ls: F.transform(chunk_spans(ls), lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), F.array_join(F.slice(ls, c["s"] + 1, c["e"] - c["s"]), "\n").alias("chunk"))))
-    out = rows.select("doc_id", "tkey", F.posexplode(cut_up).alias("k", "c")).select("doc_id", "tkey", "k", "c.s", "c.e", "c.chunk")
-    return out.where(F.translate("chunk", _BLANKS, "") != "")
+    cut_up = let(F.col("lines"), lambda ls: F.transform(chunk_spans(ls), lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), c["w"].alias("w"), F.array_join(F.slice(ls, c["s"] + 1, c["e"] - c["s"]), "\n").alias("chunk"))))
+    return rows.select("doc_id", "tkey", F.posexplode(cut_up).alias("k", "c")).select("doc_id", "tkey", "k", "c.s", "c.e", "c.w", "c.chunk").where("w > 0")
+
+
+def _of(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The documents (doc_id, text) that ``keys`` (doc_id, tkey) names."""
+    rows, k = docs.select("doc_id", "text"), keys.select(F.col("doc_id").alias("i"), F.col("tkey").alias("t"))
+    return rows.join(few(k), rows["doc_id"].eqNullSafe(F.col("i")) & (F.xxhash64("text") == F.col("t")) & rows["text"].isNotNull(), "left_semi")
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """doc_id, tkey and ``gone``, ranges of lines (s, e) that repeat an earlier text, for the documents that have any."""
-    chunks = cut(_chunks(docs).select("doc_id", "tkey", "k", "s", "e", F.xxhash64("chunk").alias("h"), line_count_words(F.col("chunk")).alias("w")), "chunks")
+    chunks = cut(_chunks(docs).select("doc_id", "tkey", "k", "s", "e", "w", F.xxhash64("chunk").alias("h")), "chunks")
     twice = cut(chunks.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "twice")
     # byte comparison: equal hashes are grouped by their text
-    seen = _chunks(docs).withColumn("h", F.xxhash64("chunk")).join(few(twice), "h", "left_semi")
+    holders = cut(chunks.join(few(twice), "h", "left_semi").select("doc_id", "tkey").distinct(), "holders")
+    seen = _chunks(_of(docs, holders)).withColumn("h", F.xxhash64("chunk")).join(few(twice), "h", "left_semi")
     texts = seen.groupBy("h", "chunk").agg(F.min(F.struct("doc_id", "k")).alias("first"), F.count("*").alias("n"))
     groups = cut(texts.groupBy("h").agg(F.count("*").alias("n_texts"), F.first("first").alias("first"), F.first("n").alias("n")), "groups")
     sure = groups.where("n_texts = 1").select("h", "first")
@@ -77,7 +89,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     clashes = groups.where("n_texts > 1").select("h")
     if clashes.head(1):  # different texts under one hash: told apart by their bytes
         by_text = texts.where("n > 1").join(clashes, "h", "left_semi").select("h", "chunk", "first")
-        dups = dups.unionByName(later(_chunks(docs).withColumns({"h": F.xxhash64("chunk"), "w": line_count_words(F.col("chunk"))}).join(by_text, ["h", "chunk"])))
+        dups = dups.unionByName(later(_chunks(docs).withColumn("h", F.xxhash64("chunk")).join(by_text, ["h", "chunk"])))
     dups = dups.distinct()  # rows repeated with one doc_id and text
     # runs of consecutive repeated chunks: equal k minus rank
     ranked = dups.groupBy("doc_id", "tkey").agg(F.array_sort(F.collect_list(F.struct("k", "s", "e", "w"))).alias("c"))
@@ -85,7 +97,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     runs = ranked.select("doc_id", "tkey", run.alias("x")).groupBy("doc_id", "tkey", "x.run").agg(F.min("x.s").alias("s"), F.max("x.e").alias("e"), F.sum("x.w").alias("w"))
     runs = runs.where(f"e - s >= 2 or w >= {LONG}")
     out = cut(runs.groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("s", "e")).alias("gone")), "gone")
-    discard(chunks, twice, groups)
+    discard(chunks, twice, holders, groups)
     return out
 
 
