@@ -83,10 +83,12 @@ def fit(packed: list[bytes], labels: np.ndarray, share: float, alpha: float = 1.
     ratio = np.log(p / p.sum()) - np.log(q / q.sum())
     ratio[p + q < 2 * alpha + 2] = 0  # seen once: says nothing about other texts
     told = np.abs(ratio) > least  # the rest tell the classes apart too little
-    kept = [c[told[c]] for c in map(_unpacked, packed)]
-    flat, rows = np.concatenate(kept), np.repeat(np.arange(len(kept), dtype=np.int32), [len(c) for c in kept])
-    used, at = np.unique(flat, return_inverse=True)
-    scale = ratio[used]
+    used, place = np.flatnonzero(told), np.zeros(1 << BITS, dtype=np.int32)
+    place[used] = np.arange(len(used), dtype=np.int32)
+    kept = [place[c[told[c]]] for c in map(_unpacked, packed)]
+    at, rows = np.concatenate(kept), np.repeat(np.arange(len(kept), dtype=np.int32), [len(c) for c in kept])
+    del kept
+    scale = ratio[used].astype(np.float32)
     x = scale[at]
     w, b, y, n = np.zeros(len(used)), 0.0, labels.astype(float), len(labels)
     m, s, mb, sb, step = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0, 0.02
@@ -124,8 +126,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
 
     texts = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")  # at most max_rows rows
     got = map_rows(texts.select("text", "toxic"), run, "columns binary, toxic int").limit(2 * max_rows).collect()
-    got.sort(key=lambda r: (r["toxic"], bytes(r["columns"])))  # the fit doesn't depend on the order of arrival
-    return fit([bytes(r["columns"]) for r in got], np.array([r["toxic"] for r in got], dtype=np.int64), share)
+    got = sorted((r["toxic"], r["columns"]) for r in got)  # the fit doesn't depend on the order of arrival
+    return fit([c for _, c in got], np.array([y for y, _ in got], dtype=np.int64), share)
 
 
 def score_column(spark: SparkSession, model: Model, text: Column) -> Column:
