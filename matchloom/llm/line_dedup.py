@@ -6,6 +6,13 @@ is a chunk of its own. Chunks that occur more than once are found by hash and th
 first occurrence (by doc_id, then place) stays. Of the others, runs of consecutive repeated chunks go if they
 have two lines or more, or ``LONG`` words; a short line by itself stays.
 
+A border depends on two lines, so the chunks at a passage's ends may hold lines outside it, and short passages may be
+in no chunk of their own. So pairs of neighbouring lines with a word (and the blank ones between) are compared in the
+same way, too: a pair that stands earlier goes, and overlapping pairs make up the rest of a passage. Every passage of two
+lines with a word or more, and every line of ``LONG`` words, that stands earlier goes, whatever is around it. A pair
+that begins with the last line of its first occurrence, as in a line three times over, is none of its repeats.
+``whole=False`` leaves the pairs out: ``op8_line_dedup`` is held to the chunks alone by its SQL.
+
 Texts are read three times and never shuffled unless more documents change than may be broadcast.
 
 Results for odd input, all tested: a null text stays null; chunks without a word are no repeats; a text whose
@@ -23,6 +30,8 @@ from ..storage import cut, discard
 from .tables import free, let, read
 
 DIVISOR, LONG = 2, 50
+#: Numbers of pairs of lines begin here, those of chunks at 0.
+PAIRS = 1 << 30
 #: Rows that may be broadcast; more are dealt out by key.
 BROADCAST_ROWS = 1_000_000
 _BLANKS = " \t\n\x0b\x0c\r"
@@ -61,11 +70,22 @@ def chunk_spans(lines: Column) -> Column:
     return let(marked, lambda m: let(ends(m), lambda e: spans(m, e)))
 
 
-def _chunks(docs: DataFrame) -> DataFrame:
-    """doc_id, tkey, k, s, e, w, chunk (text) for every chunk with a word."""
+def pair_spans(lines: Column) -> Column:
+    """(s, e, w) of each line with a word and the next one that has one; w only says that there is a word."""
+    worded = F.filter(F.transform(lines, lambda x, i: F.when(F.translate(x, _BLANKS, "") != "", i)), lambda i: i.isNotNull())
+    return let(worded, lambda at: F.transform(F.slice(at, 2, F.size(at)), lambda e, k: F.struct(F.get(at, k).alias("s"), (e + 1).alias("e"), F.lit(1).alias("w"))))
+
+
+def _chunks(docs: DataFrame, whole: bool) -> DataFrame:
+    """doc_id, tkey, k, s, e, w, chunk (text), h for every chunk with a word and, if ``whole``, every pair, numbered from ``PAIRS``."""
     rows = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("tkey"), F.split("text", "\n").alias("lines"))
-    cut_up = let(F.col("lines"), lambda ls: F.transform(chunk_spans(ls), lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), c["w"].alias("w"), F.array_join(F.slice(ls, c["s"] + 1, c["e"] - c["s"]), "\n").alias("chunk"))))
-    return rows.select("doc_id", "tkey", F.posexplode(cut_up).alias("k", "c")).select("doc_id", "tkey", "k", "c.s", "c.e", "c.w", "c.chunk").where("w > 0")
+    text = lambda ls, c: F.array_join(F.slice(ls, c["s"] + 1, c["e"] - c["s"]), "\n")
+    unit = lambda ls, start: lambda c, k: F.struct((k + start).alias("k"), c["s"].alias("s"), c["e"].alias("e"), c["w"].cast("long").alias("w"), text(ls, c).alias("chunk"))
+    of = lambda ls, spans, start: F.transform(spans(ls), unit(ls, start))
+    cut_up = let(F.col("lines"), lambda ls: F.concat(of(ls, chunk_spans, 0), of(ls, pair_spans, PAIRS)) if whole else of(ls, chunk_spans, 0))
+    units = rows.select("doc_id", "tkey", F.explode(cut_up).alias("c")).select("doc_id", "tkey", "c.*").where("w > 0")
+    # a pair and a chunk of the same lines are different things
+    return units.withColumn("h", F.when(F.col("k") < PAIRS, F.xxhash64("chunk")).otherwise(F.bitwise_not(F.xxhash64("chunk"))))
 
 
 def _of(docs: DataFrame, keys: DataFrame) -> DataFrame:
@@ -74,40 +94,55 @@ def _of(docs: DataFrame, keys: DataFrame) -> DataFrame:
     return rows.join(few(k), rows["doc_id"].eqNullSafe(F.col("i")) & (F.xxhash64("text") == F.col("t")) & rows["text"].isNotNull(), "left_semi")
 
 
-def repeated_lines(docs: DataFrame) -> DataFrame:
+def _merged(ranges: Column) -> Column:
+    """Sorted ranges as ones that don't overlap."""
+    none = F.array().cast("array<struct<s:int,e:int>>")
+
+    def step(acc: Column, r: Column) -> Column:
+        last = F.element_at(acc, -1)
+        joined = F.struct(last["s"].alias("s"), F.greatest(last["e"], r["e"]).alias("e"))
+        return F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["e"] >= r["s"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(joined))).otherwise(F.concat(acc, F.array(r)))
+
+    return F.aggregate(ranges, none, step)
+
+
+def repeated_lines(docs: DataFrame, whole: bool = True) -> DataFrame:
     """doc_id, tkey and ``gone``, ranges of lines (s, e) that repeat an earlier text, for the documents that have any."""
-    chunks = cut(_chunks(docs).select("doc_id", "tkey", "k", "s", "e", "w", F.xxhash64("chunk").alias("h")), "chunks")
+    chunks = cut(_chunks(docs, whole).drop("chunk"), "chunks")
     twice = cut(chunks.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "twice")
     # byte comparison: equal hashes are grouped by their text
     holders = cut(chunks.join(few(twice), "h", "left_semi").select("doc_id", "tkey").distinct(), "holders")
-    seen = _chunks(_of(docs, holders)).withColumn("h", F.xxhash64("chunk")).join(few(twice), "h", "left_semi")
+    seen = _chunks(_of(docs, holders), whole).join(few(twice), "h", "left_semi")
     texts = seen.groupBy("h", "chunk").agg(F.min(F.struct("doc_id", "k")).alias("first"), F.count("*").alias("n"))
     groups = cut(texts.groupBy("h").agg(F.count("*").alias("n_texts"), F.first("first").alias("first"), F.first("n").alias("n")), "groups")
     sure = groups.where("n_texts = 1").select("h", "first")
-    later = lambda df: df.where(~(F.struct("doc_id", "k").eqNullSafe(F.col("first")))).select("doc_id", "tkey", "k", "s", "e", "w")
+    # the first one stays whole, so a pair that begins with its last line is no repeat of it
+    own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & ((F.col("k") == F.col("first.k")) | ((F.col("k") > PAIRS) & (F.col("k") == F.col("first.k") + 1)))
+    later = lambda df: df.where(~own).select("doc_id", "tkey", "k", "s", "e", "w")
     dups = later(chunks.join(few(sure), "h"))
     clashes = groups.where("n_texts > 1").select("h")
     if clashes.head(1):  # different texts under one hash: told apart by their bytes
         by_text = texts.where("n > 1").join(clashes, "h", "left_semi").select("h", "chunk", "first")
-        dups = dups.unionByName(later(_chunks(docs).withColumn("h", F.xxhash64("chunk")).join(by_text, ["h", "chunk"])))
+        dups = dups.unionByName(later(_chunks(docs, whole).join(by_text, ["h", "chunk"])))
     dups = dups.distinct()  # rows repeated with one doc_id and text
     # runs of consecutive repeated chunks: equal k minus rank
     ranked = dups.groupBy("doc_id", "tkey").agg(F.array_sort(F.collect_list(F.struct("k", "s", "e", "w"))).alias("c"))
     run = F.explode(F.transform("c", lambda x, i: F.struct((x["k"] - i).alias("run"), x["s"].alias("s"), x["e"].alias("e"), x["w"].alias("w"))))
     runs = ranked.select("doc_id", "tkey", run.alias("x")).groupBy("doc_id", "tkey", "x.run").agg(F.min("x.s").alias("s"), F.max("x.e").alias("e"), F.sum("x.w").alias("w"))
     runs = runs.where(f"e - s >= 2 or w >= {LONG}")
-    out = cut(runs.groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("s", "e")).alias("gone")), "gone")
+    gone = runs.groupBy("doc_id", "tkey").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("gone"))
+    out = cut(gone.withColumn("gone", _merged(F.col("gone"))) if whole else gone, "gone")
     discard(chunks, twice, holders, groups)
     return out
 
 
-def drop_repeated_lines(docs: DataFrame, counts: bool = False, drop_emptied: bool = False) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, counts: bool = False, drop_emptied: bool = False, whole: bool = True) -> DataFrame:
     """The documents, all columns as they are but ``text``; with ``counts`` also n_lines and n_removed.
 
     With ``drop_emptied`` the rows of texts that lose their last word go, too.
     """
     i, t, g = free(docs, "_id", "_tkey", "_gone")
-    gone = repeated_lines(docs).select(F.col("doc_id").alias(i), F.col("tkey").alias(t), F.col("gone").alias(g))
+    gone = repeated_lines(docs, whole).select(F.col("doc_id").alias(i), F.col("tkey").alias(t), F.col("gone").alias(g))
     rows = docs.join(few(gone), docs["doc_id"].eqNullSafe(F.col(i)) & (F.xxhash64(docs["text"]) == F.col(t)) & docs["text"].isNotNull(), "left")
     lines = F.split(docs["text"], "\n")
     stay = F.array_join(F.filter(lines, lambda x, n: ~F.exists(g, lambda r: (n >= r["s"]) & (n < r["e"]))), "\n")
@@ -122,7 +157,7 @@ def drop_repeated_lines(docs: DataFrame, counts: bool = False, drop_emptied: boo
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drop_repeated_lines(read(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
+    return drop_repeated_lines(read(spark, sf_dir, "documents").select("doc_id", "text"), counts=True, whole=False)
 
 
 OP8_SQL = f"""

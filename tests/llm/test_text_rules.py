@@ -81,6 +81,21 @@ def test_repeated_passages_go_and_the_first_stays(documents):
     assert [out[i]["text"] for i in (5, 6)] == [t[5], t[6]]
 
 
+def test_short_passages_go_whatever_is_around_them(documents):
+    rows = []
+    for n in (2, 3, 6):
+        for i in range(12):
+            passage = [f"passage {n} {i} line {j} with some words of its own" for j in range(n)]
+            rows += [(len(rows), "\n".join([f"before {n} {i}", *passage, f"after {n} {i}"])), (len(rows) + 1, "\n".join([f"other {n} {i}", *passage, "", f"end {n} {i}"]))]
+    # no chunk ends inside 902 and 903, so pairs alone decide
+    rows += [(900, "one\ntwo"), (901, "two\none\nthree"), (902, "d d\nd d\nd d"), (903, "j j\nj j\nj j\nj j"), (904, "one\n\ntwo")]
+    out = {r["doc_id"]: r for r in line_dedup.drop_repeated_lines(documents(rows), counts=True).collect()}
+    for i, t in rows:
+        first = i % 2 == 0 if i < 900 else i != 903
+        want = t if first else "j j\nj j" if i == 903 else "\n".join([t.split("\n")[0], "", t.split("\n")[-1]])
+        assert (out[i]["text"], out[i]["n_removed"]) == (want, t.count("\n") - want.count("\n"))
+
+
 def test_line_dedup_of_odd_input(odd, empty):
     out = line_dedup.drop_repeated_lines(odd)
     assert out.columns == odd.columns
