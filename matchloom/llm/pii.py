@@ -110,9 +110,9 @@ def _surroundings(text: Column, span: Column) -> Column:
 
 
 def _terms(docs: DataFrame) -> DataFrame:
-    """One row a document and term: nothing else of the document goes with it."""
+    """One row a document and term, rows repeated with one doc_id and text once: nothing else of the document goes with it."""
     text = F.lower("text")
-    return docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("tkey"), F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)))).alias("term"))
+    return docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("tkey"), F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)))).alias("term")).distinct()
 
 
 def _few(df: DataFrame) -> DataFrame:

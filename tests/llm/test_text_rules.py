@@ -57,6 +57,15 @@ def test_terms_that_disclose_an_entity(documents):
     assert all(clean[i] == t[i] for i, _ in away)
 
 
+def test_repeated_rows_count_once_for_terms(documents):
+    away = [(i, f"plain words number {chr(97 + i % 26) * 5} and common stuff") for i in range(200)]
+    near = [(1000 + i, f"common stuff from {'abcdef'[i] * 4} Zanzibar: ann@corp.org and {'uvwxyz'[i] * 5} common") for i in range(6)]
+    alone = [(2000, "we met in zanzibar once")] * 30
+    rows = [r for r in pii.digest(documents([*away, *near, *alone])).collect() if r["doc_id"] >= 1000]
+    assert [r["spans"] for r in rows if r["doc_id"] == 2000] == ["term:10:18"] * 30
+    assert all(len(set(x)) == len(x) for x in (r["spans"].split(",") for r in rows))
+
+
 def test_sanitise_keeps_rows_and_columns(odd, empty):
     out = pii.sanitise(odd)
     assert out.columns == odd.columns
