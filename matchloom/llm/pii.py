@@ -6,7 +6,7 @@ corpus. With N documents, n(e) of them naming entity e, n(t) of them using term
 close to e, the pointwise mutual information log2(N n(e, t) / (n(e) n(t))) is compared with what there is to
 disclose, the entity's information log2(N / n(e)). A term whose share of it reaches ``DISCLOSURE``, seen in
 ``SUPPORT`` different surroundings of the entity, is sensitive wherever it stands: removed if its share is all
-of it, generalised otherwise.
+of it, generalised to ``<TERM>`` otherwise.
 
 Positions come from what lies between matches, so they need no code outside SQL functions. Patterns are the
 stated ones with possessive repeats and borders that the leftmost match has anyway, so long runs cost linear time.
@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 from ..storage import cut, discard
 from .tables import free, let, read
 
-KINDS = ("email", "ip", "card", "phone", "term")
+#: A span's kind is its place here; the last two are terms to be generalised and to be removed.
+KINDS = ("email", "ip", "card", "phone", "term", "term")
+LABELS = ("<EMAIL>", "<IP>", "<CARD>", "<PHONE>", "<TERM>", "")
 _LOCAL = "A-Za-z0-9._%+-"
 PATTERNS = {
     "email": rf"(?:(?<![{_LOCAL}])|\G)[{_LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -34,6 +36,8 @@ PATTERNS = {
 }
 #: Characters of surroundings on either side, least different surroundings, least share of an entity's information.
 AROUND, SUPPORT, DISCLOSURE, TERM = 60, 3, 0.9, r"\p{L}{4,}"
+#: A share from here on is all of an entity's information; less than 1 for the rounding of logarithms.
+ALL = 1 - 1e-9
 BROADCAST_ROWS = 1_000_000
 SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 
@@ -120,7 +124,7 @@ def _few(df: DataFrame) -> DataFrame:
 
 
 def sensitive_terms(docs: DataFrame, found: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
-    """term, share (of the information of the entity it discloses most of) and kind of that entity."""
+    """term and share (of the information of the entity it discloses most of)."""
     near = found.where(F.size("mentions") > 0).select("doc_id", "tkey", F.explode("mentions").alias("m")).select("doc_id", "tkey", F.col("m.kind").alias("kind"), F.col("m.entity").alias("entity"), F.col("m.terms").alias("terms"))
     near = near.withColumn("place", F.xxhash64(F.array_sort("terms")))
     entity = ["kind", "entity"]
@@ -142,7 +146,7 @@ def sensitive_terms(docs: DataFrame, found: DataFrame, disclosure: float = DISCL
     wanted = cut(pairs.select("term").distinct(), "terms")
     used = _terms(docs).join(_few(wanted), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
     shares = pairs.join(used, "term").withColumn("share", share("n_t"))
-    out = cut(shares.where(F.col("share") >= disclosure).groupBy("term").agg(F.max("share").alias("share"), F.max_by("kind", F.struct("share", "kind")).alias("of")), "sensitive")
+    out = cut(shares.where(F.col("share") >= disclosure).groupBy("term").agg(F.max("share").alias("share")), "sensitive")
     discard(pairs, wanted)
     return out
 
@@ -156,10 +160,10 @@ def spans(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPOR
     terms = sensitive_terms(docs, found, disclosure, support)
     if not terms.head(1):
         return found.select("doc_id", "tkey", F.col("base").alias("spans"))
-    where = cut(_terms(docs).join(_few(terms), "term").groupBy("doc_id", "tkey").agg(F.collect_list("term").alias("terms")), "where")
+    where = cut(_terms(docs).join(_few(terms), "term").groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("term", F.when(F.col("share") >= ALL, 5).otherwise(4).alias("kind"))).alias("terms")), "where")
     texts = docs.withColumn("tkey", F.xxhash64("text")).select("doc_id", "tkey", "text").join(_few(where).select(F.col("doc_id").alias("i"), F.col("tkey").alias("t"), "terms"), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("tkey") == F.col("t")))
     pattern = lambda t: F.concat(F.lit(r"(?iu)(?<!\p{L})"), t, F.lit(r"(?!\p{L})"))
-    placed = texts.select("doc_id", "tkey", F.flatten(F.transform("terms", lambda t: find(F.col("text"), pattern(t), F.lit(4)))).alias("more")).distinct()
+    placed = texts.select("doc_id", "tkey", F.flatten(F.transform("terms", lambda t: find(F.col("text"), pattern(t["term"]), t["kind"]))).alias("more")).distinct()
     both = found.select("doc_id", "tkey", "base").join(placed.select(F.col("doc_id").alias("i"), F.col("tkey").alias("t"), "more"), F.col("doc_id").eqNullSafe(F.col("i")) & F.col("tkey").eqNullSafe(F.col("t")), "left")
     clear = F.filter(F.coalesce("more", F.array().cast(SPAN)), lambda x: ~F.exists("base", lambda b: (x["start"] < b["end"]) & (b["start"] < x["end"])))
     return both.select("doc_id", "tkey", F.array_sort(F.concat("base", clear)).alias("spans"))
@@ -171,7 +175,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
     some = cut(spans(docs).where(F.size("spans") > 0).select(F.col("doc_id").alias(i), F.col("tkey").alias(t), F.col("spans").alias(found)), "spans")
     # a text's row stays where it is unless too many have spans
     rows = docs.join(_few(some), docs["doc_id"].eqNullSafe(F.col(i)) & (F.xxhash64(docs["text"]) == F.col(t)) & docs["text"].isNotNull(), "left")
-    labels = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
+    labels = F.array(*[F.lit(x) for x in LABELS])
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:

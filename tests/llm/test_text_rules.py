@@ -66,6 +66,14 @@ def test_repeated_rows_count_once_for_terms(documents):
     assert all(len(set(x)) == len(x) for x in (r["spans"].split(",") for r in rows))
 
 
+def test_terms_that_disclose_all_are_removed(documents):
+    away = [(i, f"plain words number {chr(97 + i % 26) * 5} and common stuff") for i in range(200)]
+    near = [(1000 + i, f"common stuff {'abcdef'[i] * 4} Zanzibar Lisboa: ann@corp.org and {'uvwxyz'[i] * 5} common") for i in range(6)]
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(documents([*away, *near, (2000, "we met in lisboa once")])).collect()}
+    assert clean[1000] == "common stuff aaaa  <TERM>: <EMAIL> and uuuuu common"
+    assert clean[2000] == "we met in <TERM> once"
+
+
 def test_sanitise_keeps_rows_and_columns(odd, empty):
     out = pii.sanitise(odd)
     assert out.columns == odd.columns
