@@ -65,6 +65,13 @@ def test_stage_keeps_one_of_each_component(documents):
     assert {r["doc_id"] for r in out.collect()} == {i for i, (_, c) in expected.items() if c == i}
 
 
+def test_stage_finds_a_pair_at_the_threshold_that_25_bands_miss(documents):
+    words = [f"w15807x{i}" for i in range(54)]  # 40 of 50 shingles; found by trial
+    docs = documents([(1, " ".join(words[:44])), (2, " ".join(words))])
+    assert all(r["kept"] for r in N.near_duplicates(docs, k=5, percent=80).collect())
+    assert [r["doc_id"] for r in N.drop_near_duplicates(docs).collect()] == [1]
+
+
 def test_odd_input(odd, empty):
     got = N.near_duplicates(odd, k=3, percent=85).collect()
     assert len(got) == len(ODD)
