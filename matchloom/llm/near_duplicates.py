@@ -18,7 +18,7 @@ with 4e-6 and 1.2e-6.
 Results for odd input, all tested: null and empty texts have no shingles and link with nothing; a text of fewer
 than k words is one shingle; very long texts are hashed in slices; repeated rows get equal results; texts under
 one doc_id are one node; a null doc_id has no component and is kept; an empty table gives an empty table; other
-columns are not read, whatever their names.
+columns are not read, whatever their names. The stage keeps one row of each doc_id and text; a null doc_id's rows all stay.
 """
 
 from __future__ import annotations
@@ -275,11 +275,24 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 40, rows: int = 5) -> DataFrame:
-    """The documents, all columns as they are, of which one of each component stays: the one with its smallest id."""
+    """The documents, all columns as they are, of which one of each component stays: the one with its smallest id; rows repeated with one doc_id and text stay once."""
     (name,) = free(docs, "gone")
     gone = cut(near_duplicates(docs, k, percent, bands, rows).where(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct(), "gone")
     few = gone.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if few else gone, docs["doc_id"] == F.col(name), "left_anti")
+    return _once(docs.join(F.broadcast(gone) if few else gone, docs["doc_id"] == F.col(name), "left_anti"), docs)
+
+
+def _once(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """``rows`` (of ``docs``) with one row of each doc_id and text; only ids that ``docs`` repeats are dealt out."""
+    (name,) = free(docs, "again")
+    keys = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias(name), F.xxhash64("text").alias(f"{name}_t"))
+    again = cut(keys.groupBy(name, f"{name}_t").agg(F.count("*").alias(f"{name}_n")).where(F.col(f"{name}_n") > 1).select(name).distinct(), "again")
+    n = again.count()
+    if not n:
+        return rows
+    some = F.broadcast(again) if n <= BROADCAST_IDS else again
+    single = rows.join(some, F.col("doc_id") == F.col(name), "left_anti")
+    return single.unionByName(rows.join(some, F.col("doc_id") == F.col(name), "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

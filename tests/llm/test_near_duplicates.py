@@ -72,6 +72,15 @@ def test_stage_finds_a_pair_at_the_threshold_that_25_bands_miss(documents):
     assert [r["doc_id"] for r in N.drop_near_duplicates(docs).collect()] == [1]
 
 
+def test_stage_keeps_rows_repeated_with_one_id_once(documents):
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (1, "another text under one id"), (2, None), (2, None), (3, "g h i j k l m"), (None, "no id"), (None, "no id")]
+    docs = documents(rows, clashes=True)
+    out = N.drop_near_duplicates(docs)
+    assert out.columns == docs.columns
+    got = [(r["doc_id"], r["text"]) for r in out.collect()]
+    assert sorted(got, key=str) == sorted([*set(rows), (None, "no id")], key=str)
+
+
 def test_odd_input(odd, empty):
     got = N.near_duplicates(odd, k=3, percent=85).collect()
     assert len(got) == len(ODD)
