@@ -114,9 +114,9 @@ def _surroundings(text: Column, span: Column) -> Column:
 
 
 def _terms(docs: DataFrame) -> DataFrame:
-    """One row a document and term, rows repeated with one doc_id and text once: nothing else of the document goes with it."""
+    """One row a document and term: nothing else of the document goes with it. Rows repeated with one doc_id and text give theirs again."""
     text = F.lower("text")
-    return docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("tkey"), F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)))).alias("term")).distinct()
+    return docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("tkey"), F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)))).alias("term"))
 
 
 def _few(df: DataFrame) -> DataFrame:
@@ -144,7 +144,7 @@ def sensitive_terms(docs: DataFrame, found: DataFrame, disclosure: float = DISCL
     pairs = joint.join(places, [*entity, "term"]).join(named, entity).join(around, "term")
     pairs = cut(pairs.where(share("n_near") >= disclosure), "pairs")
     wanted = cut(pairs.select("term").distinct(), "terms")
-    used = _terms(docs).join(_few(wanted), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+    used = _terms(docs).join(_few(wanted), "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
     shares = pairs.join(used, "term").withColumn("share", share("n_t"))
     out = cut(shares.where(F.col("share") >= disclosure).groupBy("term").agg(F.max("share").alias("share")), "sensitive")
     discard(pairs, wanted)
@@ -160,7 +160,7 @@ def spans(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPOR
     terms = sensitive_terms(docs, found, disclosure, support)
     if not terms.head(1):
         return found.select("doc_id", "tkey", F.col("base").alias("spans"))
-    where = cut(_terms(docs).join(_few(terms), "term").groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("term", F.when(F.col("share") >= ALL, 5).otherwise(4).alias("kind"))).alias("terms")), "where")
+    where = cut(_terms(docs).join(_few(terms), "term").groupBy("doc_id", "tkey").agg(F.collect_set(F.struct("term", F.when(F.col("share") >= ALL, 5).otherwise(4).alias("kind"))).alias("terms")), "where")
     texts = docs.withColumn("tkey", F.xxhash64("text")).select("doc_id", "tkey", "text").join(_few(where).select(F.col("doc_id").alias("i"), F.col("tkey").alias("t"), "terms"), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("tkey") == F.col("t")))
     pattern = lambda t: F.concat(F.lit(r"(?iu)(?<!\p{L})"), t, F.lit(r"(?!\p{L})"))
     placed = texts.select("doc_id", "tkey", F.flatten(F.transform("terms", lambda t: find(F.col("text"), pattern(t["term"]), t["kind"]))).alias("more")).distinct()
