@@ -5,18 +5,13 @@ Attributes are ``array<struct<key, value>>``; text is split at characters that a
 
 from __future__ import annotations
 
-import glob
-import os
-import zipfile
 from collections.abc import Callable, Iterable
-from functools import cache
 
-import pyspark
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SEPARATORS = r"[\W_]"
-NGRAM, SUFFIX, EXTENDED_SHARE, EXTENDED_CAP = 3, 2, 0.95, 15
+NGRAM, SUFFIX, EXTENDED_SHARE = 3, 2, 0.95
 ATTRIBUTES = "array<struct<key:string,value:string>>"
 
 
@@ -41,9 +36,24 @@ def tokens(attributes: Column, exclude: Iterable[str] = ()) -> Column:
     return F.flatten(F.transform(usable(attributes, exclude), lambda a: text_tokens(a["value"])))
 
 
+def characters(text: Column) -> Column:
+    return F.filter(F.split(text, ""), lambda c: c != "")
+
+
+def runs(items: Column, n: int, separator: str = "") -> Column:
+    """Runs of ``n`` neighbouring items, joined; fewer items are one run. An item is found by its place at once, so long lists take linear time."""
+
+    def each(xs: Column) -> Column:
+        run = lambda x, i: F.concat_ws(separator, x, *[F.get(xs, i + k) for k in range(1, n)])
+        return F.when(F.size(xs) <= n, F.array(F.array_join(xs, separator))).otherwise(F.slice(F.transform(xs, run), 1, F.greatest(F.size(xs) - (n - 1), F.lit(1))))
+
+    return let(items, each)
+
+
 def windows(token: Column, n: int) -> Column:
     """Runs of ``n`` characters; a shorter string is itself."""
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(token) - (n - 1), F.lit(1))), lambda i: F.substring(token, i, F.lit(n)))
+    short = F.transform(F.sequence(F.lit(1), F.greatest(F.length(token) - (n - 1), F.lit(1))), lambda i: F.substring(token, i, F.lit(n)))
+    return F.when(F.length(token) <= 64, short).otherwise(runs(characters(token), n))  # finding a place in a string takes longer the further it is
 
 
 def ngrams(attributes: Column, exclude: Iterable[str] = (), n: int = NGRAM) -> Column:
@@ -70,18 +80,25 @@ def substrings(attributes: Column, exclude: Iterable[str] = (), least: int = SUF
     return F.flatten(F.transform(tokens(attributes, exclude), lambda t: token_substrings(t, least)))
 
 
-def token_extended_qgrams(token: Column, n: int = NGRAM, cap: int = EXTENDED_CAP) -> Column:
-    """Concatenations, in order, of all q-grams and of all but one.
+def token_extended_qgrams(token: Column, n: int = NGRAM, share: float = EXTENDED_SHARE) -> Column:
+    """Concatenations, in order, of all q-grams and of any choice of at least ``share`` of them, one at least.
 
-    Up to ``cap`` q-grams count (under 21 of them, a share of 0.95 leaves out one at most); a longer token keeps its first.
+    No q-gram is left out of account. Up to 20 of them one at most may be missing, so keys are as many as q-grams; beyond,
+    two and more may be, and the number of keys grows with the binomial: 742 from 38 q-grams, 1.7 million from 80.
     """
 
     def keys(grams: Column) -> Column:
-        whole = F.array_join(grams, "")
-        but = F.transform(F.sequence(F.lit(0), F.size(grams) - 1), lambda k: F.array_join(F.filter(grams, lambda _, i: i != k), ""))
-        return F.when(F.size(grams) == 1, F.array(whole)).otherwise(F.array_distinct(F.concat(F.array(whole), but)))
+        may_miss = F.size(grams) - F.greatest(F.floor(F.size(grams) * F.lit(share)).cast("int"), F.lit(1))
+        begun = F.array(F.struct(F.lit("").alias("s"), F.lit(0).alias("missing")))
+
+        def step(made: Column, gram: Column) -> Column:
+            with_it = F.transform(made, lambda m: F.struct(F.concat(m["s"], gram).alias("s"), m["missing"].alias("missing")))
+            without = F.transform(F.filter(made, lambda m: m["missing"] < may_miss), lambda m: F.struct(m["s"].alias("s"), (m["missing"] + 1).alias("missing")))
+            return F.concat(with_it, without)
+
+        return F.array_distinct(F.transform(F.aggregate(grams, begun, step), lambda m: m["s"]))
 
-    return let(F.slice(windows(token, n), 1, cap), keys)
+    return let(windows(token, n), keys)
 
 
 def extended_qgrams(attributes: Column, exclude: Iterable[str] = (), n: int = NGRAM) -> Column:
@@ -96,20 +113,24 @@ def keyed_ngrams(attributes: Column, exclude: Iterable[str] = (), n: int = NGRAM
 
 def character_codes(token: Column) -> Column:
     """The code of each character."""
-    return F.transform(F.filter(F.split(token, ""), lambda c: c != ""), lambda c: F.ascii(c))
+    return F.transform(characters(token), lambda c: F.ascii(c))
 
 
-@cache
-def stop_words() -> tuple[str, ...]:
-    """Spark's English stop words, from its own jar."""
-    jar = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))[0]
-    with zipfile.ZipFile(jar) as z:
-        return tuple(z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode().split("\n"))
+# The English stop words of Spark's StopWordsRemover, which results have to agree with.
+STOP_WORDS = """
+i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs
+themselves what which who whom this that these those am is are was were be been being have has had having do does did doing a an the and but if or
+because as until while of at by for with about against between into through during before after above below to from up down in out on off over under
+again further then once here there when where why how all any both each few more most other some such no nor not only own same so than too very s t
+can will just don should now i'll you'll he'll she'll we'll they'll i'd you'd he'd she'd we'd they'd i'm you're he's she's it's we're they're i've
+we've you've they've isn't aren't wasn't weren't haven't hasn't hadn't don't doesn't didn't won't wouldn't shan't shouldn't mustn't can't couldn't
+cannot could here's how's let's ought that's there's what's when's where's who's why's would
+""".split()
 
 
 def is_good_word(token: Column) -> Column:
     """All ASCII letters or all digits, and no stop word."""
-    return token.rlike("^([A-Za-z]+|[0-9]+)$") & ~token.isin([w for w in stop_words() if w])
+    return token.rlike("^([A-Za-z]+|[0-9]+)$") & ~token.isin(STOP_WORDS)
 
 
 def token_set(attributes: Column) -> Column:
@@ -118,15 +139,12 @@ def token_set(attributes: Column) -> Column:
 
 def character_ngrams(attributes: Column, n: int = 2) -> Column:
     """Character n-grams of the joined tokens, across their borders."""
-    characters = F.filter(F.split(F.array_join(token_set(attributes), ""), ""), lambda c: c != "")
-    # by list places, as finding a place in a string takes longer the further it is
-    runs = lambda cs: F.transform(F.sequence(F.lit(1), F.greatest(F.size(cs) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(cs, i, n), ""))
-    return let(characters, lambda cs: F.when(F.size(cs) == 0, F.array().cast("array<string>")).otherwise(runs(cs)))
+    return let(characters(F.array_join(token_set(attributes), "")), lambda cs: F.when(F.size(cs) == 0, F.array().cast("array<string>")).otherwise(runs(cs, n)))
 
 
 def word_ngrams(words: Column, n: int = 1) -> Column:
     """Runs of ``n`` words; fewer words are one run."""
-    return let(words, lambda ws: F.transform(F.sequence(F.lit(1), F.greatest(F.size(ws) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(ws, i, n), " ")))
+    return runs(words, n, " ")
 
 
 def attribute_values(attributes: Column, key: str, separator: str = " ") -> Column:

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import keys as K
-from .ranking import with_position
+from ..storage import cut
+from .ranking import following, with_position
 
 
 def keyed(profiles: DataFrame, make_keys: Callable[[Column], Column] = K.tokens, remove_stop_words: bool = False) -> DataFrame:
@@ -29,13 +30,15 @@ def sizes(assignments: DataFrame, clean: bool = False, by: tuple[str, ...] = ("k
     return both.select(*by, "size", F.expr("(size * size - squares) div 2").alias("comparisons"))
 
 
-def keep_comparable(assignments: DataFrame, clean: bool = False, by: tuple[str, ...] = ("key",)) -> DataFrame:
-    """Members of blocks that compare anything."""
-    return assignments.join(sizes(assignments, clean, by).where("comparisons > 0").select(*by), list(by), "left_semi")
+def keep_comparable(assignments: DataFrame, clean: bool = False, by: tuple[str, ...] = ("key",), blocks: DataFrame | None = None) -> DataFrame:
+    """Members of blocks that compare anything. The assignments are read twice unless ``blocks`` has their sizes: give a written table."""
+    blocks = sizes(assignments, clean, by) if blocks is None else blocks
+    return assignments.join(blocks.where("comparisons > 0").select(*by), list(by), "left_semi")
 
 
 def token_blocking(profiles: DataFrame, clean: bool = False, make_keys: Callable[[Column], Column] = K.tokens, remove_stop_words: bool = False) -> DataFrame:
-    return keep_comparable(keyed(profiles, make_keys, remove_stop_words), clean)
+    """Profiles are cut into keys once; the keys are written down, since their sizes and their members are both read."""
+    return keep_comparable(cut(keyed(profiles, make_keys, remove_stop_words), "keyed"), clean)
 
 
 def schema_aware_blocking(profiles: DataFrame, clusters: DataFrame, clean: bool = True, drop_default: bool = False) -> DataFrame:
@@ -53,16 +56,30 @@ def schema_aware_blocking(profiles: DataFrame, clusters: DataFrame, clean: bool
         rows = rows.where("cluster_id <> default_id")
     rows = rows.withColumn("key", F.concat_ws("_", "token", F.col("cluster_id").cast("string")))
     rows = rows.groupBy("key", "profile_id", "source_id").agg(F.first("cluster_id").alias("cluster_id"), F.first("entropy").alias("entropy"), F.array_sort(F.collect_set("attribute")).alias("attributes"))
-    return keep_comparable(rows, clean)
+    return keep_comparable(cut(rows, "keyed"), clean)
 
 
-def sorted_neighbourhood(profiles: DataFrame, window: int, clean: bool = False, make_keys: Callable[[Column], Column] = K.tokens, remove_stop_words: bool = False) -> DataFrame:
-    """Windows of ``window`` consecutive (key, profile) rows, over the whole order; a window's key is its first position."""
+def neighbour_windows(profiles: DataFrame, window: int, make_keys: Callable[[Column], Column] = K.tokens, remove_stop_words: bool = False) -> DataFrame:
+    """(key, members): windows of ``window`` consecutive (key, profile) rows over the whole order, keyed by their first position; each profile once."""
     if window < 1:
         raise ValueError("a window has one row or more")
     rows = with_position(keyed(profiles, make_keys, remove_stop_words), ["key", "profile_id"])
     n = rows.agg(F.count("*")).first()[0]
-    first = F.greatest(F.col("position") - (window - 1), F.lit(0).cast("long"))
-    last = F.least(F.col("position"), F.lit(max(n - window, 0)).cast("long"))
-    wide = rows.select(F.explode(F.sequence(first, last)).alias("key"), "profile_id", "source_id").distinct()
-    return keep_comparable(wide, clean)
+    near = following(rows.select("position", F.struct("profile_id", "source_id").alias("m")), "m", window)
+    return near.where(F.col("position") <= max(n - window, 0)).select(F.col("position").alias("key"), F.array_distinct("near").alias("members"))
+
+
+def window_sizes(windows: DataFrame, clean: bool = False) -> DataFrame:
+    """(key, size, comparisons) of the windows that compare anything, from their own rows."""
+    size = F.size("members").cast("long")
+    of = lambda s: F.size(F.filter("members", lambda m: m["source_id"] == s)).cast("long")
+    squares = F.aggregate(F.array_distinct("members.source_id"), F.lit(0).cast("long"), lambda a, s: a + of(s) * of(s))
+    rows = windows.select("key", size.alias("size"), (squares if clean else F.lit(0)).alias("q"))
+    return rows.select("key", "size", F.expr("(size * size - q) div 2" if clean else "size * (size - 1)").alias("comparisons")).where("comparisons > 0")
+
+
+def sorted_neighbourhood(profiles: DataFrame, window: int, clean: bool = False, make_keys: Callable[[Column], Column] = K.tokens, remove_stop_words: bool = False) -> DataFrame:
+    """The members of the windows that compare anything; a window knows that by itself, so nothing is shuffled for it."""
+    windows = neighbour_windows(profiles, window, make_keys, remove_stop_words)
+    apart = (F.size(F.array_distinct("members.source_id")) if clean else F.size("members")) > 1
+    return windows.where(apart).select("key", F.explode("members").alias("m")).select("key", "m.profile_id", "m.source_id")

@@ -1,7 +1,8 @@
 """The comparison graph: pairs that share blocks, and their weights.
 
 Pairs are made by one self-join on the block key and summed up by pair; each weight is an expression over the
-sums and over one row of statistics a profile. Build it from purged blocks: a block's pairs are its comparisons.
+sums and over one row of statistics a profile. Build it from purged blocks: a block's pairs are its comparisons, and
+all of them are made. A large block is dealt to tiles of ``TILE`` by ``TILE`` members, so no task has it whole.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from ..storage import cut
 from .blocking import sizes
 
+TILE = 2_000
 WEIGHTS = ("cbs", "js", "chi_square", "arcs", "arcs_textbook", "ejs", "ecbs")
 
 
@@ -27,20 +29,34 @@ class Graph:
     clean: bool
 
 
+def _tiled(rows: DataFrame, size: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a block's self-join with ``tile`` to join on: member x of part i meets y of part j >= i in tile (i, j)."""
+    parts = F.ceil(F.col(size) / TILE).cast("int")
+    dealt = rows.withColumn("parts", parts).withColumn("part", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("id"), "parts")).otherwise(0).cast("int"))
+    after = F.transform(F.sequence(F.col("part"), F.col("parts") - 1), lambda j: F.struct(F.col("part").alias("i"), j.alias("j")))
+    before = F.transform(F.sequence(F.lit(0), F.col("part")), lambda i: F.struct(i.alias("i"), F.col("part").alias("j")))
+    return tuple(dealt.withColumn("tile", F.explode(side)).drop("parts", size) for side in (after, before))
+
+
 def build(assignments: DataFrame, clean: bool = False, entropy: str | None = None, min_common: int = 1) -> Graph:
     """``entropy`` names a column of ``assignments``; degrees count neighbours that share ``min_common`` blocks."""
-    blocks = sizes(assignments, clean)
-    rows = assignments.join(blocks.select("key", "comparisons"), "key").select("key", F.col("profile_id").alias("id"), "source_id", "comparisons", (F.col(entropy) if entropy else F.lit(1.0)).cast("double").alias("h"))
-    rows = cut(rows, "members")  # read for pairs, nodes and totals
-    a, b = rows.alias("a"), rows.select("key", "id", "source_id").alias("b")
+    assignments = assignments.select("key", "profile_id", "source_id", (F.col(entropy) if entropy else F.lit(1.0)).cast("double").alias("h"))
+    assignments = cut(assignments, "assignments")  # read for sizes and members
+    blocks = cut(sizes(assignments, clean), "blocks")
+    rows = assignments.join(blocks, "key").select("key", F.col("profile_id").alias("id"), "source_id", "size", "comparisons", "h")
+    rows = cut(rows, "members")  # read for both sides of pairs and for nodes
+    a, b = _tiled(rows, "size")
+    a, b = a.alias("a"), b.select("key", "tile", "id", "source_id", "part").alias("b")
     apart = (F.col("a.source_id") != F.col("b.source_id")) if clean else F.lit(True)
-    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & apart)
-    pairs = met.groupBy(F.col("a.id").alias("id1"), F.col("b.id").alias("id2")).agg(F.count("*").alias("shared"), F.sum("h").alias("entropy"), F.sum(1 / F.col("comparisons").cast("double")).alias("arcs"))
+    once = (F.col("a.part") != F.col("b.part")) | (F.col("a.id") < F.col("b.id"))
+    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.tile") == F.col("b.tile")) & once & apart)
+    pair = [F.least("a.id", "b.id").alias("id1"), F.greatest("a.id", "b.id").alias("id2")]
+    pairs = met.groupBy(*pair).agg(F.count("*").alias("shared"), F.sum("h").alias("entropy"), F.sum(1 / F.col("comparisons").cast("double")).alias("arcs"))
     pairs = cut(pairs, "pairs")
     near = pairs.where(F.col("shared") >= min_common)
     degree = near.select(F.explode(F.array("id1", "id2")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
     nodes = rows.groupBy("id").agg(F.count("*").alias("blocks"), F.sum(F.ln(F.col("comparisons").cast("double"))).alias("log_product"), F.sum("h").alias("own_entropy"), F.sum(1 / F.col("comparisons").cast("double")).alias("own_arcs"))
-    nodes = nodes.join(degree, "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    nodes = cut(nodes.join(degree, "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0))), "nodes")
     totals = blocks.agg(F.count("*").alias("n_blocks"), F.sum("size").alias("members")).join(F.broadcast(near.agg(F.count("*").alias("n_edges"))))
     return Graph(pairs, nodes, totals, clean)
 

@@ -1,4 +1,8 @@
-"""Scores of candidate pairs (id1, id2) over profiles, as sums over the terms that both sides share."""
+"""Scores of candidate pairs (id1, id2) over profiles.
+
+Scores of sets and of minima of counts come from what two arrays have in common, one row a pair; those with products
+or shares of counts are sums over the terms that both sides share.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import keys as K
+from ..storage import cut
 
 SCORES = ("jaccard", "enhanced_jaccard", "generalised_jaccard", "cosine", "character_cosine")
 
@@ -29,13 +34,25 @@ def _scored(pairs: DataFrame, bag: DataFrame, score: Column) -> DataFrame:
     return rows.select("id1", "id2", score.alias("score"))
 
 
+def _by_sets(pairs: DataFrame, sets: DataFrame, score: Column) -> DataFrame:
+    """Pairs scored from what two arrays have in common: one row a pair, no term is dealt out by itself. ``sets`` is (id, items, d)."""
+    sets = cut(sets.where(F.size("items") > 0), "sets")
+    for side in ("1", "2"):
+        pairs = pairs.join(sets.select(F.col("id").alias(f"id{side}"), F.col("items").alias(f"items{side}"), F.col("d").alias(f"d{side}")), f"id{side}")
+    both = pairs.select("id1", "id2", "d1", "d2", F.size(F.array_intersect("items1", "items2")).alias("m"))
+    return both.select("id1", "id2", score.alias("score"))
+
+
 def score(pairs: DataFrame, profiles: DataFrame, how: str = "jaccard") -> DataFrame:
     """(id1, id2, score). Profiles without a term have no score: such pairs are left out."""
-    attributes = F.col("attributes")
+    attributes, sets = F.col("attributes"), F.try_divide(F.col("m"), F.col("d1") + F.col("d2") - F.col("m"))
     if how == "jaccard":
-        return _scored(pairs, bags(profiles, K.token_set(attributes)), F.try_divide(F.col("c"), F.col("d1") + F.col("d2") - F.col("c")))
-    if how == "enhanced_jaccard":  # a bag above, sets below: may exceed 1
-        return _scored(pairs, bags(profiles, K.tokens(attributes)), F.try_divide(F.col("m"), F.col("d1") + F.col("d2") - F.col("m")))
+        items = profiles.select("id", K.token_set(attributes).alias("items"))
+        return _by_sets(pairs, items.withColumn("d", F.size("items")), sets)
+    if how == "enhanced_jaccard":  # a bag above, sets below: may exceed 1. A term's k-th occurrence is an item, so what is common is the sum of minima
+        each = F.transform(F.sequence(F.lit(1), F.col("n")), lambda k: F.concat(F.col("term"), F.lit("\t"), k.cast("string")))
+        items = bags(profiles, K.tokens(attributes)).groupBy("id").agg(F.flatten(F.collect_list(each)).alias("items"), F.count("*").alias("d"))
+        return _by_sets(pairs, items, sets)
     if how == "generalised_jaccard":  # shares sum up to 1 on either side
         return _scored(pairs, bags(profiles, K.tokens(attributes)), F.try_divide(F.col("f"), 2 - F.col("f")))
     cosine = F.try_divide(F.col("p").cast("double"), F.sqrt(F.col("q1").cast("double") * F.col("q2")))

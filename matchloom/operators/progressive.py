@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import keys as K
-from .ranking import with_position
+from .ranking import following, with_position
 
 
 def neighbour_list(profiles: DataFrame, raw: bool = False) -> DataFrame:
@@ -24,11 +24,11 @@ def neighbour_list(profiles: DataFrame, raw: bool = False) -> DataFrame:
 def _close(profiles: DataFrame, window: int, clean: bool, raw: bool) -> tuple[DataFrame, DataFrame]:
     """Pairs of positions up to ``window`` apart as (w, id1, id2), and (id, n) positions of each profile."""
     rows = neighbour_list(profiles, raw)
-    ahead = rows.select(F.col("position"), F.col("id").alias("a"), F.col("source_id").alias("sa"), F.explode(F.sequence(F.lit(1), F.lit(window))).alias("w")).withColumn("position", F.col("position") + F.col("w"))
-    met = ahead.join(rows, "position").where(F.col("a") != F.col("id"))
+    near = following(rows.select("position", F.struct("id", "source_id").alias("m")), "m", window + 1)
+    met = near.select(F.get("near", F.lit(0)).alias("a"), F.posexplode("near").alias("w", "b")).where((F.col("w") > 0) & (F.col("a.id") != F.col("b.id")))
     if clean:
-        met = met.where(F.col("sa") != F.col("source_id"))
-    pairs = met.select("w", F.least("a", "id").alias("id1"), F.greatest("a", "id").alias("id2"))
+        met = met.where(F.col("a.source_id") != F.col("b.source_id"))
+    pairs = met.select("w", F.least("a.id", "b.id").alias("id1"), F.greatest("a.id", "b.id").alias("id2"))
     return pairs, rows.groupBy("id").agg(F.count("*").alias("n"))
 
 
@@ -59,5 +59,3 @@ def comparisons(ranking: DataFrame) -> Iterator[tuple[int, int, float]]:
     """Best first, fetched partition by partition."""
     for r in ranking.orderBy(*emission_order(ranking)).toLocalIterator():
         yield r["id1"], r["id2"], r["weight"]
-
-

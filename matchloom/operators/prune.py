@@ -15,10 +15,10 @@ def weight_edge_pruning(graph: Graph, scheme: str = "cbs", **options) -> DataFra
     return edges.join(F.broadcast(edges.agg(F.avg("weight").alias("mean"))), F.col("weight") >= F.col("mean")).drop("mean")  # one row
 
 
-def cardinality_edge_pruning(graph: Graph, scheme: str = "cbs", **options) -> DataFrame:
-    """As many of the heaviest edges as half the members of all blocks; ties go to smaller ids."""
-    members = graph.totals.first()["members"] or 0
-    return top_k(weighted(graph, scheme, **options).where("weight is not null"), members // 2, [-F.col("weight"), "id1", "id2"])
+def cardinality_edge_pruning(graph: Graph, scheme: str = "cbs", keep: int | None = None, **options) -> DataFrame:
+    """As many of the heaviest edges as half the members of all blocks, or ``keep`` of them; ties go to smaller ids."""
+    keep = (graph.totals.first()["members"] or 0) // 2 if keep is None else keep
+    return top_k(weighted(graph, scheme, **options).where("weight is not null"), keep, [-F.col("weight"), "id1", "id2"])
 
 
 def _check(name: str, value: str, allowed: tuple[str, ...]) -> None:

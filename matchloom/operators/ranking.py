@@ -8,22 +8,56 @@ from pyspark.sql import functions as F
 from ..storage import cut
 
 
+def _ranges(df: DataFrame, keys: dict) -> DataFrame:
+    """``df`` dealt out by range of ``keys`` and written down with its range, so that numbers hold if a task runs again."""
+    dealt = df.withColumns(keys).repartitionByRange(*[F.col(k) for k in keys]).withColumn("_range", F.spark_partition_id())
+    return cut(dealt, "ranges")
+
+
+def _before(dealt: DataFrame, sums: dict) -> DataFrame:
+    """``_range`` and what the ranges before it hold of each sum: one row a range."""
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    each = dealt.groupBy("_range").agg(*[v.alias(k) for k, v in sums.items()])
+    return each.select("_range", *[F.coalesce(F.sum(k).over(before), F.lit(0)).alias(f"{k}_before") for k in sums])
+
+
 def with_position(df: DataFrame, order: list, name: str = "position") -> DataFrame:
     """``df`` with its 0-based position under ``order``: columns, ascending, which should decide all ties.
 
-    Rows are dealt out by range and the ranges are written down, so their numbers hold if a task runs again;
-    a row's position is its rank in its range plus the rows before the range, one number a range.
+    A row's position is its rank in its range plus the rows before the range.
     """
     keys = {f"_o{i}": (F.col(c) if isinstance(c, str) else c) for i, c in enumerate(order)}
-    dealt = df.withColumns(keys).repartitionByRange(*[F.col(k) for k in keys]).withColumn("_range", F.spark_partition_id())
-    dealt = cut(dealt, "ranges")
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = dealt.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))  # one row a range
+    dealt = _ranges(df, keys)
     inside = F.row_number().over(Window.partitionBy("_range").orderBy(*keys)) - 1
-    out = dealt.withColumn(name, inside.cast("long")).join(F.broadcast(starts), "_range")
-    return out.withColumn(name, F.col(name) + F.col("_start")).drop("_range", "_start", *keys)
+    out = dealt.withColumn(name, inside.cast("long")).join(F.broadcast(_before(dealt, {"_n": F.count("*")})), "_range")
+    return out.withColumn(name, F.col(name) + F.col("_n_before")).drop("_range", "_n_before", *keys)
+
+
+def running_sums(df: DataFrame, by: str, sums: dict[str, str]) -> DataFrame:
+    """``by`` (which decides all ties), position, and for each column of ``sums`` its sum up to the row, under the new name."""
+    dealt = _ranges(df.select(by, *sums), {"_o": F.col(by)})
+    upto = Window.partitionBy("_range").orderBy("_o").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    starts = _before(dealt, {"_n": F.count("*"), **{c: F.sum(c) for c in sums}})
+    own = dealt.select(by, "_range", (F.row_number().over(Window.partitionBy("_range").orderBy("_o")) - 1).cast("long").alias("_i"), *[F.sum(c).over(upto).alias(n) for c, n in sums.items()])
+    out = own.join(F.broadcast(starts), "_range")
+    return out.select(by, (F.col("_i") + F.col("_n_before")).alias("position"), *[(F.col(n) + F.col(f"{c}_before")).alias(n) for c, n in sums.items()])
 
 
 def top_k(df: DataFrame, k: int, order: list) -> DataFrame:
     """The first ``k`` rows under ``order``, for a ``k`` that grows with the data."""
     return with_position(df, order, "_position").where(F.col("_position") < k).drop("_position")
+
+
+def following(rows: DataFrame, value: str, n: int, stretch: int = 65_536) -> DataFrame:
+    """(position, near): each position with its ``value`` and those at the ``n - 1`` positions after it, fewer at the end.
+
+    Positions (0, 1, ...) are dealt to stretches; only the first ``n - 1`` rows of a stretch go to the one before, too.
+    """
+    stretch = max(stretch, n)
+    home = F.floor(F.col("position") / stretch)
+    also = F.when((F.col("position") % stretch < n - 1) & (home > 0), F.array(home, home - 1)).otherwise(F.array(home))
+    dealt = rows.select("position", F.col(value).alias("_v"), F.explode(also).alias("_s"))
+    order = Window.partitionBy("_s").orderBy("position")
+    near = F.array(F.col("_v"), *[F.lead("_v", k).over(order) for k in range(1, n)])
+    out = dealt.select("position", "_s", near.alias("near")).where(home == F.col("_s"))
+    return out.select("position", F.filter("near", lambda x: x.isNotNull()).alias("near"))

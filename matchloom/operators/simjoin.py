@@ -10,14 +10,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import keys as K
+from ..storage import cut
 
 
 def classes(docs: DataFrame, value: str) -> tuple[DataFrame, DataFrame]:
     """(representatives (id, value), membership (id, rep)); the representative is the smallest id."""
-    reps = docs.groupBy(value).agg(F.min("id").alias("rep"))
+    docs = cut(docs, "values")
+    reps = cut(docs.groupBy(value).agg(F.min("id").alias("rep")), "classes")
     return reps.select(F.col("rep").alias("id"), value), docs.join(reps, value).select("id", "rep")
 
 
+def memberships(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """(id, rep, n_links): each document with its class and with how many others it is linked, from sizes of classes; no pair of copies is made."""
+    size = members.groupBy("rep").agg(F.count("*").alias("n"))
+    both = pairs.select(F.explode(F.array(F.struct(F.col("id1").alias("a"), F.col("id2").alias("b")), F.struct(F.col("id2").alias("a"), F.col("id1").alias("b")))).alias("p")).select(F.col("p.a").alias("rep"), F.col("p.b").alias("other"))
+    linked = both.join(size.select(F.col("rep").alias("other"), F.col("n").alias("m")), "other").groupBy("rep").agg(F.sum("m").alias("m"))
+    links = size.join(linked, "rep", "left").select("rep", (F.col("n") - 1 + F.coalesce("m", F.lit(0))).alias("n_links"))
+    return members.join(links, "rep").select("id", "rep", "n_links")
+
+
+def links(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """Edges (id1, id2, weight) with the same components as all pairs: those of representatives, and each member with its own."""
+    own = members.where("id <> rep").select(F.col("rep").alias("id1"), F.col("id").alias("id2"), F.lit(1.0).alias("weight"))
+    return pairs.select("id1", "id2", F.col("similarity").alias("weight")).unionByName(own)
+
+
 def expand(pairs: DataFrame, members: DataFrame, same: DataFrame | None = None) -> DataFrame:
     """Pairs of members from pairs of representatives (id1, id2, ...), and pairs inside a class with the columns of ``same``."""
     rest = [c for c in pairs.columns if c not in ("id1", "id2")]
@@ -29,7 +46,7 @@ def expand(pairs: DataFrame, members: DataFrame, same: DataFrame | None = None)
 
 def ordered_tokens(docs: DataFrame) -> DataFrame:
     """(id, tokens): distinct tokens, rare ones first (by documents that have them, then by name)."""
-    rows = docs.select("id", F.explode(F.array_distinct(K.text_tokens(F.col("text")))).alias("token"))
+    rows = cut(docs.select("id", F.explode(F.array_distinct(K.text_tokens(F.col("text")))).alias("token")), "tokens")  # read for frequencies and sets
     df = rows.groupBy("token").agg(F.count("*").alias("df"))
     entry = F.struct("df", "token")
     return rows.join(df, "token").groupBy("id").agg(F.array_sort(F.collect_list(entry)).alias("t")).select("id", F.col("t.token").alias("tokens"))
@@ -40,7 +57,7 @@ def _ceil(x: Column) -> Column:
     return F.ceil(x - 1e-9)
 
 
-def set_join(sets: DataFrame, threshold: float, sources: DataFrame | None = None) -> DataFrame:
+def set_join(sets: DataFrame, threshold: float) -> DataFrame:
     """(id1, id2, similarity) of the sets (id, tokens in rare-first order) with Jaccard of at least ``threshold``.
 
     Sets that are so similar share one of their first tokens; those are met on, then lengths and positions rule
@@ -50,10 +67,8 @@ def set_join(sets: DataFrame, threshold: float, sources: DataFrame | None = None
         raise ValueError("0 < threshold <= 1")
     n = F.size("tokens")
     rows = sets.withColumn("n", n)
-    if sources is not None:
-        rows = rows.join(sources, "id")
     prefix = F.slice("tokens", 1, (n - _ceil(n * threshold) + 1).cast("int"))
-    firsts = rows.select("id", "n", *(["source_id"] if sources is not None else []), F.posexplode(prefix).alias("at", "token"))
+    firsts = rows.select("id", "n", F.posexplode(prefix).alias("at", "token"))
     a, b = firsts.alias("a"), firsts.alias("b")
     long_, short = F.greatest("a.n", "b.n"), F.least("a.n", "b.n")
     rest = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at"))
@@ -61,8 +76,6 @@ def set_join(sets: DataFrame, threshold: float, sources: DataFrame | None = None
     before = F.least("a.at", "b.at")
     enough = before + rest >= _ceil(threshold * (F.col("a.n") + F.col("b.n")) / (1 + threshold))
     on = (F.col("a.token") == F.col("b.token")) & (F.col("a.id") < F.col("b.id")) & (short >= _ceil(long_ * threshold)) & enough
-    if sources is not None:
-        on = on & (F.col("a.source_id") != F.col("b.source_id"))
     need = _ceil(threshold * (F.col("n1") + F.col("n2")) / (1 + threshold))
     ends = [F.max("a.at").alias("at1"), F.max("b.at").alias("at2"), F.first("a.n").alias("n1"), F.first("b.n").alias("n2")]
     met = a.join(b, on).groupBy(F.col("a.id").alias("id1"), F.col("b.id").alias("id2")).agg(F.count("*").alias("c"), *ends)
@@ -83,38 +96,70 @@ def jaccard_join(docs: DataFrame, threshold: float, expanded: bool = True) -> Da
     return expand(pairs, members, same) if expanded else (pairs, members)
 
 
-def jaccard_join_sources(docs: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of different sources of ``docs`` (id, source_id, text)."""
-    return set_join(ordered_tokens(docs).where(F.size("tokens") > 0), threshold, docs.select("id", "source_id"))
+def jaccard_join_sources(docs: DataFrame, threshold: float, expanded: bool = True) -> DataFrame | tuple[DataFrame, DataFrame]:
+    """Pairs of different sources of ``docs`` (id, source_id, text); or pairs of representatives and the membership.
 
-
-def edit_join(docs: DataFrame, q: int, distance: int) -> DataFrame:
-    """(id1, id2) of the texts of ``docs`` (id, text) within ``distance`` edits.
-
-    Texts share one of their q * distance + 1 rarest q-grams if both have more than q * distance of them. Shorter
-    texts meet all that are close in length, by length.
+    A set is joined once, whatever its sources: a representative has the list of them, and meets another one if
+    there are two different ones between both. Members of one set are pairs across sources, too, with similarity 1.
+    """
+    sets, members = classes(ordered_tokens(docs).where(F.size("tokens") > 0), "tokens")
+    members = cut(members.join(docs.select("id", "source_id"), "id"), "members")
+    pairs = set_join(sets, threshold)
+    sources = members.groupBy("rep").agg(F.collect_set("source_id").alias("s"))
+    for side in ("1", "2"):
+        pairs = pairs.join(sources.select(F.col("rep").alias(f"id{side}"), F.col("s").alias(f"s{side}")), f"id{side}")
+    pairs = pairs.where(F.size(F.array_union("s1", "s2")) > 1).select("id1", "id2", "similarity")
+    if not expanded:
+        return pairs, members
+    a, b = (members.select(F.col("id").alias(f"m{i}"), F.col("rep").alias(f"id{i}"), F.col("source_id").alias(f"src{i}")) for i in "12")
+    across = pairs.join(a, "id1").join(b, "id2").where("src1 <> src2").select("m1", "m2", "similarity")
+    inside = a.join(b, (F.col("id1") == F.col("id2")) & (F.col("m1") < F.col("m2")) & (F.col("src1") != F.col("src2"))).select("m1", "m2", F.lit(1.0).alias("similarity"))
+    return across.unionByName(inside).select(F.least("m1", "m2").alias("id1"), F.greatest("m1", "m2").alias("id2"), "similarity")
+
+
+def _occurrences(grams: Column) -> Column:
+    """Sorted (tf, gram, at) as items: a gram's k-th occurrence is the same item in every text."""
+    zero = F.struct(F.lit("").alias("gram"), F.lit(0).alias("k"), F.array().cast("array<string>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        k = F.when(acc["gram"] == x["gram"], acc["k"] + 1).otherwise(1)
+        return F.struct(x["gram"].alias("gram"), k.alias("k"), F.concat(acc["out"], F.array(F.concat(x["gram"], F.lit("\t"), k.cast("string")))).alias("out"))
+
+    return F.aggregate(grams, zero, step, lambda acc: acc["out"])
+
+
+def edit_join(docs: DataFrame, q: int, distance: int, expanded: bool = True) -> DataFrame | tuple[DataFrame, DataFrame]:
+    """(id1, id2) of the texts of ``docs`` (id, text) within ``distance`` edits; or pairs of representatives and the membership.
+
+    Texts share one of their q * distance + 1 rarest q-grams if both have more than q * distance of them, at places no
+    more than ``distance`` apart. An edit spoils q of them at most, so texts with too few q-grams in common are ruled
+    out before any distance is computed. Shorter texts meet all that are close in length, by length.
     """
     reps, members = classes(docs.select("id", "text"), "text")
     reps = reps.withColumn("n", F.length("text"))
     few = q * distance
-    grams = reps.select("id", "text", "n", F.posexplode(K.windows(F.col("text"), q)).alias("at", "gram"))
+    grams = reps.select("id", "n", F.posexplode(K.windows(F.col("text"), q)).alias("at", "gram"))
     tf = grams.groupBy("gram").agg(F.count("*").alias("tf"))
-    ordered = grams.join(tf, "gram").groupBy("id", "text", "n").agg(F.array_sort(F.collect_list(F.struct("tf", "gram", "at"))).alias("g"))
-    by_gram = ordered.select("id", "text", "n", F.explode(F.array_distinct(F.transform(F.slice("g", 1, few + 1), lambda x: x["gram"]))).alias("gram")).withColumn("key", F.concat(F.lit("g"), "gram"))
+    ordered = cut(grams.join(tf, "gram").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("tf", "gram", "at"))).alias("g")), "grams")
+    grammed = ordered.select("id", "n", F.explode(F.slice("g", 1, few + 1)).alias("x")).select("id", "n", F.concat(F.lit("g"), "x.gram").alias("key"), "x.at")
     short = F.col("n") - q + 1 <= few
-    near = reps.where(F.col("n") <= few + q - 1 + distance)
-    home = near.select("id", "text", "n", F.concat(F.lit("n"), F.col("n").cast("string")).alias("key"))
-    visits = near.where(short).select("id", "text", "n", F.explode(F.sequence(F.greatest(F.col("n") - distance, F.lit(0)), F.col("n") + distance)).alias("len")).select("id", "text", "n", F.concat(F.lit("n"), F.col("len").cast("string")).alias("key"))
+    near = reps.where(F.col("n") <= few + q - 1 + distance).select("id", "n", F.lit(0).alias("at"))
+    home = near.select("id", "n", F.concat(F.lit("n"), F.col("n").cast("string")).alias("key"), "at")
+    lengths = F.sequence(F.greatest(F.col("n") - distance, F.lit(0)), F.col("n") + distance)
+    visits = near.where(short).select("id", "n", F.explode(F.transform(lengths, lambda n: F.concat(F.lit("n"), n.cast("string")))).alias("key"), "at")
 
     def met(x: DataFrame, y: DataFrame) -> DataFrame:
         a, b = x.alias("a"), y.alias("b")
-        close = (F.abs(F.col("a.n") - F.col("b.n")) <= distance) & (F.col("a.id") != F.col("b.id"))
-        hit = a.join(b, (F.col("a.key") == F.col("b.key")) & close)
-        return hit.select(F.least("a.id", "b.id").alias("id1"), F.greatest("a.id", "b.id").alias("id2"), F.when(F.col("a.id") < F.col("b.id"), F.col("a.text")).otherwise(F.col("b.text")).alias("t1"), F.when(F.col("a.id") < F.col("b.id"), F.col("b.text")).otherwise(F.col("a.text")).alias("t2"))
+        close = (F.abs(F.col("a.n") - F.col("b.n")) <= distance) & (F.abs(F.col("a.at") - F.col("b.at")) <= distance) & (F.col("a.id") != F.col("b.id"))
+        return a.join(b, (F.col("a.key") == F.col("b.key")) & close).select(F.least("a.id", "b.id").alias("id1"), F.greatest("a.id", "b.id").alias("id2"))
 
-    grammed = by_gram.drop("gram")
     pairs = met(grammed, grammed).unionByName(met(visits, home)).distinct()
-    return expand(pairs.where(F.levenshtein("t1", "t2", distance) >= 0).select("id1", "id2"), members)
+    full = reps.join(ordered.select("id", _occurrences(F.col("g")).alias("o")), "id")
+    for side in ("1", "2"):
+        pairs = pairs.join(full.select(F.col("id").alias(f"id{side}"), F.col("text").alias(f"t{side}"), F.col("n").alias(f"n{side}"), F.col("o").alias(f"o{side}")), f"id{side}")
+    enough = F.size(F.array_intersect("o1", "o2")) >= F.greatest("n1", "n2") - (q - 1) - few
+    found = pairs.where(enough).where(F.levenshtein("t1", "t2", distance) >= 0).select("id1", "id2")
+    return expand(found, members) if expanded else (found, members)
 
 
 def deletions(text: Column, distance: int) -> Column:
@@ -127,14 +172,15 @@ def deletions(text: Column, distance: int) -> Column:
     return out
 
 
-def deletion_join(docs: DataFrame, distance: int) -> DataFrame:
+def deletion_join(docs: DataFrame, distance: int, expanded: bool = True) -> DataFrame | tuple[DataFrame, DataFrame]:
     """As :func:`edit_join`, by meeting on texts with characters left out; for short texts and small distances."""
     reps, members = classes(docs.select("id", "text"), "text")
     rows = reps.select("id", "text", F.explode(deletions(F.col("text"), distance)).alias("key"))
     a, b = rows.alias("a"), rows.alias("b")
     met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")))
     pairs = met.select(F.col("a.id").alias("id1"), F.col("b.id").alias("id2"), F.col("a.text").alias("t1"), F.col("b.text").alias("t2")).distinct()
-    return expand(pairs.where(F.levenshtein("t1", "t2", distance) >= 0).select("id1", "id2"), members)
+    found = pairs.where(F.levenshtein("t1", "t2", distance) >= 0).select("id1", "id2")
+    return expand(found, members) if expanded else (found, members)
 
 
 def on_all(*pairs: DataFrame) -> DataFrame:

@@ -6,6 +6,9 @@ without SQL are iterative, or too slow in SQL on whole tables; tests hold them a
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,25 +17,30 @@ from ..operators import blocking, clustering, evaluate, graph, lsh, matching, pr
 from ..operators.components import connected_components
 from ..operators.ranking import with_position
 from ..sources import readers
-from ..storage import cut
+from ..storage import cut, shared_root
 
 QUERIES: dict = {}
-ORACLES: dict = {}
+_SQL: dict = {}
 
 SEP = r"[\W_]"
 SMOOTH, RATIO, JACCARD = 1.0, 0.8, 0.8
 
 
-def query(sql: str | None = None):
+def query(sql: str | Callable[[], str] | None = None):
     def add(fn):
         QUERIES[fn.__name__] = fn
         if sql:
-            ORACLES[fn.__name__] = sql
+            _SQL[fn.__name__] = sql
         return fn
 
     return add
 
 
+def oracles() -> dict[str, str]:
+    """SQL by query; what is given as a function is made now."""
+    return {name: sql() if callable(sql) else sql for name, sql in _SQL.items()}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
@@ -61,6 +69,7 @@ def rounded(df: DataFrame, *names: str) -> DataFrame:
 
 # ---- shared SQL ---------------------------------------------------------------------------------------------------
 
+TRUTH = "gt AS (SELECT * FROM (SELECT min(doc_id) OVER (PARTITION BY text) AS id1, doc_id AS id2 FROM documents) WHERE id1 <> id2)"
 DOCS = "docs AS (SELECT doc_id AS id, substr(source, 4)::INT % 2 AS src, text FROM documents)"
 TOK = rf"{DOCS}, tok AS (SELECT DISTINCT id, src, unnest(regexp_split_to_array(lower(text), '{SEP}')) AS key FROM docs), tk AS (SELECT * FROM tok WHERE trim(key) <> '')"
 TRADE = """trade AS (SELECT c_custkey * 2 AS id, 0 AS src, 'c_name' AS attr, c_name AS v FROM customer UNION ALL SELECT c_custkey * 2, 0, 'c_mktsegment', c_mktsegment FROM customer
@@ -117,10 +126,22 @@ def chain(clean: bool) -> str:
     return f"WITH {TOK}, {blocks_sql('tk', clean)}, {purge_sql(SMOOTH)}, {filter_sql(RATIO, clean)}"
 
 
+def block_sizes(profiles: DataFrame, clean: bool = False, **options) -> DataFrame:
+    """Sizes of the token blocks that compare anything: one aggregate, without their members."""
+    return blocking.sizes(blocking.keyed(profiles, **options), clean).where("comparisons > 0")
+
+
+def purged_blocks(spark: SparkSession, sf: str, clean: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Members of purged token blocks of documents, and sizes of all. Blocks go or stay whole, so sizes are counted once."""
+    rows = cut(blocking.keyed(doc_profiles(spark, sf)), "keyed")
+    blocks = cut(blocking.sizes(rows, clean).where("comparisons > 0"), "sizes")
+    return cut(refine.purge(rows, SMOOTH, clean, blocks=blocks), "purged"), blocks
+
+
 def doc_blocks(spark: SparkSession, sf: str, clean: bool = False) -> DataFrame:
     """Token blocks of documents, purged and filtered."""
-    blocks = cut(blocking.token_blocking(doc_profiles(spark, sf), clean), "blocks")
-    return refine.filter_blocks(cut(refine.purge(blocks, SMOOTH, clean), "purged"), RATIO, clean)
+    rows, blocks = purged_blocks(spark, sf, clean)
+    return refine.filter_blocks(rows, RATIO, clean, blocks=blocks)
 
 
 def doc_graph(spark: SparkSession, sf: str, clean: bool = False) -> graph.Graph:
@@ -143,6 +164,84 @@ def json_attributes(spark, sf):
     return e.select("event_id", F.explode(readers.flatten_json(F.col("props"))).alias("a")).select("event_id", "a.key", "a.value")
 
 
+@query("""WITH k AS (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events) SELECT event_id, k AS key, json_extract_string(props, '$.' || k) AS value FROM k
+UNION ALL SELECT event_id, 'id', event_id::VARCHAR FROM events UNION ALL SELECT event_id, 'list', unnest([event_id::VARCHAR, '[', 'null'])  FROM events""")
+def json_attributes_nested(spark, sf):
+    """The same objects seven levels down, beside a list with a bracket in a string and a null."""
+    e = table(spark, sf, "events")
+    text = F.format_string('{"a":{"b":{"c":[{"d":{"e":{"f":%s}}}],"id":%d,"list":[%d,["[",null]]}}}', "props", "event_id", "event_id")
+    return e.select("event_id", F.explode(readers.flatten_json(text)).alias("a")).select("event_id", "a.key", "a.value")
+
+
+def written(df: DataFrame, kind: str, **options) -> str:
+    """A file of ``df`` in the shared folder, for readers to read."""
+    path = f"{shared_root(df.sparkSession)}/matchloom/files-{uuid.uuid4().hex}.{kind}"
+    getattr(df.write.options(**options), "text" if kind == "json" else kind)(path)
+    return path
+
+
+def listed(profiles: DataFrame) -> DataFrame:
+    return profiles.select("original_id", "source_id", F.explode("attributes").alias("a")).select("original_id", "source_id", "a.key", "a.value")
+
+
+_CUSTOMERS = "WITH p AS (SELECT c_custkey::VARCHAR AS original_id, unnest(['c_name', 'c_mktsegment']) AS key, unnest([c_name, c_mktsegment]) AS value FROM customer) SELECT original_id, {source} AS source_id, key, value FROM p"
+
+
+@query(_CUSTOMERS.format(source=2))
+def read_csv_profiles(spark, sf):
+    path = written(table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment"), "csv", header=True, sep=";")
+    return listed(readers.read_csv(spark, path, separator=";", header=True, real_id="c_custkey", source_id=2))
+
+
+@query("WITH p AS (SELECT c_custkey AS id, unnest(['c_name', 'words', 'words']) AS key, unnest([c_name, 'a' || c_custkey, 'b']) AS value FROM customer) SELECT id, key, value FROM p")
+def read_csv_exploded(spark, sf):
+    """A column of separated values gives an attribute each."""
+    path = written(table(spark, sf, "customer").select("c_custkey", "c_name", F.concat(F.lit("a"), "c_custkey", F.lit("|b")).alias("words")), "csv", header=True)
+    p = readers.read_csv(spark, path, header=True, id_column="c_custkey", explode=True, inner_separator="|")
+    return p.select("id", F.explode("attributes").alias("a")).select("id", "a.key", "a.value")
+
+
+@query(_CUSTOMERS.format(source=0))
+def read_json_profiles(spark, sf):
+    c = table(spark, sf, "customer").select(F.to_json(F.struct(F.col("c_custkey").alias("id"), "c_name", F.struct(F.array("c_mktsegment").alias("c_mktsegment")).alias("more"))).alias("value"))
+    return listed(readers.read_json(spark, written(c, "json"), real_id="id"))
+
+
+@query(_CUSTOMERS.format(source=1))
+def read_parquet_profiles(spark, sf):
+    """Profiles kept as Parquet, where others would keep serialised objects."""
+    path = written(table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment"), "parquet")
+    return listed(readers.read_parquet(spark, path, source_id=1, real_id="c_custkey"))
+
+
+@query("SELECT original_id, id FROM (SELECT c_custkey::VARCHAR AS original_id, row_number() OVER (ORDER BY c_custkey::VARCHAR) - 1 AS id FROM customer) WHERE id < 20")
+def preview_profiles(spark, sf):
+    path = written(table(spark, sf, "customer").select("c_custkey", "c_name"), "csv", header=True)
+    return readers.preview(spark, path, 20, header=True, real_id="c_custkey").select("original_id", "id")
+
+
+_ORDERS = "SELECT o_orderkey::VARCHAR AS original_id1, o_custkey::VARCHAR AS original_id2 FROM orders"
+
+
+def _pairs(spark, sf):
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("left"), F.col("o_custkey").alias("right"))
+
+
+@query(_ORDERS)
+def read_ground_truth_csv(spark, sf):
+    return readers.read_ground_truth_csv(spark, written(_pairs(spark, sf), "csv", header=True))
+
+
+@query(_ORDERS)
+def read_ground_truth_json(spark, sf):
+    return readers.read_ground_truth_json(spark, written(_pairs(spark, sf).select(F.to_json(F.struct("*")).alias("value")), "json"), "left", "right")
+
+
+@query(f"SELECT * FROM ({_ORDERS}) ORDER BY 1, 2 LIMIT 50")
+def preview_ground_truth(spark, sf):
+    return readers.preview_ground_truth(spark, written(_pairs(spark, sf), "csv", header=True), 50)
+
+
 @query("SELECT p_partkey AS id, lower(p_name || ' ' || p_brand || ' ' || p_type) AS text FROM part")
 def extract_all_fields(spark, sf):
     return readers.field_text(part_profiles(spark, sf))
@@ -154,12 +253,12 @@ def extract_one_field(spark, sf):
 
 
 def _key_counts(spark, sf, make):
-    rows = part_profiles(spark, sf).select(F.explode(make(F.col("attributes"))).alias("key"))
+    rows = doc_profiles(spark, sf).select(F.explode(make(F.col("attributes"))).alias("key"))
     return rows.groupBy("key").agg(F.count("*").alias("n"))
 
 
 def _tokens_sql(body: str) -> str:
-    return f"WITH parts AS (SELECT p_partkey AS id, unnest(['p_name', 'p_brand', 'p_type']) AS a, unnest([p_name, p_brand, p_type]) AS v FROM part), t AS (SELECT id, a, unnest(regexp_split_to_array(lower(v), '{SEP}')) AS t FROM parts), k AS (SELECT * FROM t WHERE t <> '') {body}"
+    return f"WITH {DOCS}, t AS (SELECT id, unnest(regexp_split_to_array(lower(text), '{SEP}')) AS t FROM docs), k AS (SELECT * FROM t WHERE t <> '') {body}"
 
 
 @query(_tokens_sql("SELECT t AS key, count(*) AS n FROM k GROUP BY t"))
@@ -182,25 +281,36 @@ def keys_substrings(spark, sf):
     return _key_counts(spark, sf, K.substrings)
 
 
-@query(_tokens_sql(""", g AS (SELECT list_transform(range(1, greatest(length(t) - 2, 1) + 1), lambda i: substr(t, i, 3))[1:15] AS g FROM k),
-x AS (SELECT unnest(CASE WHEN len(g) = 1 THEN g ELSE list_distinct(list_append(list_transform(range(1, len(g) + 1), lambda i: array_to_string(list_concat(g[1:i - 1], g[i + 1:]), '')), array_to_string(g, ''))) END) AS key FROM g) SELECT key, count(*) AS n FROM x GROUP BY key"""))
+_EXTENDED_SQL = f"""WITH RECURSIVE {DOCS}, t AS (SELECT unnest(regexp_split_to_array(lower(text), '{SEP}')) AS t FROM docs), k AS (SELECT t, count(*) AS n FROM t WHERE t <> '' GROUP BY t),
+g AS (SELECT t, list_transform(range(1, greatest(length(t) - 2, 1) + 1), lambda i: substr(t, i, 3)) AS g FROM k),
+f AS (SELECT t, g, 0 AS i, '' AS s, 0 AS missing, len(g) - greatest(floor(len(g) * 0.95), 1) AS may FROM g
+  UNION ALL SELECT t, g, i + 1, CASE WHEN d = 0 THEN s || g[i + 1] ELSE s END, missing + d, may FROM f, (VALUES (0), (1)) c(d) WHERE i < len(g) AND missing + d <= may),
+x AS (SELECT DISTINCT t, s FROM f WHERE i = len(g)) SELECT s AS key, sum(n)::BIGINT AS n FROM x JOIN k USING (t) GROUP BY s"""
+
+
+@query(_EXTENDED_SQL)
 def keys_extended_qgrams(spark, sf):
     return _key_counts(spark, sf, K.extended_qgrams)
 
 
-@query("""WITH parts AS (SELECT unnest(['p_name', 'p_brand', 'p_type']) AS a, replace(lower(trim(unnest([p_name, p_brand, p_type]))), ' ', '_') AS v FROM part),
-g AS (SELECT a || '_' || unnest(list_transform(range(1, greatest(length(v) - 2, 1) + 1), lambda i: substr(v, i, 3))) AS key FROM parts) SELECT key, count(*) AS n FROM g GROUP BY key""")
+@query(f"""WITH {DOCS}, v AS (SELECT replace(lower(trim(text)), ' ', '_') AS v FROM docs WHERE trim(text) <> ''),
+g AS (SELECT 'text_' || unnest(list_transform(range(1, greatest(length(v) - 2, 1) + 1), lambda i: substr(v, i, 3))) AS key FROM v) SELECT key, count(*) AS n FROM g GROUP BY key""")
 def keys_keyed_ngrams(spark, sf):
     return _key_counts(spark, sf, K.keyed_ngrams)
 
 
 @query(_tokens_sql("SELECT ascii(c) AS code, count(*) AS n FROM (SELECT unnest(string_split(t, '')) AS c FROM k) WHERE c <> '' GROUP BY 1"))
 def character_code_counts(spark, sf):
-    rows = part_profiles(spark, sf).select(F.explode(K.tokens(F.col("attributes"))).alias("t"))
+    rows = doc_profiles(spark, sf).select(F.explode(K.tokens(F.col("attributes"))).alias("t"))
     return rows.select(F.explode(K.character_codes(F.col("t"))).alias("code")).groupBy("code").agg(F.count("*").alias("n"))
 
 
-@query(rf"WITH {TOK} SELECT key, count(*) AS n FROM tk WHERE regexp_matches(key, '^([A-Za-z]+|[0-9]+)$') AND key NOT IN ({', '.join(repr(w) if chr(39) not in w else chr(39) + w.replace(chr(39), chr(39) * 2) + chr(39) for w in K.stop_words() if w)}) GROUP BY key")
+def _stop_words_sql() -> str:
+    words = ", ".join("'" + w.replace("'", "''") + "'" for w in K.STOP_WORDS)
+    return rf"WITH {TOK} SELECT key, count(*) AS n FROM tk WHERE regexp_matches(key, '^([A-Za-z]+|[0-9]+)$') AND key NOT IN ({words}) GROUP BY key"
+
+
+@query(_stop_words_sql)
 def keys_without_stop_words(spark, sf):
     return blocking.keyed(doc_profiles(spark, sf), remove_stop_words=True).groupBy("key").agg(F.count("*").alias("n"))
 
@@ -223,41 +333,56 @@ def word_ngram_counts(spark, sf):
 
 @query(f"WITH {TOK}, {blocks_sql('tk', False)} SELECT * FROM blk")
 def token_blocking(spark, sf):
-    return blocking.sizes(blocking.token_blocking(doc_profiles(spark, sf)))
+    return block_sizes(doc_profiles(spark, sf))
 
 
 @query(f"WITH {TOK}, {blocks_sql('tk', True)} SELECT * FROM blk")
 def token_blocking_clean(spark, sf):
-    return blocking.sizes(blocking.token_blocking(doc_profiles(spark, sf), clean=True), clean=True)
+    return block_sizes(doc_profiles(spark, sf), clean=True)
 
 
 @query(_tokens_sql(f", g AS (SELECT DISTINCT id, 0 AS src, unnest(list_transform(range(1, greatest(length(t) - 2, 1) + 1), lambda i: substr(t, i, 3))) AS key FROM k), {blocks_sql('g', False)} SELECT * FROM blk"))
 def ngram_blocking(spark, sf):
-    return blocking.sizes(blocking.token_blocking(part_profiles(spark, sf), make_keys=K.ngrams))
+    return block_sizes(doc_profiles(spark, sf), make_keys=K.ngrams)
 
 
 @query(_tokens_sql(f", g AS (SELECT DISTINCT id, 0 AS src, unnest(CASE WHEN length(t) < 2 THEN [t] ELSE list_transform(range(1, length(t)), lambda i: substr(t, i)) END) AS key FROM k), {blocks_sql('g', False)} SELECT * FROM blk"))
 def suffix_blocking(spark, sf):
-    return blocking.sizes(blocking.token_blocking(part_profiles(spark, sf), make_keys=K.suffixes))
+    return block_sizes(doc_profiles(spark, sf), make_keys=K.suffixes)
+
+
+def field_profiles(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents of two sources that name their fields differently."""
+    d = table(spark, sf, "documents").withColumn("source_id", F.substring("source", 4, 9).cast("int") % 2)
+    names = {"label": ("name", "title"), "lang": ("lang", "language"), "text": ("body", "content")}
+    d = d.withColumn("label", F.concat(F.lit("document "), F.col("source")))
+    attributes = F.array(*[F.struct(F.when(F.col("source_id") == 0, a).otherwise(b).alias("key"), F.col(c).alias("value")) for c, (a, b) in names.items()])
+    return d.select(F.col("doc_id").alias("id"), "source_id", F.col("doc_id").cast("string").alias("original_id"), attributes.alias("attributes"))
 
 
-_CLUSTERS = [(0, 0, "c_name", 0.5), (0, 1, "s_name", 0.5), (1, 0, "c_mktsegment", 0.25)]
-_SCHEMA_SQL = f"""WITH {TRADE}, cl AS (SELECT * FROM (VALUES (0, 0, 'c_name', 0.5), (0, 1, 's_name', 0.5), (1, 0, 'c_mktsegment', 0.25)) t(cluster_id, src, attr, entropy)),
-t AS (SELECT DISTINCT id, src, cluster_id, entropy, attr, unnest(regexp_split_to_array(lower(v), '{SEP}')) AS t FROM trade JOIN cl USING (src, attr)),
+FIELDS = """f AS (SELECT doc_id AS id, substr(source, 4)::INT % 2 AS src, unnest(CASE WHEN substr(source, 4)::INT % 2 = 0 THEN ['name', 'lang', 'body'] ELSE ['title', 'language', 'content'] END) AS attr, unnest(['document ' || source, lang, text]) AS v FROM documents)"""
+_CLUSTERS = [(0, 0, "body", 0.5), (0, 1, "content", 0.5), (1, 0, "name", 0.25), (1, 1, "title", 0.25), (2, 0, "lang", 0.125)]
+_SCHEMA_SQL = f"""WITH {FIELDS}, cl AS (SELECT * FROM (VALUES {", ".join(map(str, _CLUSTERS))}) t(cluster_id, src, attr, entropy)),
+t AS (SELECT DISTINCT id, src, coalesce(cluster_id, 2) AS cluster_id, coalesce(entropy, 0.125) AS entropy, attr, unnest(regexp_split_to_array(lower(v), '{SEP}')) AS t FROM f LEFT JOIN cl USING (src, attr)),
 k AS (SELECT t || '_' || cluster_id AS key, id, src, any_value(cluster_id) AS cluster_id, any_value(entropy) AS entropy, string_agg(DISTINCT attr, ',' ORDER BY attr) AS attributes FROM t WHERE t <> '' GROUP BY ALL), {{blocks}}"""
 
 
+def schema_blocks(spark, sf):
+    clusters = spark.createDataFrame(_CLUSTERS, "cluster_id int, source_id int, attribute string, entropy double")
+    return blocking.schema_aware_blocking(field_profiles(spark, sf), clusters)
+
+
 @query(_SCHEMA_SQL.format(blocks=blocks_sql("k", True)) + " SELECT asg.key, asg.id AS profile_id, asg.src AS source_id, asg.cluster_id, asg.entropy::DOUBLE AS entropy, asg.attributes FROM asg")
 def schema_aware_blocking(spark, sf):
-    clusters = spark.createDataFrame(_CLUSTERS, "cluster_id int, source_id int, attribute string, entropy double")
-    out = blocking.schema_aware_blocking(trade_profiles(spark, sf), clusters)
+    """The language of the second source is in no cluster, and so falls into the one with the highest id."""
+    out = schema_blocks(spark, sf)
     return out.withColumn("attributes", F.array_join("attributes", ",")).select("key", "profile_id", "source_id", "cluster_id", "entropy", "attributes")
 
 
 @query(f"""WITH {TOK}, o AS (SELECT id, src, row_number() OVER (ORDER BY key, id) - 1 AS p, count(*) OVER () AS n FROM tk),
 w AS (SELECT DISTINCT unnest(range(greatest(p - 3, 0), least(p, greatest(n - 4, 0)) + 1)) AS key, id, src FROM o), {blocks_sql('w', False)} SELECT key, size, comparisons FROM blk""")
 def sorted_neighbourhood(spark, sf):
-    return blocking.sizes(blocking.sorted_neighbourhood(doc_profiles(spark, sf), 4))
+    return blocking.window_sizes(blocking.neighbour_windows(doc_profiles(spark, sf), 4))
 
 
 _LSH_N = 32
@@ -270,28 +395,55 @@ def _minhash_sql() -> str:
     return f"WITH {TOK}, h AS (SELECT id, src, ('0x' || substr(md5(key), 1, 7))::BIGINT AS t FROM tk), s AS (SELECT id, src, {minima} FROM h GROUP BY id, src), b AS (SELECT unnest([{bands}]) AS key, id, src FROM s), {blocks_sql('b', False)} SELECT key, size, comparisons FROM blk"
 
 
-@query(_minhash_sql())
+@query(_minhash_sql)
 def minhash_blocking(spark, sf):
-    return blocking.sizes(lsh.minhash_blocking(doc_profiles(spark, sf), _LSH_N, 0.5))
+    return blocking.sizes(lsh.band_assignments(doc_profiles(spark, sf), _LSH_N, 0.5)).where("comparisons > 0")
+
+
+def _signature_sql() -> str:
+    minima = ", ".join(f"min((t * {a} + {b}) % {lsh.PRIME})" for a, b in lsh.constants(_LSH_N))
+    return f"""WITH {TOK}, h AS (SELECT id, ('0x' || substr(md5(key), 1, 7))::BIGINT AS t FROM tk), s AS (SELECT id, [{minima}] AS sig FROM h GROUP BY id), {TRUTH}
+SELECT id1, id2, round(len(list_filter(list_zip(x.sig, y.sig), lambda p: p[1] = p[2])) / {_LSH_N}, 6) AS similarity FROM gt JOIN s x ON x.id = id1 JOIN s y ON y.id = id2 UNION ALL
+SELECT x.id, y.id, round(len(list_filter(list_zip(x.sig, y.sig), lambda p: p[1] = p[2])) / {_LSH_N}, 6) FROM s x JOIN s y ON y.id = x.id + 1"""
+
+
+@query(_signature_sql)
+def signature_similarity(spark, sf):
+    """How alike the signatures of copies are, and of neighbours by id."""
+    sig = cut(lsh.profile_signatures(doc_profiles(spark, sf), _LSH_N).select("id", "sig"), "signatures")
+    a, b = sig.select(F.col("id").alias("id1"), F.col("sig").alias("s1")), sig.select(F.col("id").alias("id2"), F.col("sig").alias("s2"))
+    next_to = a.select("id1", (F.col("id1") + 1).alias("id2"))
+    pairs = copies(spark, sf).unionAll(next_to)
+    return rounded(pairs.join(a, "id1").join(b, "id2").select("id1", "id2", lsh.signature_similarity(F.col("s1"), F.col("s2")).alias("similarity")), "similarity")
 
 
-_ATTR = f"""WITH {TRADE}, tt AS (SELECT src, attr, unnest(regexp_split_to_array(lower(v), '{SEP}')) AS t FROM trade), ak AS (SELECT src, attr, t, count(*) AS n FROM tt WHERE t <> '' GROUP BY ALL)"""
+@query("WITH t AS (SELECT unnest([0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])::DOUBLE AS threshold), b AS (SELECT threshold, unnest(range(1, 129)) AS b FROM t), m AS (SELECT threshold, max(b) + 1 AS bands FROM b WHERE b = 1 OR power(1.0::DOUBLE / b, b::DOUBLE / 128) >= threshold GROUP BY threshold) SELECT threshold, bands::INT AS bands, greatest(128 // bands, 1)::INT AS rows FROM m")
+def band_tuning(spark, sf):
+    return spark.createDataFrame([(t / 10, lsh.bands(t / 10, 128), lsh.rows_per_band(t / 10, 128)) for t in range(1, 10)], "threshold double, bands int, rows int")
+
+
+_ATTR = f"""WITH {FIELDS}, tt AS (SELECT src, attr, unnest(regexp_split_to_array(lower(v), '{SEP}')) AS t FROM f), ak AS (SELECT src, attr, t, count(*) AS n FROM tt WHERE t <> '' GROUP BY ALL)"""
 
 
 @query(_ATTR + ", s AS (SELECT src, attr, sum(n) AS z FROM ak GROUP BY ALL) SELECT src AS source_id, attr AS attribute, round(-sum(n / z * log2(n / z)), 6) AS entropy FROM ak JOIN s USING (src, attr) GROUP BY ALL")
 def attribute_entropy(spark, sf):
-    return rounded(lsh.attribute_entropy(lsh.attribute_tokens(trade_profiles(spark, sf))), "entropy")
+    return rounded(lsh.attribute_entropy(lsh.attribute_tokens(field_profiles(spark, sf))), "entropy")
 
 
 @query(_ATTR + """, c AS (SELECT src || '_' || attr AS name, src, t FROM ak), n AS (SELECT name, count(*) AS n FROM c GROUP BY name), m AS (SELECT x.name AS a, y.name AS b, count(*) AS c FROM c x JOIN c y ON x.t = y.t AND x.name < y.name AND x.src <> y.src GROUP BY ALL)
 SELECT a, b, round(c / (p.n + q.n - c), 6) AS similarity FROM m JOIN n p ON p.name = a JOIN n q ON q.name = b""")
 def attribute_similarity(spark, sf):
-    return rounded(lsh.attribute_similarity(lsh.attribute_tokens(trade_profiles(spark, sf))), "similarity")
+    return rounded(lsh.attribute_similarity(lsh.attribute_tokens(field_profiles(spark, sf))), "similarity")
 
 
-@query()
+@query("WITH RECURSIVE" + _ATTR[4:] + """, c AS (SELECT src || '_' || attr AS name, src, t FROM ak), n AS (SELECT name, count(*) AS n FROM c GROUP BY name), m AS (SELECT x.name AS a, y.name AS b, count(*) AS c FROM c x JOIN c y ON x.t = y.t AND x.name < y.name AND x.src <> y.src GROUP BY ALL),
+si AS (SELECT a, b, c / (p.n + q.n - c) AS s FROM m JOIN n p ON p.name = a JOIN n q ON q.name = b), bo AS (SELECT a, b, s FROM si UNION ALL SELECT b, a, s FROM si), kp AS (SELECT a, b FROM bo QUALIFY s >= 0.9 * max(s) OVER (PARTITION BY a)),
+ke AS (SELECT a, b FROM kp UNION SELECT b, a FROM kp), re AS (SELECT DISTINCT a, a AS b FROM ke UNION SELECT re.a, ke.b FROM re JOIN ke ON ke.a = re.b), co AS (SELECT a AS name, min(b) AS c FROM re GROUP BY a),
+no AS (SELECT c, row_number() OVER (ORDER BY c) - 1 AS id FROM (SELECT DISTINCT c FROM co)), z AS (SELECT src, attr, sum(n) AS z FROM ak GROUP BY ALL), en AS (SELECT src, attr, -sum(n / z * log2(n / z)) AS h FROM ak JOIN z USING (src, attr) GROUP BY ALL),
+al AS (SELECT src, attr, h, coalesce(id, (SELECT count(*) FROM no))::INT AS cluster_id FROM en LEFT JOIN co ON co.name = src || '_' || attr LEFT JOIN no USING (c))
+SELECT cluster_id, src AS source_id, attr AS attribute, round(avg(h) OVER (PARTITION BY cluster_id), 6) AS entropy FROM al""")
 def attribute_clustering(spark, sf):
-    return rounded(lsh.cluster_attributes(trade_profiles(spark, sf)), "entropy")
+    return rounded(lsh.cluster_attributes(field_profiles(spark, sf)), "entropy")
 
 
 # ---- refinement ---------------------------------------------------------------------------------------------------
@@ -299,12 +451,12 @@ def attribute_clustering(spark, sf):
 
 @query(f"WITH {TOK}, {blocks_sql('tk', False)}, {purge_sql(SMOOTH)} SELECT * FROM pb")
 def block_purging(spark, sf):
-    return blocking.sizes(refine.purge(blocking.token_blocking(doc_profiles(spark, sf)), SMOOTH))
+    return blocking.sizes(purged_blocks(spark, sf)[0])
 
 
 @query(f"WITH {TOK}, {blocks_sql('tk', False)}, {purge_sql(1.025)} SELECT level::BIGINT AS level, cc::BIGINT AS cc, bc::BIGINT AS bc, max_level::BIGINT AS max_level FROM cu, lim")
 def purge_levels(spark, sf):
-    blocks = blocking.sizes(blocking.token_blocking(doc_profiles(spark, sf)))
+    blocks = cut(block_sizes(doc_profiles(spark, sf)), "sizes")
     return refine.levels(blocks).join(F.broadcast(refine.purge_limit(blocks, 1.025)))
 
 
@@ -317,7 +469,8 @@ def block_filtering(spark, sf):
 fm AS (SELECT *, max(CASE WHEN r <= greatest(floor(n * 0.5 + 0.5), 1) THEN comparisons END) OVER (PARTITION BY id) AS m FROM fr), fk AS (SELECT key, id, src FROM fm WHERE comparisons <= m),
 fb AS (SELECT key FROM fk GROUP BY key HAVING count(*) > 1) SELECT key, id AS profile_id, src AS source_id FROM fk SEMI JOIN fb USING (key)""")
 def block_filtering_ties(spark, sf):
-    return refine.filter_blocks_with_ties(refine.purge(blocking.token_blocking(doc_profiles(spark, sf)), SMOOTH), 0.5, least=1)
+    rows, blocks = purged_blocks(spark, sf)
+    return refine.filter_blocks_with_ties(rows, 0.5, least=1, blocks=blocks)
 
 
 # ---- weights and pruning ------------------------------------------------------------------------------------------
@@ -337,11 +490,10 @@ _weights_query(False)
 _weights_query(True)
 
 
-@query(_SCHEMA_SQL.format(blocks=blocks_sql("k", True)) + f""", ent AS (SELECT a.id AS id1, b.id AS id2, sum(a.entropy) AS h FROM asg a JOIN asg b ON a.key = b.key AND a.id < b.id AND a.src <> b.src GROUP BY ALL),
-{graph_sql(True, 'asg', 'blk')} SELECT e.id1, e.id2, round({W_SQL['js']} * h, 6) AS weight FROM e JOIN ent USING (id1, id2)""")
+@query(_SCHEMA_SQL.format(blocks=blocks_sql("k", True)) + f""", {purge_sql(SMOOTH)}, ent AS (SELECT a.id AS id1, b.id AS id2, sum(a.entropy) AS h FROM pa a JOIN pa b ON a.key = b.key AND a.id < b.id AND a.src <> b.src GROUP BY ALL),
+{graph_sql(True, 'pa', 'pb')} SELECT e.id1, e.id2, round({W_SQL['js']} * h, 6) AS weight FROM e JOIN ent USING (id1, id2)""")
 def edge_weights_entropy(spark, sf):
-    clusters = spark.createDataFrame(_CLUSTERS, "cluster_id int, source_id int, attribute string, entropy double")
-    g = graph.build(blocking.schema_aware_blocking(trade_profiles(spark, sf), clusters), True, "entropy")
+    g = graph.build(refine.purge(cut(schema_blocks(spark, sf), "blocks"), SMOOTH, True), True, "entropy")
     return rounded(graph.weighted(g, "js", use_entropy=True), "weight")
 
 
@@ -374,6 +526,11 @@ _pruned("prune_wep_cbs_clean", True, "cbs", "SELECT id1, id2, round(weight, 6) A
 _pruned("prune_cep_cbs", False, "cbs", ", rk AS (SELECT *, row_number() OVER (ORDER BY weight DESC, id1, id2) AS r FROM we) SELECT id1, id2, round(weight, 6) AS weight FROM rk, tot WHERE r <= m // 2", lambda g, *_: prune.cardinality_edge_pruning(g, "cbs"))
 _pruned("meta_blocking_wnp_cbs", False, "cbs", _wnp("avg(weight)", "weight >= a.t OR weight >= b.t"), lambda g, *_: prune.weight_node_pruning(g, "cbs"))
 _pruned("prune_wnp_js_and", False, "js", _wnp("max(weight) / 2", "weight >= a.t AND weight >= b.t"), lambda g, *_: prune.weight_node_pruning(g, "js", "maxdiv2", "and"))
+_pruned("prune_wnp_js_maxdiv2_or", False, "js", _wnp("max(weight) / 2", "weight >= a.t OR weight >= b.t"), lambda g, *_: prune.weight_node_pruning(g, "js", "maxdiv2", "or"))
+_pruned("prune_cep_cbs_tenth", False, "cbs", ", rk AS (SELECT *, row_number() OVER (ORDER BY weight DESC, id1, id2) AS r FROM we) SELECT id1, id2, round(weight, 6) AS weight FROM rk WHERE r <= (SELECT count(*) FROM documents) // 10", lambda g, s, f: prune.cardinality_edge_pruning(g, "cbs", _n(s, f) // 10))
+_pruned("prune_wep_ecbs", False, "ecbs", "SELECT id1, id2, round(weight, 6) AS weight FROM we WHERE weight >= (SELECT avg(weight) FROM we)", lambda g, *_: prune.weight_edge_pruning(g, "ecbs"))
+_pruned("prune_wep_ejs", False, "ejs", "SELECT id1, id2, round(weight, 6) AS weight FROM we WHERE weight >= (SELECT avg(weight) FROM we)", lambda g, *_: prune.weight_edge_pruning(g, "ejs"))
+_pruned("prune_cnp_ejs_or_clean", True, "ejs", _cnp(1), lambda g, s, f: prune.cardinality_node_pruning(g, _n(s, f), "ejs"))
 _pruned("prune_wnp_chi_clean", True, "chi_square", _wnp("avg(weight)", "weight >= sqrt(a.t * a.t + b.t * b.t) / 2.0"), lambda g, *_: prune.weight_node_pruning(g, "chi_square"))
 _pruned("prune_cnp_cbs_or", False, "cbs", _cnp(1), lambda g, s, f: prune.cardinality_node_pruning(g, _n(s, f), "cbs"))
 _pruned("prune_cnp_cbs_and_clean", True, "cbs", _cnp(2), lambda g, s, f: prune.cardinality_node_pruning(g, _n(s, f), "cbs", "and"))
@@ -386,7 +543,6 @@ def copies(spark: SparkSession, sf: str) -> DataFrame:
     return d.join(first, "text").where("doc_id <> id1").select("id1", F.col("doc_id").alias("id2"))
 
 
-TRUTH = "gt AS (SELECT * FROM (SELECT min(doc_id) OVER (PARTITION BY text) AS id1, doc_id AS id2 FROM documents) WHERE id1 <> id2)"
 QUALITY = """SELECT found, n_truth, n_candidates, round(recall, 6) AS recall, round(precision, 6) AS precision, round(2 * recall * precision / nullif(recall + precision, 0), 6) AS f1
 FROM (SELECT *, found / nullif(n_truth, 0) AS recall, found / nullif(n_candidates, 0) AS precision FROM (SELECT (SELECT count(*) FROM cand SEMI JOIN gt USING (id1, id2)) AS found, (SELECT count(*) FROM gt) AS n_truth, (SELECT count(*) FROM cand) AS n_candidates))"""
 
@@ -429,19 +585,39 @@ def doc_texts(spark, sf):
     return readers.field_text(doc_profiles(spark, sf))
 
 
-@query(f"WITH {JOINED.format(t=JACCARD, apart='')} SELECT id1, id2, round(similarity, 6) AS similarity FROM sj")
+#: rp: each document with the smallest one of the same token set.
+REPS = "rp AS (SELECT id, min(id) OVER (PARTITION BY ks) AS rep FROM (SELECT id, list(key ORDER BY key) AS ks FROM tk GROUP BY id))"
+
+
+@query(f"WITH {JOINED.format(t=JACCARD, apart='')}, {REPS} SELECT id1, id2, round(similarity, 6) AS similarity FROM sj JOIN rp x ON x.id = id1 AND x.rep = id1 JOIN rp y ON y.id = id2 AND y.rep = id2")
 def jaccard_join(spark, sf):
-    return rounded(simjoin.jaccard_join(doc_texts(spark, sf), JACCARD), "similarity")
+    """Pairs between representatives of equal token sets; jaccard_join_members has who they stand for."""
+    return rounded(simjoin.jaccard_join(doc_texts(spark, sf), JACCARD, expanded=False)[0], "similarity")
+
+
+@query(f"WITH {JOINED.format(t=JACCARD, apart='')}, {REPS}, lk AS (SELECT id1 AS id FROM sj UNION ALL SELECT id2 FROM sj), ct AS (SELECT id, count(*) AS n FROM lk GROUP BY id) SELECT id, rep, coalesce(n, 0)::BIGINT AS n_links FROM rp LEFT JOIN ct USING (id)")
+def jaccard_join_members(spark, sf):
+    return simjoin.memberships(*simjoin.jaccard_join(doc_texts(spark, sf), JACCARD, expanded=False))
 
 
-@query(f"WITH {JOINED.format(t=0.5, apart='AND a.src <> b.src')} SELECT id1, id2, round(similarity, 6) AS similarity FROM sj")
+def source_texts(spark, sf):
+    return doc_texts(spark, sf).join(doc_profiles(spark, sf).select("id", "source_id"), "id")
+
+
+@query(f"WITH {JOINED.format(t=0.5, apart='')}, {REPS}, sc AS (SELECT rep, list_distinct(list(src)) AS s FROM rp JOIN docs USING (id) GROUP BY rep) SELECT id1, id2, round(similarity, 6) AS similarity FROM sj JOIN sc x ON x.rep = id1 JOIN sc y ON y.rep = id2 WHERE len(list_distinct(list_concat(x.s, y.s))) > 1")
 def jaccard_join_sources(spark, sf):
-    texts = doc_texts(spark, sf).join(doc_profiles(spark, sf).select("id", "source_id"), "id")
-    return rounded(simjoin.jaccard_join_sources(texts, 0.5), "similarity")
+    """Pairs between representatives of which some members are of different sources."""
+    return rounded(simjoin.jaccard_join_sources(source_texts(spark, sf), 0.5, expanded=False)[0], "similarity")
+
+
+@query(f"WITH {JOINED.format(t=0.5, apart='')}, {REPS} SELECT id, rep, src AS source_id FROM rp JOIN docs USING (id)")
+def jaccard_join_sources_members(spark, sf):
+    return simjoin.jaccard_join_sources(source_texts(spark, sf), 0.5, expanded=False)[1].select("id", "rep", "source_id")
 
 
 _NAMES = "WITH n AS (SELECT {t} AS text, {id} AS id FROM {tab}), u AS (SELECT DISTINCT text FROM n), m AS (SELECT a.text AS x, b.text AS y FROM u a JOIN u b ON a.text <= b.text AND abs(length(a.text) - length(b.text)) <= {d} AND levenshtein(a.text, b.text) <= {d}), "
-_ED = _NAMES + "p AS (SELECT a.id AS i, b.id AS j FROM m JOIN n a ON a.text = x JOIN n b ON b.text = y WHERE a.id <> b.id) SELECT DISTINCT least(i, j) AS id1, greatest(i, j) AS id2 FROM p"
+_ED = _NAMES + "r AS (SELECT text, min(id) AS rep FROM n GROUP BY text) SELECT least(a.rep, b.rep) AS id1, greatest(a.rep, b.rep) AS id2 FROM m JOIN r a ON a.text = x JOIN r b ON b.text = y WHERE x <> y"
+_ED_MEMBERS = _NAMES + "p AS (SELECT a.id AS i, b.id AS j FROM m JOIN n a ON a.text = x JOIN n b ON b.text = y WHERE a.id <> b.id), q AS (SELECT DISTINCT least(i, j) AS i, greatest(i, j) AS j FROM p), c AS (SELECT id, count(*) AS c FROM (SELECT i AS id FROM q UNION ALL SELECT j FROM q) GROUP BY id) SELECT id, min(id) OVER (PARTITION BY text) AS rep, coalesce(c, 0)::BIGINT AS n_links FROM n LEFT JOIN c USING (id)"
 
 
 def names(spark, sf, tab, key, column):
@@ -450,17 +626,23 @@ def names(spark, sf, tab, key, column):
 
 @query(_ED.format(t="lower(p_name)", id="p_partkey", tab="part", d=2))
 def edit_join(spark, sf):
-    return simjoin.edit_join(names(spark, sf, "part", "p_partkey", "p_name"), 2, 2)
+    """Pairs between representatives of equal names; edit_join_members has who they stand for."""
+    return simjoin.edit_join(names(spark, sf, "part", "p_partkey", "p_name"), 2, 2, expanded=False)[0]
+
+
+@query(_ED_MEMBERS.format(t="lower(p_name)", id="p_partkey", tab="part", d=2))
+def edit_join_members(spark, sf):
+    return simjoin.memberships(*simjoin.edit_join(names(spark, sf, "part", "p_partkey", "p_name"), 2, 2, expanded=False))
 
 
 @query(_ED.format(t="lower(s_name)", id="s_suppkey", tab="supplier", d=1))
 def edit_join_names(spark, sf):
-    return simjoin.edit_join(names(spark, sf, "supplier", "s_suppkey", "s_name"), 2, 1)
+    return simjoin.edit_join(names(spark, sf, "supplier", "s_suppkey", "s_name"), 2, 1, expanded=False)[0]
 
 
 @query(_ED.format(t="lower(p_name)", id="p_partkey", tab="part", d=2))
 def deletion_join(spark, sf):
-    return simjoin.deletion_join(names(spark, sf, "part", "p_partkey", "p_name"), 2)
+    return simjoin.deletion_join(names(spark, sf, "part", "p_partkey", "p_name"), 2, expanded=False)[0]
 
 
 @query("""WITH n AS (SELECT p_partkey AS id, lower(p_name) AS a, lower(p_brand) AS b FROM part)
@@ -530,7 +712,12 @@ def group_linkage(spark, sf):
 
 
 def doc_edges(spark, sf):
-    return simjoin.jaccard_join(doc_texts(spark, sf), 0.5).withColumnRenamed("similarity", "weight")
+    return cut(simjoin.jaccard_join(doc_texts(spark, sf), 0.5).withColumnRenamed("similarity", "weight"), "edges")
+
+
+def doc_links(spark, sf):
+    """As many edges as components need: a class of copies is a star."""
+    return cut(simjoin.links(*simjoin.jaccard_join(doc_texts(spark, sf), 0.5, expanded=False)), "links")
 
 
 CLUSTERED = f"""WITH RECURSIVE {JOINED.format(t=0.5, apart='')}, ed AS (SELECT id1 AS a, id2 AS b FROM sj UNION ALL SELECT id2, id1 FROM sj),
@@ -539,18 +726,18 @@ re AS (SELECT id AS a, id AS b FROM docs UNION SELECT re.a, ed.b FROM re JOIN ed
 
 @query(f"{CLUSTERED} SELECT cluster_id, profile_id FROM cl")
 def cluster_components(spark, sf):
-    return clustering.component_clusters(doc_edges(spark, sf), doc_profiles(spark, sf), 0.5)
+    return clustering.component_clusters(doc_links(spark, sf), doc_profiles(spark, sf), 0.5)
 
 
 @query(f"{CLUSTERED}, {TRUTH}, cand AS (SELECT a.profile_id AS id1, b.profile_id AS id2 FROM cl a JOIN cl b ON a.cluster_id = b.cluster_id AND a.profile_id < b.profile_id) {QUALITY}")
 def cluster_quality(spark, sf):
-    c = clustering.component_clusters(doc_edges(spark, sf), doc_profiles(spark, sf), 0.5)
+    c = clustering.component_clusters(doc_links(spark, sf), doc_profiles(spark, sf), 0.5)
     return rounded(evaluate.cluster_quality(c, copies(spark, sf)), "recall", "precision", "f1")
 
 
 @query(f"{CLUSTERED} SELECT DISTINCT profile_id AS node, cluster_id AS component FROM cl WHERE profile_id IN (SELECT a FROM ed)")
 def components(spark, sf):
-    return connected_components(doc_edges(spark, sf))
+    return connected_components(doc_links(spark, sf))
 
 
 def _cluster_query(method: str):

@@ -54,26 +54,37 @@ def read_csv(spark: SparkSession, path: str, separator: str = ",", header: bool
     return to_profiles(df, id_column, real_id or None, source_id, start, explode, inner_separator)
 
 
-def flatten_json(text: Column, keep: tuple[str, ...] = (), depth: int = 4) -> Column:
-    """Leaves of a JSON object as attributes named by the nearest object key.
+def json_depth(text: Column) -> Column:
+    """How many objects and arrays are open at once at most; brackets inside strings don't count."""
+    bare = F.regexp_replace(text, r'"(?:[^"\\]|\\.)*+"', "")
+    marks = F.split(F.regexp_replace(bare, r"[^\[\]{}]", ""), "")
+    zero = F.struct(F.lit(0).alias("open"), F.lit(0).alias("most"))
 
-    ``keep`` picks top-level fields. Nesting is unfolded to ``depth`` levels; deeper values stay as their JSON text.
+    def step(acc: Column, c: Column) -> Column:
+        now = acc["open"] + F.when(c.isin("{", "["), 1).when(c.isin("}", "]"), -1).otherwise(0)
+        return F.struct(now.alias("open"), F.greatest(acc["most"], now).alias("most"))
+
+    return F.aggregate(marks, zero, step, lambda acc: acc["most"])
+
+
+def flatten_json(text: Column, keep: tuple[str, ...] = ()) -> Column:
+    """Leaves of a JSON object as attributes named by the nearest object key, at any depth.
+
+    ``keep`` picks top-level fields. Each round opens every object and array that is there, in place; a text takes
+    as many rounds as it is deep.
     """
 
-    def leaves(value: Column, key: Column, left: int) -> Column:
-        leaf = F.array(F.struct(key.alias("key"), F.coalesce(F.try_variant_get(value, "$", "string"), F.lit("null")).alias("value")))
-        if not left:
-            return leaf
-        kind = F.schema_of_variant(value)
-        fields = F.try_variant_get(value, "$", "map<string,variant>")
-        items = F.try_variant_get(value, "$", "array<variant>")
-        below = F.flatten(F.transform(F.map_entries(fields), lambda e: leaves(e["value"], e["key"], left - 1)))
-        each = F.flatten(F.transform(items, lambda v: leaves(v, key, left - 1)))
-        return F.when(kind.startswith("OBJECT"), below).when(kind.startswith("ARRAY"), each).otherwise(leaf)
-
-    top = F.map_entries(F.try_variant_get(F.try_parse_json(text), "$", "map<string,variant>"))
+    def opened(e: Column) -> Column:
+        kind = F.schema_of_variant(e["value"])
+        fields = F.transform(F.map_entries(F.try_variant_get(e["value"], "$", "map<string,variant>")), lambda f: F.struct(f["key"].alias("key"), f["value"].alias("value")))
+        items = F.transform(F.try_variant_get(e["value"], "$", "array<variant>"), lambda v: F.struct(e["key"].alias("key"), v.alias("value")))
+        return F.when(kind.startswith("OBJECT"), fields).when(kind.startswith("ARRAY"), items).otherwise(F.array(e))
+
+    top = F.transform(F.map_entries(F.try_variant_get(F.try_parse_json(text), "$", "map<string,variant>")), lambda f: F.struct(f["key"].alias("key"), f["value"].alias("value")))
     chosen = F.filter(top, lambda e: e["key"].isin(list(keep))) if keep else top
-    return F.flatten(F.transform(chosen, lambda e: leaves(e["value"], e["key"], depth)))
+    rounds = F.when(json_depth(text) > 1, F.sequence(F.lit(2), F.greatest(json_depth(text), F.lit(2)))).otherwise(F.array().cast("array<int>"))
+    leaves = F.aggregate(rounds, chosen, lambda acc, _: F.flatten(F.transform(acc, opened)))
+    return F.transform(leaves, lambda e: F.struct(e["key"].alias("key"), F.coalesce(F.try_variant_get(e["value"], "$", "string"), F.lit("null")).alias("value")))
 
 
 def read_json(spark: SparkSession, path: str, real_id: str = "", source_id: int = 0, start: int = 0, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -118,6 +129,15 @@ def preview(spark: SparkSession, path: str, rows: int = PREVIEW, **options) -> D
     return reader(spark, path, **options).orderBy("id").limit(rows)
 
 
+def preview_ground_truth(spark: SparkSession, path: str, rows: int = PREVIEW, **options) -> DataFrame:
+    """The first pairs of a ground truth file, by its ending and in the order of their ids; JSON takes the names of its two fields."""
+    kind = os.path.splitext(path.rstrip("/"))[1]
+    reader = {".csv": read_ground_truth_csv, ".json": read_ground_truth_json}.get(kind)
+    if reader is None:
+        raise ValueError(f"no reader for {path}")
+    return reader(spark, path, **options).orderBy("original_id1", "original_id2").limit(rows)
+
+
 def union_sources(*profiles: DataFrame) -> DataFrame:
     """Profiles of several sources; each gets its place as source_id, and ids that follow the ones before."""
     out, start = None, 0

@@ -1,11 +1,13 @@
 """Where intermediate tables live: the folder that the cluster names in ``spark.checkpoint.dir``.
 
-Everything that cuts lineage is written there, so it outlives any executor. Only a session
-that names no folder (a laptop, a unit test) gets a private one.
+Everything that cuts lineage is written there, so it outlives any executor. Only a local session
+that names no folder (a laptop, a unit test) gets a private one; a cluster has to name one, since
+files in a machine's own folder would be there for a part of the executors only.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,11 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The shared folder; a private one, remembered by the context, if none is named."""
+    """The shared folder; in a local session a private one, remembered by the context, if none is named."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="matchloom-"))
         root = spark.sparkContext.getCheckpointDir()
     return root.rstrip("/")
