@@ -17,7 +17,7 @@ from ..operators import blocking, clustering, evaluate, graph, lsh, matching, pr
 from ..operators.components import connected_components
 from ..operators.ranking import with_position
 from ..sources import readers
-from ..storage import cut, shared_root
+from ..storage import cut, shared_root, spread
 
 QUERIES: dict = {}
 _SQL: dict = {}
@@ -42,7 +42,8 @@ def oracles() -> dict[str, str]:
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(df) if name == "documents" else df  # texts are costly to cut up
 
 
 def doc_profiles(spark: SparkSession, sf: str) -> DataFrame:

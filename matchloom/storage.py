@@ -37,6 +37,13 @@ def cut(df: DataFrame, tag: str = "cut") -> DataFrame:
     return out
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` as it is, or dealt out evenly if it has fewer partitions than there are cores: a small file may be one
+    row group, which a single task reads, and would then do all the work on its rows, too."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables made by :func:`cut` that nothing reads any more."""
     for table in tables:
