@@ -13,13 +13,14 @@ All steps work on runs of equal sequences, so a plan has a few thousand rows at
 
 Results for odd input, all tested: a null or empty text is a document of one token, the end mark; a document
 over the capacity is cut into pieces of that length, of which the first may be shorter; repeated rows are
-packed each for itself; an empty table gives an empty table; other columns are not read, whatever their names.
+packed each for itself; runs of a million blanks, letters or symbols take linear time; an empty table gives an empty table; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import re
 import zlib
 from bisect import bisect_left, insort
 from functools import cache
@@ -29,20 +30,45 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..storage import cut
+from .bpe import Codec
 from .tables import map_rows, read
 from .token_counts import byte_alphabet
 
 
-@cache
-def encoder(path: str):
-    """The vocabulary file's ids by the faster of the two libraries; tests hold it against the other, character by character."""
-    import tiktoken
+#: A run of blanks that the faster library's pattern engine isn't asked to match: its stack is bounded.
+LONG_BLANKS = re.compile(r"\s{10000}")
+
+
+class Encoder:
+    """The vocabulary file's ids by the faster of two libraries, special strings included; tests hold it against the other.
+
+    Texts with very long runs of blanks are encoded by the codec of ``op4_byte_bpe``, which is exact and linear.
+    """
+
+    def __init__(self, path: str):
+        import tiktoken
 
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
-    alphabet, special = byte_alphabet(), {t["content"]: t["id"] for t in spec["added_tokens"]}
-    ranks = {bytes(alphabet[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
-    return tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        alphabet, self.special = byte_alphabet(), {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.ranks = {bytes(alphabet[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in self.special}
+        self.fast = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=self.ranks, special_tokens=self.special)
+        self.parts = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")" if self.special else r"(?!)")
+        self.codec = None
+
+    def encode(self, text: str) -> list[int]:
+        if not LONG_BLANKS.search(text):
+            return self.fast.encode(text, allowed_special="all")
+        self.codec = self.codec or Codec(self.ranks)
+        out: list[int] = []
+        for part in self.parts.split(text):
+            out += [self.special[part]] if part in self.special else self.codec.encode(part)
+        return out
+
+
+@cache
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 def cut_lengths(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -58,7 +84,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 1024, end_id: int =
     def run(rows):
         enc = encoder(path)
         for doc_id, text in rows:
-            ids = np.array([*enc.encode(text or "", allowed_special="all"), end_id], dtype="<u4")
+            ids = np.array([*enc.encode(text or ""), end_id], dtype="<u4")
             for k, (s, e) in enumerate(cut_lengths(len(ids), capacity)):
                 yield (doc_id, k, s, e - s, zlib.crc32(ids[s:e].tobytes())) + ((ids[s:e].astype("int32"),) if with_ids else ())
 
