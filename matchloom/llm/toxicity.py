@@ -1,11 +1,11 @@
 """Toxicity by a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-A text's features are its n-grams of 3 to 6 bytes (lower-cased, white space runs as one space), each present or
+A text's features are its n-grams of 3 to 6 characters (lower-cased, white space runs as one space), each present or
 not, hashed to ``2 ** BITS`` columns. Each column is scaled by the log ratio of its smoothed rates in the two
 classes, and a logistic regression is fitted on the scaled columns. Whole texts are scored, in one scan.
 
-The fit reads a bounded sample: at most ``max_rows`` labelled rows, a quarter of them of class 1, those with the
-smallest hash of doc_id. Only the sample's texts leave the executors, as column numbers. The share of label 1 is
+The fit reads a bounded sample: at most ``max_rows`` labelled documents, a quarter of them of class 1, those with the
+smallest hash of doc_id and text; rows repeated with one doc_id and text are one document. Only the sample's texts leave the executors, as column numbers. The share of label 1 is
 counted over all labelled rows and corrects for the sample's.
 
 Results for odd input, all tested: null and empty texts have no features and get the score of the bias; without
@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import cut
 from .tables import map_rows, read, small_batches
 
 BITS, ORDERS, MAX_ROWS, THRESHOLD = 20, (3, 4, 5, 6), 4000, 0.7
@@ -37,8 +38,8 @@ class Features:
         self.flags = np.zeros(1 << BITS, dtype=bool)
 
     def __call__(self, text: str | None) -> np.ndarray:
-        b = b" " + b" ".join((text or "").lower().encode().split()) + b" "
-        a = np.frombuffer(b, dtype=np.uint8).astype(np.uint32)
+        b = " " + " ".join((text or "").lower().split()) + " "
+        a = np.frombuffer(b.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)  # a number a character
         h = a
         for n in range(2, max(ORDERS) + 1):
             if len(a) < n:
@@ -86,16 +87,17 @@ def fit(packed: list[bytes], labels: np.ndarray, share: float, alpha: float = 1.
     used, place = np.flatnonzero(told), np.zeros(1 << BITS, dtype=np.int32)
     place[used] = np.arange(len(used), dtype=np.int32)
     kept = [place[c[told[c]]] for c in map(_unpacked, packed)]
-    at, rows = np.concatenate(kept), np.repeat(np.arange(len(kept), dtype=np.int32), [len(c) for c in kept])
-    del kept
-    scale = ratio[used].astype(np.float32)
-    x = scale[at]
+    scale = ratio[used]
+    del rate, ratio, told, place, q, p
     w, b, y, n = np.zeros(len(used)), 0.0, labels.astype(float), len(labels)
     m, s, mb, sb, step = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0, 0.02
     for t in range(1, rounds + 1):
-        z = np.bincount(rows, weights=x * w[at], minlength=n) + b
+        scaled, g = w * scale, np.zeros_like(w)
+        z = np.array([scaled[c].sum() for c in kept]) + b
         e = (1 / (1 + np.exp(-np.clip(z, -700, 700))) - y) / n
-        g, gb = np.bincount(at, weights=x * e[rows], minlength=len(w)) + l2 * w / n, e.sum()
+        for c, x in zip(kept, e, strict=True):  # a text has a column once
+            g[c] += x
+        g, gb = g * scale + l2 * w / n, e.sum()
         m, s = 0.9 * m + 0.1 * g, 0.999 * s + 0.001 * g * g
         mb, sb = 0.9 * mb + 0.1 * gb, 0.999 * sb + 0.001 * gb * gb
         w -= step * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.999**t)) + 1e-8)
@@ -114,22 +116,30 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("toxic"))
     share = known.agg(F.avg("toxic")).first()[0] or 0.0
-    drawn = None
-    for y, rows in ((1, max_rows // 4), (0, max_rows - max_rows // 4)):
-        part = known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-        drawn = part if drawn is None else drawn.unionByName(part)
+    # at most max_rows labels are drawn; of the documents under their ids again at most max_rows, each once, and all by
+    # an order that decides every tie
+    drawn = _first(known, max_rows, ["doc_id"])
 
     def run(rows):
         features = Features()
         for text, y in rows:
             yield _packed(features(text)), y
 
-    texts = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")  # at most max_rows rows
-    got = map_rows(texts.select("text", "toxic"), run, "columns binary, toxic int").limit(2 * max_rows).collect()
-    got = sorted((r["toxic"], r["columns"]) for r in got)  # the fit doesn't depend on the order of arrival
+    key = F.xxhash64("text").alias("tkey")
+    texts = docs.select("doc_id", key).join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "tkey").agg(F.max("toxic").alias("toxic"))
+    chosen = cut(_first(texts, max_rows, ["doc_id", "tkey"]), "drawn")
+    rows = docs.select("doc_id", "text", key).join(F.broadcast(chosen), ["doc_id", "tkey"])  # at most max_rows rows, and what repeats them
+    got = map_rows(rows.select("text", "toxic"), run, "columns binary, toxic int").distinct().collect() if docs.count() else []
+    got = sorted((r["toxic"], bytes(r["columns"])) for r in got)  # the fit doesn't depend on the order of arrival
     return fit([c for _, c in got], np.array([y for y, _ in got], dtype=np.int64), share)
 
 
+def _first(rows: DataFrame, n: int, by: list[str]) -> DataFrame:
+    """A quarter of ``n`` rows of class 1 and the rest of class 0, those with the smallest hashes of ``by``, which tells rows apart."""
+    part = lambda y, k: rows.where(F.col("toxic") == y).orderBy(F.xxhash64(*by), *by).limit(k)
+    return part(1, n // 4).unionByName(part(0, n - n // 4))
+
+
 def score_column(spark: SparkSession, model: Model, text: Column) -> Column:
     """The score of ``text`` as a column."""
     small_batches(spark)
