@@ -4,9 +4,15 @@ Patterns find emails, ip addresses, card and phone numbers; these base spans are
 (a run of four letters or more) can disclose an entity without naming it: how strongly is estimated over the
 corpus. With N documents, n(e) of them naming entity e, n(t) of them using term t, and n(e, t) of them using t
 close to e, the pointwise mutual information log2(N n(e, t) / (n(e) n(t))) is compared with what there is to
-disclose, the entity's information log2(N / n(e)). A term whose share of it reaches ``DISCLOSURE``, seen in
-``SUPPORT`` different surroundings of the entity, is sensitive wherever it stands: removed if its share is all
-of it, generalised to ``<TERM>`` otherwise.
+disclose, the entity's information log2(N / n(e)). A term is sensitive
+
+* if it stands in no document but those where it is close to the entity, and so discloses all of it: whoever looks the
+  term up finds the entity, however often that is named. The entity has to have ``LEAST_BITS`` of information, since in
+  few documents most terms are the only ones of their kind;
+* if its share of it reaches ``DISCLOSURE`` and it was seen in ``SUPPORT`` different surroundings of the entity, which
+  tells it from chance. Such a term is sensitive wherever it stands.
+
+A term that discloses all of an entity is removed, others are generalised to ``<TERM>``.
 
 Positions come from what lies between matches, so they need no code outside SQL functions. Patterns are the
 stated ones with possessive repeats and borders that the leftmost match has anyway, so long runs cost linear time.
@@ -22,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import cut, discard
-from .tables import free, let, read
+from .tables import few, free, let, read
 
 #: A span's kind is its place here; the last two are terms to be generalised and to be removed.
 KINDS = ("email", "ip", "card", "phone", "term", "term")
@@ -36,9 +42,10 @@ PATTERNS = {
 }
 #: Characters of surroundings on either side, least different surroundings, least share of an entity's information.
 AROUND, SUPPORT, DISCLOSURE, TERM = 60, 3, 0.9, r"\p{L}{4,}"
+#: Bits of an entity that a term seen nowhere else gives away: it stands in a 64th of the documents at most.
+LEAST_BITS = 6.0
 #: A share from here on is all of an entity's information; less than 1 for the rounding of logarithms.
 ALL = 1 - 1e-9
-BROADCAST_ROWS = 1_000_000
 SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 
 
@@ -119,38 +126,54 @@ def _terms(docs: DataFrame) -> DataFrame:
     return docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("tkey"), F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)))).alias("term"))
 
 
-def _few(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _term_counts(docs: DataFrame, wanted: DataFrame, found: DataFrame) -> DataFrame:
+    """term and n_t, the documents that use it, of the ``wanted`` terms. Counted before anything is dealt out; what repeated rows add is taken off again."""
+    small = few(wanted)
+    counted = (_terms(docs).join(small, "term", "left_semi") if small is not wanted else _terms(docs)).groupBy("term").agg(F.count("*").alias("n"))
+    if docs.count() > found.count():
+        key = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("tkey"))
+        again = cut(key.groupBy("doc_id", "tkey").agg(F.count("*").alias("m")).where("m > 1"), "again").select(F.col("doc_id").alias("i"), F.col("tkey").alias("t"), "m")
+        extra = docs.join(few(again), F.col("doc_id").eqNullSafe(F.col("i")) & (F.xxhash64("text") == F.col("t"))).dropDuplicates(["doc_id", "t"])
+        extra = extra.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"), (1 - F.col("m")).alias("n"))
+        counted = counted.unionByName(extra)
+    return counted.groupBy("term").agg(F.sum("n").alias("n_t")).join(wanted, "term", "left_semi")
 
 
 def sensitive_terms(docs: DataFrame, found: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
-    """term and share (of the information of the entity it discloses most of)."""
-    near = found.where(F.size("mentions") > 0).select("doc_id", "tkey", F.explode("mentions").alias("m")).select("doc_id", "tkey", F.col("m.kind").alias("kind"), F.col("m.entity").alias("entity"), F.col("m.terms").alias("terms"))
-    near = near.withColumn("place", F.xxhash64(F.array_sort("terms")))
+    """term, share (of the information of the entity it discloses most of) and ``wide``: whether it may stand away from the entity."""
+    with_term = _near_terms(found)
     entity = ["kind", "entity"]
-    named = near.select(*entity, "doc_id", "tkey").distinct().groupBy(*entity).agg(F.count("*").alias("n_e"))
-    with_term = near.select(*entity, "doc_id", "tkey", "place", F.explode("terms").alias("term"))
+    mentions = found.where(F.size("mentions") > 0).select("doc_id", "tkey", F.explode("mentions").alias("m")).select("doc_id", "tkey", "m.kind", "m.entity")
+    named = mentions.distinct().groupBy(*entity).agg(F.count("*").alias("n_e"))
     joint = with_term.select(*entity, "term", "doc_id", "tkey").distinct().groupBy(*entity, "term").agg(F.count("*").alias("n_et"))
-    places = with_term.select(*entity, "term", "place").distinct().groupBy(*entity, "term").agg(F.count("*").alias("places")).where(F.col("places") >= support)
-    n = F.lit(float(max(found.select("doc_id", "tkey").count(), 1)))
+    places = with_term.select(*entity, "term", "place").distinct().groupBy(*entity, "term").agg(F.count("*").alias("places"))
+    n = F.lit(float(max(found.count(), 1)))
 
-    def share(n_t: str) -> Column:
+    def sensitive(n_t: str) -> tuple[Column, Column]:
         information = F.log2(n / F.col("n_e"))
-        return F.when(information > 0, F.log2(n * F.col("n_et") / (F.col("n_e") * F.col(n_t))) / information)
+        share = F.when(information > 0, F.log2(n * F.col("n_et") / (F.col("n_e") * F.col(n_t))) / information)
+        alone = (F.col("n_et") == F.col(n_t)) & (information >= LEAST_BITS)
+        return F.when(alone, 1.0).otherwise(share), alone | ((F.col("places") >= support) & (share >= disclosure))
 
     # documents that use a term near any entity are among those that use it: a term that is too common by that
-    # count alone, as most are, can't reach the share, and needn't be looked for in the corpus
+    # count alone, as most are, can't be sensitive, and needn't be looked for in the corpus
     around = with_term.select("term", "doc_id", "tkey").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
     pairs = joint.join(places, [*entity, "term"]).join(named, entity).join(around, "term")
-    pairs = cut(pairs.where(share("n_near") >= disclosure), "pairs")
+    pairs = cut(pairs.where(sensitive("n_near")[1]), "pairs")
     wanted = cut(pairs.select("term").distinct(), "terms")
-    used = _terms(docs).join(_few(wanted), "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
-    shares = pairs.join(used, "term").withColumn("share", share("n_t"))
-    out = cut(shares.where(F.col("share") >= disclosure).groupBy("term").agg(F.max("share").alias("share")), "sensitive")
+    share, reached = sensitive("n_t")
+    shares = pairs.join(_term_counts(docs, wanted, found), "term").where(reached).select("term", share.alias("share"), (F.col("n_et") < F.col("n_t")).alias("wide"))
+    out = cut(shares.groupBy("term").agg(F.max("share").alias("share"), F.max("wide").alias("wide")), "sensitive")
     discard(pairs, wanted)
     return out
 
 
+def _near_terms(found: DataFrame) -> DataFrame:
+    """doc_id, tkey, kind and entity, place (of surroundings) and each term of the surroundings."""
+    near = found.where(F.size("mentions") > 0).select("doc_id", "tkey", F.explode("mentions").alias("m")).select("doc_id", "tkey", F.col("m.kind").alias("kind"), F.col("m.entity").alias("entity"), F.col("m.terms").alias("terms"))
+    return near.withColumn("place", F.xxhash64(F.array_sort("terms"))).select("doc_id", "tkey", "kind", "entity", "place", F.explode("terms").alias("term"))
+
+
 def spans(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
     """doc_id, tkey and ``spans``: base ones and, of the sensitive terms, those that overlap none of them."""
     docs = docs.select("doc_id", "text")
@@ -160,8 +183,14 @@ def spans(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPOR
     terms = sensitive_terms(docs, found, disclosure, support)
     if not terms.head(1):
         return found.select("doc_id", "tkey", F.col("base").alias("spans"))
-    where = cut(_terms(docs).join(_few(terms), "term").groupBy("doc_id", "tkey").agg(F.collect_set(F.struct("term", F.when(F.col("share") >= ALL, 5).otherwise(4).alias("kind"))).alias("terms")), "where")
-    texts = docs.withColumn("tkey", F.xxhash64("text")).select("doc_id", "tkey", "text").join(_few(where).select(F.col("doc_id").alias("i"), F.col("tkey").alias("t"), "terms"), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("tkey") == F.col("t")))
+    # terms that stand near their entity only are in documents that are known already; the corpus is read for others alone
+    kind = F.when(F.col("share") >= ALL, 5).otherwise(4).alias("kind")
+    holders = _near_terms(found).select("doc_id", "tkey", "term").join(terms.where("not wide").select("term", kind), "term")
+    wide = cut(terms.where("wide").select("term", kind), "wide")
+    if wide.head(1):
+        holders = holders.unionByName(_terms(docs).join(few(wide), "term").select("term", "doc_id", "tkey", "kind"))
+    where = cut(holders.groupBy("doc_id", "tkey").agg(F.collect_set(F.struct("term", "kind")).alias("terms")), "where")
+    texts = docs.withColumn("tkey", F.xxhash64("text")).select("doc_id", "tkey", "text").join(few(where).select(F.col("doc_id").alias("i"), F.col("tkey").alias("t"), "terms"), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("tkey") == F.col("t")))
     pattern = lambda t: F.concat(F.lit(r"(?iu)(?<!\p{L})"), t, F.lit(r"(?!\p{L})"))
     placed = texts.select("doc_id", "tkey", F.flatten(F.transform("terms", lambda t: find(F.col("text"), pattern(t["term"]), t["kind"]))).alias("more")).distinct()
     both = found.select("doc_id", "tkey", "base").join(placed.select(F.col("doc_id").alias("i"), F.col("tkey").alias("t"), "more"), F.col("doc_id").eqNullSafe(F.col("i")) & F.col("tkey").eqNullSafe(F.col("t")), "left")
@@ -174,7 +203,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
     i, t, found = free(docs, "_id", "_tkey", "_spans")
     some = cut(spans(docs).where(F.size("spans") > 0).select(F.col("doc_id").alias(i), F.col("tkey").alias(t), F.col("spans").alias(found)), "spans")
     # a text's row stays where it is unless too many have spans
-    rows = docs.join(_few(some), docs["doc_id"].eqNullSafe(F.col(i)) & (F.xxhash64(docs["text"]) == F.col(t)) & docs["text"].isNotNull(), "left")
+    rows = docs.join(few(some), docs["doc_id"].eqNullSafe(F.col(i)) & (F.xxhash64(docs["text"]) == F.col(t)) & docs["text"].isNotNull(), "left")
     labels = F.array(*[F.lit(x) for x in LABELS])
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -194,10 +223,10 @@ def digest(docs: DataFrame) -> DataFrame:
     listed = lambda s: F.array_join(F.transform(s, lambda x: F.concat_ws(":", F.get(kinds, x["kind"]), x["start"].cast("string"), x["end"].cast("string"))), ",")
     base = F.filter("spans", lambda s: s["kind"] < 4)
     counts = [F.size(F.filter("spans", _is(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS[:4])]
-    small = found.select(F.col("doc_id").alias("_id"), F.col("tkey").alias("_tkey"), *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+    small = found.select(F.col("doc_id").alias("_id"), F.col("tkey").alias("_tkey"), *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
     rows = docs.select("doc_id", F.xxhash64("text").alias("tkey"))
     out = rows.join(small, rows["doc_id"].eqNullSafe(F.col("_id")) & rows["tkey"].eqNullSafe(F.col("_tkey")))
-    return out.select("doc_id", *[f"n_{k}" for k in KINDS[:4]], "base_sha256", "spans")
+    return out.select("doc_id", *[f"n_{k}" for k in KINDS[:4]], "base_sha256", "spans", "n_spans")
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -224,17 +253,17 @@ sr AS (SELECT r, kind, entity, list_sort(list_distinct(regexp_extract_all(lower(
   (CASE WHEN length(text) > e + {AROUND} THEN regexp_replace(substr(text, e + 1, {AROUND}), '\\p{{L}}+$', '') ELSE substr(text, e + 1, {AROUND}) END)), '\\p{{L}}{{4,}}'))) AS terms FROM b),
 wt AS (SELECT r, kind, entity, terms AS place, unnest(terms) AS term FROM sr),
 ne AS (SELECT kind, entity, count(DISTINCT r) AS n_e FROM sr GROUP BY ALL),
-et AS (SELECT kind, entity, term, count(DISTINCT r) AS n_et FROM wt GROUP BY ALL HAVING count(DISTINCT place) >= {SUPPORT}),
+et AS (SELECT kind, entity, term, count(DISTINCT r) AS n_et, count(DISTINCT place) AS places FROM wt GROUP BY ALL),
 tu AS (SELECT DISTINCT r, unnest(regexp_extract_all(lower(text), '\\p{{L}}{{4,}}')) AS term FROM d),
 nt AS (SELECT term, count(*) AS n_t FROM tu GROUP BY term),
 sh AS (SELECT DISTINCT term FROM et JOIN ne USING (kind, entity) JOIN nt USING (term), (SELECT greatest(count(*), 1)::DOUBLE AS n FROM d)
-  WHERE log2(n / n_e) > 0 AND log2(n * n_et / (n_e * n_t)) / nullif(log2(n / n_e), 0) >= {DISCLOSURE}),
+  WHERE log2(n / n_e) > 0 AND ((n_et = n_t AND log2(n / n_e) >= {LEAST_BITS}) OR (places >= {SUPPORT} AND log2(n * n_et / (n_e * n_t)) / nullif(log2(n / n_e), 0) >= {DISCLOSURE}))),
 wd AS (SELECT d.r, text, regexp_extract_all(text, '\\p{{L}}+') AS ms, regexp_split_to_array(text, '\\p{{L}}+') AS gs FROM d WHERE r IN (SELECT r FROM tu SEMI JOIN sh USING (term))),
 wp AS (SELECT r, unnest(range(1, len(ms) + 1)) AS i, ms, gs FROM wd),
 ws AS (SELECT r, ms[i] AS m, (coalesce(list_sum(list_transform(gs[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0))::BIGINT AS s FROM wp WHERE lower(ms[i]) IN (SELECT term FROM sh)),
 a AS (SELECT r, kind, name, s, e FROM b UNION ALL SELECT r, 4, 'term', s, s + length(m) FROM ws WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.r = ws.r AND b.s < ws.s + length(ws.m) AND ws.s < b.e)),
 o AS (SELECT r, count(*) FILTER (WHERE kind = 0) AS n_email, count(*) FILTER (WHERE kind = 1) AS n_ip, count(*) FILTER (WHERE kind = 2) AS n_card, count(*) FILTER (WHERE kind = 3) AS n_phone,
-  coalesce(string_agg(name || ':' || s || ':' || e, ',' ORDER BY s, kind, e) FILTER (WHERE kind < 4), '') AS base, string_agg(name || ':' || s || ':' || e, ',' ORDER BY s, kind, e) AS spans FROM a GROUP BY r)
-SELECT documents.doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+  coalesce(string_agg(name || ':' || s || ':' || e, ',' ORDER BY s, kind, e) FILTER (WHERE kind < 4), '') AS base, string_agg(name || ':' || s || ':' || e, ',' ORDER BY s, kind, e) AS spans, count(*) AS n_spans FROM a GROUP BY r)
+SELECT documents.doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_spans, 0) AS n_spans
 FROM documents JOIN d ON d.doc_id IS NOT DISTINCT FROM documents.doc_id AND d.text IS NOT DISTINCT FROM documents.text LEFT JOIN o USING (r)
 """

@@ -7,12 +7,37 @@ from collections.abc import Callable, Iterable, Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import spread
+
 #: Rows that one Arrow batch may hold: texts reach 100 kB and more, and a batch is in a worker's memory at once.
 BATCH_ROWS = 500
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; if one task would read it, dealt out before costly work."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+#: What may be broadcast: bytes of rows, estimated from their values.
+BROADCAST_BYTES = 64 << 20
+
+
+def row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row takes: strings by their length, nested values by that of their JSON text."""
+
+    def of(name: str, kind: str) -> Column:
+        c = F.col(f"`{name}`")
+        if kind in ("string", "binary"):
+            return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+        return F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)) if kind.startswith(("array", "struct", "map")) else F.lit(8)
+
+    return sum((of(n, k) for n, k in df.dtypes), F.lit(16))
+
+
+def few(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` to be broadcast if all its rows take few bytes, measured on them, else as it is. Give a written table."""
+    size = df.agg(F.sum(row_bytes(df))).first()[0] or 0
+    return F.broadcast(df) if size <= limit else df
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:

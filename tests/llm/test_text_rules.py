@@ -1,6 +1,7 @@
 """PII, line dedup and the quality ledger."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -57,6 +58,29 @@ def test_terms_that_disclose_an_entity(documents):
     assert all(clean[i] == t[i] for i, _ in away)
 
 
+def test_planted_terms_are_found_and_no_others(documents):
+    """Each entity is named once; a name beside it that stands nowhere else gives it away, words used elsewhere don't."""
+    r = random.Random(8)
+    words = ["".join(r.choice("bcdfgklmnprst") + r.choice("aeiou") for _ in range(3)) for _ in range(400)]
+    prose = lambda n: " ".join(r.choice(words) for _ in range(n))
+    rows, planted = [(i, " ".join(words)) for i in (5000, 5001)], set()
+    for i in range(300):
+        if i % 3:
+            rows.append((i, prose(60)))
+            continue
+        name = "".join(chr(97 + int(d)) for d in f"{i:04d}") + "q"
+        planted.add((i, name))
+        rows.append((i, f"{prose(20)} {name} {prose(2)} user{i}@site{i}.org {prose(30)}"))
+    found = set()
+    texts = dict(rows)
+    for x in pii.digest(documents(rows)).collect():
+        for span in filter(None, x["spans"].split(",")):
+            kind, start, end = span.split(":")
+            if kind == "term":
+                found.add((x["doc_id"], texts[x["doc_id"]][int(start) : int(end)]))
+    assert found == planted
+
+
 def test_repeated_rows_count_once_for_terms(documents):
     away = [(i, f"plain words number {chr(97 + i % 26) * 5} and common stuff") for i in range(200)]
     near = [(1000 + i, f"common stuff from {'abcdef'[i] * 4} Zanzibar: ann@corp.org and {'uvwxyz'[i] * 5} common") for i in range(6)]
