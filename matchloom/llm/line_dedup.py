@@ -13,6 +13,11 @@ lines with a word or more, and every line of ``LONG`` words, that stands earlier
 that begins with the last line of its first occurrence, as in a line three times over, is none of its repeats.
 ``whole=False`` leaves the pairs out: ``op8_line_dedup`` is held to the chunks alone by its SQL.
 
+Near copies would be torn to fragments that no longer look like copies. A pipeline that drops copies afterwards passes
+their ``groups``: what a document shares with its own group alone is left to that step, which drops the whole text, and
+what it shares with others is cut out of all of the group alike. Documents that the step will drop are never the first
+occurrence if another one is there.
+
 Texts are read three times and never shuffled unless more documents change than may be broadcast.
 
 Results for odd input, all tested: a null text stays null; chunks without a word are no repeats; a text whose
@@ -27,21 +32,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import cut, discard
-from .tables import free, let, read
+from .tables import few, free, let, read
 
 DIVISOR, LONG = 2, 50
 #: Numbers of pairs of lines begin here, those of chunks at 0.
 PAIRS = 1 << 30
-#: Rows that may be broadcast; more are dealt out by key.
-BROADCAST_ROWS = 1_000_000
 _BLANKS = " \t\n\x0b\x0c\r"
 
 
-def few(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """``df`` to be broadcast if it has few rows (of a few numbers each), else as it is."""
-    return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
-
-
 def n_words(line: Column) -> Column:
     """Words of a line: what blanks divide it into, less the empty ends; no function runs word by word."""
     blank = lambda c: (F.translate(c, _BLANKS, "") == "").cast("int")
@@ -62,7 +60,7 @@ def chunk_spans(lines: Column) -> Column:
         return F.filter(F.sequence(F.lit(1), F.size(marks)), border)
 
     def spans(marks: Column, e: Column) -> Column:
-        words = lambda s, end: F.aggregate(F.slice(marks, s + 1, end - s), F.lit(0), lambda a, m: a + m["n"])
+        words = lambda s, end: F.aggregate(F.sequence(s, end - 1), F.lit(0), lambda a, i: a + F.get(marks, i)["n"])
         start = lambda k: F.when(k == 0, 0).otherwise(F.get(e, k - 1))
         return F.transform(e, lambda end, k: F.struct(start(k).alias("s"), end.alias("e"), words(start(k), end).alias("w")))
 
@@ -76,10 +74,19 @@ def pair_spans(lines: Column) -> Column:
     return let(worded, lambda at: F.transform(F.slice(at, 2, F.size(at)), lambda e, k: F.struct(F.get(at, k).alias("s"), (e + 1).alias("e"), F.lit(1).alias("w"))))
 
 
+def _grouped(units: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """``units`` with the group of their document, null without one, and whether that will be dropped."""
+    if groups is None:
+        return units.withColumns({"group": F.lit(None).cast("long"), "spare": F.lit(False)})
+    g = groups.select(F.col("doc_id").alias("i"), "group", "spare")
+    return units.join(few(g), units["doc_id"] == F.col("i"), "left").drop("i").withColumn("spare", F.coalesce("spare", F.lit(False)))
+
+
 def _chunks(docs: DataFrame, whole: bool) -> DataFrame:
     """doc_id, tkey, k, s, e, w, chunk (text), h for every chunk with a word and, if ``whole``, every pair, numbered from ``PAIRS``."""
     rows = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("tkey"), F.split("text", "\n").alias("lines"))
-    text = lambda ls, c: F.array_join(F.slice(ls, c["s"] + 1, c["e"] - c["s"]), "\n")
+    # lines are found by their places: a slice would pass over all lines for every chunk
+    text = lambda ls, c: F.array_join(F.transform(F.sequence(c["s"], c["e"] - 1), lambda i: F.get(ls, i)), "\n")
     unit = lambda ls, start: lambda c, k: F.struct((k + start).alias("k"), c["s"].alias("s"), c["e"].alias("e"), c["w"].cast("long").alias("w"), text(ls, c).alias("chunk"))
     of = lambda ls, spans, start: F.transform(spans(ls), unit(ls, start))
     cut_up = let(F.col("lines"), lambda ls: F.concat(of(ls, chunk_spans, 0), of(ls, pair_spans, PAIRS)) if whole else of(ls, chunk_spans, 0))
@@ -106,24 +113,29 @@ def _merged(ranges: Column) -> Column:
     return F.aggregate(ranges, none, step)
 
 
-def repeated_lines(docs: DataFrame, whole: bool = True) -> DataFrame:
-    """doc_id, tkey and ``gone``, ranges of lines (s, e) that repeat an earlier text, for the documents that have any."""
-    chunks = cut(_chunks(docs, whole).drop("chunk"), "chunks")
+def repeated_lines(docs: DataFrame, whole: bool = True, groups: DataFrame | None = None) -> DataFrame:
+    """doc_id, tkey and ``gone``, ranges of lines (s, e) that repeat an earlier text, for the documents that have any.
+
+    ``groups`` (doc_id, group, spare), a written table, has the documents that are copies of each other.
+    """
+    chunks = cut(_grouped(_chunks(docs, whole).drop("chunk"), groups), "chunks")
     twice = cut(chunks.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "twice")
     # byte comparison: equal hashes are grouped by their text
     holders = cut(chunks.join(few(twice), "h", "left_semi").select("doc_id", "tkey").distinct(), "holders")
-    seen = _chunks(_of(docs, holders), whole).join(few(twice), "h", "left_semi")
-    texts = seen.groupBy("h", "chunk").agg(F.min(F.struct("doc_id", "k")).alias("first"), F.count("*").alias("n"))
+    seen = _grouped(_chunks(_of(docs, holders), whole).join(few(twice), "h", "left_semi"), groups)
+    texts = seen.groupBy("h", "chunk").agg(F.min(F.struct("spare", "doc_id", "k", "group")).alias("first"), F.count("*").alias("n"))
     groups = cut(texts.groupBy("h").agg(F.count("*").alias("n_texts"), F.first("first").alias("first"), F.first("n").alias("n")), "groups")
     sure = groups.where("n_texts = 1").select("h", "first")
     # the first one stays whole, so a pair that begins with its last line is no repeat of it
     own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & ((F.col("k") == F.col("first.k")) | ((F.col("k") > PAIRS) & (F.col("k") == F.col("first.k") + 1)))
-    later = lambda df: df.where(~own).select("doc_id", "tkey", "k", "s", "e", "w")
+    # what a group shares by itself is left to the step that drops its copies; inside one document it is a repeat
+    of_group = F.coalesce((F.col("group") == F.col("first.group")) & (F.col("doc_id") != F.col("first.doc_id")), F.lit(False))
+    later = lambda df: df.where(~own & ~of_group).select("doc_id", "tkey", "k", "s", "e", "w")
     dups = later(chunks.join(few(sure), "h"))
     clashes = groups.where("n_texts > 1").select("h")
     if clashes.head(1):  # different texts under one hash: told apart by their bytes
         by_text = texts.where("n > 1").join(clashes, "h", "left_semi").select("h", "chunk", "first")
-        dups = dups.unionByName(later(_chunks(docs, whole).join(by_text, ["h", "chunk"])))
+        dups = dups.unionByName(later(_grouped(_chunks(docs, whole), groups).join(by_text, ["h", "chunk"])))
     dups = dups.distinct()  # rows repeated with one doc_id and text
     # runs of consecutive repeated chunks: equal k minus rank
     ranked = dups.groupBy("doc_id", "tkey").agg(F.array_sort(F.collect_list(F.struct("k", "s", "e", "w"))).alias("c"))
@@ -136,13 +148,13 @@ def repeated_lines(docs: DataFrame, whole: bool = True) -> DataFrame:
     return out
 
 
-def drop_repeated_lines(docs: DataFrame, counts: bool = False, drop_emptied: bool = False, whole: bool = True) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, counts: bool = False, drop_emptied: bool = False, whole: bool = True, groups: DataFrame | None = None) -> DataFrame:
     """The documents, all columns as they are but ``text``; with ``counts`` also n_lines and n_removed.
 
     With ``drop_emptied`` the rows of texts that lose their last word go, too.
     """
     i, t, g = free(docs, "_id", "_tkey", "_gone")
-    gone = repeated_lines(docs, whole).select(F.col("doc_id").alias(i), F.col("tkey").alias(t), F.col("gone").alias(g))
+    gone = repeated_lines(docs, whole, groups).select(F.col("doc_id").alias(i), F.col("tkey").alias(t), F.col("gone").alias(g))  # a written table
     rows = docs.join(few(gone), docs["doc_id"].eqNullSafe(F.col(i)) & (F.xxhash64(docs["text"]) == F.col(t)) & docs["text"].isNotNull(), "left")
     lines = F.split(docs["text"], "\n")
     stay = F.array_join(F.filter(lines, lambda x, n: ~F.exists(g, lambda r: (n >= r["s"]) & (n < r["e"]))), "\n")

@@ -2,7 +2,8 @@ r"""Quality rules as a ledger of failure bits.
 
 Every rule is evaluated once a document; the ledger holds the measurements and one bit a failed rule.
 Policies are named, versioned masks over those bits, so applying another one, or asking what a rule costs
-(:func:`ablations`), reads the ledger alone.
+(:func:`ablations`), reads the stored ledger (:func:`write_ledger`) alone. ``op9_quality_rules`` needs one policy and
+reads each text once, so it stores nothing.
 
 Words are runs of characters other than space and the controls 9 to 13. All work is array functions within a
 row: nothing is shuffled, and windows of eight words are compared by hash first and by their words after.
@@ -62,7 +63,7 @@ def _repeat_words(words: Column, hashes: Column) -> Column:
     marks = lambda value: F.array_sort(value)
 
     def exact(at: Column) -> Column:  # few positions: those whose hash is there twice
-        texts = F.transform(at, lambda p: F.struct(F.array_join(F.slice(words, p + 1, WINDOW), " ").alias("v"), p.alias("p")))
+        texts = F.transform(at, lambda p: F.struct(F.concat_ws(" ", *[F.get(words, p + k) for k in range(WINDOW)]).alias("v"), p.alias("p")))
         return let(marks(texts), lambda m: let(F.array_sort(_doubles(m)), _covered))
 
     by_hash = let(marks(F.transform(hashes, lambda h, i: F.struct(h.alias("v"), i.alias("p")))), lambda m: let(_doubles(m), exact))
@@ -75,7 +76,8 @@ def measure(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", text.alias("t"), F.filter(F.split(text, SPACE), lambda w: w != "").alias("words"))
     rows = rows.withColumn("lines", F.filter(F.split("t", "\n"), lambda x: F.translate(x, " \t\n\x0b\x0c\r", "") != ""))
     # bound by `let`: an expression that Spark moves into a lambda would be computed again for every window
-    rolled = let(F.transform("words", lambda w: F.xxhash64(w)), lambda wh: F.transform(F.sequence(F.lit(1), F.size("words") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(wh, i, WINDOW))))
+    # words of a window are found by their places, so long texts take linear time
+    rolled = let(F.transform("words", lambda w: F.xxhash64(w)), lambda wh: F.transform(F.sequence(F.lit(1), F.size("words") - (WINDOW - 1)), lambda i: F.xxhash64(*[F.get(wh, i - 1 + k) for k in range(WINDOW)])))
     windows = F.when(F.size("words") >= WINDOW, rolled).otherwise(F.array().cast("array<bigint>"))
     rows = rows.withColumn("windows", windows)
     return rows.select(
@@ -97,6 +99,13 @@ def ledger(docs: DataFrame) -> DataFrame:
     return measure(docs).withColumn("failure_bits", bits)
 
 
+def write_ledger(docs: DataFrame, path: str) -> DataFrame:
+    """The ledger of ``docs``, stored: policies and ablations read it, and no text is measured again. Returned as it is read back."""
+    led = ledger(docs)
+    led.write.mode("errorifexists").parquet(path)
+    return docs.sparkSession.read.schema(led.schema).parquet(path)
+
+
 def apply_policy(led: DataFrame, policy: str) -> DataFrame:
     """The ledger with ``kept``: no rule of the policy failed."""
     return led.withColumn("kept", F.col("failure_bits").bitwiseAND(mask(policy)) == 0)

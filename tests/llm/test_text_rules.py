@@ -186,3 +186,46 @@ def test_ledger(documents, odd, empty):
         bits = [x["failure_bits"] & m for x in whole]
         assert (r["n_fail"], r["n_fail_alone"], r["n_kept_without"]) == (sum(b & bit > 0 for b in bits), bits.count(bit), sum(b & ~bit == 0 for b in bits))
     assert quality.ledger(empty).count() == 0
+
+
+def test_stored_ledger_serves_every_policy(spark, odd, empty, tmp_path):
+    led = quality.write_ledger(odd, str(tmp_path / "ledger"))
+    assert led.count() == odd.count()
+    rows = led.collect()
+    for policy in quality.POLICIES:
+        kept = Counter(r["doc_id"] for r in quality.apply_policy(led, policy).where("kept").collect())
+        assert kept == Counter(r["doc_id"] for r in rows if not r["failure_bits"] & quality.mask(policy))
+        got = {r["rule"]: (r["n_fail"], r["n_fail_alone"], r["n_kept_without"]) for r in quality.ablations(led, policy).collect()}
+        for i, (name, _) in enumerate(quality.RULES):
+            if name in quality.POLICIES[policy]:
+                bits = [r["failure_bits"] & quality.mask(policy) for r in rows]
+                assert got[name] == (sum(b >> i & 1 for b in bits), sum(b == 1 << i for b in bits), sum(b & ~(1 << i) == 0 for b in bits))
+    none = quality.write_ledger(empty, str(tmp_path / "none"))
+    assert quality.apply_policy(none, "base/1").count() == 0
+    assert quality.ablations(none, "strict/1").count() == 0
+
+
+def test_long_texts_take_linear_time(documents):
+    words = " ".join(f"w{i}" for i in range(200_000))
+    r = quality.ledger(documents([(1, words + " " + words)])).first()
+    assert r["n_words"] == 400_000
+    assert r["n_repeat_words"] == 400_000
+    lines = "\n".join(f"line {i}" for i in range(100_000))
+    rows = line_dedup.drop_repeated_lines(documents([(1, lines), (2, "x\n" + lines)]), counts=True).collect()
+    assert {r["doc_id"]: r["n_removed"] for r in rows} == {1: 0, 2: 100_000}
+
+
+def test_groups_of_copies_are_left_whole(spark, documents):
+    own = [f"line {i} that stands in this text and its copies only" for i in range(8)]
+    passage = [f"shared line {i} of a passage that many texts have" for i in range(6)]
+    docs = documents([(1, "\n".join(passage)), (2, "\n".join(["spare first", *own[:3]])), (3, "\n".join(own[:4] + passage + own[4:])), (4, "\n".join(["changed", *own[1:4], *passage, *own[4:]])), (5, "\n".join(["other", *own[2:6]])), (6, "\n".join(own[:2] * 2))])
+    groups = spark.createDataFrame([(2, 3, True), (3, 3, False), (4, 3, True)], "doc_id long, group long, spare boolean")
+    got = {r["doc_id"]: r["text"].split("\n") for r in line_dedup.drop_repeated_lines(docs, groups=groups).collect()}
+    assert got[1] == passage  # the first of all
+    assert got[2] == ["spare first", *own[:3]]  # of the group
+    assert got[3] == own  # the passage goes, and what 2 has doesn't count as earlier, since 2 will be dropped
+    assert got[4] == ["changed", *own[1:]]  # cut as 3 is
+    assert got[5] == ["other"]
+    assert got[6] == [""]
+    alone = documents([(3, "\n".join(own + own)), (4, "x")])
+    assert line_dedup.drop_repeated_lines(alone, groups=groups).where("doc_id = 3").first()["text"].split("\n") == own
