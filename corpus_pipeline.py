@@ -2,9 +2,13 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame that is written as Parquet and read again as
 the next one's ``docs``. All but the last return the columns of ``documents``: toxic documents go, repeated line
-chunks are cut out of the texts (and texts go that are left without a word), one document of each group of near-duplicates stays, personal data and the terms
+chunks are cut out of the texts (but for what near copies share, see below; texts go that are left without a word), one document of each group of near-duplicates stays, personal data and the terms
 that disclose it are replaced; the last stage packs what is left.
 
+Line dedup by itself would tear near copies: it takes the lines that they share with their original and leaves
+the lines that differ, which no longer look like a copy. So that stage asks the near-duplicate operator for the groups
+of copies first, and leaves a group's own lines to the stage that drops its copies.
+
 Results for odd input: each stage's operator states them in its module; an empty table passes through all stages.
 """
 
@@ -29,7 +33,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _measured(line_dedup.drop_repeated_lines(docs, drop_emptied=True))
+    """Near copies keep what they share with their group alone: the next stage drops them whole."""
+    return _measured(line_dedup.drop_repeated_lines(docs, drop_emptied=True, groups=near_duplicates.copy_groups(docs)))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
