@@ -38,8 +38,29 @@ def test_empty_few_and_repeated(spark):
     assert sorted(tuple(x) for x in got.select("rank", "vec_id", "score").collect()) == [(1, 1, 256 * 512), (2, 1, 256 * 512)]
 
 
-def test_large_values_stay_exact():
-    ids, v = np.arange(3), np.array([[2**28, 3], [2**28, 2], [-(2**28), 1]])
-    (found,) = topk.block_top_k(ids, v, np.array([9]), np.array([[2**28, 1]]), 2)
-    assert found[1].tolist() == [0, 1]
-    assert found[2].tolist() == [2**56 + 3, 2**56 + 2]
+def test_large_values_stay_exact(spark):
+    rows = [(1, [2.0**20, 3 / 256]), (2, [2.0**20, 2 / 256]), (3, [-(2.0**20), 1 / 256]), (50, [2.0**20, 1 / 256])]
+    got = topk.top_k(topk.quantise(spark.createDataFrame(rows, "vec_id long, embedding array<double>")), F.col("vec_id") % 50 == 0, 2)
+    assert sorted(tuple(x) for x in got.select("rank", "vec_id", "score").collect()) == [(1, 1, 2**56 + 3), (2, 2, 2**56 + 2)]
+
+
+def test_one_id_with_several_vectors(spark):
+    rows = [(50, [1.0, 0.0]), (50, [0.0, 2.0]), (1, [3.0, 1.0]), (2, [0.0, 1.0]), (2, [1.0, 0.0]), (50, [1.0, 0.0])]
+    got = topk.top_k(topk.quantise(spark.createDataFrame(rows, "vec_id long, embedding array<double>")), F.col("vec_id") % 50 == 0)
+    # a candidate row's score is the best over the query's vectors; each row of 2 is a candidate
+    assert sorted(tuple(x) for x in got.select("query_id", "rank", "vec_id", "score").collect()) == [(50, 1, 1, 3 * 65536), (50, 2, 2, 2 * 65536), (50, 3, 2, 65536)]
+
+
+def test_the_scan_leaves_little_and_the_cells_are_bytes(spark):
+    r = np.random.default_rng(3)
+    rows = [(i, r.normal(size=16).tolist()) for i in range(3000)] + [(10_000 + i, [0.3] * 16) for i in range(500)]
+    vectors = topk.quantise(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    file, bits = topk.approximation_file(vectors, 5)
+    assert file.count() == 3001  # a vector that many rows have is one row
+    assert file.schema["cells"].dataType.simpleString() == "array<tinyint>"
+    assert {len(x["ids"]) for x in file.where(F.size("ids") > 1).collect()} == {6}
+    queries = vectors.where("vec_id % 50 = 0 and vec_id < 3000").select(F.col("vec_id").alias("query_id"), F.struct(F.xxhash64("v").alias("a"), F.xxhash64("v", F.lit(1)).alias("b")).alias("query"), F.col("v").alias("q"))
+    found = topk.candidates(file, bits, queries, 16, 5)
+    assert found.count() < 60 * 3001 / 20
+    exact = topk._scores(found, file, queries).join(found, ["query_id", "query", "key"])
+    assert exact.where("score < lower or score > upper").count() == 0
