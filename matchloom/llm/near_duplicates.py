@@ -6,9 +6,9 @@ confirmed on the full sets. Components come from alternating large-star and smal
 
 A bucket never emits its pairs. In the first rounds each member meets the bucket's leader, which is drawn by
 hash and so differs from band to band: first only the most promising leader of each member, then those of
-another component. What is left are buckets with several components. Their members meet block by block: all
-but the largest component of a bucket visit its blocks, signatures rule out what is too far apart, and sets
-decide over the rest, until the components of a block are one. So no link between components is missed that
+another component. What is left are buckets with several components. Their members meet tile by tile: all
+but the largest component of a bucket visit its blocks, part by part; signatures rule out what is too far apart, and
+sets decide over the rest, until the components of a tile are one. So no link between components is missed that
 shares a band, whatever the size of the bucket.
 
 With 25 bands of 5 a pair at 0.85 shares none with a probability of 4e-7, with the stage's 40 bands of 5 one at 0.8
@@ -17,7 +17,7 @@ with 4e-6 and 1.2e-6.
 
 Results for odd input, all tested: null and empty texts have no shingles and link with nothing; a text of fewer
 than k words is one shingle; very long texts are hashed in slices; repeated rows get equal results; texts under
-one doc_id are one node; a null doc_id has no component and is kept; an empty table gives an empty table; other
+one doc_id are one node; ids that are no whole numbers are refused; a null doc_id has no component and is kept; an empty table gives an empty table; other
 columns are not read, whatever their names. The stage keeps one row of each doc_id and text; a null doc_id's rows all stay.
 """
 
@@ -30,13 +30,14 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
 from ..operators.components import connected_components
 from ..storage import cut, discard
 from .tables import free, map_rows, read, small_batches
 
-#: Members of a bucket that a task holds at once; ids that may be broadcast; shingles hashed at a time.
-BLOCK, BROADCAST_IDS, SLICE = 256, 1_000_000, 1024
+#: Members of a bucket, at home and as visitors, that a task holds at once; ids that may be broadcast; shingles hashed at a time.
+BLOCK, BROADCAST_IDS, SLICE = 128, 1_000_000, 1024
 #: Standard deviations by which an estimate may fall short of the threshold.
 DEVIATIONS = 5
 
@@ -173,25 +174,35 @@ def _apart(pairs: DataFrame, components: DataFrame) -> DataFrame:
     return pairs.where("ca <> cb")
 
 
-def _blocks(members: DataFrame) -> DataFrame:
-    """Members (h, id, comp, ...) dealt to blocks: each is at home in one, and visits all unless it is of the bucket's largest component."""
+def _tiles(members: DataFrame) -> DataFrame:
+    """Members (h, id, comp, ...) dealt to tiles (h, block, visitors) of up to about ``BLOCK`` members at home and ``BLOCK`` visitors.
+
+    Each member is at home in one block of its bucket; those that aren't of the bucket's largest component (``minor``)
+    also visit all blocks, in one part of the visitors. So every pair of different components meets, and no task has
+    more than a tile at once, whatever the size of the bucket.
+    """
     sizes = members.groupBy("h", "comp").agg(F.count("*").alias("n"))
-    of = sizes.groupBy("h").agg(F.sum("n").alias("m"), F.max_by("comp", F.struct("n", "comp")).alias("major"))
-    dealt = members.join(of, "h").withColumn("nb", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("home", F.pmod(F.xxhash64("id"), "nb").cast("int"))
-    visits = F.when(F.col("comp") == F.col("major"), F.array("home")).otherwise(F.sequence(F.lit(0), F.col("nb") - 1))
-    return dealt.withColumn("block", F.explode(visits)).withColumn("visits", F.col("comp") != F.col("major")).drop("m", "nb", "major")
+    of = sizes.groupBy("h").agg(F.sum("n").alias("m"), F.max(F.struct("n", "comp")).alias("most")).select("h", "m", "most.comp", "most.n")
+    of = cut(of.withColumnRenamed("comp", "major").withColumnRenamed("n", "n_major"), "sizes")  # joined as a table of its own, so that a large bucket's rows can be split
+    dealt = members.join(of, "h").withColumns({"homes": F.ceil(F.col("m") / BLOCK).cast("int"), "parts": F.ceil((F.col("m") - F.col("n_major")) / BLOCK).cast("int"), "minor": F.col("comp") != F.col("major")})
+    home, part = F.pmod(F.xxhash64("id"), "homes").cast("int"), F.pmod(F.xxhash64("id", F.lit(1)), "parts").cast("int")
+    tile = lambda block, visitors, visits: F.struct(block.alias("block"), visitors.alias("visitors"), F.lit(visits).alias("visits"))
+    at_home = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda v: tile(home, v, False))
+    away = F.transform(F.sequence(F.lit(0), F.col("homes") - 1), lambda b: tile(b, part, True))
+    every = F.when(F.col("minor"), F.concat(at_home, away)).otherwise(at_home)
+    return dealt.withColumn("tile", F.explode(every)).select(*members.columns, "minor", "tile.*")
 
 
 def _near(pdf: pd.DataFrame, floor: float):
     """Yield (visitor, rows at home near it and of another component, estimates); pairs that meet in an earlier band are left to that one."""
     sigs = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(len(pdf), -1)
     keys, comp, ids = np.stack(pdf["keys"].to_numpy()), pdf["comp"].to_numpy(), pdf["id"].to_numpy()
-    home = np.flatnonzero((pdf["home"] == pdf["block"]).to_numpy())
-    h, visits = pdf["h"].iloc[0], pdf["visits"].to_numpy()
+    h, visits, minor = pdf["h"].iloc[0], pdf["visits"].to_numpy(), pdf["minor"].to_numpy()
+    home = np.flatnonzero(~visits)
     for i in np.flatnonzero(visits):
         other = home[comp[home] != comp[i]]
         # two visitors meet twice, in the home of either: once is enough
-        other = other[~visits[other] | (ids[other] < ids[i])] if len(other) else other
+        other = other[~minor[other] | (ids[other] < ids[i])] if len(other) else other
         if not len(other):
             continue
         e = _estimates(sigs[other], sigs[i])
@@ -205,18 +216,19 @@ def _near(pdf: pd.DataFrame, floor: float):
 def _rest(members: DataFrame, classes: DataFrame, docs: DataFrame, components: DataFrame, k: int, percent: int, floor: float) -> DataFrame:
     """Links between components that still share a bucket."""
     known = cut(_with_component(members.select("h", "id"), components), "members")
-    mixed = known.groupBy("h").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("m > 2 and lo < hi").select("h")
-    left = cut(_blocks(known.join(mixed, "h").join(classes.select("id", "keys", "sig"), "id")), "blocks")
+    mixed = cut(known.groupBy("h").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("m > 2 and lo < hi").select("h"), "mixed")
+    left = cut(_tiles(cut(known.join(mixed, "h", "left_semi"), "left")).join(classes.select("id", "keys", "sig"), "id"), "tiles")
+    tile = ["h", "block", "visitors"]
 
     def which(pdf: pd.DataFrame) -> pd.DataFrame:
         wanted = set()
         for i, others, _ in _near(pdf, floor):
             if len(others):
                 wanted.update([i, *others.tolist()])
-        return pdf.iloc[sorted(wanted)][["h", "block", "id"]]
+        return pdf.iloc[sorted(wanted)][[*tile, "visits", "id"]]
 
-    wanted = cut(left.groupBy("h", "block").applyInPandas(which, "h long, block int, id long"), "wanted")
-    texts = _texts(docs, wanted.select("id").distinct())
+    wanted = cut(left.groupBy(*tile).applyInPandas(which, "h long, block int, visitors int, visits boolean, id long"), "wanted")
+    texts = _texts(docs, cut(wanted.select("id").distinct(), "ids"))
 
     def decide(pdf: pd.DataFrame) -> pd.DataFrame:
         root: dict = {}
@@ -238,8 +250,8 @@ def _rest(members: DataFrame, classes: DataFrame, docs: DataFrame, components: D
                     root[max(x, y)] = min(x, y)
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
-    met = left.join(wanted, ["h", "block", "id"]).join(texts, "id")
-    links = cut(met.groupBy("h", "block").applyInPandas(decide, "a long, b long"), "links")
+    met = left.join(wanted, [*tile, "visits", "id"]).join(texts, "id")
+    links = cut(met.groupBy(*tile).applyInPandas(decide, "a long, b long"), "links")
     discard(known, left, wanted)
     return links
 
@@ -250,13 +262,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     Documents link if ``100 * intersection >= percent * union`` of their sets.
     """
     small_batches(docs.sparkSession)
+    if not isinstance(docs.schema["doc_id"].dataType, (ByteType, ShortType, IntegerType, LongType)):
+        raise TypeError("doc_id has to be a whole number: components are named by their smallest one")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     floor = _floor(percent / 100, bands * rows)
     every = cut(sketches(docs, k, bands, rows), "sketches")
     some = every.where("n_shingles > 0 and doc_id is not null")
     classes = cut(some.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"), F.first("sig").alias("sig")), "classes")
     keyed = classes.select("id", F.explode("keys").alias("h"))
-    leaders = keyed.groupBy("h").agg(F.count("*").alias("m"), F.min_by("id", F.xxhash64("id", "h")).alias("leader")).where("m > 1").drop("m")
+    # a table of its own, so that the join can split the rows of a large bucket
+    leaders = keyed.groupBy("h").agg(F.count("*").alias("m"), F.min(F.struct(F.xxhash64("id", "h").alias("r"), "id")).alias("least")).where("m > 1")
+    leaders = cut(leaders.select("h", F.col("least.id").alias("leader")), "heads")
     members = cut(keyed.join(leaders, "h"), "buckets")
     pairs = cut(_leader_pairs(members, classes, floor), "leaders")
     best = pairs.withColumn("i", F.row_number().over(Window.partitionBy("b").orderBy(F.col("estimate").desc(), "a"))).where("i = 1")
