@@ -5,7 +5,8 @@ not, hashed to ``2 ** BITS`` columns. Each column is scaled by the log ratio of
 classes, and a logistic regression is fitted on the scaled columns. Whole texts are scored, in one scan.
 
 The fit reads a bounded sample: at most ``max_rows`` labelled documents, a quarter of them of class 1, those with the
-smallest hash of doc_id and text; rows repeated with one doc_id and text are one document. Only the sample's texts leave the executors, as column numbers. The share of label 1 is
+smallest hash of doc_id and text; rows repeated with one doc_id and text are one document. One task fits the sample's
+column numbers; texts stay where they are read, and the driver gets the weights alone. The share of label 1 is
 counted over all labelled rows and corrects for the sample's.
 
 Results for odd input, all tested: null and empty texts have no features and get the score of the bias; without
@@ -21,10 +22,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import cut
+from ..storage import cut, discard
 from .tables import map_rows, read, small_batches
 
 BITS, ORDERS, MAX_ROWS, THRESHOLD = 20, (3, 4, 5, 6), 4000, 0.7
@@ -120,18 +122,29 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
     # an order that decides every tie
     drawn = _first(known, max_rows, ["doc_id"])
 
-    def run(rows):
+    def columns(rows):
         features = Features()
-        for text, y in rows:
-            yield _packed(features(text)), y
+        for doc_id, tkey, text, y in rows:
+            yield doc_id, tkey, _packed(features(text)), y
+
+    def fitted(batches):
+        got = [(y, c) for batch in batches for y, c in zip(batch.column(1).to_pylist(), batch.column(0).to_pylist(), strict=True)]
+        got.sort()  # the fit doesn't depend on the order of arrival
+        model = fit([c for _, c in got], np.array([y for y, _ in got], dtype=np.int64), share)
+        yield pa.RecordBatch.from_pydict({"weights": [zlib.compress(model.weights.tobytes(), 1)], "bias": [model.bias]})
 
     key = F.xxhash64("text").alias("tkey")
     texts = docs.select("doc_id", key).join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "tkey").agg(F.max("toxic").alias("toxic"))
     chosen = cut(_first(texts, max_rows, ["doc_id", "tkey"]), "drawn")
     rows = docs.select("doc_id", "text", key).join(F.broadcast(chosen), ["doc_id", "tkey"])  # at most max_rows rows, and what repeats them
-    got = map_rows(rows.select("text", "toxic"), run, "columns binary, toxic int").distinct().collect() if docs.count() else []
-    got = sorted((r["toxic"], bytes(r["columns"])) for r in got)  # the fit doesn't depend on the order of arrival
-    return fit([c for _, c in got], np.array([y for y, _ in got], dtype=np.int64), share)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    sample = map_rows(rows.select("doc_id", "tkey", "text", "toxic"), columns, f"doc_id {kind}, tkey long, columns binary, toxic int").dropDuplicates(["doc_id", "tkey"])
+    # the sample is bounded, so one task fits it; the driver gets the weights alone
+    model = sample.select("columns", "toxic").repartition(1).mapInArrow(fitted, "weights binary, bias double").first()
+    discard(chosen)
+    if model is None:  # no task ran on no rows
+        return fit([], np.empty(0, dtype=np.int64), share)
+    return Model(np.frombuffer(zlib.decompress(model["weights"]), dtype=np.float32), model["bias"])
 
 
 def _first(rows: DataFrame, n: int, by: list[str]) -> DataFrame:
