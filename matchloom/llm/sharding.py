@@ -6,7 +6,7 @@ weight, so a change of weights moves keys only into subtrees that grew and out o
 shrank. :func:`grown_tree` puts an added shard into a region of its own, so the new shard takes keys
 only into itself.
 
-Results for odd input, all tested: a null key draws like any other key (its own marker); a null text
+Results for odd input, all tested: a null key draws like any other key (its own marker, ``~null``, which a string id may be, too); a null text
 has size 1 and no checksum; repeated rows all appear, with slots of their own; an empty table gives
 an empty table; other columns are not read, whatever their names.
 """
@@ -24,6 +24,8 @@ from .tables import read
 #: Leading hash bits (hex digits x 4) that deal a shard's rows out before they are numbered.
 BUCKET_DIGITS = 3
 HASH_DIGITS = 13
+#: Repeats of one row that are numbered in one go.
+COPIES = 10_000
 
 
 @dataclass(frozen=True)
@@ -106,7 +108,12 @@ def shard_documents(docs: DataFrame, tree: list[Leaf], grown: list[Leaf] | None
     starts = rows.groupBy("shard", "bucket").agg(F.sum("n").alias("m")).select("shard", "bucket", F.coalesce(F.sum("m").over(start), F.lit(0)).alias("base"))
     inside = Window.partitionBy("shard", "bucket").orderBy("h", "doc_id", "size", "text_crc32").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = rows.withColumn("upto", F.sum("n").over(inside)).join(F.broadcast(starts), ["shard", "bucket"])  # at most 4096 rows a shard
-    placed = placed.withColumn("slot", F.explode(F.sequence(F.col("base") + F.col("upto") - F.col("n"), F.col("base") + F.col("upto") - 1)))
+    placed = placed.withColumns({"first": F.col("base") + F.col("upto") - F.col("n"), "last": F.col("base") + F.col("upto") - 1})
+    if (rows.agg(F.max("n")).first()[0] or 0) > COPIES:  # a row that is there so often is dealt to several tasks
+        often = placed.where(F.col("n") > COPIES).withColumn("first", F.explode(F.sequence("first", "last", F.lit(COPIES))))
+        often = often.withColumn("last", F.least("last", F.col("first") + (COPIES - 1))).repartition("shard", "first")
+        placed = placed.where(F.col("n") <= COPIES).unionByName(often)
+    placed = placed.withColumn("slot", F.explode(F.sequence("first", "last")))
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 

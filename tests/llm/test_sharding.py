@@ -44,3 +44,15 @@ def test_weights_confine_movement(spark):
             assert rack[a] != rack[0] or b == 0
     share = Counter(after)
     assert abs(share[0] / len(after) - 2 / 9) < 0.01
+
+
+def test_rows_repeated_very_often(documents, monkeypatch):
+    from matchloom.llm import sharding
+
+    monkeypatch.setattr(sharding, "COPIES", 7)
+    docs = documents([(1, "same")] * 50 + [(i, "x") for i in range(2, 40)])
+    rows = shard_documents(docs, grown_tree(8)).collect()
+    assert Counter(r["doc_id"] for r in rows) == Counter({1: 50, **dict.fromkeys(range(2, 40), 1)})
+    for s in {r["shard"] for r in rows}:
+        slots = sorted(r["slot"] for r in rows if r["shard"] == s)
+        assert slots == list(range(len(slots)))
