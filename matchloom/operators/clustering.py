@@ -1,19 +1,20 @@
 """Entity clusters from scored edges (id1, id2, weight): (cluster_id, profile_id), every profile in one cluster.
 
 All methods take the components of the edges above the threshold first; a cluster's id is its smallest member.
-Methods whose result depends on the order of edges run inside a component, in one Python call each; for these a
-component must fit into a worker, as its edges are visited one by one.
+Methods whose result depends on the order of edges run inside a component, in one Python call each, and keep what they
+know by edge, not by pair of nodes. A component has to fit into a worker: one of more than ``MAX_EDGES`` edges is refused
+by name before any work is done, and calls for a higher threshold or for :func:`component_clusters`.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import cut
 from .components import connected_components
 
 
@@ -30,6 +31,8 @@ def component_clusters(edges: DataFrame, profiles: DataFrame, threshold: float =
 
 
 Edges = list[tuple[int, int, float]]
+#: Edges of a component that a Python call takes, about 1 GB of a worker's memory.
+MAX_EDGES = 5_000_000
 
 
 def center(edges: Edges) -> dict[int, int]:
@@ -55,26 +58,38 @@ def center(edges: Edges) -> dict[int, int]:
 
 def merge_center(edges: Edges) -> dict[int, int]:
     """As :func:`center` with the first node as the centre; a centre that meets a member of another cluster merges both."""
-    of: dict[int, int] = {}
+    of: dict[int, int] = {}  # a node's cluster, by number
+    members: dict[int, list[int]] = {}
+    name: dict[int, int] = {}
     centres: set[int] = set()
 
+    def join(x: int, cluster: int) -> None:
+        of[x] = cluster
+        members[cluster].append(x)
+
     def merge(a: int, b: int) -> None:
-        for x in [x for x, c in of.items() if c == b]:
-            of[x] = a
+        """Cluster b goes into a; the shorter list is moved, and the name is a's."""
+        if len(members[a]) < len(members[b]):
+            name[b] = name[a]
+            a, b = b, a
+        for x in members.pop(b):
+            join(x, a)
 
     for u, v, _ in edges:
         if u not in of and v not in of:
-            of[u] = of[v] = u
+            members[u], name[u] = [], u
+            join(u, u)
+            join(v, u)
             centres.add(u)
         elif u in of and v not in of:
             if u in centres:
-                of[v] = of[u]
+                join(v, of[u])
         elif v in of and u not in of:
             if v in centres:
-                of[u] = of[v]
+                join(u, of[v])
         elif of[u] != of[v] and (u in centres) != (v in centres):
             merge(of[u], of[v])
-    return of
+    return {x: name[c] for x, c in of.items()}
 
 
 def unique_mapping(edges: Edges) -> dict[int, int]:
@@ -125,19 +140,30 @@ def ricochet(edges: Edges) -> dict[int, int]:
 def markov(edges: Edges, rounds: int = 2, epsilon: float = 1e-5, least: float = 1e-3) -> dict[int, int]:
     """Flow: self-loops, columns sum up to 1, squares and squared entries in turn; what flow is left links nodes."""
     ids = sorted({x for u, v, _ in edges for x in (u, v)})
-    at = {x: i for i, x in enumerate(ids)}
-    m = np.eye(len(ids))
+    columns: dict[int, dict[int, float]] = {x: {x: 1.0} for x in ids}
     for u, v, w in edges:
-        m[at[u], at[v]] = w
-    norm = lambda a: a / np.maximum(a.sum(axis=0, keepdims=True), 1e-300)
-    m = norm(m)
+        columns[v][u] = w
+
+    def scaled(column: dict[int, float]) -> dict[int, float]:
+        total = max(sum(column.values()), 1e-300)
+        return {x: y / total for x, y in column.items()}
+
+    def flow(column: dict[int, float]) -> dict[int, float]:
+        """The column of the squared matrix, entries squared."""
+        out: dict[int, float] = {}
+        for k, y in column.items():
+            for x, z in columns[k].items():
+                out[x] = out.get(x, 0.0) + z * y
+        return scaled({x: y * y for x, y in out.items()})
+
+    columns = {x: scaled(c) for x, c in columns.items()}
     for _ in range(rounds):
-        after = norm(np.square(m @ m))
-        done = np.abs(after - m).max() < epsilon
-        m = after
+        after = {x: flow(c) for x, c in columns.items()}
+        done = all(abs(y - columns[x].get(i, 0.0)) < epsilon for x, c in after.items() for i, y in c.items())
+        columns = after
         if done:
             break
-    return _components([(ids[i], ids[j]) for i, j in zip(*np.nonzero(m > least), strict=True)], ids)
+    return _components([(i, x) for x, c in columns.items() for i, y in c.items() if y > least], ids)
 
 
 def _components(links, ids) -> dict[int, int]:
@@ -159,43 +185,42 @@ def _components(links, ids) -> dict[int, int]:
 def cut_tree(edges: Edges, alpha: float = 0.3) -> dict[int, int]:
     """Minimum cut tree of the graph with a sink that every node reaches with capacity ``alpha``; clusters hang together without the sink."""
     ids = sorted({x for u, v, _ in edges for x in (u, v)})
-    n, sink = len(ids), len(ids)
-    at = {x: i for i, x in enumerate(ids)}
-    cap = np.zeros((n + 1, n + 1))
-    for u, v, w in edges:
-        cap[at[u], at[v]] += w
-        cap[at[v], at[u]] += w
-    cap[:n, sink] = cap[sink, :n] = alpha
-
-    def min_cut_side(s: int, t: int) -> np.ndarray:
-        left = cap.copy()
+    sink = object()
+    cap: dict = {x: {} for x in [*ids, sink]}
+    for u, v, w in [*edges, *((x, sink, alpha) for x in ids)]:
+        cap[u][v] = cap[u].get(v, 0.0) + w
+        cap[v][u] = cap[v].get(u, 0.0) + w
+
+    def min_cut_side(s, t) -> set:
+        """The nodes on the side of ``s`` of a least cut from ``t``."""
+        left = {x: dict(c) for x, c in cap.items()}
         while True:
             parent, queue = {s: s}, [s]
             for x in queue:
-                for y in np.flatnonzero(left[x] > 1e-12):
-                    if int(y) not in parent:
-                        parent[int(y)] = x
-                        queue.append(int(y))
+                for y, room in left[x].items():
+                    if room > 1e-12 and y not in parent:
+                        parent[y] = x
+                        queue.append(y)
+                if t in parent:
+                    break
             if t not in parent:
-                side = np.zeros(n + 1, dtype=bool)
-                side[list(parent)] = True
-                return side
+                return set(parent)
             flow, y = float("inf"), t
             while y != s:
-                flow, y = min(flow, left[parent[y], y]), parent[y]
+                flow, y = min(flow, left[parent[y]][y]), parent[y]
             y = t
             while y != s:
-                left[parent[y], y] -= flow
-                left[y, parent[y]] += flow
+                left[parent[y]][y] -= flow
+                left[y][parent[y]] += flow
                 y = parent[y]
 
-    tree = [sink] * (n + 1)  # each node hangs on the sink first
-    for s in range(n):
+    tree = dict.fromkeys(ids, sink)  # each node hangs on the sink first
+    for i, s in enumerate(ids):
         side = min_cut_side(s, tree[s])
-        for x in range(s + 1, n):
-            if side[x] and tree[x] == tree[s]:
+        for x in ids[i + 1 :]:
+            if x in side and tree[x] == tree[s]:
                 tree[x] = s
-    return _components([(ids[x], ids[tree[x]]) for x in range(n) if tree[x] != sink], ids)
+    return _components([(x, tree[x]) for x in ids if tree[x] is not sink], ids)
 
 
 METHODS: dict[str, Callable[[Edges], dict[int, int]]] = {"center": center, "merge_center": merge_center, "unique_mapping": unique_mapping, "ricochet": ricochet, "markov": markov, "cut": cut_tree}
@@ -206,7 +231,10 @@ def cluster(edges: DataFrame, profiles: DataFrame, method: str, threshold: float
     fn = METHODS[method]
     used = edges.where(F.col("weight") > threshold).select(F.least("id1", "id2").alias("id1"), F.greatest("id1", "id2").alias("id2"), F.col("weight").cast("double").alias("weight"))
     components = connected_components(used)
-    rows = used.join(components.select(F.col("node").alias("id1"), "component"), "id1")
+    rows = cut(used.join(components.select(F.col("node").alias("id1"), "component"), "id1"), "edges")
+    large = rows.groupBy("component").agg(F.count("*").alias("n")).agg(F.max(F.struct("n", "component")).alias("most")).first()["most"]
+    if large and large["n"] > MAX_EDGES:
+        raise ValueError(f"component {large['component']} has {large['n']} edges, {method} takes {MAX_EDGES}: raise the threshold")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["weight", "id1", "id2"], ascending=[False, True, True])

@@ -86,3 +86,49 @@ def test_cluster_quality(spark, graph):
     assert evaluate.cluster_pairs(clusters).count() == 7
     across = evaluate.cluster_quality(clusters, truth, graph[1]).first()
     assert (across["found"], across["n_candidates"]) == (1, evaluate.cluster_pairs(clusters, graph[1]).count())
+
+
+def brute_force(method, edges):
+    """Each method as its rule reads, over lists that are searched from the start each time."""
+    if method == "unique_mapping":
+        pairs = []
+        for u, v, _ in edges:
+            if not any(x in p for p in pairs for x in (u, v)):
+                pairs.append((u, v))
+        return [set(p) for p in pairs]
+    clusters = []  # (centre, members)
+    mean = {x: sum(w for u, v, w in edges if x in (u, v)) / sum(x in (u, v) for u, v, _ in edges) for e in edges for x in e[:2]}
+    where = lambda x: next((c for c in clusters if x in c[1]), None)
+    for u, v, _ in edges:
+        a, b = where(u), where(v)
+        if a is None and b is None:
+            centre = u if method == "merge_center" or mean[u] > mean[v] else v
+            clusters.append([{centre}, {u, v}])
+        elif b is None and u in a[0]:
+            a[1].add(v)
+        elif a is None and b is not None and v in b[0]:
+            b[1].add(u)
+        elif method == "merge_center" and a is not None and b is not None and a is not b and (u in a[0]) != (v in b[0]):
+            a[0].update(b[0])
+            a[1].update(b[1])
+            clusters.remove(b)
+    return [c[1] for c in clusters]
+
+
+@pytest.mark.parametrize("method", ["center", "merge_center", "unique_mapping"])
+def test_greedy_methods_against_brute_force(method):
+    r = random.Random(11)
+    for _ in range(150):
+        n = r.randint(2, 14)
+        pairs = {(a, b) for a in range(n) for b in range(a + 1, n) if r.random() < 0.35}
+        edges = sorted(((a, b, round(r.random(), 3)) for a, b in pairs), key=lambda e: (-e[2], e[0], e[1]))
+        got = {}
+        for x, c in clustering.METHODS[method](edges).items():
+            got.setdefault(c, set()).add(x)
+        assert sorted(map(sorted, got.values())) == sorted(map(sorted, brute_force(method, edges)))
+
+
+def test_large_components_are_refused(graph, monkeypatch):
+    monkeypatch.setattr(clustering, "MAX_EDGES", 2)
+    with pytest.raises(ValueError, match="component 2 has 3 edges"):
+        clustering.cluster(*graph, "center", 0.5)
