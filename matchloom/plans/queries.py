@@ -704,7 +704,15 @@ def attribute_edges(spark, sf):
     return rounded(matching.attribute_edges(trade_pairs(spark, sf), trade_profiles(spark, sf), 0.2).select("id1", "id2", "name1", "name2", "similarity"), "similarity")
 
 
-@query()
+@query(rf"""WITH RECURSIVE {TRADE}, ta AS (SELECT id, attr, 0 AS i, list_distinct(list_filter(regexp_split_to_array(lower(v), '{SEP}'), lambda x: x <> '')) AS t FROM trade), k AS (SELECT id, id % 2 AS src, unnest(t) AS t FROM ta),
+pr AS (SELECT DISTINCT least(x.id, y.id) AS id1, greatest(x.id, y.id) AS id2 FROM k x JOIN k y ON x.t = y.t AND x.src < y.src), n AS (SELECT id, count(*) AS n FROM trade GROUP BY id),
+s AS (SELECT id1, id2, x.attr AS a1, y.attr AS a2, len(list_intersect(x.t, y.t)) AS c, len(x.t) + len(y.t) AS z FROM pr JOIN ta x ON x.id = id1 JOIN ta y ON y.id = id2),
+ae AS (SELECT id1, id2, a1, a2, c / (z - c) AS sim, row_number() OVER (PARTITION BY id1, id2 ORDER BY c / (z - c) DESC, a1, a2) AS r FROM s WHERE c / (z - c) > 0.2),
+g AS (SELECT id1, id2, 0::BIGINT AS r, []::VARCHAR[] AS u1, []::VARCHAR[] AS u2, 0.0::DOUBLE AS total FROM pr
+  UNION ALL SELECT ae.id1, ae.id2, ae.r, CASE WHEN list_contains(u1, a1) OR list_contains(u2, a2) THEN u1 ELSE list_append(u1, a1) END, CASE WHEN list_contains(u1, a1) OR list_contains(u2, a2) THEN u2 ELSE list_append(u2, a2) END,
+    CASE WHEN list_contains(u1, a1) OR list_contains(u2, a2) THEN total ELSE total + sim END FROM g JOIN ae ON ae.id1 = g.id1 AND ae.id2 = g.id2 AND ae.r = g.r + 1),
+d AS (SELECT id1, id2, arg_max(total, r) AS total, arg_max(len(u1), r) AS m FROM g GROUP BY ALL)
+SELECT id1, id2, round(CASE WHEN m = 0 THEN -1 ELSE total / (p.n + q.n - m) END, 6) AS score FROM d JOIN n p ON p.id = id1 JOIN n q ON q.id = id2""")
 def group_linkage(spark, sf):
     return rounded(matching.group_linkage(trade_pairs(spark, sf), trade_profiles(spark, sf), 0.2), "score")
 
@@ -741,12 +749,32 @@ def components(spark, sf):
     return connected_components(doc_links(spark, sf))
 
 
+#: oe: edges above the threshold, heaviest first; the greedy methods visit them one by one, with what they know in one row.
+_ORDERED_EDGES = f"WITH RECURSIVE {JOINED.format(t=0.5, apart='')}, oe AS MATERIALIZED (SELECT id1 AS u, id2 AS v, similarity AS w, row_number() OVER (ORDER BY similarity DESC, id1, id2) AS r FROM sj WHERE similarity > 0.5)"
+_NAMED = "nm AS (SELECT c, min(x) AS cluster_id FROM fin GROUP BY c) SELECT coalesce(cluster_id, docs.id) AS cluster_id, docs.id AS profile_id FROM docs LEFT JOIN fin ON fin.x = docs.id LEFT JOIN nm USING (c)"
+_LAST = "fin AS (SELECT unnest(map_keys(m)) AS x, unnest(map_values(m)) AS c FROM (SELECT m FROM st ORDER BY r DESC LIMIT 1))"
+_NO_MAP = "map([]::BIGINT[], []::BIGINT[])"
+_CLUSTER_SQL = {
+    "unique_mapping": f"""{_ORDERED_EDGES}, st AS (SELECT 0::BIGINT AS r, {_NO_MAP} AS m UNION ALL SELECT oe.r, CASE WHEN map_contains(m, u) OR map_contains(m, v) THEN m ELSE map_concat(m, map([u, v], [u, u])) END FROM st JOIN oe ON oe.r = st.r + 1), {_LAST}, {_NAMED}""",
+    "center": f"""{_ORDERED_EDGES}, mn AS (SELECT x, avg(w) AS a FROM (SELECT u AS x, w FROM oe UNION ALL SELECT v, w FROM oe) GROUP BY x), oc AS (SELECT oe.*, CASE WHEN p.a > q.a THEN u ELSE v END AS c FROM oe JOIN mn p ON p.x = u JOIN mn q ON q.x = v),
+st AS (SELECT 0::BIGINT AS r, {_NO_MAP} AS m UNION ALL SELECT oc.r, CASE WHEN NOT map_contains(m, u) AND NOT map_contains(m, v) THEN map_concat(m, map([u, v], [c, c])) WHEN map_contains(m, u) AND NOT map_contains(m, v) AND m[u] = u THEN map_concat(m, map([v], [u]))
+  WHEN map_contains(m, v) AND NOT map_contains(m, u) AND m[v] = v THEN map_concat(m, map([u], [v])) ELSE m END FROM st JOIN oc ON oc.r = st.r + 1), {_LAST}, {_NAMED}""",
+    "merge_center": f"""{_ORDERED_EDGES}, st AS (SELECT 0::BIGINT AS r, {_NO_MAP} AS m, []::BIGINT[] AS cs UNION ALL SELECT oe.r, CASE WHEN NOT map_contains(m, u) AND NOT map_contains(m, v) THEN map_concat(m, map([u, v], [u, u]))
+  WHEN map_contains(m, u) AND NOT map_contains(m, v) THEN CASE WHEN list_contains(cs, u) THEN map_concat(m, map([v], [m[u]])) ELSE m END WHEN map_contains(m, v) AND NOT map_contains(m, u) THEN CASE WHEN list_contains(cs, v) THEN map_concat(m, map([u], [m[v]])) ELSE m END
+  WHEN m[u] <> m[v] AND list_contains(cs, u) <> list_contains(cs, v) THEN map(map_keys(m), list_transform(map_values(m), lambda c: CASE WHEN c = m[v] THEN m[u] ELSE c END)) ELSE m END,
+  CASE WHEN NOT map_contains(m, u) AND NOT map_contains(m, v) THEN list_append(cs, u) ELSE cs END FROM st JOIN oe ON oe.r = st.r + 1), {_LAST}, {_NAMED}""",
+    "markov": f"""{_ORDERED_EDGES}, nd AS (SELECT u AS x FROM oe UNION SELECT v FROM oe), m0 AS (SELECT x AS i, x AS j, 1.0::DOUBLE AS y FROM nd UNION ALL SELECT u, v, w FROM oe), n0 AS (SELECT i, j, y / sum(y) OVER (PARTITION BY j) AS y FROM m0),
+{", ".join(f"q{k} AS (SELECT a.i, b.j, power(sum(a.y * b.y), 2) AS y FROM n{k - 1} a JOIN n{k - 1} b ON a.j = b.i GROUP BY ALL), n{k} AS (SELECT i, j, y / sum(y) OVER (PARTITION BY j) AS y FROM q{k})" for k in (1, 2))},
+ed AS (SELECT i AS a, j AS b FROM n2 WHERE y > 1e-3 UNION SELECT j, i FROM n2 WHERE y > 1e-3), re AS (SELECT x AS a, x AS b FROM nd UNION SELECT re.a, ed.b FROM re JOIN ed ON ed.a = re.b), fin AS (SELECT a AS x, min(b) AS c FROM re GROUP BY a), {_NAMED}""",
+}
+
+
 def _cluster_query(method: str):
     def run(spark, sf):
         return clustering.cluster(doc_edges(spark, sf), doc_profiles(spark, sf), method, 0.5)
 
     run.__name__ = f"cluster_{method}"
-    query()(run)
+    query(_CLUSTER_SQL.get(method))(run)
 
 
 for _method in clustering.METHODS:
