@@ -124,15 +124,15 @@ def repeated_lines(docs: DataFrame, whole: bool = True, groups: DataFrame | None
     holders = cut(chunks.join(few(twice), "h", "left_semi").select("doc_id", "tkey").distinct(), "holders")
     seen = _grouped(_chunks(_of(docs, holders), whole).join(few(twice), "h", "left_semi"), groups)
     texts = seen.groupBy("h", "chunk").agg(F.min(F.struct("spare", "doc_id", "k", "group")).alias("first"), F.count("*").alias("n"))
-    groups = cut(texts.groupBy("h").agg(F.count("*").alias("n_texts"), F.first("first").alias("first"), F.first("n").alias("n")), "groups")
-    sure = groups.where("n_texts = 1").select("h", "first")
+    by_hash = cut(texts.groupBy("h").agg(F.count("*").alias("n_texts"), F.first("first").alias("first"), F.first("n").alias("n")), "groups")
+    sure = by_hash.where("n_texts = 1").select("h", "first")
     # the first one stays whole, so a pair that begins with its last line is no repeat of it
     own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & ((F.col("k") == F.col("first.k")) | ((F.col("k") > PAIRS) & (F.col("k") == F.col("first.k") + 1)))
     # what a group shares by itself is left to the step that drops its copies; inside one document it is a repeat
     of_group = F.coalesce((F.col("group") == F.col("first.group")) & (F.col("doc_id") != F.col("first.doc_id")), F.lit(False))
     later = lambda df: df.where(~own & ~of_group).select("doc_id", "tkey", "k", "s", "e", "w")
     dups = later(chunks.join(few(sure), "h"))
-    clashes = groups.where("n_texts > 1").select("h")
+    clashes = by_hash.where("n_texts > 1").select("h")
     if clashes.head(1):  # different texts under one hash: told apart by their bytes
         by_text = texts.where("n > 1").join(clashes, "h", "left_semi").select("h", "chunk", "first")
         dups = dups.unionByName(later(_grouped(_chunks(docs, whole), groups).join(by_text, ["h", "chunk"])))
@@ -144,7 +144,7 @@ def repeated_lines(docs: DataFrame, whole: bool = True, groups: DataFrame | None
     runs = runs.where(f"e - s >= 2 or w >= {LONG}")
     gone = runs.groupBy("doc_id", "tkey").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("gone"))
     out = cut(gone.withColumn("gone", _merged(F.col("gone"))) if whole else gone, "gone")
-    discard(chunks, twice, holders, groups)
+    discard(chunks, twice, holders, by_hash)
     return out
 
 
