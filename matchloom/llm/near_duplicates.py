@@ -37,7 +37,7 @@ from ..storage import cut, discard
 from .tables import free, map_rows, read, small_batches
 
 #: Members of a bucket, at home and as visitors, that a task holds at once; ids that may be broadcast; shingles hashed at a time.
-BLOCK, BROADCAST_IDS, SLICE = 128, 1_000_000, 1024
+BLOCK, BROADCAST_IDS, SLICE = 512, 1_000_000, 1024
 #: Standard deviations by which an estimate may fall short of the threshold.
 DEVIATIONS = 5
 
