@@ -27,15 +27,15 @@ def test_stages_on_a_small_folder(spark, documents, tmp_path):
             seen.append(docs.count())
             ids = {r["doc_id"] for r in docs.collect()}
             if name == "line_dedup":
-                assert {500, 502} <= ids  # copies stay whole, for the next stage
-                assert {r["doc_id"]: r["text"] for r in docs.collect()}[502] == texts[502]
+                assert 500 not in ids  # nothing is left of a copy
+                assert 502 in ids
             if name == "near_duplicates":
                 assert {3, 502} & ids == {3}
             if name == "pii":
                 assert not [r for r in docs.collect() if "@" in r["text"]]
                 assert all(r["n_chars"] == len(r["text"]) for r in docs.collect())
     assert seen[1] < seen[0]
-    assert seen[2] == seen[1]  # texts of copies aren't emptied
+    assert seen[2] < seen[1]
     assert seen[4] == seen[3] < seen[2]
     whole = corpus_pipeline.run(spark, str(tmp_path))
     key = lambda df: Counter((r["doc_id"], r["piece"], r["length"], r["ids_crc32"]) for r in df.collect())
