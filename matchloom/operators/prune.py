@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import Graph, neighbourhoods, weighted
-from .ranking import top_k
+from .ranking import heaviest
 
 
 def weight_edge_pruning(graph: Graph, scheme: str = "cbs", **options) -> DataFrame:
@@ -16,12 +16,15 @@ def weight_edge_pruning(graph: Graph, scheme: str = "cbs", **options) -> DataFra
 
 
 def cardinality_edge_pruning(graph: Graph, scheme: str = "cbs", keep: int | None = None, **options) -> DataFrame:
-    """As many of the heaviest edges as half the members of all blocks, or ``keep`` of them; ties go to smaller ids."""
+    """As many of the heaviest edges as half the members of all blocks, or ``keep`` of them; ties go to smaller ids.
+
+    The weight at the border is found from how many edges have each weight, so only its ties are sorted.
+    """
     keep = (graph.totals.first()["members"] or 0) // 2 if keep is None else keep
-    return top_k(weighted(graph, scheme, **options).where("weight is not null"), keep, [-F.col("weight"), "id1", "id2"])
+    return heaviest(weighted(graph, scheme, **options).withColumn("links", F.lit(1).cast("long")), keep).drop("links")
 
 
-def _check(name: str, value: str, allowed: tuple[str, ...]) -> None:
+def check(name: str, value: str, allowed: tuple[str, ...]) -> None:
     if value not in allowed:
         raise ValueError(f"{name} is one of {allowed}, not {value!r}")
 
@@ -31,8 +34,8 @@ def weight_node_pruning(graph: Graph, scheme: str = "cbs", threshold: str = "avg
 
     The chi-square weight has one threshold a pair instead, the root of both squares summed over ``chi_divider``.
     """
-    _check("threshold", threshold, ("avg", "maxdiv2"))
-    _check("how", how, ("or", "and"))
+    check("threshold", threshold, ("avg", "maxdiv2"))
+    check("how", how, ("or", "and"))
     near = neighbourhoods(graph, scheme, **options)
     bound = near.groupBy("node").agg((F.avg("weight") if threshold == "avg" else F.max("weight") / 2).alias("t"))
     edges = near.where("node < neighbour").select(F.col("node").alias("id1"), F.col("neighbour").alias("id2"), "weight")
@@ -47,7 +50,7 @@ def weight_node_pruning(graph: Graph, scheme: str = "cbs", threshold: str = "avg
 
 def cardinality_node_pruning(graph: Graph, n_profiles: int, scheme: str = "cbs", how: str = "or", **options) -> DataFrame:
     """Edges among the k heaviest of either node, or of both; ties go to smaller ids. k is the mean number of blocks less one."""
-    _check("how", how, ("or", "and"))
+    check("how", how, ("or", "and"))
     k = (graph.totals.first()["members"] or 0) // n_profiles - 1
     rank = F.row_number().over(Window.partitionBy("node").orderBy(F.col("weight").desc(), "neighbour"))
     best = neighbourhoods(graph, scheme, **options).withColumn("rank", rank).where((F.col("rank") <= k) & (F.col("node") != F.col("neighbour")))

@@ -48,6 +48,23 @@ def top_k(df: DataFrame, k: int, order: list) -> DataFrame:
     return with_position(df, order, "_position").where(F.col("_position") < k).drop("_position")
 
 
+def heaviest(edges: DataFrame, keep: int) -> DataFrame:
+    """The ``keep`` heaviest links of ``edges`` (id1, id2, weight, links); ties go to smaller ids, and the last edge keeps what links there is room for.
+
+    Links are counted by weight and summed up over the weights; only the edges of the one weight at the border are ranked.
+    """
+    edges = cut(edges.where("weight is not null").select("id1", "id2", "weight", "links"), "weights")
+    sums = running_sums(edges.groupBy((-F.col("weight")).alias("by")).agg(F.sum("links").alias("c")), "by", {"c": "upto"})
+    inside = F.col("upto") <= keep
+    border = cut(sums.agg(F.coalesce(F.max(F.when(inside, F.col("upto"))), F.lit(0)).alias("kept"), F.min(F.when(~inside, F.col("by"))).alias("by")), "border")
+    one = edges.join(F.broadcast(border))  # one row
+    whole = one.where("by is null or -weight < by").select(*edges.columns)
+    ties = one.where("-weight = by").select(F.struct("id1", "id2").alias("pair"), "links")
+    ranked = running_sums(ties, "pair", {"links": "upto"}).join(F.broadcast(border))
+    some = ranked.join(ties.withColumnRenamed("links", "own"), "pair").withColumn("room", F.lit(keep) - F.col("kept") - F.col("upto") + F.col("own")).where("room > 0")
+    return whole.unionByName(some.select("pair.id1", "pair.id2", (-F.col("by")).alias("weight"), F.least("own", "room").alias("links")))
+
+
 def following(rows: DataFrame, value: str, n: int, stretch: int = 65_536) -> DataFrame:
     """(position, near): each position with its ``value`` and those at the ``n - 1`` positions after it, fewer at the end.
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import keys as K
-from ..operators import blocking, clustering, evaluate, graph, lsh, matching, progressive, prune, refine, simjoin
+from ..operators import blocking, class_graph, clustering, evaluate, graph, lsh, matching, progressive, prune, refine, simjoin
 from ..operators.components import connected_components
 from ..operators.ranking import with_position
 from ..sources import readers
@@ -549,10 +549,78 @@ FROM (SELECT *, found / nullif(n_truth, 0) AS recall, found / nullif(n_candidate
 
 
 @query(f"{chain(False)}, {graph_sql(False)}, {TRUTH}, cand AS (SELECT id1, id2 FROM e) {QUALITY}")
-def block_quality(spark, sf):
+def block_quality_documents(spark, sf):
+    """Of the graph of documents, in which a block of four copies and more is purged."""
     return rounded(evaluate.pair_quality(doc_graph(spark, sf).pairs, copies(spark, sf)), "recall", "precision", "f1")
 
 
+#: e: the graph of classes of equal token sets, one row a pair of classes (or a class with itself), as in graph_sql; mu has their sizes.
+CLASSES = f"""WITH {TOK}, ks AS (SELECT id, list(key ORDER BY key) AS ks FROM tk GROUP BY id), rp AS (SELECT id, min(id) OVER (PARTITION BY ks) AS rep FROM ks), mu AS (SELECT rep, count(*) AS m FROM rp GROUP BY rep),
+ck AS (SELECT key, id, src FROM tk JOIN mu ON rep = id), {blocks_sql('ck', False)}, {purge_sql(SMOOTH)}, {filter_sql(RATIO, False)}, one AS (SELECT key, any_value(id) AS id FROM ck GROUP BY key HAVING count(*) = 1),
+al AS (SELECT key, id FROM fa UNION ALL SELECT key, id FROM one JOIN mu ON rep = id AND m > 1 UNION ALL SELECT '~' || rep, rep FROM mu WHERE m > 1),
+bl AS (SELECT key, sum(m) AS size, sum(m) * (sum(m) - 1) AS c FROM al JOIN mu ON rep = id GROUP BY key), gr AS (SELECT key, id, m, c FROM al JOIN bl USING (key) JOIN mu ON rep = id),
+n0 AS (SELECT id, any_value(m) AS m, count(*) AS b, sum(ln(c)) AS lp, sum(1.0 / c) AS oa FROM gr GROUP BY id),
+pr AS (SELECT x.id AS id1, y.id AS id2, any_value(x.m * y.m)::BIGINT AS links, count(*) AS s, sum(1.0 / x.c) AS arcs, any_value(y.m) AS d1, any_value(x.m) AS d2 FROM gr x JOIN gr y ON x.key = y.key AND x.id < y.id GROUP BY ALL
+  UNION ALL SELECT id, id, m * (m - 1) // 2, b, oa, m - 1, 0 FROM n0 WHERE m > 1), dg AS (SELECT id, sum(d)::BIGINT AS d FROM (SELECT id1 AS id, d1 AS d FROM pr UNION ALL SELECT id2, d2 FROM pr) GROUP BY id),
+nd AS (SELECT n0.*, coalesce(d, 0) AS d FROM n0 LEFT JOIN dg USING (id)), tot AS (SELECT (SELECT count(*) FROM bl) AS nb, (SELECT sum(size) FROM bl)::BIGINT AS m, (SELECT sum(links) FROM pr)::BIGINT AS ne),
+e AS (SELECT id1, id2, links, s, arcs, x.m AS m1, y.m AS m2, x.b AS b1, y.b AS b2, x.d AS d1, y.d AS d2, x.lp AS lp1, nb, tot.m, ne FROM pr JOIN nd x ON x.id = id1 JOIN nd y ON y.id = id2, tot)"""
+
+
+def doc_classes(spark: SparkSession, sf: str) -> class_graph.ClassGraph:
+    def refined(rows: DataFrame) -> DataFrame:
+        blocks = cut(blocking.sizes(rows).where("comparisons > 0"), "sizes")
+        return refine.filter_blocks(cut(refine.purge(rows, SMOOTH, blocks=blocks), "purged"), RATIO, blocks=blocks)
+
+    return class_graph.build(cut(blocking.keyed(doc_profiles(spark, sf)), "keyed"), refined=refined)
+
+
+@query(f"{CLASSES}, fd AS (SELECT count(e.id1) AS found, count(*) AS n_truth FROM gt LEFT JOIN rp x ON x.id = gt.id1 LEFT JOIN rp y ON y.id = gt.id2 LEFT JOIN e ON e.id1 = least(x.rep, y.rep) AND e.id2 = greatest(x.rep, y.rep)), {QUALITY.replace('SELECT found', 'q AS (SELECT found', 1).replace('(SELECT (SELECT count(*) FROM cand SEMI JOIN gt USING (id1, id2)) AS found, (SELECT count(*) FROM gt) AS n_truth, (SELECT count(*) FROM cand) AS n_candidates)', '(SELECT found, n_truth, ne AS n_candidates FROM fd, tot)')}) SELECT * FROM q".replace("WITH ", f"WITH {TRUTH}, ", 1))
+def block_quality(spark, sf):
+    """Of the graph of classes: copies are found whatever was purged."""
+    g = doc_classes(spark, sf)
+    return rounded(class_graph.quality(g.pairs, g.members, copies(spark, sf)), "recall", "precision", "f1")
+
+
+@query(f"{CLASSES} SELECT id1, id2, links, {', '.join(f'round({x}, 6) AS {w}' for w, x in W_SQL.items())} FROM e")
+def class_edge_weights(spark, sf):
+    return rounded(class_graph.weights(doc_classes(spark, sf), *graph.WEIGHTS), *graph.WEIGHTS)
+
+
+@query(f"{CLASSES} SELECT id, rep FROM rp")
+def class_members(spark, sf):
+    """Who stands for whom in the edges between classes."""
+    return doc_classes(spark, sf).members
+
+
+def _pruned_classes(name: str, w: str, body: str, run):
+    def fn(spark, sf):
+        return rounded(run(doc_classes(spark, sf), spark, sf), "weight")
+
+    fn.__name__ = name
+    own = f"SELECT id, id, {W_SQL[w]}, 1 FROM (SELECT id, b AS s, b AS b1, b AS b2, d AS d1, d AS d2, lp AS lp1, oa AS arcs, nb, ne FROM nd, tot WHERE nd.m = 1)"
+    near = f"we AS (SELECT id1, id2, {W_SQL[w]} AS weight, links, m1, m2 FROM e), nbh AS (SELECT id1 AS node, id2 AS nbr, weight, m2 AS n FROM we UNION ALL SELECT id2, id1, weight, m1 FROM we WHERE id1 <> id2 UNION ALL {own})"
+    query(f"{CLASSES}, {near}{body}")(fn)
+
+
+def _wnp_classes(t: str, cond: str) -> str:
+    return f", th AS (SELECT node, {t} AS t FROM nbh GROUP BY node) SELECT id1, id2, links, round(weight, 6) AS weight FROM we JOIN th a ON a.node = id1 JOIN th b ON b.node = id2 WHERE {cond}"
+
+
+def _cnp_classes(links: str, inside: str) -> str:
+    return f""", kk AS (SELECT m // (SELECT count(*) FROM documents) - 1 AS k FROM tot), up AS (SELECT *, sum(n) OVER (PARTITION BY node ORDER BY weight DESC, nbr) - n AS before FROM nbh), rr AS (SELECT node, nbr, weight, least(n, k - before) AS r FROM up, kk WHERE before < k),
+bp AS (SELECT least(node, nbr) AS id1, greatest(node, nbr) AS id2, max(weight) AS weight, coalesce(sum(r) FILTER (node <= nbr), 0) AS r1, coalesce(sum(r) FILTER (node > nbr), 0) AS r2 FROM rr GROUP BY ALL),
+lk AS (SELECT id1, id2, weight, CASE WHEN id1 = id2 THEN {inside} ELSE {links} END AS links FROM (SELECT bp.*, x.m AS m1, y.m AS m2 FROM bp JOIN mu x ON x.rep = id1 JOIN mu y ON y.rep = id2)) SELECT id1, id2, links::BIGINT AS links, round(weight, 6) AS weight FROM lk WHERE links > 0"""
+
+
+_MEAN = "sum(weight * n) / sum(n) FILTER (weight IS NOT NULL)"
+_pruned_classes("prune_class_wep_js", "js", " SELECT id1, id2, links, round(weight, 6) AS weight FROM we WHERE weight >= (SELECT sum(weight * links) / sum(links) FROM we)", lambda g, *_: class_graph.weight_edge_pruning(g, "js"))
+_pruned_classes("prune_class_cep_cbs", "cbs", ", up AS (SELECT *, sum(links) OVER (ORDER BY weight DESC, id1, id2) - links AS before, (SELECT count(*) FROM documents) // 2 AS k FROM we) SELECT id1, id2, least(links, k - before)::BIGINT AS links, round(weight, 6) AS weight FROM up WHERE before < k", lambda g, s, f: class_graph.cardinality_edge_pruning(g, "cbs", _n(s, f) // 2))
+_pruned_classes("prune_class_wnp_cbs", "cbs", _wnp_classes(_MEAN, "weight >= a.t OR weight >= b.t"), lambda g, *_: class_graph.weight_node_pruning(g, "cbs"))
+_pruned_classes("prune_class_wnp_ejs_and", "ejs", _wnp_classes("max(weight) / 2", "weight >= a.t AND weight >= b.t"), lambda g, *_: class_graph.weight_node_pruning(g, "ejs", "maxdiv2", "and"))
+_pruned_classes("prune_class_cnp_cbs", "cbs", _cnp_classes("m1 * r1 + m2 * r2 - r1 * r2", "(m1 * (m1 - 1) - (m1 - r1) * (m1 - r1 - 1)) // 2"), lambda g, s, f: class_graph.cardinality_node_pruning(g, _n(s, f), "cbs"))
+_pruned_classes("prune_class_cnp_js_and", "js", _cnp_classes("r1 * r2", "r1 * (r1 - 1) // 2"), lambda g, s, f: class_graph.cardinality_node_pruning(g, _n(s, f), "js", "and"))
+
+
 @query(f"{chain(False)}, {graph_sql(False)}, {TRUTH}, c AS (SELECT id1 AS id, count(*) AS n, count(gt.id2) AS f FROM e LEFT JOIN gt USING (id1, id2) GROUP BY id1) SELECT docs.id, coalesce(n, 0) AS n_candidates, coalesce(f, 0) AS n_found FROM docs LEFT JOIN c USING (id)")
 def block_quality_per_profile(spark, sf):
     return evaluate.per_profile(doc_graph(spark, sf).pairs, copies(spark, sf), doc_profiles(spark, sf))
