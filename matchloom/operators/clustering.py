@@ -1,9 +1,8 @@
 """Entity clusters from scored edges (id1, id2, weight): (cluster_id, profile_id), every profile in one cluster.
 
-All methods take the components of the edges above the threshold first; a cluster's id is its smallest member.
-Methods whose result depends on the order of edges run inside a component, in one Python call each, and keep what they
-know by edge, not by pair of nodes. A component has to fit into a worker: one of more than ``MAX_EDGES`` edges is refused
-by name before any work is done, and calls for a higher threshold or for :func:`component_clusters`.
+A cluster's id is its smallest member. Greedy methods (:mod:`greedy`) and Markov clustering (:mod:`flow`) are rounds of
+joins and take components of any size. Ricochet and cut clustering run inside a component, in one Python call each: one of
+more than ``MAX_EDGES`` edges is refused by name before any work is done, and calls for a higher threshold or another method.
 """
 
 from __future__ import annotations
@@ -15,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import cut
+from . import flow, greedy
 from .components import connected_components
 
 
@@ -31,74 +31,8 @@ def component_clusters(edges: DataFrame, profiles: DataFrame, threshold: float =
 
 
 Edges = list[tuple[int, int, float]]
-#: Edges of a component that a Python call takes, about 1 GB of a worker's memory.
-MAX_EDGES = 5_000_000
-
-
-def center(edges: Edges) -> dict[int, int]:
-    """Heaviest edges first: of two new nodes the one with the larger mean weight becomes a centre, and centres take new nodes."""
-    total: dict[int, list] = {}
-    for u, v, w in edges:
-        for x in (u, v):
-            t = total.setdefault(x, [0.0, 0])
-            t[0] += w
-            t[1] += 1
-    mean = {x: t / n for x, (t, n) in total.items()}
-    of: dict[int, int] = {}
-    for u, v, _ in edges:
-        if u not in of and v not in of:
-            c, other = (u, v) if mean[u] > mean[v] else (v, u)
-            of[c], of[other] = c, c
-        elif u in of and v not in of and of[u] == u:
-            of[v] = u
-        elif v in of and u not in of and of[v] == v:
-            of[u] = v
-    return of
-
-
-def merge_center(edges: Edges) -> dict[int, int]:
-    """As :func:`center` with the first node as the centre; a centre that meets a member of another cluster merges both."""
-    of: dict[int, int] = {}  # a node's cluster, by number
-    members: dict[int, list[int]] = {}
-    name: dict[int, int] = {}
-    centres: set[int] = set()
-
-    def join(x: int, cluster: int) -> None:
-        of[x] = cluster
-        members[cluster].append(x)
-
-    def merge(a: int, b: int) -> None:
-        """Cluster b goes into a; the shorter list is moved, and the name is a's."""
-        if len(members[a]) < len(members[b]):
-            name[b] = name[a]
-            a, b = b, a
-        for x in members.pop(b):
-            join(x, a)
-
-    for u, v, _ in edges:
-        if u not in of and v not in of:
-            members[u], name[u] = [], u
-            join(u, u)
-            join(v, u)
-            centres.add(u)
-        elif u in of and v not in of:
-            if u in centres:
-                join(v, of[u])
-        elif v in of and u not in of:
-            if v in centres:
-                join(u, of[v])
-        elif of[u] != of[v] and (u in centres) != (v in centres):
-            merge(of[u], of[v])
-    return {x: name[c] for x, c in of.items()}
-
-
-def unique_mapping(edges: Edges) -> dict[int, int]:
-    """Heaviest edges first, each node in one pair at most."""
-    of: dict[int, int] = {}
-    for u, v, _ in edges:
-        if u not in of and v not in of:
-            of[u] = of[v] = u
-    return of
+#: Edges of a component that a Python call takes: about 1 GB of a worker's memory for ricochet; a cut is searched for every node, over all edges each time.
+MAX_EDGES = {"ricochet": 5_000_000, "cut": 20_000}
 
 
 def ricochet(edges: Edges) -> dict[int, int]:
@@ -137,35 +71,6 @@ def ricochet(edges: Edges) -> dict[int, int]:
     return of
 
 
-def markov(edges: Edges, rounds: int = 2, epsilon: float = 1e-5, least: float = 1e-3) -> dict[int, int]:
-    """Flow: self-loops, columns sum up to 1, squares and squared entries in turn; what flow is left links nodes."""
-    ids = sorted({x for u, v, _ in edges for x in (u, v)})
-    columns: dict[int, dict[int, float]] = {x: {x: 1.0} for x in ids}
-    for u, v, w in edges:
-        columns[v][u] = w
-
-    def scaled(column: dict[int, float]) -> dict[int, float]:
-        total = max(sum(column.values()), 1e-300)
-        return {x: y / total for x, y in column.items()}
-
-    def flow(column: dict[int, float]) -> dict[int, float]:
-        """The column of the squared matrix, entries squared."""
-        out: dict[int, float] = {}
-        for k, y in column.items():
-            for x, z in columns[k].items():
-                out[x] = out.get(x, 0.0) + z * y
-        return scaled({x: y * y for x, y in out.items()})
-
-    columns = {x: scaled(c) for x, c in columns.items()}
-    for _ in range(rounds):
-        after = {x: flow(c) for x, c in columns.items()}
-        done = all(abs(y - columns[x].get(i, 0.0)) < epsilon for x, c in after.items() for i, y in c.items())
-        columns = after
-        if done:
-            break
-    return _components([(i, x) for x, c in columns.items() for i, y in c.items() if y > least], ids)
-
-
 def _components(links, ids) -> dict[int, int]:
     root = {x: x for x in ids}
 
@@ -223,18 +128,17 @@ def cut_tree(edges: Edges, alpha: float = 0.3) -> dict[int, int]:
     return _components([(x, tree[x]) for x in ids if tree[x] is not sink], ids)
 
 
-METHODS: dict[str, Callable[[Edges], dict[int, int]]] = {"center": center, "merge_center": merge_center, "unique_mapping": unique_mapping, "ricochet": ricochet, "markov": markov, "cut": cut_tree}
+#: Methods that run in one Python call a component.
+WHOLE: dict[str, Callable[[Edges], dict[int, int]]] = {"ricochet": ricochet, "cut": cut_tree}
 
 
-def cluster(edges: DataFrame, profiles: DataFrame, method: str, threshold: float = 0.0) -> DataFrame:
-    """Clusters of the edges above ``threshold`` by one of ``METHODS`` within each component."""
-    fn = METHODS[method]
-    used = edges.where(F.col("weight") > threshold).select(F.least("id1", "id2").alias("id1"), F.greatest("id1", "id2").alias("id2"), F.col("weight").cast("double").alias("weight"))
+def _by_component(used: DataFrame, method: str) -> DataFrame:
+    fn = WHOLE[method]
     components = connected_components(used)
     rows = cut(used.join(components.select(F.col("node").alias("id1"), "component"), "id1"), "edges")
     large = rows.groupBy("component").agg(F.count("*").alias("n")).agg(F.max(F.struct("n", "component")).alias("most")).first()["most"]
-    if large and large["n"] > MAX_EDGES:
-        raise ValueError(f"component {large['component']} has {large['n']} edges, {method} takes {MAX_EDGES}: raise the threshold")
+    if large and large["n"] > MAX_EDGES[method]:
+        raise ValueError(f"component {large['component']} has {large['n']} edges, {method} takes {MAX_EDGES[method]}: raise the threshold")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["weight", "id1", "id2"], ascending=[False, True, True])
@@ -244,5 +148,20 @@ def cluster(edges: DataFrame, profiles: DataFrame, method: str, threshold: float
             least[c] = min(least.get(c, x), x)
         return pd.DataFrame({"cluster_id": [least[c] for c in of.values()], "profile_id": list(of)}, dtype="int64")
 
-    found = rows.groupBy("component").applyInPandas(run, "cluster_id long, profile_id long")
+    return rows.groupBy("component").applyInPandas(run, "cluster_id long, profile_id long")
+
+
+METHODS = ("center", "merge_center", "unique_mapping", "markov", *WHOLE)
+
+
+def cluster(edges: DataFrame, profiles: DataFrame, method: str, threshold: float = 0.0) -> DataFrame:
+    """Clusters of the edges above ``threshold`` by one of ``METHODS``."""
+    if method not in METHODS:
+        raise ValueError(f"no such method: {method}; one of {METHODS}")
+    used = edges.where(F.col("weight") > threshold).select(F.least("id1", "id2").alias("id1"), F.greatest("id1", "id2").alias("id2"), F.col("weight").cast("double").alias("weight"))
+    used = cut(used, "edges")
+    if method == "markov":
+        found = flow.markov(used)
+    else:
+        found = greedy.METHODS[method](used) if method in greedy.METHODS else _by_component(used, method)
     return with_singletons(found, profiles)

@@ -35,6 +35,16 @@ def links(pairs: DataFrame, members: DataFrame) -> DataFrame:
     return pairs.select("id1", "id2", F.col("similarity").alias("weight")).unionByName(own)
 
 
+def linked(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """(id1, id2, links): representatives with how many pairs of members they stand for; id1 = id2 are the pairs inside a class."""
+    size = cut(members.groupBy("rep").agg(F.count("*").alias("n")), "class_sizes")
+    across = pairs.select("id1", "id2")
+    for side in ("1", "2"):
+        across = across.join(size.select(F.col("rep").alias(f"id{side}"), F.col("n").alias(f"n{side}")), f"id{side}")
+    inside = size.where("n > 1").select(F.col("rep").alias("id1"), F.col("rep").alias("id2"), F.expr("n * (n - 1) div 2").alias("links"))
+    return across.select("id1", "id2", (F.col("n1") * F.col("n2")).alias("links")).unionByName(inside)
+
+
 def expand(pairs: DataFrame, members: DataFrame, same: DataFrame | None = None) -> DataFrame:
     """Pairs of members from pairs of representatives (id1, id2, ...), and pairs inside a class with the columns of ``same``."""
     rest = [c for c in pairs.columns if c not in ("id1", "id2")]

@@ -788,10 +788,6 @@ def group_linkage(spark, sf):
 # ---- clustering ---------------------------------------------------------------------------------------------------
 
 
-def doc_edges(spark, sf):
-    return cut(simjoin.jaccard_join(doc_texts(spark, sf), 0.5).withColumnRenamed("similarity", "weight"), "edges")
-
-
 def doc_links(spark, sf):
     """As many edges as components need: a class of copies is a star."""
     return cut(simjoin.links(*simjoin.jaccard_join(doc_texts(spark, sf), 0.5, expanded=False)), "links")
@@ -817,14 +813,15 @@ def components(spark, sf):
     return connected_components(doc_links(spark, sf))
 
 
-#: oe: edges above the threshold, heaviest first; the greedy methods visit them one by one, with what they know in one row.
-_ORDERED_EDGES = f"WITH RECURSIVE {JOINED.format(t=0.5, apart='')}, oe AS MATERIALIZED (SELECT id1 AS u, id2 AS v, similarity AS w, row_number() OVER (ORDER BY similarity DESC, id1, id2) AS r FROM sj WHERE similarity > 0.5)"
+#: oe: edges of representatives above the threshold, and of members with theirs, heaviest first; the greedy methods visit them one by one, with what they know in one row.
+_ORDERED_EDGES = f"""WITH RECURSIVE {JOINED.format(t=0.5, apart='')}, {REPS}, lk AS (SELECT id1, id2, similarity FROM sj JOIN rp x ON x.id = id1 AND x.rep = id1 JOIN rp y ON y.id = id2 AND y.rep = id2 UNION ALL SELECT rep, id, 1.0 FROM rp WHERE id <> rep),
+oe AS MATERIALIZED (SELECT id1 AS u, id2 AS v, similarity AS w, row_number() OVER (ORDER BY similarity DESC, id1, id2) AS r FROM lk WHERE similarity > 0.5)"""
 _NAMED = "nm AS (SELECT c, min(x) AS cluster_id FROM fin GROUP BY c) SELECT coalesce(cluster_id, docs.id) AS cluster_id, docs.id AS profile_id FROM docs LEFT JOIN fin ON fin.x = docs.id LEFT JOIN nm USING (c)"
 _LAST = "fin AS (SELECT unnest(map_keys(m)) AS x, unnest(map_values(m)) AS c FROM (SELECT m FROM st ORDER BY r DESC LIMIT 1))"
 _NO_MAP = "map([]::BIGINT[], []::BIGINT[])"
 _CLUSTER_SQL = {
     "unique_mapping": f"""{_ORDERED_EDGES}, st AS (SELECT 0::BIGINT AS r, {_NO_MAP} AS m UNION ALL SELECT oe.r, CASE WHEN map_contains(m, u) OR map_contains(m, v) THEN m ELSE map_concat(m, map([u, v], [u, u])) END FROM st JOIN oe ON oe.r = st.r + 1), {_LAST}, {_NAMED}""",
-    "center": f"""{_ORDERED_EDGES}, mn AS (SELECT x, avg(w) AS a FROM (SELECT u AS x, w FROM oe UNION ALL SELECT v, w FROM oe) GROUP BY x), oc AS (SELECT oe.*, CASE WHEN p.a > q.a THEN u ELSE v END AS c FROM oe JOIN mn p ON p.x = u JOIN mn q ON q.x = v),
+    "center": f"""{_ORDERED_EDGES}, mn AS (SELECT x, avg(w) AS a FROM (SELECT u AS x, w FROM oe UNION ALL SELECT v, w FROM oe) GROUP BY x), oc AS (SELECT oe.*, CASE WHEN p.a > q.a + 1e-12 THEN u ELSE v END AS c FROM oe JOIN mn p ON p.x = u JOIN mn q ON q.x = v),
 st AS (SELECT 0::BIGINT AS r, {_NO_MAP} AS m UNION ALL SELECT oc.r, CASE WHEN NOT map_contains(m, u) AND NOT map_contains(m, v) THEN map_concat(m, map([u, v], [c, c])) WHEN map_contains(m, u) AND NOT map_contains(m, v) AND m[u] = u THEN map_concat(m, map([v], [u]))
   WHEN map_contains(m, v) AND NOT map_contains(m, u) AND m[v] = v THEN map_concat(m, map([u], [v])) ELSE m END FROM st JOIN oc ON oc.r = st.r + 1), {_LAST}, {_NAMED}""",
     "merge_center": f"""{_ORDERED_EDGES}, st AS (SELECT 0::BIGINT AS r, {_NO_MAP} AS m, []::BIGINT[] AS cs UNION ALL SELECT oe.r, CASE WHEN NOT map_contains(m, u) AND NOT map_contains(m, v) THEN map_concat(m, map([u, v], [u, u]))
@@ -839,7 +836,7 @@ ed AS (SELECT i AS a, j AS b FROM n2 WHERE y > 1e-3 UNION SELECT j, i FROM n2 WH
 
 def _cluster_query(method: str):
     def run(spark, sf):
-        return clustering.cluster(doc_edges(spark, sf), doc_profiles(spark, sf), method, 0.5)
+        return clustering.cluster(doc_links(spark, sf), doc_profiles(spark, sf), method, 0.5)
 
     run.__name__ = f"cluster_{method}"
     query(_CLUSTER_SQL.get(method))(run)
@@ -876,7 +873,9 @@ def ground_truth_ids(spark, sf):
 
 @query(f"WITH {JOINED.format(t=JACCARD, apart='')}, {TRUTH}, cand AS (SELECT id1, id2 FROM sj) {QUALITY}")
 def join_quality(spark, sf):
-    return rounded(evaluate.pair_quality(simjoin.jaccard_join(doc_texts(spark, sf), JACCARD), copies(spark, sf)), "recall", "precision", "f1")
+    """Pairs are counted from classes: no pair of copies is made."""
+    pairs, members = simjoin.jaccard_join(doc_texts(spark, sf), JACCARD, expanded=False)
+    return rounded(class_graph.quality(simjoin.linked(pairs, members), members, copies(spark, sf)), "recall", "precision", "f1")
 
 
 @query("SELECT sum(i)::BIGINT AS total FROM range(1000000) t(i)")

@@ -1,9 +1,10 @@
 import random
 
+import numpy as np
 import pytest
 from conftest import pairs_of
 
-from matchloom.operators import clustering, evaluate
+from matchloom.operators import clustering, evaluate, flow, greedy
 from matchloom.operators.components import connected_components
 
 EDGES = [(0, 6, 0.8), (1, 4, 0.9), (2, 9, 0.7), (2, 7, 0.6), (4, 8, 0.6), (7, 9, 0.9)]
@@ -68,14 +69,40 @@ def test_every_profile_is_in_one_cluster_within_its_component(graph, method):
     assert all(any(set(c) <= k for k in components) for c in got)
 
 
-def test_markov_and_cut_split_weak_bridges():
-    clique = lambda ids: [(a, b, 1.0) for a in ids for b in ids if a < b]
-    edges = sorted([*clique(range(4)), *clique(range(4, 8)), (3, 4, 0.01)], key=lambda e: -e[2])
-    of = clustering.cut_tree(edges, 0.3)
+CLIQUES = [(a, b, 1.0) for ids in (range(4), range(4, 8)) for a in ids for b in ids if a < b] + [(3, 4, 0.01)]
+
+
+def test_cut_splits_weak_bridges():
+    of = clustering.cut_tree(sorted(CLIQUES, key=lambda e: -e[2]), 0.3)
     assert {of[i] for i in range(4)} == {of[0]}
     assert {of[i] for i in range(4, 8)} == {of[4]}
     assert of[0] != of[4]
-    assert set(clustering.markov(edges)) == set(range(8))
+
+
+def dense_markov(edges, rounds, least=1e-3):
+    """The same flow in a matrix, with components by search."""
+    n = 1 + max(b for _, b, _ in edges)
+    m = np.eye(n)
+    for a, b, w in edges:
+        m[a, b] = w
+    m = m / m.sum(axis=0)
+    for _ in range(rounds):
+        m = (m @ m) ** 2
+        m = m / m.sum(axis=0)
+    of, linked = list(range(n)), (m > least) | (m > least).T
+    for _ in range(n):
+        of = [min(of[j] for j in range(n) if linked[i, j] or i == j) for i in range(n)]
+    return of
+
+
+@pytest.mark.parametrize("rounds", [1, 2, 4])
+def test_markov_against_a_dense_matrix(spark, rounds):
+    r = random.Random(rounds)
+    edges = CLIQUES + [(a, b, round(r.random(), 3)) for a in range(8, 40) for b in range(a + 1, 40) if r.random() < 0.06] + [(40, b, 0.9) for b in range(41, 90)]
+    rows = flow.markov(spark.createDataFrame(edges, "id1 long, id2 long, weight double"), rounds=rounds, epsilon=0.0)
+    got = {x["profile_id"]: x["cluster_id"] for x in rows.collect()}
+    want = dense_markov(edges, rounds)
+    assert got == {i: want[i] for i in {x for e in edges for x in e[:2]}}
 
 
 def test_cluster_quality(spark, graph):
@@ -102,7 +129,7 @@ def brute_force(method, edges):
     for u, v, _ in edges:
         a, b = where(u), where(v)
         if a is None and b is None:
-            centre = u if method == "merge_center" or mean[u] > mean[v] else v
+            centre = u if method == "merge_center" or mean[u] > mean[v] + 1e-12 else v
             clusters.append([{centre}, {u, v}])
         elif b is None and u in a[0]:
             a[1].add(v)
@@ -115,20 +142,33 @@ def brute_force(method, edges):
     return [c[1] for c in clusters]
 
 
-@pytest.mark.parametrize("method", ["center", "merge_center", "unique_mapping"])
-def test_greedy_methods_against_brute_force(method):
+@pytest.mark.parametrize("method", sorted(greedy.METHODS))
+def test_greedy_methods_against_brute_force(spark, method):
+    """Two hundred small graphs, a long path whose weights fall, a star, a clique of equal weights: all in one table, since components don't touch."""
     r = random.Random(11)
-    for _ in range(150):
+    graphs = []
+    for _ in range(200):
         n = r.randint(2, 14)
-        pairs = {(a, b) for a in range(n) for b in range(a + 1, n) if r.random() < 0.35}
-        edges = sorted(((a, b, round(r.random(), 3)) for a, b in pairs), key=lambda e: (-e[2], e[0], e[1]))
-        got = {}
-        for x, c in clustering.METHODS[method](edges).items():
-            got.setdefault(c, set()).add(x)
-        assert sorted(map(sorted, got.values())) == sorted(map(sorted, brute_force(method, edges)))
+        graphs.append([(a, b, round(r.random(), r.randint(1, 3))) for a in range(n) for b in range(a + 1, n) if r.random() < 0.35])
+    graphs += [[(i, i + 1, 1 - i / 100) for i in range(12)], [(0, i, i / 100) for i in range(1, 80)], [(a, b, 1.0) for a in range(12) for b in range(a + 1, 12)]]
+    rows, want = [], []
+    for k, g in enumerate(graphs):
+        g = sorted(((a + 100 * k, b + 100 * k, w) for a, b, w in g), key=lambda e: (-e[2], e[0], e[1]))
+        rows += g
+        want += [sorted(c) for c in brute_force(method, g)]
+    r.shuffle(rows)
+    got = greedy.METHODS[method](spark.createDataFrame(rows, "id1 long, id2 long, weight double").repartition(3))
+    assert sets(got) == sorted(want)
+
+
+def test_no_edges(spark):
+    none = spark.createDataFrame([], "id1 long, id2 long, weight double")
+    assert all(fn(none).count() == 0 for fn in (*greedy.METHODS.values(), flow.markov))
 
 
 def test_large_components_are_refused(graph, monkeypatch):
-    monkeypatch.setattr(clustering, "MAX_EDGES", 2)
+    monkeypatch.setattr(clustering, "MAX_EDGES", {"ricochet": 2, "cut": 2})
     with pytest.raises(ValueError, match="component 2 has 3 edges"):
-        clustering.cluster(*graph, "center", 0.5)
+        clustering.cluster(*graph, "ricochet", 0.5)
+    with pytest.raises(ValueError, match="no such method"):
+        clustering.cluster(*graph, "other", 0.5)
