@@ -13,12 +13,13 @@ lines with a word or more, and every line of ``LONG`` words, that stands earlier
 that begins with the last line of its first occurrence, as in a line three times over, is none of its repeats.
 ``whole=False`` leaves the pairs out: ``op8_line_dedup`` is held to the chunks alone by its SQL.
 
-Near copies would be torn to fragments that no longer look like copies. A pipeline that drops copies afterwards passes
-their ``groups``: what a document shares with its own group alone is left to that step, which drops the whole text, and
+Near copies would be torn to fragments that no longer look like copies. A pipeline that drops copies afterwards leaves them
+(``copies=True``, or their ``groups``): what a document shares with its own group alone is left to that step, which drops the whole text, and
 what it shares with others is cut out of all of the group alike. Documents that the step will drop are never the first
-occurrence if another one is there.
+occurrence if another one is there. Groups come from the same chunks (:func:`copy_groups`): a document's most frequent first holder is
+its candidate, full sets of word shingles decide, and components of these links are the groups.
 
-Texts are read three times and never shuffled unless more documents change than may be broadcast.
+Texts are read three times (near copies once more) and never shuffled unless more documents change than may be broadcast.
 
 Results for odd input, all tested: a null text stays null; chunks without a word are no repeats; a text whose
 lines all go becomes empty, and its row stays unless told otherwise; rows repeated with one doc_id and text count as one document; a null
@@ -31,6 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.components import connected_components
 from ..storage import cut, discard
 from .tables import few, free, let, read
 
@@ -38,6 +40,7 @@ DIVISOR, LONG = 2, 50
 #: Numbers of pairs of lines begin here, those of chunks at 0.
 PAIRS = 1 << 30
 _BLANKS = " \t\n\x0b\x0c\r"
+CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def n_words(line: Column) -> Column:
@@ -74,12 +77,48 @@ def pair_spans(lines: Column) -> Column:
     return let(worded, lambda at: F.transform(F.slice(at, 2, F.size(at)), lambda e, k: F.struct(F.get(at, k).alias("s"), (e + 1).alias("e"), F.lit(1).alias("w"))))
 
 
+def shingles(text: Column, k: int) -> Column:
+    """Hashes of the distinct shingles of k words, A to Z in lower case; fewer words are one shingle."""
+    low = F.translate(text, CAPITALS, CAPITALS.lower())
+    words = F.transform(F.filter(F.split(low, "[\\x20\\x09-\\x0D]+"), lambda w: w != ""), lambda w: F.xxhash64(w))
+    rolled = lambda ws: F.transform(F.sequence(F.lit(0), F.size(ws) - k), lambda i: F.xxhash64(*[F.get(ws, i + j) for j in range(k)]))
+    return let(words, lambda ws: F.when(F.size(ws) >= k, F.array_distinct(rolled(ws))).otherwise(F.array(F.xxhash64(ws))))
+
+
+def copy_groups(docs: DataFrame, chunks: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, group (its smallest doc_id) and spare (it isn't that one) of the documents that have near copies among those they share chunks with; a written table.
+
+    ``chunks`` is :func:`_chunks` of ``docs``, written. A document's candidate is the one that is the first holder of most of its repeated chunks
+    and pairs, if these are a tenth of all it has and the numbers of words are close; one candidate a document, so no pairs
+    of a group are made. Two texts are near copies if 100 * intersection >= percent * union of their shingles. Copies of a text whose
+    chunks stand first in a third, unlike one aren't found, and are cut like other texts.
+    """
+    own = chunks.where("doc_id is not null").select("doc_id", "tkey", "h", "k", "w")
+    totals = own.groupBy("doc_id", "tkey").agg(F.count("*").alias("units"), F.sum(F.when(F.col("k") < PAIRS, F.col("w")).otherwise(0)).alias("words"))
+    totals = cut(totals, "totals")
+    first = cut(own.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h", "first"), "firsts")
+    shared = own.join(few(first), "h").where("doc_id > first").groupBy("doc_id", "tkey", "first").agg(F.count("*").alias("n"))
+    best = shared.groupBy("doc_id", "tkey").agg(F.max(F.struct("n", (-F.col("first")).alias("of"))).alias("b")).select("doc_id", "tkey", "b.n", (-F.col("b.of")).alias("first"))
+    leader = totals.select(F.col("doc_id").alias("first"), F.col("tkey").alias("ltkey"), F.col("words").alias("lwords"))
+    found = cut(best.join(totals, ["doc_id", "tkey"]).where("10 * n >= units").join(leader, "first").where("10 * least(words, lwords) >= 7 * greatest(words, lwords)").select("doc_id", "tkey", "first", "ltkey"), "candidates")
+    links, unequal = found.where("tkey = ltkey").select("doc_id", "first"), found.where("tkey <> ltkey")
+    texts = docs.where("text is not null and doc_id is not null").select("doc_id", F.xxhash64("text").alias("tkey"), shingles(F.col("text"), k).alias("set"))
+    theirs = cut(texts.join(few(cut(unequal.select(F.col("first").alias("doc_id"), F.col("ltkey").alias("tkey")).distinct(), "leaders")), ["doc_id", "tkey"]).distinct(), "sets")
+    both = texts.join(few(cut(unequal, "unequal")), ["doc_id", "tkey"]).join(few(theirs.select(F.col("doc_id").alias("first"), F.col("tkey").alias("ltkey"), F.col("set").alias("lset"))), ["first", "ltkey"])
+    n = F.size(F.array_intersect("set", "lset"))
+    near = both.select("doc_id", "first", n.alias("n"), (F.size("set") + F.size("lset") - n).alias("all")).where(f"100 * n >= {percent} * all")
+    components = connected_components(cut(links.unionByName(near.select("doc_id", "first")).distinct(), "copies"), "doc_id", "first")
+    out = cut(components.select(F.col("node").alias("doc_id"), F.col("component").alias("group"), (F.col("node") != F.col("component")).alias("spare")), "groups")
+    discard(totals, first, found, theirs)
+    return out
+
+
 def _grouped(units: DataFrame, groups: DataFrame | None) -> DataFrame:
     """``units`` with the group of their document, null without one, and whether that will be dropped."""
     if groups is None:
         return units.withColumns({"group": F.lit(None).cast("long"), "spare": F.lit(False)})
     g = groups.select(F.col("doc_id").alias("i"), "group", "spare")
-    return units.join(few(g), units["doc_id"] == F.col("i"), "left").drop("i").withColumn("spare", F.coalesce("spare", F.lit(False)))
+    return units.join(few(g), F.col("doc_id") == F.col("i"), "left").drop("i").withColumn("spare", F.coalesce("spare", F.lit(False)))
 
 
 def _chunks(docs: DataFrame, whole: bool) -> DataFrame:
@@ -113,12 +152,14 @@ def _merged(ranges: Column) -> Column:
     return F.aggregate(ranges, none, step)
 
 
-def repeated_lines(docs: DataFrame, whole: bool = True, groups: DataFrame | None = None) -> DataFrame:
+def repeated_lines(docs: DataFrame, whole: bool = True, groups: DataFrame | None = None, copies: bool = False) -> DataFrame:
     """doc_id, tkey and ``gone``, ranges of lines (s, e) that repeat an earlier text, for the documents that have any.
 
-    ``groups`` (doc_id, group, spare), a written table, has the documents that are copies of each other.
+    ``groups`` (doc_id, group, spare), a written table, has the documents that are copies of each other; with ``copies`` they are found here.
     """
-    chunks = cut(_grouped(_chunks(docs, whole).drop("chunk"), groups), "chunks")
+    written = cut(_chunks(docs, whole).drop("chunk"), "chunks")
+    groups = copy_groups(docs, written) if copies else groups
+    chunks = _grouped(written, groups)
     twice = cut(chunks.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "twice")
     # byte comparison: equal hashes are grouped by their text
     holders = cut(chunks.join(few(twice), "h", "left_semi").select("doc_id", "tkey").distinct(), "holders")
@@ -144,17 +185,17 @@ def repeated_lines(docs: DataFrame, whole: bool = True, groups: DataFrame | None
     runs = runs.where(f"e - s >= 2 or w >= {LONG}")
     gone = runs.groupBy("doc_id", "tkey").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("gone"))
     out = cut(gone.withColumn("gone", _merged(F.col("gone"))) if whole else gone, "gone")
-    discard(chunks, twice, holders, by_hash)
+    discard(written, twice, holders, by_hash)
     return out
 
 
-def drop_repeated_lines(docs: DataFrame, counts: bool = False, drop_emptied: bool = False, whole: bool = True, groups: DataFrame | None = None) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, counts: bool = False, drop_emptied: bool = False, whole: bool = True, groups: DataFrame | None = None, copies: bool = False) -> DataFrame:
     """The documents, all columns as they are but ``text``; with ``counts`` also n_lines and n_removed.
 
     With ``drop_emptied`` the rows of texts that lose their last word go, too.
     """
     i, t, g = free(docs, "_id", "_tkey", "_gone")
-    gone = repeated_lines(docs, whole, groups).select(F.col("doc_id").alias(i), F.col("tkey").alias(t), F.col("gone").alias(g))  # a written table
+    gone = repeated_lines(docs, whole, groups, copies).select(F.col("doc_id").alias(i), F.col("tkey").alias(t), F.col("gone").alias(g))  # a written table
     rows = docs.join(few(gone), docs["doc_id"].eqNullSafe(F.col(i)) & (F.xxhash64(docs["text"]) == F.col(t)) & docs["text"].isNotNull(), "left")
     lines = F.split(docs["text"], "\n")
     stay = F.array_join(F.filter(lines, lambda x, n: ~F.exists(g, lambda r: (n >= r["s"]) & (n < r["e"]))), "\n")

@@ -290,16 +290,6 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     return out.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def copy_groups(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 40, rows: int = 5) -> DataFrame:
-    """doc_id, group and spare (whether :func:`drop_near_duplicates` drops it) of the documents that have near copies; a written table."""
-    found = near_duplicates(docs, k, percent, bands, rows)
-    spare = cut(found.where(~F.col("kept")).select("doc_id", F.col("component_id").alias("group")).distinct(), "spare")
-    leaders = spare.select(F.col("group").alias("doc_id"), "group").distinct()
-    out = cut(spare.withColumn("spare", F.lit(True)).unionByName(leaders.withColumn("spare", F.lit(False))), "groups")
-    discard(spare)
-    return out
-
-
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 40, rows: int = 5) -> DataFrame:
     """The documents, all columns as they are, of which one of each component stays: the one with its smallest id; rows repeated with one doc_id and text stay once."""
     (name,) = free(docs, "gone")

@@ -1,3 +1,5 @@
+import struct
+import zlib
 from collections import Counter
 
 import corpus_pipeline
@@ -27,16 +29,16 @@ def test_stages_on_a_small_folder(spark, documents, tmp_path):
             seen.append(docs.count())
             ids = {r["doc_id"] for r in docs.collect()}
             if name == "line_dedup":
-                assert 500 not in ids  # nothing is left of a copy
-                assert 502 in ids
+                assert {500, 502} <= ids  # copies are left whole for the next stage
             if name == "near_duplicates":
-                assert {3, 502} & ids == {3}
+                assert {3, 500, 502} & ids == {3}
             if name == "pii":
                 assert not [r for r in docs.collect() if "@" in r["text"]]
                 assert all(r["n_chars"] == len(r["text"]) for r in docs.collect())
     assert seen[1] < seen[0]
-    assert seen[2] < seen[1]
-    assert seen[4] == seen[3] < seen[2]
+    assert seen[4] == seen[3] < seen[2] <= seen[1]
+    pieces = docs.collect()
+    assert all(zlib.crc32(struct.pack(f"<{len(r['ids'])}I", *r["ids"])) == r["ids_crc32"] and len(r["ids"]) == r["length"] for r in pieces)  # sequences hold their tokens
     whole = corpus_pipeline.run(spark, str(tmp_path))
     key = lambda df: Counter((r["doc_id"], r["piece"], r["length"], r["ids_crc32"]) for r in df.collect())
     assert key(whole) == key(docs)
