@@ -4,18 +4,18 @@ Patterns find emails, ip addresses, card and phone numbers; these base spans are
 (a run of four letters or more) can disclose an entity without naming it: how strongly is estimated over the
 corpus. With N documents, n(e) of them naming entity e, n(t) of them using term t, and n(e, t) of them using t
 close to e, the pointwise mutual information log2(N n(e, t) / (n(e) n(t))) is compared with what there is to
-disclose, the entity's information log2(N / n(e)). A term is sensitive
+disclose, the entity's information log2(N / n(e)). In place of the share n(e, t) / n(t) of a term's documents that use it close to
+the entity stands its lower confidence bound (Wilson's, ``Z`` standard deviations, one-sided 95 %), so a word that was seen once, or
+a few times, proves little: of one sighting in one document 27 % count, of three in three 53 %, of ten in ten 79 %. A term is sensitive, wherever it
+stands, if what it discloses reaches ``DISCLOSURE`` of the entity's information, and it was seen in ``SUPPORT`` different surroundings of the
+entity, since copies of one text are no evidence. The same rule holds for corpora of any size.
 
-* if it stands in no document but those where it is close to the entity, and so discloses all of it: whoever looks the
-  term up finds the entity, however often that is named. The entity has to have ``LEAST_BITS`` of information, since in
-  few documents most terms are the only ones of their kind;
-* if its share of it reaches ``DISCLOSURE`` and it was seen in ``SUPPORT`` different surroundings of the entity, which
-  tells it from chance. Such a term is sensitive wherever it stands.
-
-A term that discloses all of an entity is removed, others are generalised to ``<TERM>``.
+A term that no document uses away from its entity is removed, others are generalised to ``<TERM>``.
 
 Positions come from what lies between matches, so they need no code outside SQL functions. Patterns are the
-stated ones with possessive repeats and borders that the leftmost match has anyway, so long runs cost linear time.
+stated ones with possessive repeats and borders that the leftmost match has anyway, so long runs cost linear time. Sums over matches
+are made by blocks, pieces of a text are cut from blocks of it, and terms are found by one pass over the words, so a text with
+many entities or terms costs about as much a span as one with few.
 
 Results for odd input, all tested: a null text has no spans; very long texts are searched whole; repeated rows get
 equal results and count as one document; an empty table gives an empty table; other columns pass through, whatever
@@ -24,7 +24,7 @@ their names. Offsets count code points.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..storage import cut, discard
@@ -40,12 +40,10 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9]){11,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Characters of surroundings on either side, least different surroundings, least share of an entity's information.
-AROUND, SUPPORT, DISCLOSURE, TERM = 60, 3, 0.9, r"\p{L}{4,}"
-#: Bits of an entity that a term seen nowhere else gives away: it stands in a 64th of the documents at most.
-LEAST_BITS = 6.0
-#: A share from here on is all of an entity's information; less than 1 for the rounding of logarithms.
-ALL = 1 - 1e-9
+#: Characters of surroundings on either side, least different surroundings, least share of an entity's information, standard deviations of the bound.
+AROUND, SUPPORT, DISCLOSURE, Z, TERM = 60, 3, 0.8, 1.645, r"\p{L}{4,}"
+#: Code points of the blocks that pieces of a text are cut from.
+BLOCK = 1000
 SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 
 
@@ -77,17 +75,38 @@ def _is(kind: int):
     return lambda s: s["kind"] == kind
 
 
+def _before(values: Column, combine, zero: int) -> Column:
+    """For each of the ``values`` what ``combine`` makes of those before it; by blocks of about the root of their number, so no step copies what was made so far."""
+    start = F.lit(zero).cast("int")
+    over = lambda xs: F.aggregate(xs, start, combine)
+
+    def blocks(size: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / size).cast("int")), lambda j: over(F.slice(values, j * size + 1, size)))
+        return let(each, lambda es: let(F.transform(es, lambda _, j: over(F.slice(es, F.lit(1), j))), lambda firsts: places(size, firsts)))
+
+    def places(size: Column, firsts: Column) -> Column:
+        at = lambda i: F.floor(i / size).cast("int")
+        return F.transform(values, lambda _, i: combine(F.get(firsts, at(i)), over(F.slice(values, at(i) * size + 1, i - at(i) * size))))
+
+    return F.when(F.size(values) == 0, F.array().cast("array<int>")).otherwise(let(F.ceil(F.sqrt(F.size(values))).cast("int"), blocks))
+
+
 def _place(gaps: Column, found: Column, kind: Column) -> Column:
     """Spans from the texts between matches and the matches."""
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+    lengths = F.transform(found, lambda m, i: F.length(F.get(gaps, i)) + F.length(m))
+    span = lambda before: lambda m, i: let(F.get(before, i) + F.length(F.get(gaps, i)), lambda at: F.struct(at.alias("start"), kind.cast("int").alias("kind"), (at + F.length(m)).alias("end"), m.alias("value")))
+    return let(lengths, lambda ls: let(_before(ls, lambda a, x: a + x, 0), lambda before: F.transform(found, span(before))))
 
-    def step(acc: Column, i: Column) -> Column:
-        start = acc["at"] + F.length(F.get(gaps, i))
-        end = start + F.length(F.get(found, i))
-        span = F.struct(start.alias("start"), kind.cast("int").alias("kind"), end.alias("end"), F.get(found, i).alias("value"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-    return F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), zero, step, lambda acc: acc["out"])
+def _blocks(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def _cut(blocks: Column, start: Column, end: Column) -> Column:
+    """The text from ``start`` to ``end`` (exclusive), from the blocks that it touches."""
+    first = F.floor(start / BLOCK).cast("int")
+    some = F.array_join(F.slice(blocks, first + 1, F.floor((end - 1) / BLOCK).cast("int") - first + 1), "")
+    return F.when(end <= start, "").otherwise(F.substring(some, start - first * BLOCK + 1, end - start))
 
 
 def find(text: Column, pattern: Column, kind: Column) -> Column:
@@ -111,15 +130,22 @@ def _entity(span: Column) -> Column:
     return F.when(span["kind"] == 0, F.lower(span["value"])).when(span["kind"] == 1, span["value"]).otherwise(_digits(span["value"]))
 
 
-def _surroundings(text: Column, span: Column) -> Column:
+def _surroundings(blocks: Column, length: Column, span: Column) -> Column:
     """Whole terms close to the span, lower case, each once."""
-    left = F.substring(text, F.greatest(span["start"] - AROUND, F.lit(0)) + 1, F.least(span["start"], F.lit(AROUND)))
-    right = F.substring(text, span["end"] + 1, F.lit(AROUND))
+    left = _cut(blocks, F.greatest(span["start"] - AROUND, F.lit(0)), span["start"])
+    right = _cut(blocks, span["end"], F.least(span["end"] + AROUND, length))
     left = F.when(span["start"] > AROUND, F.regexp_replace(left, r"^[\p{L}]+", "")).otherwise(left)
-    right = F.when(F.length(text) > span["end"] + AROUND, F.regexp_replace(right, r"[\p{L}]+$", "")).otherwise(right)
+    right = F.when(length > span["end"] + AROUND, F.regexp_replace(right, r"[\p{L}]+$", "")).otherwise(right)
     return F.array_distinct(F.regexp_extract_all(F.lower(F.concat(left, F.lit(" "), right)), F.lit(TERM), F.lit(0)))
 
 
+def _mentions(text: Column, base: Column) -> Column:
+    """Entity and surroundings of each base span."""
+    of = lambda bs, n: lambda s: F.struct(s["kind"].alias("kind"), _entity(s).alias("entity"), _surroundings(bs, n, s).alias("terms"))
+    none = F.array().cast("array<struct<kind:int,entity:string,terms:array<string>>>")
+    return F.when(F.size(base) == 0, none).otherwise(let(_blocks(text), lambda bs: let(F.length(text), lambda n: F.transform(base, of(bs, n)))))
+
+
 def _terms(docs: DataFrame) -> DataFrame:
     """One row a document and term: nothing else of the document goes with it. Rows repeated with one doc_id and text give theirs again."""
     text = F.lower("text")
@@ -139,31 +165,35 @@ def _term_counts(docs: DataFrame, wanted: DataFrame, found: DataFrame) -> DataFr
     return counted.groupBy("term").agg(F.sum("n").alias("n_t")).join(wanted, "term", "left_semi")
 
 
+def _least_share(n_et: Column, n_t: Column) -> Column:
+    """Wilson's lower bound of n_et / n_t."""
+    k, n, z2 = n_et.cast("double"), n_t.cast("double"), Z * Z
+    p = k / n
+    return (p + z2 / (2 * n) - Z * F.sqrt(p * (1 - p) / n + z2 / (4 * n * n))) / (1 + z2 / n)
+
+
 def sensitive_terms(docs: DataFrame, found: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
-    """term, share (of the information of the entity it discloses most of) and ``wide``: whether it may stand away from the entity."""
+    """term, share (of the information of the entity it discloses most of, at least) and ``wide``: whether it stands away from the entity, too."""
     with_term = _near_terms(found)
     entity = ["kind", "entity"]
     mentions = found.where(F.size("mentions") > 0).select("doc_id", "tkey", F.explode("mentions").alias("m")).select("doc_id", "tkey", "m.kind", "m.entity")
     named = mentions.distinct().groupBy(*entity).agg(F.count("*").alias("n_e"))
     joint = with_term.select(*entity, "term", "doc_id", "tkey").distinct().groupBy(*entity, "term").agg(F.count("*").alias("n_et"))
-    places = with_term.select(*entity, "term", "place").distinct().groupBy(*entity, "term").agg(F.count("*").alias("places"))
+    places = with_term.select(*entity, "term", "place").distinct().groupBy(*entity, "term").agg(F.count("*").alias("places")).where(F.col("places") >= support)
     n = F.lit(float(max(found.count(), 1)))
 
-    def sensitive(n_t: str) -> tuple[Column, Column]:
+    def share(n_t: str) -> Column:
         information = F.log2(n / F.col("n_e"))
-        share = F.when(information > 0, F.log2(n * F.col("n_et") / (F.col("n_e") * F.col(n_t))) / information)
-        alone = (F.col("n_et") == F.col(n_t)) & (information >= LEAST_BITS)
-        return F.when(alone, 1.0).otherwise(share), alone | ((F.col("places") >= support) & (share >= disclosure))
+        return F.when(information > 0, F.log2(n * _least_share(F.col("n_et"), F.col(n_t)) / F.col("n_e")) / information)
 
     # documents that use a term near any entity are among those that use it: a term that is too common by that
     # count alone, as most are, can't be sensitive, and needn't be looked for in the corpus
     around = with_term.select("term", "doc_id", "tkey").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
     pairs = joint.join(places, [*entity, "term"]).join(named, entity).join(around, "term")
-    pairs = cut(pairs.where(sensitive("n_near")[1]), "pairs")
+    pairs = cut(pairs.where(share("n_near") >= disclosure), "pairs")
     wanted = cut(pairs.select("term").distinct(), "terms")
-    share, reached = sensitive("n_t")
-    shares = pairs.join(_term_counts(docs, wanted, found), "term").where(reached).select("term", share.alias("share"), (F.col("n_et") < F.col("n_t")).alias("wide"))
-    out = cut(shares.groupBy("term").agg(F.max("share").alias("share"), F.max("wide").alias("wide")), "sensitive")
+    shares = pairs.join(_term_counts(docs, wanted, found), "term").withColumn("share", share("n_t")).where(F.col("share") >= disclosure).select("term", "share", (F.col("n_et") < F.col("n_t")).alias("wide"))
+    out = cut(shares.groupBy("term").agg(F.max("share").alias("share"), F.min("wide").alias("wide")), "sensitive")
     discard(pairs, wanted)
     return out
 
@@ -178,24 +208,33 @@ def spans(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPOR
     """doc_id, tkey and ``spans``: base ones and, of the sensitive terms, those that overlap none of them."""
     docs = docs.select("doc_id", "text")
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("tkey"), F.coalesce(base_spans(F.col("text")), F.array().cast(SPAN)).alias("base"))
-    mention = F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), _entity(s).alias("entity"), _surroundings(F.col("text"), s).alias("terms")))
-    found = cut(rows.select("doc_id", "tkey", "base", mention.alias("mentions")).distinct(), "found")
+    found = cut(rows.select("doc_id", "tkey", "base", _mentions(F.col("text"), F.col("base")).alias("mentions")).distinct(), "found")
     terms = sensitive_terms(docs, found, disclosure, support)
     if not terms.head(1):
         return found.select("doc_id", "tkey", F.col("base").alias("spans"))
     # terms that stand near their entity only are in documents that are known already; the corpus is read for others alone
-    kind = F.when(F.col("share") >= ALL, 5).otherwise(4).alias("kind")
-    holders = _near_terms(found).select("doc_id", "tkey", "term").join(terms.where("not wide").select("term", kind), "term")
-    wide = cut(terms.where("wide").select("term", kind), "wide")
+    holders = _near_terms(found).select("doc_id", "tkey", "term").join(few(terms.where("not wide").select("term")), "term")
+    wide = cut(terms.where("wide").select("term"), "wide")
     if wide.head(1):
-        holders = holders.unionByName(_terms(docs).join(few(wide), "term").select("term", "doc_id", "tkey", "kind"))
-    where = cut(holders.groupBy("doc_id", "tkey").agg(F.collect_set(F.struct("term", "kind")).alias("terms")), "where")
-    texts = docs.withColumn("tkey", F.xxhash64("text")).select("doc_id", "tkey", "text").join(few(where).select(F.col("doc_id").alias("i"), F.col("tkey").alias("t"), "terms"), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("tkey") == F.col("t")))
-    pattern = lambda t: F.concat(F.lit(r"(?iu)(?<!\p{L})"), t, F.lit(r"(?!\p{L})"))
-    placed = texts.select("doc_id", "tkey", F.flatten(F.transform("terms", lambda t: find(F.col("text"), pattern(t["term"]), t["kind"]))).alias("more")).distinct()
-    both = found.select("doc_id", "tkey", "base").join(placed.select(F.col("doc_id").alias("i"), F.col("tkey").alias("t"), "more"), F.col("doc_id").eqNullSafe(F.col("i")) & F.col("tkey").eqNullSafe(F.col("t")), "left")
-    clear = F.filter(F.coalesce("more", F.array().cast(SPAN)), lambda x: ~F.exists("base", lambda b: (x["start"] < b["end"]) & (b["start"] < x["end"])))
-    return both.select("doc_id", "tkey", F.array_sort(F.concat("base", clear)).alias("spans"))
+        holders = holders.unionByName(_terms(docs).join(few(wide), "term").select("term", "doc_id", "tkey"))
+    where = cut(holders.select(F.col("doc_id").alias("i"), F.col("tkey").alias("t")).distinct(), "where")
+    texts = docs.withColumn("tkey", F.xxhash64("text")).join(few(where), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("tkey") == F.col("t"))).select("doc_id", "tkey", "text").distinct()
+    words = texts.select("doc_id", "tkey", F.explode(find(F.col("text"), F.lit(r"\p{L}+"), F.lit(4))).alias("x")).withColumn("term", F.lower("x.value"))
+    kind = F.when(F.col("wide"), 4).otherwise(5)
+    hits = words.join(few(terms.select("term", "wide")), "term").select("doc_id", "tkey", F.struct("x.start", kind.alias("kind"), "x.end", "x.value").alias("x"))
+    more = _clear(hits, found).groupBy("doc_id", "tkey").agg(F.collect_list("x").alias("more")).select(F.col("doc_id").alias("i"), F.col("tkey").alias("t"), "more")
+    both = found.select("doc_id", "tkey", "base").join(more, F.col("doc_id").eqNullSafe(F.col("i")) & F.col("tkey").eqNullSafe(F.col("t")), "left")
+    return both.select("doc_id", "tkey", F.array_sort(F.concat("base", F.coalesce("more", F.array().cast(SPAN)))).alias("spans"))
+
+
+def _clear(hits: DataFrame, found: DataFrame) -> DataFrame:
+    """The hits (doc_id, tkey, x) that overlap no base span of their text: of the base spans that begin before a hit's end none reaches into it."""
+    base = found.where(F.size("base") > 0).select("doc_id", "tkey", F.explode("base").alias("x"))
+    rows = hits.select("doc_id", "tkey", "x", F.col("x.end").alias("at"), F.lit(False).alias("own")).unionByName(base.select("doc_id", "tkey", "x", F.col("x.start").alias("at"), F.lit(True).alias("own")))
+    # a base span that begins where a hit ends comes after it
+    upto = Window.partitionBy("doc_id", "tkey").orderBy("at", "own").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    reach = F.max(F.when(F.col("own"), F.col("x.end"))).over(upto)
+    return rows.withColumn("reach", reach).where(~F.col("own") & (F.coalesce("reach", F.lit(0)) <= F.col("x.start"))).select("doc_id", "tkey", "x")
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
@@ -205,13 +244,15 @@ def sanitise(docs: DataFrame) -> DataFrame:
     # a text's row stays where it is unless too many have spans
     rows = docs.join(few(some), docs["doc_id"].eqNullSafe(F.col(i)) & (F.xxhash64(docs["text"]) == F.col(t)) & docs["text"].isNotNull(), "left")
     labels = F.array(*[F.lit(x) for x in LABELS])
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    of = F.col(found)
 
-    def step(acc: Column, s: Column) -> Column:
-        more = F.concat(acc["out"], F.substring(docs["text"], acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))), F.get(labels, s["kind"]))
-        return F.when(s["end"] <= acc["at"], acc).otherwise(F.struct(s["end"].alias("at"), more.alias("out")))
+    def cleaned(blocks: Column, before: Column) -> Column:
+        """The pieces between spans, each with the next span's label; a span that an earlier one covers adds nothing, one that it overlaps goes on from its end."""
+        piece = lambda s, i: let(F.get(before, i), lambda at: F.when(s["end"] <= at, "").otherwise(F.concat(_cut(blocks, at, s["start"]), F.get(labels, s["kind"]))))
+        last = F.array_max(F.transform(of, lambda s: s["end"]))
+        return F.concat(F.array_join(F.transform(of, piece), ""), _cut(blocks, last, F.length(docs["text"])))
 
-    clean = F.aggregate(found, zero, step, lambda acc: F.concat(acc["out"], F.substring(docs["text"], acc["at"] + 1, F.length(docs["text"]))))
+    clean = let(_blocks(docs["text"]), lambda bs: let(F.transform(of, lambda s: s["end"]), lambda ends: let(_before(ends, lambda a, x: F.greatest(a, x), 0), lambda before: cleaned(bs, before))))
     text = F.when(F.col(found).isNull(), docs["text"]).otherwise(clean)
     return rows.select(*[text.alias("text") if c == "text" else docs[c] for c in docs.columns])
 
@@ -240,6 +281,7 @@ _SQL_PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 _SQL_LUHN = "list_sum(list_transform(range(1, length(g) + 1), lambda i: CASE WHEN i % 2 = 0 THEN list_extract([0, 2, 4, 6, 8, 1, 3, 5, 7, 9], reverse(g)[i]::INT + 1) ELSE reverse(g)[i]::INT END)) % 10 = 0"
+_SQL_LEAST = f"((n_et / n_t + {Z * Z / 2!r} / n_t - {Z!r} * sqrt(n_et / n_t * (1 - n_et / n_t) / n_t + {Z * Z / 4!r} / (n_t * n_t))) / (1 + {Z * Z!r} / n_t))"
 OP7_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS r, * FROM (SELECT DISTINCT doc_id, text FROM documents)),
 f AS ({" UNION ALL ".join(f"SELECT r, text, {i} AS kind, '{k}' AS name, regexp_extract_all(text, '{p}') AS ms, regexp_split_to_array(text, '{p}') AS gs FROM d WHERE text IS NOT NULL" for i, (k, p) in enumerate(_SQL_PATTERNS.items()))}),
@@ -257,7 +299,7 @@ et AS (SELECT kind, entity, term, count(DISTINCT r) AS n_et, count(DISTINCT plac
 tu AS (SELECT DISTINCT r, unnest(regexp_extract_all(lower(text), '\\p{{L}}{{4,}}')) AS term FROM d),
 nt AS (SELECT term, count(*) AS n_t FROM tu GROUP BY term),
 sh AS (SELECT DISTINCT term FROM et JOIN ne USING (kind, entity) JOIN nt USING (term), (SELECT greatest(count(*), 1)::DOUBLE AS n FROM d)
-  WHERE log2(n / n_e) > 0 AND ((n_et = n_t AND log2(n / n_e) >= {LEAST_BITS}) OR (places >= {SUPPORT} AND log2(n * n_et / (n_e * n_t)) / nullif(log2(n / n_e), 0) >= {DISCLOSURE}))),
+  WHERE log2(n / n_e) > 0 AND places >= {SUPPORT} AND log2(n * {_SQL_LEAST} / n_e) / log2(n / n_e) >= {DISCLOSURE}),
 wd AS (SELECT d.r, text, regexp_extract_all(text, '\\p{{L}}+') AS ms, regexp_split_to_array(text, '\\p{{L}}+') AS gs FROM d WHERE r IN (SELECT r FROM tu SEMI JOIN sh USING (term))),
 wp AS (SELECT r, unnest(range(1, len(ms) + 1)) AS i, ms, gs FROM wd),
 ws AS (SELECT r, ms[i] AS m, (coalesce(list_sum(list_transform(gs[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0))::BIGINT AS s FROM wp WHERE lower(ms[i]) IN (SELECT term FROM sh)),

@@ -59,18 +59,22 @@ def test_terms_that_disclose_an_entity(documents):
 
 
 def test_planted_terms_are_found_and_no_others(documents):
-    """Each entity is named once; a name beside it that stands nowhere else gives it away, words used elsewhere don't."""
+    """Each entity is named in five texts, beside a name that stands nowhere else or in one other text; words that are used elsewhere, or beside it once, don't give it away."""
     r = random.Random(8)
     words = ["".join(r.choice("bcdfgklmnprst") + r.choice("aeiou") for _ in range(3)) for _ in range(400)]
     prose = lambda n: " ".join(r.choice(words) for _ in range(n))
     rows, planted = [(i, " ".join(words)) for i in (5000, 5001)], set()
-    for i in range(300):
-        if i % 3:
+    for i in range(400):
+        if i % 8 < 3:
             rows.append((i, prose(60)))
             continue
-        name = "".join(chr(97 + int(d)) for d in f"{i:04d}") + "q"
+        k = i // 8
+        name = "".join(chr(97 + int(d)) for d in f"{k:04d}") + "q"
         planted.add((i, name))
-        rows.append((i, f"{prose(20)} {name} {prose(2)} user{i}@site{i}.org {prose(30)}"))
+        once = "".join(chr(107 + int(d)) for d in f"{i:04d}") + "z"
+        rows.append((i, f"{prose(20)} {name} {prose(2)} user{k}@site{k}.org {once} {prose(30)}"))
+    rows.append((6000, f"away from it {rows[5][1].split()[20]} stands here"))
+    planted.add((6000, rows[5][1].split()[20]))
     found = set()
     texts = dict(rows)
     for x in pii.digest(documents(rows)).collect():
@@ -81,6 +85,45 @@ def test_planted_terms_are_found_and_no_others(documents):
     assert found == planted
 
 
+def test_a_word_seen_once_proves_nothing(documents):
+    """However large the corpus and however rare the word: each of 400 entities stands beside a word of its own."""
+    name = lambda i: "".join(chr(97 + int(d)) for d in f"{i:05d}")
+    rows = [(i, f"see {name(i)} at user{i}@site{i}.org") for i in range(400)] + [(1000, "\n".join(f"see {name(5000 + i)} at other{i}@site.org" for i in range(50)))]
+    assert all("term" not in r["spans"] for r in pii.digest(documents(rows)).collect())
+
+
+def test_many_spans_in_one_text_cost_as_much_each(documents):
+    """One text of 16,000 addresses, on one line, with names that give them away: twice as many take no more than about twice as long."""
+    import time
+
+    def text(n):
+        return " ".join(f"w{i} user{i}@site.org" for i in range(n)) + " ann@corp.org Zanzibar"
+
+    near = [(1000 + i, f"common stuff from {'abcdef'[i] * 4} Zanzibar: ann@corp.org and {'uvwxyz'[i] * 5} common") for i in range(6)]
+    away = [(i, f"plain words number {i}") for i in range(200)]
+    took = {}
+    for n in (100, 8_000, 16_000):
+        docs = documents([(1, text(n)), *near, *away[2:]])
+        began = time.perf_counter()
+        clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}[1]
+        took[n] = time.perf_counter() - began
+        assert clean == " ".join(f"w{i} <EMAIL>" for i in range(n)) + " <EMAIL> "
+        got = next(r for r in pii.digest(docs).collect() if r["doc_id"] == 1)
+        assert got["n_email"] == n + 1 and got["n_spans"] == n + 2
+    assert took[16_000] - took[100] < 3 * max(took[8_000] - took[100], 1), took
+
+
+def test_sums_by_blocks(spark):
+    from pyspark.sql import functions as F
+
+    r = random.Random(4)
+    rows = [([r.randint(0, 50) for _ in range(n)],) for n in (0, 1, 2, 3, 4, 5, 9, 10, 99, 1000)]
+    df = spark.createDataFrame(rows, "v array<int>").select("v", pii._before(F.col("v"), lambda a, x: a + x, 0).alias("s"), pii._before(F.col("v"), lambda a, x: F.greatest(a, x), 0).alias("m"))
+    for x in df.collect():
+        assert x["s"] == [sum(x["v"][:i]) for i in range(len(x["v"]))]
+        assert x["m"] == [max([0, *x["v"][:i]]) for i in range(len(x["v"]))]
+
+
 def test_repeated_rows_count_once_for_terms(documents):
     away = [(i, f"plain words number {chr(97 + i % 26) * 5} and common stuff") for i in range(200)]
     near = [(1000 + i, f"common stuff from {'abcdef'[i] * 4} Zanzibar: ann@corp.org and {'uvwxyz'[i] * 5} common") for i in range(6)]
