@@ -6,7 +6,6 @@ or shares of counts are sums over the terms that both sides share.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,21 +84,18 @@ def attribute_edges(pairs: DataFrame, profiles: DataFrame, threshold: float = 0.
 
 def group_linkage(pairs: DataFrame, profiles: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(id1, id2, score): attributes are matched one to one, most similar first; score is the sum of similarities
-    over attributes less matches, -1 without a match. The matching of a pair depends on its order, so a pair's
-    edges (as many as it has attribute pairs) go to one Python call."""
+    over attributes less matches, -1 without a match. A pair's edges, no more than it has attribute pairs, are one sorted array, and
+    matching is a fold over it."""
     n = profiles.select("id", F.size("attributes").alias("n"))
-    edges = attribute_edges(pairs, profiles, threshold)
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        used1, used2, total, count = set(), set(), 0.0, 0
-        for r in pdf.sort_values(["similarity", "name1", "name2", "i1", "i2"], ascending=[False, True, True, True, True]).itertuples():
-            if r.i1 not in used1 and r.i2 not in used2:
-                used1.add(r.i1)
-                used2.add(r.i2)
-                total, count = total + r.similarity, count + 1
-        return pd.DataFrame({"id1": [pdf["id1"].iloc[0]], "id2": [pdf["id2"].iloc[0]], "total": [total], "matched": [count]})
-
-    done = edges.groupBy("id1", "id2").applyInPandas(greedy, "id1 long, id2 long, total double, matched long")
+    edge = F.struct((-F.col("similarity")).alias("less"), "name1", "name2", "i1", "i2")
+    zero = F.struct(F.array().cast("array<int>").alias("used1"), F.array().cast("array<int>").alias("used2"), F.lit(0.0).alias("total"), F.lit(0).alias("matched"))
+
+    def step(acc: Column, e: Column) -> Column:
+        more = F.struct(F.array_append(acc["used1"], e["i1"]).alias("used1"), F.array_append(acc["used2"], e["i2"]).alias("used2"), (acc["total"] - e["less"]).alias("total"), (acc["matched"] + 1).alias("matched"))
+        return F.when(F.array_contains(acc["used1"], e["i1"]) | F.array_contains(acc["used2"], e["i2"]), acc).otherwise(more)
+
+    edges = attribute_edges(pairs, profiles, threshold).groupBy("id1", "id2").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
+    done = edges.select("id1", "id2", F.aggregate("edges", zero, step).alias("m")).select("id1", "id2", "m.total", "m.matched")
     rows = pairs.select("id1", "id2").join(done, ["id1", "id2"], "left")
     for s in ("1", "2"):
         rows = rows.join(n.select(F.col("id").alias(f"id{s}"), F.col("n").alias(f"n{s}")), f"id{s}")

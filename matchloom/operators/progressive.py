@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import keys as K
+from ..storage import cut, discard
 from .ranking import following, with_position
 
 
@@ -51,6 +54,58 @@ def global_ranking(profiles: DataFrame, window: int, clean: bool = False, raw: b
     return _weighted(pairs.groupBy("id1", "id2").agg(F.count("*").alias("freq")), n).select("id1", "id2", "weight")
 
 
+@dataclass(frozen=True)
+class Cursor:
+    """The last comparison that was handed out: its distance, weight and ids."""
+
+    w: int
+    weight: float
+    id1: int
+    id2: int
+
+
+class Steps:
+    """Rankings by distance, one at a time: distance 1 is ranked and handed out before anything is computed for distance 2.
+
+    The list of neighbours and the number of positions of each profile are written down once, at the first step.
+    """
+
+    def __init__(self, profiles: DataFrame, window: int, clean: bool = False, raw: bool = False):
+        self.profiles, self.window, self.clean, self.raw = profiles, window, clean, raw
+        self.ranked: list[int] = []
+
+    @cached_property
+    def _rows(self) -> DataFrame:
+        return cut(neighbour_list(self.profiles, self.raw), "neighbours")
+
+    @cached_property
+    def _counts(self) -> DataFrame:
+        return cut(self._rows.groupBy("id").agg(F.count("*").alias("n")), "counts")
+
+    def ranking(self, w: int) -> DataFrame:
+        """(id1, id2, weight) of the pairs of positions exactly ``w`` apart."""
+        self.ranked.append(w)
+        near = following(self._rows.select("position", F.struct("id", "source_id").alias("m")), "m", w + 1).where(F.size("near") > w)
+        met = near.select(F.get("near", F.lit(0)).alias("a"), F.get("near", F.lit(w)).alias("b")).where(F.col("a.id") != F.col("b.id"))
+        met = met.where(F.col("a.source_id") != F.col("b.source_id")) if self.clean else met
+        pairs = met.groupBy(F.least("a.id", "b.id").alias("id1"), F.greatest("a.id", "b.id").alias("id2")).agg(F.count("*").alias("freq"))
+        return _weighted(pairs, self._counts).select("id1", "id2", "weight")
+
+    def __call__(self, after: Cursor | None = None) -> Iterator[Cursor]:
+        """Comparisons in order, best first within a distance, from the one after ``after`` on; the driver holds one partition of a sorted table at most."""
+        for w in range(after.w if after else 1, self.window + 1):
+            rows = cut(self.ranking(w), "ranking")
+            if after and w == after.w:
+                same = F.col("weight") == after.weight
+                later = (F.col("weight") < after.weight) | (same & (F.col("id1") > after.id1)) | (same & (F.col("id1") == after.id1) & (F.col("id2") > after.id2))
+                rows_left = rows.where(later)
+            else:
+                rows_left = rows
+            for r in rows_left.orderBy(F.col("weight").desc(), "id1", "id2").toLocalIterator():
+                yield Cursor(w, r["weight"], r["id1"], r["id2"])
+            discard(rows)
+
+
 def emission_order(ranking: DataFrame) -> list[Column | str]:
     return [*(["w"] if "w" in ranking.columns else []), F.col("weight").desc(), "id1", "id2"]
 

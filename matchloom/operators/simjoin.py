@@ -13,11 +13,15 @@ from ..functions import keys as K
 from ..storage import cut
 
 
-def classes(docs: DataFrame, value: str) -> tuple[DataFrame, DataFrame]:
-    """(representatives (id, value), membership (id, rep)); the representative is the smallest id."""
-    docs = cut(docs, "values")
-    reps = cut(docs.groupBy(value).agg(F.min("id").alias("rep")), "classes")
-    return reps.select(F.col("rep").alias("id"), value), docs.join(reps, value).select("id", "rep")
+def classes(docs: DataFrame, *values: str) -> tuple[DataFrame, DataFrame]:
+    """(representatives (id, values), membership (id, rep)); the representative is the smallest id.
+
+    Equal values meet by their SHA-256, so neither sets nor texts are shuffled as keys; only those of representatives go on.
+    """
+    docs = cut(docs.select("id", *values, F.sha2(F.to_json(F.array(*values) if len(values) > 1 else F.struct(*values)), 256).alias("own")), "values")
+    reps = cut(docs.groupBy("own").agg(F.min("id").alias("rep")), "classes")
+    members = docs.select("id", "own").join(reps, "own").select("id", "rep")
+    return docs.select("id", *values).join(reps.select(F.col("rep").alias("id")), "id", "left_semi"), members
 
 
 def memberships(pairs: DataFrame, members: DataFrame) -> DataFrame:
@@ -193,6 +197,64 @@ def deletion_join(docs: DataFrame, distance: int, expanded: bool = True) -> Data
     return expand(found, members) if expanded else (found, members)
 
 
+def _segments(n: Column, distance: int) -> Column:
+    """(i, at, size) of ``distance + 1`` even segments of a text of ``n`` code points."""
+    parts = distance + 1
+    base, rest = F.floor(n / parts).cast("int"), (n % parts).cast("int")
+    return F.array(*[F.struct(F.lit(i).alias("i"), (i * base + F.greatest(F.lit(0), i - parts + rest)).alias("at"), (base + (F.lit(i) >= parts - rest).cast("int")).alias("size")) for i in range(parts)])
+
+
+def _segment_key(text: Column, n: Column, s: Column, at: Column) -> Column:
+    return F.xxhash64(n, s["i"], F.substring(text, at + 1, s["size"]))
+
+
+def segment_keys(text: Column, distance: int) -> Column:
+    """A key for each segment of ``text``: ``distance + 1``."""
+    return F.transform(_segments(F.length(text), distance), lambda s: _segment_key(text, F.length(text), s, s["at"]))
+
+
+def probe_keys(text: Column, distance: int) -> Column:
+    """Keys of the segments that a text as long as ``text`` or up to ``distance`` shorter may share with it, at most ``distance`` places off: up to (distance + 1)^2 (2 distance + 1)."""
+    n = F.length(text)
+    places = lambda m, s: F.transform(F.sequence(F.greatest(s["at"] - distance, F.lit(0)), F.greatest(F.least(s["at"] + distance, n - s["size"]), F.greatest(s["at"] - distance, F.lit(0)))), lambda at: F.when(at + s["size"] <= n, _segment_key(text, m, s, at)))
+    of = lambda m: F.flatten(F.transform(_segments(m, distance), lambda s: places(m, s)))
+    return F.array_distinct(F.array_compact(F.flatten(F.transform(F.sequence(F.greatest(n - distance, F.lit(0)), n), of))))
+
+
+def _meetings(reps: DataFrame, column: str, distance: int) -> float:
+    """How many pairs would meet on the segments of ``column``: from histograms of its keys."""
+    keys = lambda make, n: reps.select(F.explode(make(F.col(column), distance)).alias("key")).groupBy("key").agg(F.count("*").alias(n))
+    return keys(segment_keys, "a").join(keys(probe_keys, "b"), "key").agg(F.sum(F.col("a").cast("double") * F.col("b"))).first()[0] or 0.0
+
+
+def conjunction_join(docs: DataFrame, distances: dict[str, int]) -> tuple[DataFrame, DataFrame]:
+    """Pairs of representatives (id1, id2) of ``docs`` (id, columns) whose strings are within the edit distance that each column states, and the membership.
+
+    Equal rows are one. Candidates come from the one column on whose segments the fewest pairs would meet, as histograms
+    of keys tell beforehand; one segment of the shorter string is untouched and stands in the longer one at nearly its place. All
+    distances are checked where candidates meet, and a pair that shares several keys is made on the smallest of them, so nothing but results leaves the join. A row
+    with a null has no pairs.
+    """
+    reps, members = classes(docs, *distances)
+    reps = cut(reps.dropna(subset=list(distances)), "reps")
+    by = min(distances, key=lambda c: _meetings(reps, c, distances[c])) if len(distances) > 1 else next(iter(distances))
+    d = distances[by]
+    a = reps.select("*", segment_keys(F.col(by), d).alias("keys")).withColumn("key", F.explode("keys")).alias("a")
+    b = reps.select("*", probe_keys(F.col(by), d).alias("keys")).withColumn("key", F.explode("keys")).alias("b")
+    shorter = (F.length(f"a.{by}") < F.length(f"b.{by}")) | ((F.length(f"a.{by}") == F.length(f"b.{by}")) & (F.col("a.id") < F.col("b.id")))
+    near = (F.col("a.key") == F.col("b.key")) & shorter
+    for c in sorted(distances, key=lambda c: c != by):
+        near = near & (F.levenshtein(f"a.{c}", f"b.{c}", distances[c]) >= 0)
+    near = near & (F.col("a.key") == F.array_min(F.array_intersect("a.keys", "b.keys")))
+    return a.join(b, near).select(F.least("a.id", "b.id").alias("id1"), F.greatest("a.id", "b.id").alias("id2")), members
+
+
+def segment_join(docs: DataFrame, distance: int, expanded: bool = True) -> DataFrame | tuple[DataFrame, DataFrame]:
+    """As :func:`edit_join`, by meeting on even segments: for long texts, since the number of keys doesn't depend on their length."""
+    found, members = conjunction_join(docs.select("id", "text"), {"text": distance})
+    return expand(found, members) if expanded else (found, members)
+
+
 def on_all(*pairs: DataFrame) -> DataFrame:
     """(id1, id2) that every join found."""
     out = pairs[0].select("id1", "id2")

@@ -420,6 +420,7 @@ def signature_similarity(spark, sf):
 
 @query("WITH t AS (SELECT unnest([0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])::DOUBLE AS threshold), b AS (SELECT threshold, unnest(range(1, 129)) AS b FROM t), m AS (SELECT threshold, max(b) + 1 AS bands FROM b WHERE b = 1 OR power(1.0::DOUBLE / b, b::DOUBLE / 128) >= threshold GROUP BY threshold) SELECT threshold, bands::INT AS bands, greatest(128 // bands, 1)::INT AS rows FROM m")
 def band_tuning(spark, sf):
+    """The rule by itself, which reads no table; band_tuning_of_pairs tunes bands to one."""
     return spark.createDataFrame([(t / 10, lsh.bands(t / 10, 128), lsh.rows_per_band(t / 10, 128)) for t in range(1, 10)], "threshold double, bands int, rows int")
 
 
@@ -714,11 +715,28 @@ def deletion_join(spark, sf):
     return simjoin.deletion_join(names(spark, sf, "part", "p_partkey", "p_name"), 2, expanded=False)[0]
 
 
-@query("""WITH n AS (SELECT p_partkey AS id, lower(p_name) AS a, lower(p_brand) AS b FROM part)
-SELECT x.id AS id1, y.id AS id2 FROM n x JOIN n y ON x.id < y.id AND levenshtein(x.a, y.a) <= 1 AND levenshtein(x.b, y.b) <= 1""")
+@query(_ED.format(t="lower(p_name)", id="p_partkey", tab="part", d=2))
+def segment_join(spark, sf):
+    return simjoin.segment_join(names(spark, sf, "part", "p_partkey", "p_name"), 2, expanded=False)[0]
+
+
+_BOTH = "WITH n AS (SELECT p_partkey AS id, lower(p_name) AS a, lower(p_brand) AS b FROM part), u AS (SELECT a, b, min(id) AS rep, count(*) AS m FROM n GROUP BY a, b), "
+
+
+def _names_and_brands(spark, sf):
+    docs = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.lower("p_name").alias("name"), F.lower("p_brand").alias("brand"))
+    return simjoin.conjunction_join(docs, {"name": 1, "brand": 1})
+
+
+@query(_BOTH.removesuffix(", ") + " SELECT x.rep AS id1, y.rep AS id2 FROM u x JOIN u y ON x.rep < y.rep AND levenshtein(x.a, y.a) <= 1 AND levenshtein(x.b, y.b) <= 1")
 def join_on_two_attributes(spark, sf):
-    a, b = names(spark, sf, "part", "p_partkey", "p_name"), names(spark, sf, "part", "p_partkey", "p_brand")
-    return simjoin.on_all(simjoin.edit_join(a, 2, 1), simjoin.deletion_join(b, 1))
+    """Pairs between representatives of equal names and brands; join_on_two_attributes_members has who they stand for."""
+    return _names_and_brands(spark, sf)[0]
+
+
+@query(_BOTH + "l AS (SELECT x.rep, sum(y.m) - 1 AS n_links FROM u x JOIN u y ON levenshtein(x.a, y.a) <= 1 AND levenshtein(x.b, y.b) <= 1 GROUP BY x.rep) SELECT id, rep, n_links::BIGINT AS n_links FROM n JOIN u USING (a, b) JOIN l USING (rep)")
+def join_on_two_attributes_members(spark, sf):
+    return simjoin.memberships(*_names_and_brands(spark, sf))
 
 
 # ---- matching -----------------------------------------------------------------------------------------------------
@@ -788,6 +806,16 @@ def group_linkage(spark, sf):
 # ---- clustering ---------------------------------------------------------------------------------------------------
 
 
+_WAYS = ", ".join(f"({b}, {128 // b})" for b in (1, 2, 4, 8, 16, 32, 64, 128))
+
+
+@query(f"WITH {JOINED.format(t=0.5, apart='')}, {REPS}, c AS (SELECT similarity, count(*) AS m FROM sj JOIN rp x ON x.id = id1 AND x.rep = id1 JOIN rp y ON y.id = id2 AND y.rep = id2 GROUP BY similarity), r AS (SELECT b AS bands, r AS rows, sum(m)::BIGINT AS n_pairs, sum(m * (1 - power(1 - power(similarity, r), b))) / sum(m) AS recall FROM c, (VALUES {_WAYS}) w(b, r) GROUP BY b, r) SELECT bands, rows, n_pairs, round(recall, 6) AS recall, coalesce(bands = min(bands) FILTER (recall >= 0.95) OVER (), false) AS chosen FROM r")
+def band_tuning_of_pairs(spark, sf):
+    """How 128 minima are best dealt into bands for the similar pairs of documents."""
+    pairs, _ = simjoin.jaccard_join(doc_texts(spark, sf), 0.5, expanded=False)
+    return rounded(lsh.tuned_bands(pairs, 128, 0.95), "recall")
+
+
 def doc_links(spark, sf):
     """As many edges as components need: a class of copies is a star."""
     return cut(simjoin.links(*simjoin.jaccard_join(doc_texts(spark, sf), 0.5, expanded=False)), "links")
@@ -857,6 +885,14 @@ def progressive_local(spark, sf):
     return rounded(progressive.local_ranking(doc_profiles(spark, sf), 2), "weight")
 
 
+@query(f"{NEAR}, f AS (SELECT w, id1, id2, count(*) AS f FROM pr GROUP BY ALL), g AS (SELECT w, id1, id2, f / (x.n + y.n - f) AS weight FROM f JOIN n x ON x.id = id1 JOIN n y ON y.id = id2) SELECT w::INT AS w, row_number() OVER (PARTITION BY w ORDER BY weight DESC, id1, id2) - 1 AS place, id1, id2, round(weight, 6) AS weight FROM g")
+def progressive_steps(spark, sf):
+    """The order in which comparisons are handed out, distance by distance."""
+    steps = progressive.Steps(doc_profiles(spark, sf), 2)
+    placed = [with_position(steps.ranking(w), [-F.col("weight"), "id1", "id2"], "place").withColumn("w", F.lit(w)) for w in (1, 2)]
+    return rounded(placed[0].unionByName(placed[1]).select("w", "place", "id1", "id2", "weight"), "weight")
+
+
 @query(f"{NEAR}, f AS (SELECT id1, id2, count(*) AS f FROM pr GROUP BY ALL) SELECT id1, id2, round(f / (x.n + y.n - f), 6) AS weight FROM f JOIN n x ON x.id = id1 JOIN n y ON y.id = id2")
 def progressive_global(spark, sf):
     return rounded(progressive.global_ranking(doc_profiles(spark, sf), 2), "weight")

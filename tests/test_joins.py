@@ -2,8 +2,9 @@ import random
 
 import pytest
 from conftest import pairs_of
+from pyspark.sql import functions as F
 
-from matchloom.operators import matching, progressive, simjoin
+from matchloom.operators import lsh, matching, progressive, simjoin
 from matchloom.operators.ranking import top_k, with_position
 
 
@@ -30,6 +31,50 @@ def test_edit_joins_find_all_pairs(spark, strings, d):
     expected = {(i, j) for i, a in enumerate(strings) for j, b in enumerate(strings) if i < j and distance(a, b) <= d}
     assert pairs_of(simjoin.edit_join(docs, 2, d)) == expected
     assert pairs_of(simjoin.deletion_join(docs, d)) == expected
+    assert pairs_of(simjoin.segment_join(docs, d)) == expected
+
+
+@pytest.mark.parametrize("d", [0, 1, 3])
+def test_segments_of_long_and_short_strings(spark, d):
+    """Strings of 200 characters with edits at their ends and in their middle, beside very short and empty ones; keys stay few."""
+    r = random.Random(d)
+    texts = ["", "a", "b", "ab", "ba", "abc", None, "é漢", "é漢🙂"]
+    for _ in range(12):
+        base = [r.choice("abcdé") for _ in range(200)]
+        texts.append("".join(base))
+        for k in range(1, 6):
+            t = list(base)
+            for _ in range(k):
+                i = r.choice([0, len(t) - 1, r.randrange(len(t))])
+                t[i : i + 1] = r.choice([[], ["x"], [t[i], "y"]])
+            texts.append("".join(t))
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    expected = {(i, j) for i, a in enumerate(texts) for j, b in enumerate(texts) if i < j and a is not None and b is not None and abs(len(a) - len(b)) <= d and distance(a, b) <= d}
+    assert pairs_of(simjoin.segment_join(docs, d)) == expected
+    sizes = docs.where("text is not null").select(F.size(simjoin.segment_keys(F.col("text"), d)).alias("a"), F.size(simjoin.probe_keys(F.col("text"), d)).alias("b")).agg(F.max("a"), F.max("b")).first()
+    assert sizes[0] == d + 1 and sizes[1] <= (d + 1) ** 2 * (2 * d + 1)
+
+
+def test_conjunction_takes_candidates_from_the_rarer_column(spark, monkeypatch):
+    r = random.Random(3)
+    names = ["".join(r.choice("ab") for _ in range(r.randint(6, 9))) for _ in range(60)]
+    rows = [(i, r.choice(names), r.choice(["red", "rad", "blue", None])) for i in range(160)]
+    docs = spark.createDataFrame(rows, "id long, name string, brand string")
+    near = lambda x, y: None not in (*x[1:], *y[1:]) and distance(x[1], y[1]) <= 1 and distance(x[2], y[2]) <= 1
+    expected = {(x[0], y[0]) for x in rows for y in rows if x[0] < y[0] and near(x, y)}
+    used = []
+    probe = simjoin.probe_keys
+    monkeypatch.setattr(simjoin, "probe_keys", lambda c, d: used.append(c._jc.toString()) or probe(c, d))
+    pairs, members = simjoin.conjunction_join(docs, {"brand": 1, "name": 1})
+    assert used[-1] == "name"
+    least = {}
+    for i, n, b in rows:
+        least.setdefault((n, b), i)
+    reps = {i for i in least.values()}
+    found = [(x["id1"], x["id2"]) for x in pairs.collect()]
+    assert len(found) == len(set(found))  # a pair is made once
+    assert set(found) == {(a, b) for a, b in expected if a in reps and b in reps}
+    assert {(x["id"], x["rep"]) for x in members.collect()} == {(i, least[n, b]) for i, n, b in rows}
 
 
 @pytest.mark.parametrize("t", [0.3, 0.5, 0.8, 1.0])
@@ -74,6 +119,29 @@ def test_group_linkage(spark, profiles):
     assert {r["id2"]: r["score"] for r in matching.group_linkage(pairs, p).collect()} == {1: pytest.approx(1 / 3), 2: -1.0}
 
 
+def test_group_linkage_against_a_plain_loop(spark, profiles):
+    r = random.Random(9)
+    values = lambda: {f"k{i}": " ".join(r.choice("abcdef") for _ in range(r.randint(0, 4))) for i in range(r.randint(1, 5))}
+    rows = {i: (0, values()) for i in range(14)}
+    pairs = spark.createDataFrame([(a, b) for a in rows for b in rows if a < b], "id1 long, id2 long")
+    got = {(x["id1"], x["id2"]): x["score"] for x in matching.group_linkage(pairs, profiles(rows), 0.3).collect()}
+    for (a, b), score in got.items():
+        x, y = (list(rows[i][1].items()) for i in (a, b))
+        edges = []
+        for i, (k, v) in enumerate(x):
+            for j, (m, w) in enumerate(y):
+                s, t = set(v.split()), set(w.split())
+                if s and t and len(s & t) / len(s | t) > 0.3:
+                    edges.append((-len(s & t) / len(s | t), k, m, i, j))
+        used1, used2, total = set(), set(), 0.0
+        for e in sorted(edges):
+            if e[3] not in used1 and e[4] not in used2:
+                used1.add(e[3])
+                used2.add(e[4])
+                total -= e[0]
+        assert score == pytest.approx(total / (len(x) + len(y) - len(used1)) if used1 else -1.0)
+
+
 def test_positions(spark):
     r = random.Random(1)
     rows = [(r.randint(0, 5), i) for i in range(500)]
@@ -92,3 +160,30 @@ def test_progressive(profiles):
     ranked = progressive.global_ranking(p, 1)
     assert list(progressive.comparisons(ranked)) == [(0, 1, 3.0), (1, 2, 0.5)]
     assert {(r["id1"], r["id2"]) for r in progressive.global_ranking(p, 2, clean=True).collect()} == {(0, 1), (0, 2)}
+
+
+@pytest.mark.parametrize("clean", [False, True])
+def test_steps_are_handed_out_lazily_and_resumed(profiles, clean):
+    r = random.Random(6)
+    p = profiles({i: (i % 2, {"n": " ".join(r.choice("abcdefgh") for _ in range(4))}) for i in range(12)})
+    whole = sorted((x["w"], -x["weight"], x["id1"], x["id2"]) for x in progressive.local_ranking(p, 3, clean).collect())
+    steps = progressive.Steps(p, 3, clean)
+    got, at = [], iter(steps())
+    for _ in range(3):
+        got.append(next(at))
+    assert steps.ranked == [1]  # nothing was computed for distance 2
+    as_row = lambda c: (c.w, -c.weight, c.id1, c.id2)
+    assert [as_row(c) for c in got] == whole[:3]
+    for k in (0, 2, len(whole) // 2, len(whole) - 1):
+        w, weight, a, b = whole[k]
+        later = progressive.Steps(p, 3, clean)
+        assert [as_row(c) for c in later(progressive.Cursor(w, -weight, a, b))] == whole[k + 1 :]
+        assert min(later.ranked) == w
+
+
+def test_bands_are_tuned_to_pairs(spark):
+    rows = {x["bands"]: x for x in lsh.tuned_bands(spark.createDataFrame([(0.5,), (0.9,), (0.9,)], "similarity double"), 12, 0.9).collect()}
+    assert sorted(rows) == [1, 2, 3, 4, 6, 12] and all(b * x["rows"] == 12 and x["n_pairs"] == 3 for b, x in rows.items())
+    for b, x in rows.items():
+        assert x["recall"] == pytest.approx(sum(1 - (1 - s ** (12 // b)) ** b for s in (0.5, 0.9, 0.9)) / 3)
+    assert [b for b, x in rows.items() if x["chosen"]] == [min(b for b, x in rows.items() if x["recall"] >= 0.9)]
