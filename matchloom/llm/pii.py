@@ -153,16 +153,17 @@ def _terms(docs: DataFrame) -> DataFrame:
 
 
 def _term_counts(docs: DataFrame, wanted: DataFrame, found: DataFrame) -> DataFrame:
-    """term and n_t, the documents that use it, of the ``wanted`` terms. Counted before anything is dealt out; what repeated rows add is taken off again."""
-    small = few(wanted)
-    counted = (_terms(docs).join(small, "term", "left_semi") if small is not wanted else _terms(docs)).groupBy("term").agg(F.count("*").alias("n"))
+    """term and n_t, the documents that use it, of the ``wanted`` terms. All terms are counted before anything is dealt out, since the wanted
+    ones may be common; what repeated rows add is taken off again."""
+    counted = _terms(docs).groupBy("term").agg(F.count("*").alias("n"))
     if docs.count() > found.count():
         key = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("tkey"))
         again = cut(key.groupBy("doc_id", "tkey").agg(F.count("*").alias("m")).where("m > 1"), "again").select(F.col("doc_id").alias("i"), F.col("tkey").alias("t"), "m")
         extra = docs.join(few(again), F.col("doc_id").eqNullSafe(F.col("i")) & (F.xxhash64("text") == F.col("t"))).dropDuplicates(["doc_id", "t"])
         extra = extra.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"), (1 - F.col("m")).alias("n"))
         counted = counted.unionByName(extra)
-    return counted.groupBy("term").agg(F.sum("n").alias("n_t")).join(wanted, "term", "left_semi")
+        counted = counted.groupBy("term").agg(F.sum("n").alias("n"))
+    return counted.withColumnRenamed("n", "n_t").join(few(wanted), "term", "left_semi")
 
 
 def _least_share(n_et: Column, n_t: Column) -> Column:
