@@ -3,7 +3,7 @@ r"""Quality rules as a ledger of failure bits.
 Every rule is evaluated once a document; the ledger holds the measurements and one bit a failed rule.
 Policies are named, versioned masks over those bits, so applying another one, or asking what a rule costs
 (:func:`ablations`), reads the stored ledger (:func:`write_ledger`) alone. ``op9_quality_rules`` needs one policy and
-reads each text once, so it stores nothing.
+reads each text once, so it stores nothing and returns the bits; ``quality_ablations`` stores the ledger and asks all policies of it.
 
 Words are runs of characters other than space and the controls 9 to 13. All work is array functions within a
 row: nothing is shuffled, and windows of eight words are compared by hash first and by their words after.
@@ -15,9 +15,12 @@ whatever their names.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import shared_root
 from .tables import let, read
 
 SPACE = "[\\x20\\x09-\\x0D]+"
@@ -128,11 +131,21 @@ def ablations(led: DataFrame, policy: str) -> DataFrame:
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     led = apply_policy(ledger(read(spark, sf_dir, "documents")), "prose/1")
     base = F.col("failure_bits").bitwiseAND(mask("base/1")) != 0
-    return led.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & F.col("kept")).alias("kept"))
+    return led.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & F.col("kept")).alias("kept"), "failure_bits")
+
+
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All policies' ablations from one stored ledger of ``documents``."""
+    led = write_ledger(read(spark, sf_dir, "documents"), f"{shared_root(spark)}/matchloom/ledger-{uuid.uuid4().hex}")
+    parts = [ablations(led, p).withColumn("policy", F.lit(p)) for p in POLICIES]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.select("policy", "rule", "n_fail", "n_fail_alone", "n_kept_without")
 
 
 _BLANK = "[\\x20\\x09-\\x0D]"
-OP9_SQL = f"""
+_MEASURED = f"""
 WITH t AS (SELECT row_number() OVER () AS row_id, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, list_filter(regexp_split_to_array(t, '{_BLANK}+'), lambda x: x <> '') AS words,
   list_filter(string_split(t, chr(10)), lambda x: regexp_replace(x, '{_BLANK}+', '', 'g') <> '') AS lines FROM t),
@@ -144,8 +157,14 @@ cov AS (SELECT row_id, sum(CASE WHEN nxt IS NULL THEN {WINDOW} ELSE least({WINDO
 m AS (SELECT doc_id, len(words)::BIGINT AS n_words, length(regexp_replace(t, '{_BLANK}+', '', 'g'))::BIGINT AS word_chars,
   (length(t) - length(translate(t, '{SYMBOLS}', '')))::BIGINT AS n_symbols, len(lines)::BIGINT AS n_lines,
   (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words
-  FROM w LEFT JOIN cov USING (row_id))
+  FROM w LEFT JOIN cov USING (row_id))"""
+_BITS = " + ".join(f"CASE WHEN {rule} THEN {1 << i} ELSE 0 END" for i, (_, rule) in enumerate(RULES))
+OP9_SQL = f"""{_MEASURED}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   ({" OR ".join(r for n, r in RULES if n in POLICIES["base/1"])}) AS base_failed,
-  NOT ({" OR ".join(r for n, r in RULES if n in POLICIES["prose/1"])}) AS kept FROM m
+  NOT ({" OR ".join(r for n, r in RULES if n in POLICIES["prose/1"])}) AS kept, ({_BITS})::INT AS failure_bits FROM m
+"""
+_ASKED = ", ".join(f"('{p}', '{name}', {1 << i}, {mask(p)})" for p in POLICIES for i, (name, _) in enumerate(RULES) if mask(p) >> i & 1)
+ABLATIONS_SQL = f"""{_MEASURED}, b AS (SELECT {_BITS} AS bits FROM m), q AS (SELECT * FROM (VALUES {_ASKED}) v(policy, rule, bit, mask))
+SELECT policy, rule, count(*) FILTER (bits & bit > 0) AS n_fail, count(*) FILTER (bits & mask = bit) AS n_fail_alone, count(*) FILTER (bits & mask & ~bit = 0) AS n_kept_without FROM b, q GROUP BY policy, rule
 """

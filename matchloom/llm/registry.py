@@ -9,7 +9,7 @@ from .line_dedup import OP8_SQL, op8_line_dedup
 from .near_duplicates import OP10_SQL, op10_minhash
 from .packing import op3_packing
 from .pii import OP7_SQL, op7_pii
-from .quality import OP9_SQL, op9_quality_rules
+from .quality import ABLATIONS_SQL, OP9_SQL, op9_quality_rules, quality_ablations
 from .sharding import OP1_SQL, op1_sharding
 from .token_counts import op5_token_counts
 from .topk import OP6_SQL, op6_top_k
@@ -30,6 +30,7 @@ QUERIES = {
     "op11_spelling_variants": op11_spelling_variants,
     "op12_chat_format": op12_chat_format,
     "op13_filter_audit": op13_filter_audit,
+    "quality_ablations": quality_ablations,
 }
 ORACLES = {
     "op1_sharding": OP1_SQL,
@@ -41,4 +42,5 @@ ORACLES = {
     "op11_spelling_variants": OP11_SQL,
     "op12_chat_format": OP12_SQL,
     "op13_filter_audit": OP13_SQL,
+    "quality_ablations": ABLATIONS_SQL,
 }
