@@ -11,7 +11,7 @@ in no chunk of their own. So pairs of neighbouring lines with a word (and the bl
 same way, too: a pair that stands earlier goes, and overlapping pairs make up the rest of a passage. Every passage of two
 lines with a word or more, and every line of ``LONG`` words, that stands earlier goes, whatever is around it. A pair
 that begins with the last line of its first occurrence, as in a line three times over, is none of its repeats.
-``whole=False`` leaves the pairs out: ``op8_line_dedup`` is held to the chunks alone by its SQL.
+``whole=False`` leaves the pairs out.
 
 Near copies would be torn to fragments that no longer look like copies. A pipeline that drops copies afterwards leaves them
 (``copies=True``, or their ``groups``): what a document shares with its own group alone is left to that step, which drops the whole text, and
@@ -210,7 +210,7 @@ def drop_repeated_lines(docs: DataFrame, counts: bool = False, drop_emptied: boo
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drop_repeated_lines(read(spark, sf_dir, "documents").select("doc_id", "text"), counts=True, whole=False)
+    return drop_repeated_lines(read(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
 
 
 OP8_SQL = f"""
@@ -222,7 +222,11 @@ k AS (SELECT *, coalesce(sum(fin::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS
 c AS (SELECT doc_id, k, string_agg(ln, chr(10) ORDER BY i) AS chunk, min(i) AS s, max(i) AS e, sum(w) AS w FROM k GROUP BY doc_id, k HAVING sum(w) > 0),
 r AS (SELECT *, count(*) OVER (PARTITION BY chunk) AS n, row_number() OVER (PARTITION BY chunk ORDER BY doc_id, k) AS nth FROM c),
 u AS (SELECT *, k - row_number() OVER (PARTITION BY doc_id ORDER BY k) AS run FROM r WHERE n > 1 AND nth > 1),
-g AS (SELECT doc_id, min(s) AS s, max(e) AS e FROM u GROUP BY doc_id, run HAVING max(e) - min(s) >= 1 OR sum(w) >= {LONG}),
+wl AS (SELECT doc_id, i AS s, lead(i) OVER o AS e, row_number() OVER o AS k FROM h WHERE ln <> '' AND w > 0 WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+pt AS (SELECT wl.doc_id, k, s, e, string_agg(ln, chr(10) ORDER BY i) AS pair FROM wl JOIN l ON l.doc_id = wl.doc_id AND l.i BETWEEN s AND e WHERE e IS NOT NULL GROUP BY ALL),
+pf AS (SELECT *, first_value(doc_id) OVER o AS d1, first_value(k) OVER o AS k1 FROM pt WINDOW o AS (PARTITION BY pair ORDER BY doc_id, k)),
+g AS (SELECT doc_id, min(s) AS s, max(e) AS e FROM u GROUP BY doc_id, run HAVING max(e) - min(s) >= 1 OR sum(w) >= {LONG}
+  UNION ALL SELECT doc_id, s, e FROM pf WHERE doc_id <> d1 OR k > k1 + 1),
 stay AS (SELECT l.doc_id, string_agg(ln, chr(10) ORDER BY i) AS text, count(*) AS n FROM l WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.doc_id = l.doc_id AND l.i BETWEEN g.s AND g.e) GROUP BY l.doc_id)
 SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(stay.text, '') END AS text, coalesce(len(ls), 0)::BIGINT AS n_lines, (coalesce(len(ls), 0) - coalesce(stay.n, 0))::BIGINT AS n_removed FROM d LEFT JOIN stay USING (doc_id)
 """
