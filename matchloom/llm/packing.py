@@ -26,15 +26,16 @@ from bisect import bisect_left, insort
 from functools import cache
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..storage import cut
 from .bpe import Codec
-from .tables import map_rows, read
+from .tables import few, map_rows, read
 from .token_counts import byte_alphabet
 
-
+#: How often a piece's row may be there before its copies are dealt to several tasks.
+COPIES = 10_000
 #: A run of blanks that the faster library's pattern engine isn't asked to match: its stack is bounded.
 LONG_BLANKS = re.compile(r"\s{10000}")
 
@@ -156,15 +157,29 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int,
     return out
 
 
+def _dealt(pieces: DataFrame) -> tuple[DataFrame, Column]:
+    """``pieces`` and what deals them to parts: what they are; rows that are there more than ``COPIES`` times get a number of their own, too, written down."""
+    key = ["doc_id", "piece", "start", "ids_crc32"]
+    often = cut(pieces.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > COPIES).select(*[F.col(k).alias(f"_{k}") for k in key]), "often")
+    if not often.head(1):
+        return pieces, F.xxhash64(*key)
+    same = F.lit(True)
+    for k in key:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    salted = pieces.join(few(often), same, "left").select(*pieces.columns, F.when(F.col("_piece").isNotNull(), F.floor(F.rand(1) * 1e9)).cast("long").alias("_salt"))
+    return cut(salted, "salted"), F.xxhash64(*key, "_salt")
+
+
 def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
-    """``pieces`` (doc_id, piece, length, ...) with sequence_id and offset. Read four times, so give a written table."""
-    spark = pieces.sparkSession
+    """``pieces`` (doc_id, piece, length, ...) with sequence_id and offset. Read five times, so give a written table."""
+    spark, columns = pieces.sparkSession, pieces.columns
     histogram = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
     rows = plan(histogram, capacity)
     places = spark.createDataFrame(rows, "length long, first long, ranks long, each int, base long, place int")
     # as many parts of a length as rows in each, so that neither numbering inside them nor summing them up is long
     parts = spark.createDataFrame([(n, math.isqrt(c) + 1) for n, c in histogram.items()], "length long, parts long")
-    dealt = pieces.join(F.broadcast(parts), "length").withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), "parts")).drop("parts")  # one row a length
+    pieces, by = _dealt(pieces)
+    dealt = pieces.join(F.broadcast(parts), "length").withColumn("part", F.pmod(by, "parts")).drop("parts")  # one row a length
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = dealt.groupBy("length", "part").agg(F.count("*").alias("m")).select("length", "part", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("rank0"))
     inside = Window.partitionBy("length", "part").orderBy("doc_id", "piece", "ids_crc32")
@@ -173,7 +188,7 @@ def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
     nth = F.col("rank") - F.col("first")
     placed = ranked.withColumnRenamed("length", "n").join(F.broadcast(places), (F.col("n") == F.col("length")) & nth.between(0, F.col("ranks") - 1))
     placed = placed.withColumns({"sequence_id": F.col("base") + F.floor(nth / F.col("each")), "offset": F.col("place") + nth % F.col("each") * F.col("length")})
-    return placed.select(*pieces.columns, F.col("sequence_id").cast("long").alias("sequence_id"), F.col("offset").cast("long").alias("offset"))
+    return placed.select(*columns, F.col("sequence_id").cast("long").alias("sequence_id"), F.col("offset").cast("long").alias("offset"))
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, with_ids: bool = False) -> DataFrame:

@@ -116,6 +116,21 @@ def test_packing_of_odd_input(odd, empty, library):
     assert packing.pack_documents(empty, JSON).count() == 0
 
 
+def test_much_repeated_rows_are_packed_each(documents, monkeypatch):
+    monkeypatch.setattr(packing, "COPIES", 20)
+    rows = packing.pack_documents(documents([(1, "the same words")] * 300 + [(None, "no id")] * 50 + [(2, "other")]), JSON).collect()
+    assert len(rows) == 351 and "_salt" not in rows[0].asDict()
+    taken = {}
+    for r in rows:
+        taken.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for spans in taken.values():
+        at = 0
+        for offset, length in sorted(spans):
+            assert offset == at
+            at += length
+        assert at <= 1024
+
+
 def test_packing_takes_very_long_runs(library, documents):
     e = packing.encoder(JSON)
     for t in [" " * 2_000_000, "x" + " \n\t" * 50_000 + "y<|endoftext|> z" + " " * 20_000 + "<|endoftext|>", " " * 9_999 + "x", "\n" * 20_000]:
