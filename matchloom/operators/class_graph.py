@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ..storage import cut
 from .blocking import sizes
 from .evaluate import ordered
-from .graph import _tiled, weight
+from .graph import tiled, weight
 from .prune import check
 from .ranking import heaviest
 
@@ -67,7 +67,7 @@ def build(assignments: DataFrame, clean: bool = False, refined: Callable[[DataFr
     comparisons = F.expr("(members * members - squares) div 2" if clean else "members * (members - 1)")
     blocks = cut(blocks.withColumn("comparisons", comparisons).where("comparisons > 0").drop("squares"), "blocks")
     rows = cut(kept.join(blocks, "key").select("key", F.col("profile_id").alias("id"), "source_id", "n", "size", "comparisons"), "rows")
-    a, b = _tiled(rows, "size")
+    a, b = tiled(rows, "size")
     a, b = a.alias("a"), b.select("key", "tile", "id", "source_id", "part").alias("b")
     apart = (F.col("a.source_id") != F.col("b.source_id")) if clean else F.lit(True)
     once = (F.col("a.part") != F.col("b.part")) | (F.col("a.id") < F.col("b.id"))

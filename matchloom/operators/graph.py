@@ -29,7 +29,7 @@ class Graph:
     clean: bool
 
 
-def _tiled(rows: DataFrame, size: str) -> tuple[DataFrame, DataFrame]:
+def tiled(rows: DataFrame, size: str) -> tuple[DataFrame, DataFrame]:
     """Both sides of a block's self-join with ``tile`` to join on: member x of part i meets y of part j >= i in tile (i, j)."""
     parts = F.ceil(F.col(size) / TILE).cast("int")
     dealt = rows.withColumn("parts", parts).withColumn("part", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("id"), "parts")).otherwise(0).cast("int"))
@@ -45,7 +45,7 @@ def build(assignments: DataFrame, clean: bool = False, entropy: str | None = Non
     blocks = cut(sizes(assignments, clean), "blocks")
     rows = assignments.join(blocks, "key").select("key", F.col("profile_id").alias("id"), "source_id", "size", "comparisons", "h")
     rows = cut(rows, "members")  # read for both sides of pairs and for nodes
-    a, b = _tiled(rows, "size")
+    a, b = tiled(rows, "size")
     a, b = a.alias("a"), b.select("key", "tile", "id", "source_id", "part").alias("b")
     apart = (F.col("a.source_id") != F.col("b.source_id")) if clean else F.lit(True)
     once = (F.col("a.part") != F.col("b.part")) | (F.col("a.id") < F.col("b.id"))

@@ -448,6 +448,28 @@ def attribute_clustering(spark, sf):
     return rounded(lsh.cluster_attributes(field_profiles(spark, sf)), "entropy")
 
 
+#: Bands of two minima: attributes of a Jaccard of 0.3 meet with a probability of 0.998.
+_SKETCH = (128, 0.05)
+
+
+@query(lambda: _SQL["attribute_clustering"])
+def attribute_clustering_sketched(spark, sf):
+    """The same clusters from sketches of the attributes."""
+    return rounded(lsh.cluster_attributes(field_profiles(spark, sf), sketch=_SKETCH), "entropy")
+
+
+@query(lambda: _SQL["attribute_clustering"].rpartition("SELECT")[0] + f""", cl AS (SELECT cluster_id, src, attr, round(avg(h) OVER (PARTITION BY cluster_id), 6) AS entropy FROM al),
+t2 AS (SELECT DISTINCT id, src, cluster_id, entropy, attr, unnest(regexp_split_to_array(lower(v), '{SEP}')) AS t FROM f JOIN cl USING (src, attr)),
+k2 AS (SELECT t || '_' || cluster_id AS key, id, src, any_value(cluster_id) AS cluster_id, any_value(entropy) AS entropy, string_agg(DISTINCT attr, ',' ORDER BY attr) AS attributes FROM t2 WHERE t <> '' GROUP BY ALL), {blocks_sql('k2', True)}
+SELECT asg.key, asg.id AS profile_id, asg.src AS source_id, asg.cluster_id, asg.entropy, asg.attributes FROM asg""")
+def schema_aware_blocking_aligned(spark, sf):
+    """Attributes are aligned from the data, by sketches, and tokens are blocked within their clusters."""
+    profiles = field_profiles(spark, sf)
+    clusters = rounded(cut(lsh.cluster_attributes(profiles, sketch=_SKETCH), "aligned"), "entropy")
+    out = blocking.schema_aware_blocking(profiles, clusters)
+    return out.withColumn("attributes", F.array_join("attributes", ",")).select("key", "profile_id", "source_id", "cluster_id", "entropy", "attributes")
+
+
 # ---- refinement ---------------------------------------------------------------------------------------------------
 
 

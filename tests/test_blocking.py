@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from conftest import pairs_of
 
@@ -97,6 +99,34 @@ def test_attribute_clusters(profiles):
     assert {r["cluster_id"] for r in lsh.cluster_attributes(q, 0.5).collect()} == {0}
 
 
+def test_sketches_find_what_the_exact_join_finds(spark, monkeypatch):
+    """10,000 attributes of two sources, in families of similar ones: recall of pairs above the threshold, and nothing that the exact join doesn't have."""
+    from matchloom.operators import graph
+
+    r = random.Random(13)
+    rows = []
+    for family in range(2_000):
+        own = [f"t{family}_{i}" for i in range(12)]
+        for k in range(5):
+            tokens = [t for t in own if r.random() > 0.05 * k] + [f"x{family}_{k}"]
+            rows += [(k % 2, f"f{family}_{k}", t, 1) for t in tokens]
+    tokens = spark.createDataFrame(rows, "source_id int, attribute string, token string, n long")
+    exact = {(x["a"], x["b"]): x["similarity"] for x in lsh.attribute_similarity(tokens).collect()}
+    monkeypatch.setattr(graph, "TILE", 3)  # buckets are dealt to tiles
+    sketched = {(x["a"], x["b"]): x["similarity"] for x in lsh.attribute_similarity(tokens, sketch=(64, 0.5)).collect()}
+    assert all(exact[p] == s for p, s in sketched.items())
+    similar = {p for p, s in exact.items() if s >= 0.7}
+    assert len(similar) > 5_000
+    assert len(similar & set(sketched)) >= 0.95 * len(similar)
+
+
+def test_attribute_clusters_by_sketch(profiles):
+    apples = [f"apple{i}" for i in range(10)]
+    p = profiles({0: (0, {"name": apples, "bar": "banana0"}), 1: (1, {"label": apples, "bar": "cat0"})})
+    rows = pairs_of(lsh.cluster_attributes(p, 0.5, sketch=(128, 0.5)), "cluster_id", "source_id", "attribute")
+    assert rows == {(0, 0, "name"), (0, 1, "label"), (1, 0, "bar"), (1, 1, "bar")}
+
+
 def test_signature_similarity(spark):
     from pyspark.sql import functions as F
 
