@@ -143,14 +143,26 @@ def _occurrences(grams: Column) -> Column:
 
 
 def edit_join(docs: DataFrame, q: int, distance: int, expanded: bool = True) -> DataFrame | tuple[DataFrame, DataFrame]:
-    """(id1, id2) of the texts of ``docs`` (id, text) within ``distance`` edits; or pairs of representatives and the membership.
+    """(id1, id2) of the texts of ``docs`` (id, text) within ``distance`` edits; or pairs of representatives and the membership."""
+    reps, members = classes(docs.select("id", "text"), "text")
+    found = edit_candidates(reps, q, distance).where(F.levenshtein("t1", "t2", distance) >= 0).select("id1", "id2")
+    return expand(found, members) if expanded else (found, members)
+
+
+def _placed(grams: Column, distance: int) -> Column:
+    """A number for each (gram, at) of ``grams`` and for the places up to ``distance`` on either side."""
+    return F.flatten(F.transform(grams, lambda x: F.transform(F.sequence(x["at"] - distance, x["at"] + distance), lambda at: F.xxhash64(x["gram"], at))))
+
+
+def edit_candidates(reps: DataFrame, q: int, distance: int, by_place: bool = True) -> DataFrame:
+    """(id1, id2, t1, t2): the pairs of different texts of ``reps`` (id, text) whose distance has to be computed.
 
     Texts share one of their q * distance + 1 rarest q-grams if both have more than q * distance of them, at places no
     more than ``distance`` apart. An edit spoils q of them at most, so texts with too few q-grams in common are ruled
-    out before any distance is computed. Shorter texts meet all that are close in length, by length.
+    out before any distance is computed: a gram in common stands in both texts equally often, and (``by_place``) no more than ``distance``
+    places apart. Shorter texts meet all that are close in length, by length.
     """
-    reps, members = classes(docs.select("id", "text"), "text")
-    reps = reps.withColumn("n", F.length("text"))
+    reps = cut(reps.withColumn("n", F.length("text")), "texts")
     few = q * distance
     grams = reps.select("id", "n", F.posexplode(K.windows(F.col("text"), q)).alias("at", "gram"))
     tf = grams.groupBy("gram").agg(F.count("*").alias("tf"))
@@ -168,12 +180,14 @@ def edit_join(docs: DataFrame, q: int, distance: int, expanded: bool = True) ->
         return a.join(b, (F.col("a.key") == F.col("b.key")) & close).select(F.least("a.id", "b.id").alias("id1"), F.greatest("a.id", "b.id").alias("id2"))
 
     pairs = met(grammed, grammed).unionByName(met(visits, home)).distinct()
-    full = reps.join(ordered.select("id", _occurrences(F.col("g")).alias("o")), "id")
+    full = reps.join(ordered.select("id", _occurrences(F.col("g")).alias("o"), _placed(F.col("g"), 0).alias("p1"), _placed(F.col("g"), distance).alias("p2")), "id")
     for side in ("1", "2"):
-        pairs = pairs.join(full.select(F.col("id").alias(f"id{side}"), F.col("text").alias(f"t{side}"), F.col("n").alias(f"n{side}"), F.col("o").alias(f"o{side}")), f"id{side}")
-    enough = F.size(F.array_intersect("o1", "o2")) >= F.greatest("n1", "n2") - (q - 1) - few
-    found = pairs.where(enough).where(F.levenshtein("t1", "t2", distance) >= 0).select("id1", "id2")
-    return expand(found, members) if expanded else (found, members)
+        pairs = pairs.join(full.select(F.col("id").alias(f"id{side}"), F.col("text").alias(f"t{side}"), F.col("n").alias(f"n{side}"), F.col("o").alias(f"o{side}"), f"p{side}"), f"id{side}")
+    least = F.greatest("n1", "n2") - (q - 1) - few
+    enough = F.size(F.array_intersect("o1", "o2")) >= least
+    if by_place:
+        enough = enough & (F.size(F.array_intersect("p1", "p2")) >= least)
+    return pairs.where(enough).select("id1", "id2", "t1", "t2")
 
 
 def deletions(text: Column, distance: int) -> Column:

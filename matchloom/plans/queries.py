@@ -418,12 +418,6 @@ def signature_similarity(spark, sf):
     return rounded(pairs.join(a, "id1").join(b, "id2").select("id1", "id2", lsh.signature_similarity(F.col("s1"), F.col("s2")).alias("similarity")), "similarity")
 
 
-@query("WITH t AS (SELECT unnest([0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])::DOUBLE AS threshold), b AS (SELECT threshold, unnest(range(1, 129)) AS b FROM t), m AS (SELECT threshold, max(b) + 1 AS bands FROM b WHERE b = 1 OR power(1.0::DOUBLE / b, b::DOUBLE / 128) >= threshold GROUP BY threshold) SELECT threshold, bands::INT AS bands, greatest(128 // bands, 1)::INT AS rows FROM m")
-def band_tuning(spark, sf):
-    """The rule by itself, which reads no table; band_tuning_of_pairs tunes bands to one."""
-    return spark.createDataFrame([(t / 10, lsh.bands(t / 10, 128), lsh.rows_per_band(t / 10, 128)) for t in range(1, 10)], "threshold double, bands int, rows int")
-
-
 _ATTR = f"""WITH {FIELDS}, tt AS (SELECT src, attr, unnest(regexp_split_to_array(lower(v), '{SEP}')) AS t FROM f), ak AS (SELECT src, attr, t, count(*) AS n FROM tt WHERE t <> '' GROUP BY ALL)"""
 
 
@@ -828,6 +822,14 @@ def group_linkage(spark, sf):
 # ---- clustering ---------------------------------------------------------------------------------------------------
 
 
+@query(f"WITH {JOINED.format(t=0.5, apart='')}, t AS (SELECT DISTINCT floor(similarity * 20) / 20 AS threshold FROM sj), b AS (SELECT threshold, unnest(range(1, 129)) AS b FROM t), m AS (SELECT threshold, max(b) + 1 AS bands FROM b WHERE b = 1 OR power(1.0::DOUBLE / b, b::DOUBLE / 128) >= threshold GROUP BY threshold) SELECT threshold, bands::INT AS bands, greatest(128 // bands, 1)::INT AS rows FROM m")
+def band_tuning(spark, sf):
+    """Bands and rows for every threshold, in steps of 0.05, at which documents are similar."""
+    pairs, members = simjoin.jaccard_join(doc_texts(spark, sf), 0.5, expanded=False)
+    inside = members.groupBy("rep").agg(F.count("*").alias("n")).where("n > 1").select(F.lit(1.0).alias("similarity")).limit(1)
+    return lsh.bands_of(pairs.select("similarity").unionByName(inside).select((F.floor(F.col("similarity") * 20) / 20).alias("threshold")), 128)
+
+
 _WAYS = ", ".join(f"({b}, {128 // b})" for b in (1, 2, 4, 8, 16, 32, 64, 128))
 
 
@@ -936,10 +938,10 @@ def join_quality(spark, sf):
     return rounded(class_graph.quality(simjoin.linked(pairs, members), members, copies(spark, sf)), "recall", "precision", "f1")
 
 
-@query("SELECT sum(i)::BIGINT AS total FROM range(1000000) t(i)")
+@query("SELECT sum(o_orderkey)::BIGINT AS total FROM orders")
 def smoke_sum(spark, sf):
-    """The sum of the first million numbers: shows that the cluster works."""
-    return spark.range(1_000_000).agg(F.sum("id").alias("total"))
+    """The sum of a table's numbers: shows that the cluster works."""
+    return table(spark, sf, "orders").agg(F.sum("o_orderkey").alias("total"))
 
 
 @query("SELECT c_custkey AS id, 0 AS source_id, c_name AS value FROM customer UNION ALL SELECT s_suppkey + 1 + (SELECT max(c_custkey) FROM customer), 1, s_name FROM supplier")

@@ -80,9 +80,12 @@ def test_filtering_with_ties(blocks):
         refine.filter_blocks_with_ties(a, 0.0, True)
 
 
-def test_band_tuning():
+def test_band_tuning(spark):
     assert [lsh.bands(t, 128) for t in (1.0, 0.8, 0)] == [2, 12, 129]
     assert lsh.rows_per_band(0.8, 128) == 10
+    thresholds = [0.0, 0.1, 0.35, 0.5, 0.8, 1.0]
+    got = lsh.bands_of(spark.createDataFrame([(t,) for t in thresholds * 2], "threshold double"), 128).collect()
+    assert {tuple(r) for r in got} == {(t, lsh.bands(t, 128), lsh.rows_per_band(t, 128)) for t in thresholds} and len(got) == len(thresholds)
 
 
 def test_minhash_blocks(profiles):

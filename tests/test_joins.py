@@ -34,6 +34,18 @@ def test_edit_joins_find_all_pairs(spark, strings, d):
     assert pairs_of(simjoin.segment_join(docs, d)) == expected
 
 
+def test_grams_out_of_place_spare_distances(spark):
+    """Texts of the same pieces in another order share their grams, but not at their places: fewer distances are computed, none too few."""
+    r = random.Random(2)
+    pieces = ["".join(r.choice("abcd") for _ in range(4)) for _ in range(5)]
+    texts = sorted({"".join(r.sample(pieces, 5)) for _ in range(60)} | {"".join(pieces[:4]) + x for x in ("q", "qq", "abcd")})
+    reps = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    plain, placed = (pairs_of(simjoin.edit_candidates(reps, 2, 2, by_place=p)) for p in (False, True))
+    near = {(i, j) for i, a in enumerate(texts) for j, b in enumerate(texts) if i < j and distance(a, b) <= 2}
+    assert near <= placed <= plain
+    assert len(placed) < len(plain) / 2
+
+
 @pytest.mark.parametrize("d", [0, 1, 3])
 def test_segments_of_long_and_short_strings(spark, d):
     """Strings of 200 characters with edits at their ends and in their middle, beside very short and empty ones; keys stay few."""
