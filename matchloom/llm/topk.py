@@ -6,12 +6,13 @@ component of the table needs. The file is written down once, and its columns are
 
 1. the cells alone are scanned. Inner products with the cells' lower corners bound every score from below and above;
    a row is left for a query if its upper bound reaches the k-th best lower bound, first of its block, then of all;
-2. exact vectors are read for what is left, best bound first: ``FIRST`` a query, and then, of the others, those
-   whose upper bound still reaches the k-th exact score. All others are certain to be no result.
+2. exact vectors are joined with what is left, best bound first: ``FIRST`` a query, and then, of the others, those
+   whose upper bound still reaches the k-th exact score. All others are certain to be no result. What is left goes to the
+   exact vectors if it takes few bytes, so these aren't shuffled; their column is read once, and again if a second round is needed.
 
 Queries are a stated set, met with all cells block by block: a grid of (row block, query block) deals both out
-evenly, and a task holds one block of either. Nothing is sampled, so the result is exact. On sf0.1 (see the README)
-a few dozen exact vectors are read a query.
+evenly, and a task holds one block of either. Nothing is sampled, so the result is exact. The README has how many exact
+vectors are used.
 
 Results for odd input, all tested: vectors that are null or hold null or non-finite components take no part,
 neither as candidates nor as queries; nor do rows without an id; shorter vectors count as filled up with zeros;
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..storage import cut, discard
-from .tables import read
+from .tables import few, read
 
 #: Rows and queries in a block; queries scanned at a time; exact vectors read first for a query.
 VECTORS, QUERIES, AT_ONCE, FIRST = 16_384, 2_048, 128, 20
@@ -49,15 +50,13 @@ def approximation_file(vectors: DataFrame, k: int) -> tuple[DataFrame, int]:
 
     ``ids`` has the k + 1 smallest ids (one may be the query's own), each with how many rows it has.
     """
+    most = vectors.agg(F.max(F.array_max(F.transform("v", lambda x: F.abs(x))))).first()[0] or 0
+    bits = max(0, int(most).bit_length() - 7)
     each = vectors.groupBy("v", "vec_id").agg(F.count("*").alias("n"))
     rank = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
     rows = each.withColumn("rank", rank).where(F.col("rank") <= k + 1).groupBy("v").agg(F.sort_array(F.collect_list(F.struct("vec_id", "n"))).alias("ids"))
-    rows = cut(rows.withColumn("key", F.struct(F.xxhash64("v").alias("a"), F.xxhash64("v", F.lit(1)).alias("b"))), "vectors")
-    most = rows.agg(F.max(F.array_max(F.transform("v", lambda x: F.abs(x))))).first()[0] or 0
-    bits = max(0, int(most).bit_length() - 7)
-    out = cut(rows.withColumn("cells", F.transform("v", lambda x: F.shiftright(x, bits).cast("tinyint"))), "file")
-    discard(rows)
-    return out, bits
+    rows = rows.withColumn("key", F.struct(F.xxhash64("v").alias("a"), F.xxhash64("v", F.lit(1)).alias("b")))
+    return cut(rows.withColumn("cells", F.transform("v", lambda x: F.shiftright(x, bits).cast("tinyint"))), "file"), bits
 
 
 def _matrix(rows: pd.Series, width: int) -> np.ndarray:
@@ -124,7 +123,7 @@ def _kth(rows: DataFrame, value: str, k: int) -> DataFrame:
 
 def _scores(pairs: DataFrame, file: DataFrame, queries: DataFrame) -> DataFrame:
     """``pairs`` (query_id, query, key) with the exact score and the row's ids: the only place where exact vectors are read."""
-    met = pairs.select("query_id", "query", "key").join(file.select("key", "v", "ids"), "key").join(queries, ["query_id", "query"])
+    met = file.select("key", "v", "ids").join(few(pairs.select("query_id", "query", "key")), "key").join(few(queries), ["query_id", "query"])
     product = F.aggregate(F.zip_with("v", "q", lambda x, y: F.coalesce(x, F.lit(0)) * F.coalesce(y, F.lit(0))), F.lit(0).cast("long"), lambda s, x: s + x)
     return met.select("query_id", "query", "key", "ids", product.alias("score"))
 
@@ -141,7 +140,8 @@ def top_k(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
     left = cut(left.withColumn("place", order), "left")
     first = cut(_scores(left.where(F.col("place") <= max(FIRST, k)), file, queries), "first")
     more = left.where(F.col("place") > max(FIRST, k)).join(_kth(first, "score", k), ["query_id", "query"]).where(F.col("upper") >= F.col("least"))
-    scored = first.unionByName(_scores(more, file, queries))
+    more = cut(more, "more")
+    scored = first.unionByName(_scores(more, file, queries)) if more.head(1) else first  # the second round is rarely needed, and then nothing is read for it
     rows = scored.select("query_id", "key", "score", F.explode("ids").alias("i")).where(F.col("i.vec_id") != F.col("query_id"))
     rows = rows.select("query_id", "key", "score", F.col("i.vec_id").alias("vec_id"), F.explode(F.sequence(F.lit(1), F.least(F.col("i.n"), F.lit(k)).cast("int"))).alias("copy"))
     best = rows.groupBy("query_id", "key", "vec_id", "copy").agg(F.max("score").alias("score"))
