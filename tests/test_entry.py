@@ -14,7 +14,7 @@ def hook(event, args):
         raise FileNotFoundError(args[0])
 sys.addaudithook(hook)
 """
-LOOK = "import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); assert set(s) <= set(q); print(sum(not n.startswith('op') and n != 'pipeline' for n in q), sum(n.startswith('op') or n == 'pipeline' for n in q), len(s))"
+LOOK = "import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); assert set(s) <= set(q); from matchloom.plans.queries import QUERIES as c; print(sum(n in c for n in q), sum(n not in c for n in q), len(s))"
 
 
 def run(folder, code):
