@@ -42,8 +42,8 @@ PATTERNS = {
 }
 #: Characters of surroundings on either side, least different surroundings, least share of an entity's information, standard deviations of the bound.
 AROUND, SUPPORT, DISCLOSURE, Z, TERM = 60, 3, 0.8, 1.645, r"\p{L}{4,}"
-#: Code points of the blocks that pieces of a text are cut from.
-BLOCK = 1000
+#: Code points of the blocks that pieces of a text are cut from; terms of a text that are looked for word by word.
+BLOCK, FEW_TERMS = 1000, 64
 SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 
 
@@ -218,9 +218,11 @@ def spans(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPOR
     wide = cut(terms.where("wide").select("term"), "wide")
     if wide.head(1):
         holders = holders.unionByName(_terms(docs).join(few(wide), "term").select("term", "doc_id", "tkey"))
-    where = cut(holders.select(F.col("doc_id").alias("i"), F.col("tkey").alias("t")).distinct(), "where")
-    texts = docs.withColumn("tkey", F.xxhash64("text")).join(few(where), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("tkey") == F.col("t"))).select("doc_id", "tkey", "text").distinct()
-    words = texts.select("doc_id", "tkey", F.explode(find(F.col("text"), F.lit(r"\p{L}+"), F.lit(4))).alias("x")).withColumn("term", F.lower("x.value"))
+    where = holders.groupBy(F.col("doc_id").alias("i"), F.col("tkey").alias("t")).agg(F.collect_set("term").alias("own"))
+    texts = docs.withColumn("tkey", F.xxhash64("text")).join(few(cut(where, "where")), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("tkey") == F.col("t")))
+    # a text's few terms are looked for among its words before these become rows; where there are many, rows are joined with them
+    held = F.filter(find(F.col("text"), F.lit(r"\p{L}+"), F.lit(4)), lambda x: (F.size("own") > FEW_TERMS) | F.array_contains("own", F.lower(x["value"])))
+    words = texts.select("doc_id", "tkey", held.alias("held")).distinct().select("doc_id", "tkey", F.explode("held").alias("x")).withColumn("term", F.lower("x.value"))
     kind = F.when(F.col("wide"), 4).otherwise(5)
     hits = words.join(few(terms.select("term", "wide")), "term").select("doc_id", "tkey", F.struct("x.start", kind.alias("kind"), "x.end", "x.value").alias("x"))
     more = _clear(hits, found).groupBy("doc_id", "tkey").agg(F.collect_list("x").alias("more")).select(F.col("doc_id").alias("i"), F.col("tkey").alias("t"), "more")

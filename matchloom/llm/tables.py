@@ -41,7 +41,7 @@ def few(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound what an Arrow batch holds, so that long texts don't fill a Python worker."""
+    """Bound what an Arrow batch holds, so that many long texts don't fill a Python worker; its bytes Spark bounds by itself (64 MB)."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > rows or int(spark.conf.get(key, "10000")) <= 0:
         spark.conf.set(key, str(rows))

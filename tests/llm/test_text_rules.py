@@ -7,6 +7,8 @@ from collections import Counter
 
 from .conftest import ODD
 
+import pytest
+
 from matchloom.llm import line_dedup, pii, quality
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -58,8 +60,10 @@ def test_terms_that_disclose_an_entity(documents):
     assert all(clean[i] == t[i] for i, _ in away)
 
 
-def test_planted_terms_are_found_and_no_others(documents):
+@pytest.mark.parametrize("few_terms", [0, 64])
+def test_planted_terms_are_found_and_no_others(documents, monkeypatch, few_terms):
     """Each entity is named in five texts, beside a name that stands nowhere else or in one other text; words that are used elsewhere, or beside it once, don't give it away."""
+    monkeypatch.setattr(pii, "FEW_TERMS", few_terms)
     r = random.Random(8)
     words = ["".join(r.choice("bcdfgklmnprst") + r.choice("aeiou") for _ in range(3)) for _ in range(400)]
     prose = lambda n: " ".join(r.choice(words) for _ in range(n))
