@@ -102,9 +102,10 @@ def copy_groups(docs: DataFrame, chunks: DataFrame, k: int = 5, percent: int = 8
     leader = totals.select(F.col("doc_id").alias("first"), F.col("tkey").alias("ltkey"), F.col("words").alias("lwords"))
     found = cut(best.join(totals, ["doc_id", "tkey"]).where("10 * n >= units").join(leader, "first").where("10 * least(words, lwords) >= 7 * greatest(words, lwords)").select("doc_id", "tkey", "first", "ltkey"), "candidates")
     links, unequal = found.where("tkey = ltkey").select("doc_id", "first"), found.where("tkey <> ltkey")
-    texts = docs.where("text is not null and doc_id is not null").select("doc_id", F.xxhash64("text").alias("tkey"), shingles(F.col("text"), k).alias("set"))
-    theirs = cut(texts.join(few(cut(unequal.select(F.col("first").alias("doc_id"), F.col("ltkey").alias("tkey")).distinct(), "leaders")), ["doc_id", "tkey"]).distinct(), "sets")
-    both = texts.join(few(cut(unequal, "unequal")), ["doc_id", "tkey"]).join(few(theirs.select(F.col("doc_id").alias("first"), F.col("tkey").alias("ltkey"), F.col("set").alias("lset"))), ["first", "ltkey"])
+    texts = docs.where("text is not null and doc_id is not null").select("doc_id", F.xxhash64("text").alias("tkey"), "text")
+    of = lambda rows, keys, *more: rows.join(few(cut(keys, "compared")), ["doc_id", "tkey"]).select("doc_id", "tkey", *more, shingles(F.col("text"), k).alias("set"))  # noqa: E731  only of texts that are compared
+    theirs = cut(of(texts, unequal.select(F.col("first").alias("doc_id"), F.col("ltkey").alias("tkey")).distinct()).distinct(), "sets")
+    both = of(texts, unequal, "first", "ltkey").join(few(theirs.select(F.col("doc_id").alias("first"), F.col("tkey").alias("ltkey"), F.col("set").alias("lset"))), ["first", "ltkey"])
     n = F.size(F.array_intersect("set", "lset"))
     near = both.select("doc_id", "first", n.alias("n"), (F.size("set") + F.size("lset") - n).alias("all")).where(f"100 * n >= {percent} * all")
     components = connected_components(cut(links.unionByName(near.select("doc_id", "first")).distinct(), "copies"), "doc_id", "first")
