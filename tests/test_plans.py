@@ -33,6 +33,11 @@ def documents(*texts):
     return [(i, t, "en", f"src{i % 3}", len(t or "")) for i, t in enumerate(texts)], DOCUMENTS
 
 
+def test_token_sets_leave_out_documents_without_tokens(same_as_sql):
+    rows = same_as_sql("profile_token_sets", documents=documents("a b a", "", None, " .,! \n", "x"))
+    assert sorted(rows) == [(0, 2), (4, 1)]
+
+
 def test_halves_are_rounded_as_sql_does(spark):
     """Millionths that end in a half: doubles lie above or below it, and SQL's round goes by their product with a million."""
     values = [k / n for n in (64, 128, 320, 640, 1280, 3200, 6400) for k in range(1, 200)] + [-41 / 640, float("inf"), 1e12 + 0.5]
