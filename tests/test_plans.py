@@ -1,5 +1,7 @@
 """Queries against their own SQL, on small tables with odd rows."""
 
+import random
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -50,3 +52,18 @@ def test_emission_ties_at_halves(same_as_sql):
     texts = [" ".join([f"s{i:03d}" for i in range(40)] + [f"a{x}{i:03d}" for i in range(641)]) for x in (0, 1)]
     rows = same_as_sql("progressive_emission", documents=documents(*texts, "p q", "q r", ""))
     assert (0, 1, 0.064062) in {r[1:] for r in rows}
+
+
+@pytest.mark.parametrize("method", ["unique_mapping", "center"])
+def test_greedy_clusters_of_all_pairs_of_documents(same_as_sql, method):
+    """Copies in ones, twos, threes and fours beside texts that are near some of them: what a representative alone would miss."""
+    r = random.Random(6)
+    texts = []
+    for k in range(12):
+        base = [f"k{k}w{i}" for i in range(12)]
+        near = [" ".join(base[: 12 - r.randint(1, 5)] + [f"x{k}{j}{i}" for i in range(r.randint(0, 2))]) for j in range(4)]
+        texts += [" ".join(base)] * (k % 4 + 1) + near + near[: k % 3] + near[:1] * (k % 2)
+    r.shuffle(texts)
+    rows = same_as_sql(f"cluster_{method}", documents=documents("a b c", "a b c", "a b c", "a b c d", *texts))
+    if method == "unique_mapping":
+        assert {(0, 0), (0, 1), (2, 2), (2, 3)} <= set(rows)  # the third copy and the text near it
