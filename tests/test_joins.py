@@ -199,3 +199,24 @@ def test_bands_are_tuned_to_pairs(spark):
     for b, x in rows.items():
         assert x["recall"] == pytest.approx(sum(1 - (1 - s ** (12 // b)) ** b for s in (0.5, 0.9, 0.9)) / 3)
     assert [b for b, x in rows.items() if x["chosen"]] == [min(b for b, x in rows.items() if x["recall"] >= 0.9)]
+
+
+def test_numbered_names_meet_without_characters(spark, monkeypatch):
+    """Names that differ in a number have no rare q-gram: no candidate is made on one. Few names of rare q-grams still are."""
+    used = []
+    by_grams = simjoin.edit_candidates
+    monkeypatch.setattr(simjoin, "edit_candidates", lambda *a, **k: used.append(a) or by_grams(*a, **k))
+    names = [f"supplier#{i:06d}" for i in range(0, 6000, 3)] + ["", "s", "supplier#000000"]
+    docs = spark.createDataFrame(list(enumerate(names)), "id long, text string")
+    keys = {}
+    for i, x in enumerate(names):
+        for k in range(len(x)):
+            keys.setdefault((len(x), k, x[:k] + x[k + 1 :]), []).append(i)
+    replaced = {(i, j) for v in keys.values() for i in v for j in v if i < j}
+    copies = {(0, 2002), (2000, 2001)}
+    found = pairs_of(simjoin.edit_join(docs, 2, 1))
+    assert not used
+    assert found == replaced | copies
+    few = spark.createDataFrame([(0, "abcdefghijklmnop"), (1, "abcdefgxijklmnop"), (2, "0123456789")], "id long, text string")
+    assert pairs_of(simjoin.edit_join(few, 2, 1)) == {(0, 1)}
+    assert used
