@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from matchloom.functions import keys as K
 from matchloom.plans.queries import six
 
 
@@ -67,3 +68,14 @@ def test_greedy_clusters_of_all_pairs_of_documents(same_as_sql, method):
     rows = same_as_sql(f"cluster_{method}", documents=documents("a b c", "a b c", "a b c", "a b c d", *texts))
     if method == "unique_mapping":
         assert {(0, 0), (0, 1), (2, 2), (2, 3)} <= set(rows)  # the third copy and the text near it
+
+
+@pytest.mark.parametrize("name, make", [("keys_ngrams", "windows"), ("keys_suffixes", "token_suffixes"), ("keys_substrings", "token_substrings"), ("keys_extended_qgrams", "token_extended_qgrams")])
+def test_keys_are_made_once_a_token(same_as_sql, monkeypatch, name, make):
+    """Keys are made of a column of different tokens, not inside the texts."""
+    made = []
+    own = getattr(K, make)
+    monkeypatch.setattr(K, make, lambda t, *a: made.append(t._jc.toString()) or own(t, *a))
+    texts = ["alpha beta alpha", "beta-beta ab a", None, "", "alphabetical order of abcabcabc"]
+    same_as_sql(name, documents=documents(*texts * 3))
+    assert "t" in made
