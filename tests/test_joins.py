@@ -240,3 +240,21 @@ def test_neighbours_go_on_in_the_next_ranges(spark, n, rows):
     for p, r in got.items():
         near = [want[p + k][1:] if p + k < rows else (None, None) for k in range(n)]
         assert [(r[f"id_{k}"], r[f"s_{k}"]) for k in range(n)] == near
+
+
+def test_character_cosine_makes_no_row_for_a_term(profiles):
+    """Held against brute force; a pair is one row, whatever its profiles have in common."""
+    from collections import Counter
+
+    texts = {0: "abc abd abc", 1: "bca dab", 2: "x", 3: "x", 4: "zz9 zz9 zzz"}
+    p = profiles({i: (0, {"a": t}) for i, t in texts.items()})
+    joined = {i: "".join(dict.fromkeys(t.split())) for i, t in texts.items()}
+    bag = {i: Counter([t[k : k + 2] for k in range(len(t) - 1)] or [t]) for i, t in joined.items()}
+    size = lambda c: sum(n * n for n in c.values())
+    pairs = p.sparkSession.createDataFrame([(i, j) for i in texts for j in texts if i < j], "id1 long, id2 long")
+    scored = matching.score(pairs, p, "character_cosine")
+    got = {(r["id1"], r["id2"]): r["score"] for r in scored.collect()}
+    assert len(got) == 10
+    for (i, j), x in got.items():
+        assert x == pytest.approx(sum(bag[i][t] * bag[j][t] for t in bag[i]) / (size(bag[i]) * size(bag[j])) ** 0.5)
+    assert "Generate" not in scored._jdf.queryExecution().executedPlan().toString()
