@@ -258,3 +258,26 @@ def test_character_cosine_makes_no_row_for_a_term(profiles):
     for (i, j), x in got.items():
         assert x == pytest.approx(sum(bag[i][t] * bag[j][t] for t in bag[i]) / (size(bag[i]) * size(bag[j])) ** 0.5)
     assert "Generate" not in scored._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("how", ["jaccard", "enhanced_jaccard", "generalised_jaccard", "cosine"])
+def test_scores_make_no_row_for_a_term(profiles, how):
+    """Held against brute force; a pair is one row, whatever its profiles have in common."""
+    from collections import Counter
+
+    texts = {0: "a b b c", 1: "b b a d d d", 2: "x", 3: "x x", 4: "A-b_c c c " + "w" * 40, 5: "\u00e4 ...", 6: "w" * 40 + " b"}
+    words = {i: Counter(w for w in "".join(c if c.isascii() and c.isalnum() else " " for c in t.lower()).split()) for i, t in texts.items()}
+    p = profiles({i: (0, {"a": t}) for i, t in texts.items()})
+    pairs = p.sparkSession.createDataFrame([(i, j) for i in texts for j in texts if i < j], "id1 long, id2 long")
+    scored = matching.score(pairs, p, how)
+    got = {(r["id1"], r["id2"]): r["score"] for r in scored.collect()}
+    assert set(got) == {(i, j) for i in texts for j in texts if i < j and 5 not in (i, j)}
+    for (i, j), x in got.items():
+        a, b = words[i], words[j]
+        both, low, t, u = len(a.keys() & b.keys()), (a & b).total(), a.total(), b.total()
+        shares = sum(min(a[w] / t, b[w] / u) for w in a)
+        squares = sum(n * n for n in a.values()) * sum(n * n for n in b.values())
+        want = {"jaccard": both / (len(a) + len(b) - both), "enhanced_jaccard": low / (len(a) + len(b) - low), "generalised_jaccard": shares / (2 - shares), "cosine": sum(a[w] * b[w] for w in a) / squares**0.5}
+        assert x == pytest.approx(want[how])
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "array_intersect" not in plan
