@@ -49,6 +49,25 @@ def test_schema_aware_blocking(spark, profiles):
     assert {r["key"] for r in blocking.schema_aware_blocking(p, clusters, drop_default=True).collect()} == {"x_0"}
 
 
+def test_schema_aware_keys_are_made_within_the_row(spark, profiles, monkeypatch):
+    """Keys of an attribute that is alone in its cluster are not dealt out to be made distinct; those of several attributes are joined."""
+    plans, written = {}, blocking.cut
+
+    def seen(df, tag="cut"):
+        plans[tag] = df._jdf.queryExecution().executedPlan().toString()
+        return written(df, tag)
+
+    monkeypatch.setattr(blocking, "cut", seen)
+    p = profiles({0: (0, {"name": "x x y", "nick": "x", "other": "q"}), 1: (1, {"label": "X-y", "odd": ["q", "q r"]}), 2: (1, {"odd": "", "label": "z"}), 3: (0, {"more": "q r", "other": "r"})})
+    clusters = spark.createDataFrame([(0, 0, "name", 1.0), (0, 0, "nick", 1.0), (0, 1, "label", 1.0), (1, 0, "-", 0.5)], "cluster_id int, source_id int, attribute string, entropy double")
+    rows = {(r["key"], r["profile_id"], r["cluster_id"], r["entropy"], tuple(r["attributes"])) for r in blocking.schema_aware_blocking(p, clusters).collect()}
+    assert rows == {
+        ("x_0", 0, 0, 1.0, ("name", "nick")), ("y_0", 0, 0, 1.0, ("name",)), ("x_0", 1, 0, 1.0, ("label",)), ("y_0", 1, 0, 1.0, ("label",)),
+        ("q_1", 0, 1, 0.5, ("other",)), ("q_1", 1, 1, 0.5, ("odd",)), ("r_1", 1, 1, 0.5, ("odd",)), ("q_1", 3, 1, 0.5, ("more",)), ("r_1", 3, 1, 0.5, ("more", "other")),
+    }
+    assert "hashpartitioning(key" not in plans.get("parts", plans.get("keyed"))
+
+
 def test_purging(blocks):
     a = blocks([[0], [4]], [[0, 1], [4]], [[0, 1], [4]], [[0, 1, 2], [4]], [[0, 1, 2], [4]], [[0, 1, 2, 3], [4, 5, 6, 7]])
     assert {r["key"] for r in refine.purge(a, 1.0, clean=True).collect()} == {"b000", "b001", "b002"}
