@@ -161,6 +161,18 @@ def test_greedy_methods_against_brute_force(spark, method):
     assert sets(got) == sorted(want)
 
 
+@pytest.mark.parametrize("whole", [200_000, 50])
+def test_equal_weights_take_few_rounds(spark, monkeypatch, whole):
+    """A clique of equal weights needs a round for every two nodes; what is left of it is decided in one call once it is small enough."""
+    tags, written = [], greedy.cut
+    monkeypatch.setattr(greedy, "cut", lambda df, tag="cut": (tags.append(tag), written(df, tag))[1])
+    monkeypatch.setattr(greedy, "WHOLE", whole, raising=False)
+    edges = [(a, b, 0.7) for a in range(24) for b in range(a + 1, 24)] + [(100, 101, 0.9), (101, 102, 0.8)]
+    got = greedy.unique_mapping(spark.createDataFrame(edges, "id1 long, id2 long, weight double").repartition(3))
+    assert sets(got) == sorted([[i, i + 1] for i in range(0, 24, 2)] + [[100, 101]])
+    assert tags.count("taken") <= (4 if whole > len(edges) else 12)
+
+
 def test_no_edges(spark):
     none = spark.createDataFrame([], "id1 long, id2 long, weight double")
     assert all(fn(none).count() == 0 for fn in (*greedy.METHODS.values(), flow.markov))
