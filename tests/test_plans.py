@@ -79,3 +79,15 @@ def test_keys_are_made_once_a_token(same_as_sql, monkeypatch, name, make):
     texts = ["alpha beta alpha", "beta-beta ab a", None, "", "alphabetical order of abcabcabc"]
     same_as_sql(name, documents=documents(*texts * 3))
     assert "t" in made
+
+
+def test_ground_truth_and_sources_shuffle_no_text(spark, tmp_path):
+    """Equal texts meet by digest, texts without a value as one, as in SQL's partitions; a text has its source beside it without a join."""
+    from matchloom.plans import queries as Q
+
+    rows = [(1, "a b", "src0"), (2, None, "src1"), (3, "a b", "src1"), (4, None, "src0"), (5, "", "src0"), (6, "c", "src1")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {tuple(r) for r in Q.copies(spark, str(tmp_path)).collect()} == {(1, 3), (2, 4)}
+    texts = Q.source_texts(spark, str(tmp_path))
+    assert {tuple(r) for r in texts.select("id", "source_id", "text").collect()} == {(1, 0, "a b"), (3, 1, "a b"), (6, 1, "c")}
+    assert "Join" not in texts._jdf.queryExecution().optimizedPlan().toString()
