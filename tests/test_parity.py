@@ -57,3 +57,41 @@ def test_sketches_fold(spark):
     differ = np.bitwise_count(parity.folded([wide], 16) ^ parity.folded([narrow], 16)).sum()
     assert 300 < differ <= 750
     assert (parity.folded([wide], 16) == parity.folded([parity.sketch(hashes, 1)], 16)).all()
+
+
+def test_blocks_stay_as_many_while_the_table_grows(spark, monkeypatch):
+    """How often a sketch is shuffled goes with the number of blocks, so more parts make larger blocks, until their sketches have ``BYTES``."""
+    monkeypatch.setattr(parity, "PART", 64)
+
+    def blocks(rows):
+        table = spark.range(rows).select(F.col("id").alias("position"), "id", (10 + F.col("id") * 1000 / rows).cast("int").alias("n"), F.unhex(F.repeat(F.lit("0"), 64)).alias("sketch"))
+        found = parity.dealt(table, 0.5).groupBy("block").agg(F.count("*").alias("c"), F.min("position").alias("p"), F.first("first").alias("first"), F.first("last").alias("last")).sort("block").collect()
+        assert [r["block"] for r in found] == list(range(len(found)))
+        assert sum(r["c"] for r in found) == rows and [r["p"] for r in found] == sorted(r["p"] for r in found)
+        assert all(r["first"] <= r["block"] <= r["last"] < len(found) for r in found)
+        return [r["c"] for r in found]
+
+    assert len(blocks(16_384)) <= 17 and len(blocks(65_536)) <= 17
+    monkeypatch.setattr(parity, "BYTES", (32 + parity.ROW) * 512)
+    assert max(blocks(65_536)) <= 512 + 64
+
+
+def test_no_set_is_shuffled_before_its_pairs_are_known(spark, monkeypatch):
+    """With copies, and joins that shuffle: candidates read sketches only, and full sets go on packed."""
+    r = random.Random(6)
+    words = ["".join(r.choice("abcdefghij") for _ in range(8)) for _ in range(300)]
+    texts = [" ".join(r.sample(words, 40)) for _ in range(60)]
+    texts += [t + " more" for t in texts[:20]] + texts[:30] + ["", None, "...", "a", "A"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    written, cut = {}, simjoin.cut
+    try:
+        monkeypatch.setattr(simjoin, "cut", lambda df, tag="cut": written.setdefault(tag, (df, cut(df, tag)))[1])
+        pairs, members = simjoin.jaccard_join(docs, 0.8, expanded=False)
+        assert "packed" not in written["candidates"][0]._jdf.queryExecution().optimizedPlan().toString()
+        assert not any("tokens" in df._jdf.queryExecution().optimizedPlan().toString() for tag, (df, _) in [*written.items(), ("pairs", (pairs, None)), ("members", (members, None))] if tag != "sets")
+        assert pairs_of(pairs) == {(i, 60 + i) for i in range(20)}
+        assert pairs_of(members, "id", "rep") == {(i, i) for i in range(80)} | {(80 + i, i) for i in range(30)} | {(113, 113), (114, 113)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
