@@ -184,3 +184,21 @@ def test_large_components_are_refused(graph, monkeypatch):
         clustering.cluster(*graph, "ricochet", 0.5)
     with pytest.raises(ValueError, match="no such method"):
         clustering.cluster(*graph, "other", 0.5)
+
+
+def test_markov_shuffles_no_partial_sum(spark, monkeypatch):
+    """Blocks smaller than components, a hub and a clique across several: as the dense matrix, and each entry of a product is made once."""
+    monkeypatch.setattr(flow, "BLOCK", 4)
+    r = random.Random(9)
+    edges = [(a, b, round(0.5 + r.random() / 2, 3)) for a in range(20) for b in range(a + 1, 20) if r.random() < 0.7] + [(20, b, 0.9) for b in range(21, 40)] + [(a, a + 1, 0.8) for a in range(40, 60)]
+    matrix = spark.createDataFrame([(i, j, w, i // 4, j // 4) for i, j, w in edges] + [(i, i, 1.0, i // 4, i // 4) for i in range(61)], "i long, j long, y double, ib long, jb long")
+    m = np.eye(61)
+    for a, b, w in edges:
+        m[a, b] = w
+    rows = flow.squared(matrix).collect()
+    assert len(rows) == len({(x["i"], x["j"]) for x in rows}) == np.count_nonzero(m @ m)
+    assert all(x["y"] == pytest.approx((m @ m)[x["i"], x["j"]]) and (x["ib"], x["jb"]) == (x["i"] // 4, x["j"] // 4) for x in rows)
+    assert "HashAggregate(keys=[i#" not in flow.squared(matrix)._jdf.queryExecution().executedPlan().toString()
+    found = flow.markov(spark.createDataFrame(edges, "id1 long, id2 long, weight double"), epsilon=0.0)
+    want = dense_markov(edges, 2)
+    assert {x["profile_id"]: x["cluster_id"] for x in found.collect()} == dict(enumerate(want))
