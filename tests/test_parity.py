@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from conftest import pairs_of
 from pyspark.sql import functions as F
@@ -95,3 +96,30 @@ def test_no_set_is_shuffled_before_its_pairs_are_known(spark, monkeypatch):
         assert pairs_of(members, "id", "rep") == {(i, i) for i in range(80)} | {(80 + i, i) for i in range(30)} | {(113, 113), (114, 113)}
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+@pytest.mark.parametrize("t", [0.2, 0.5, 0.8])
+def test_few_words_of_a_sketch_rule_out_most_pairs(monkeypatch, t):
+    """What is found is what whole sketches allow, and whole sketches are looked at for few of the pairs where sets are unlike."""
+    rng, rows = np.random.default_rng(2), []
+    for i in range(700):
+        n = int(rng.integers(3, 900)) if i % 3 else 200
+        base = rng.integers(0, 2**62, n)
+        if i % 7 == 0 and rows:
+            base = np.concatenate([rows[-1][1][: len(rows[-1][1]) * 9 // 10], base[: n // 20]])
+        rows.append((len(base), base))
+    rows.sort(key=lambda x: x[0])
+    table = pd.DataFrame({"position": range(700), "id": range(700), "n": [n for n, _ in rows], "sketch": [parity.sketch(h, parity.bits_an_item(t)) for _, h in rows]})
+    looked, count = [], np.bitwise_count
+    monkeypatch.setattr(np, "bitwise_count", lambda x, **k: (k or looked.append(len(x))) and None or count(x, **k))
+    found = {(x.a, x.b) for x in parity.near(table, table, t).itertuples()}
+    want = set()
+    for i in range(700):
+        for j in range(i + 1, 700):
+            n, m, x, y = table["n"][i], table["n"][j], table["sketch"][i], table["sketch"][j]
+            words = min(len(x), len(y)) // 8
+            if m <= n / t + 1e-6 and count(parity.folded([x], words) ^ parity.folded([y], words)).sum() <= (n + m) * (1 - t) / (1 + t) + 1e-6:
+                want.add((i, j))
+    assert found == want
+    if t > 0.2:
+        assert sum(looked) < len(want) + 700 * 700 / 2 / 20
