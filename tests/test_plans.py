@@ -120,7 +120,7 @@ def test_emission_looks_up_no_numbers_and_keeps_no_windows(same_as_sql, spark, m
 
     plans = {}
     for module in (ranking, Q):
-        monkeypatch.setattr(module, "cut", lambda df, tag="cut", cut=module.cut: plans.setdefault(tag, [df, cut(df, tag)])[1])
+        monkeypatch.setattr(module, "cut", lambda df, tag="cut", *how, cut=module.cut: plans.setdefault(tag, [df, cut(df, tag, *how)])[1])
     r = random.Random(12)
     same_as_sql("progressive_emission", documents=documents(*[" ".join(r.choice("abcdefgh") for _ in range(r.randint(0, 6))) for _ in range(40)], None))
     assert not any("Join" in line and "id1" in line for line in plans["ranking"][0]._jdf.queryExecution().optimizedPlan().toString().splitlines())
